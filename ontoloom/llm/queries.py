@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .repeats import mark_repeats
+from .rules import quality
 from .simhash import near_duplicates
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return quality(table(spark, sf_dir, "documents")).select(*columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -23,7 +29,7 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_simhash": op4_simhash, "op5_suffix_array": op5_suffix_array}
+    return {f.__name__: f for f in (op3_quality_rules, op4_simhash, op5_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
