@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import taken
 from .repeats import mark_repeats
 from .rules import quality
 from .simhash import near_duplicates
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
     return quality(table(spark, sf_dir, "documents")).select(*columns)
@@ -29,7 +34,7 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_simhash, op5_suffix_array)}
+    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_simhash, op5_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
