@@ -13,6 +13,7 @@ from .mixing import taken
 from .repeats import mark_repeats
 from .rules import quality
 from .simhash import near_duplicates
+from .warc import archived
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 OK = "</s>[INST] ok [/INST]"
 
 
@@ -44,10 +49,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_simhash, op5_suffix_array, op10_chat)}
+    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_simhash, op5_suffix_array, op7_warc, op10_chat)}
 
 
 ORACLES = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS held FROM p)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+            CASE WHEN n >= 1000 AND page_id <> held THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 1000 AND page_id <> held THEN held END AS refers_to
+        FROM m""",
     "op10_chat": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
