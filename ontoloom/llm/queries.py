@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import expanded, read_back
 from .common import table
+from .html import with_main_text
 from .mixing import taken
 from .repeats import mark_repeats
 from .rules import quality
@@ -39,6 +40,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 OK = "</s>[INST] ok [/INST]"
 
 
@@ -49,7 +54,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_simhash, op5_suffix_array, op7_warc, op10_chat)}
+    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_simhash, op5_suffix_array, op7_warc, op9_html, op10_chat)}
 
 
 ORACLES = {
