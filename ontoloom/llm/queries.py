@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import expanded, read_back
 from .common import table
+from .decontaminate import leaks
 from .html import with_main_text
 from .mixing import taken
 from .repeats import mark_repeats
@@ -36,6 +37,12 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it leaks."""
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "n_windows", "hits", "containment", "kind")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
@@ -54,7 +61,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_simhash, op5_suffix_array, op7_warc, op9_html, op10_chat)}
+    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op9_html, op10_chat)}
 
 
 ORACLES = {
