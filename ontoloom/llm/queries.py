@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import expanded, read_back
-from .common import table
+from .common import crc_mod, table
 from .decontaminate import leaks
 from .html import with_main_text
+from .lm import language_model
 from .mixing import taken
 from .repeats import mark_repeats
 from .rules import quality
@@ -47,6 +48,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, counts, _ = language_model(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod(F.col("doc_id"), 5) != 1)
+    return scores.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -61,7 +67,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op9_html, op10_chat)}
+    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op8_lm, op9_html, op10_chat)}
 
 
 ORACLES = {
