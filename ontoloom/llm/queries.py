@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import expanded, read_back
+from .classifier import fit, with_quality
 from .common import crc_mod, table
 from .decontaminate import leaks
 from .html import with_main_text
@@ -23,6 +24,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    vectors, network = fit(docs, labels.where(~held_out), "doc_id", "text", "quality")
+    scores = with_quality(docs, vectors, network)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
     return quality(table(spark, sf_dir, "documents")).select(*columns)
@@ -67,7 +76,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op8_lm, op9_html, op10_chat)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op8_lm, op9_html, op10_chat)}
 
 
 ORACLES = {
