@@ -7,7 +7,9 @@ passes over partitions, and after each pass only groups with more than one membe
    neighbouring places share it, so about one place in eighteen is dealt out, and equal windows share the digit.
 2. Second digit: all the bytes around that 16-gram that any window over it can touch. Equal groups there are
    repeated windows at once.
-3. Last digit, only for windows over a 16-gram seen in different surroundings: the window itself.
+3. Third digit, only for 16-grams seen in different surroundings: the half of the surroundings before the 16-gram
+   and the half after it. A window over the 16-gram has one of the two whole.
+4. Last digit, only for windows over a half that is seen again: the window itself.
 
 The groups that are left equal are exactly the repeated windows (digits are compared by at least 96 bits of hash
 of the whole content they stand for). Documents are dealt to chunks of ``CHUNK_BYTES`` once; every later step
@@ -31,8 +33,8 @@ from pyspark.sql.types import StructType
 
 from .common import buffers, longs, pack, unpack
 
-CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 24 << 20
+CHUNK_BYTES = 1 << 20
+BUCKET_BYTES = 12 << 20
 GRAM = 16
 TILE = 1 << 17
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -83,7 +85,6 @@ class Chunk:
         """Places of the 16-grams that are least in some window, their hashes, and the least hash of each window."""
         n, length, width = self.n, self.length, self.width
         self.least = np.zeros(max(0, n - length + 1), np.uint64)
-        ends = np.repeat(self.bounds[1:], np.diff(self.bounds))
         found, hashes = [], []
         padded = np.concatenate([self.data, np.zeros(GRAM, np.uint8)])
         for lo in range(0, n - length + 1, TILE):
@@ -96,8 +97,8 @@ class Chunk:
             h ^= (view[8 : 8 + m] ^ (h >> np.uint64(31))) * M2
             h = mixed(h) | np.uint64(1)
             least = slide(h, width, np.minimum)  # of windows that start from first on
-            whole = np.arange(first, first + len(least)) + length <= ends[first : first + len(least)]
-            least[~whole] = 0
+            starts = np.arange(first, first + len(least))
+            least[starts + length > self.bounds[np.searchsorted(self.bounds, starts, side="right")]] = 0
             self.least[lo:hi] = least[lo - first : hi - first]
             edge = np.zeros(width - 1, np.uint64)
             most = slide(np.concatenate([edge, least, edge]), width, np.maximum)
@@ -115,7 +116,9 @@ class Chunk:
         self.doc = self.rank[doc]
         self.gram = h >> np.uint64(16)  # 48 bits
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(BYTE_CODE[self.data] * powers(BASE, self.n + 1)[: self.n], out=self.sums[1:])
+        np.take(BYTE_CODE, self.data, out=self.sums[1:])
+        self.sums[1:] *= powers(BASE, self.n + 1)[: self.n]
+        np.cumsum(self.sums, out=self.sums)
         around = self._hash(self.start, self.end) + (self.at - self.start).astype(np.uint64) * M1 + (self.end - self.at).astype(np.uint64) * M2
         self.around = mixed(around) >> np.uint64(16)
 
@@ -133,10 +136,24 @@ class Chunk:
         first = order[new]
         self.e_at, self.e_gram, self.e_around, self.e_doc = first, self.gram[first], self.around[first], self.doc[first]
 
-    def windows(self, anchors: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct windows over these anchors: key, second key, least document; and for each place its window."""
+    def sides(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of the halves of these anchors' surroundings, whose anchor each is, whether it is the later."""
+        half = (self.width - 1) // 2
+        i = np.flatnonzero(self.at[anchors] - self.start[anchors] >= half)
+        j = np.flatnonzero(self.end[anchors] - self.at[anchors] >= GRAM + half)
+        a, b = self.at[anchors[i]], self.at[anchors[j]]
+        key = mixed(np.concatenate([self._hash(a - half, a + GRAM), self._hash(b, b + GRAM + half) * M2]))
+        order = np.argsort(key, kind="stable")
+        return key[order], np.concatenate([i, j])[order], np.repeat([False, True], [len(i), len(j)])[order]
+
+    def windows(self, anchors: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct windows over these anchors that have the half before, or after, where told: key, second key,
+        least document; and place, document and number among the distinct ones of each window."""
+        half = (self.width - 1) // 2
         p = self.start[anchors, None] + np.arange(self.width)[None, :]
-        ok = (p <= self.at[anchors, None]) & (p + self.length <= self.end[anchors, None])
+        lead = self.at[anchors, None] - p
+        ok = (lead >= 0) & (p + self.length <= self.end[anchors, None])
+        ok &= before[:, None] & (lead >= half) | after[:, None] & (self.width - 1 - lead >= half)
         a, p = np.broadcast_to(anchors[:, None], p.shape)[ok], p[ok]
         if len(p):
             right = self.least[p] >> np.uint64(16) == self.gram[a]
@@ -173,9 +190,17 @@ def sent(chunk: int, x: np.ndarray, y: np.ndarray, doc: np.ndarray, ids: np.ndar
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "chunk", "x", "y", "d", "ids"])
 
 
+SURROUNDINGS, SIDES, WINDOWS = range(3)
+
+
+def reply(out: list[tuple]) -> pa.Table:
+    cols = list(zip(*out, strict=True)) if out else [[]] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "kind", "bucket", "lower", "mixed"])
+
+
 def judge(kind: int, wide: int):
     """The bucket's side: for each sender, which entries an earlier document has too, and which of the rest stand
-    beside others under their first digit."""
+    beside others under their first digit. Of SIDES only the latter is asked."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -191,6 +216,9 @@ def judge(kind: int, wide: int):
         same[:-1] |= same[1:]
         order = order[same]  # what stands alone under the first digit is done
         del k, same
+        if kind == SIDES:
+            own = [(r, np.sort(order[who[order] == i] - bounds[i])) for i, r in enumerate(rows)]
+            return reply([(r[0], kind, bucket, b"", at.astype(np.uint32).tobytes()) for r, at in own if len(at)])
         y = np.concatenate([unpack(r[2], 6) for r in rows])[order]
         ids = np.concatenate([np.frombuffer(r[4], np.int64)[unpack(r[3], len(r[3]) // max(1, n)).astype(np.int64)] for r, n in zip(rows, sizes, strict=True)])[order]
         x, who = x[order], who[order]
@@ -206,11 +234,10 @@ def judge(kind: int, wide: int):
         out = []
         for i, r in enumerate(rows):
             own = who == i
-            low, mix = at[own & lower] - bounds[i], at[own & ~lower & beside] - bounds[i] if kind == 0 else at[:0]
+            low, mix = at[own & lower] - bounds[i], at[own & ~lower & beside] - bounds[i] if kind == SURROUNDINGS else at[:0]
             if len(low) or len(mix):
                 out.append((r[0], kind, bucket, np.sort(low).astype(np.uint32).tobytes(), np.sort(mix).astype(np.uint32).tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "kind", "bucket", "lower", "mixed"])
+        return reply(out)
 
     return run
 
@@ -250,24 +277,48 @@ def mark_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
         k, c = opened(group)
         return sent(k, c.e_gram, c.e_around, c.e_doc, c.ids, 48, buckets, 6)
 
+    def nothing() -> pa.Table:
+        return sent(0, *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.int64), np.zeros(0, np.int64), 64, buckets, 8)
+
+    def halves(c: Chunk, k: int, told: pa.Table) -> tuple[np.ndarray, ...]:
+        """Anchors that stand for distinct surroundings beside others, and the halves' keys, owners and kinds."""
+        _, mix = replies(told, SURROUNDINGS, k, c.e_gram, 48, buckets)
+        return c.e_at[mix], *c.sides(c.e_at[mix])
+
+    def third_digits(group: pa.Table, told: pa.Table) -> pa.Table:
+        if not told.num_rows:
+            return nothing()
+        k, c = opened(group)
+        _, key, _, _ = halves(c, k, told)
+        zero = np.zeros(len(key), np.int64)
+        return sent(k, key, key, zero, c.ids[:1], 64, buckets, 8)
+
+    def windows(c: Chunk, k: int, told: pa.Table) -> tuple[np.ndarray, ...]:
+        anchors, key, owner, later = halves(c, k, told)
+        _, again = replies(told, SIDES, k, key, 64, buckets)
+        sides = np.zeros((2, len(anchors)), bool)
+        sides[0, owner[again & ~later]] = True
+        sides[1, owner[again & later]] = True
+        any_ = sides.any(axis=0)
+        return c.windows(anchors[any_], sides[0, any_], sides[1, any_])
+
     def last_digits(group: pa.Table, told: pa.Table) -> pa.Table:
         if not told.num_rows:
-            return sent(0, *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.int64), np.zeros(0, np.int64), 64, buckets, 8)
+            return nothing()
         k, c = opened(group)
-        _, mix = replies(told, 0, k, c.e_gram, 48, buckets)
-        key, other, doc, *_ = c.windows(c.e_at[mix])
+        key, other, doc, *_ = windows(c, k, told)
         return sent(k, key, other, doc, c.ids, 64, buckets, 8)
 
     def removed(group: pa.Table, told: pa.Table) -> pa.Table:
         k, c = opened(group)
-        low, mix = replies(told, 0, k, c.e_gram, 48, buckets)
+        low, mix = replies(told, SURROUNDINGS, k, c.e_gram, 48, buckets)
         edge = np.zeros(c.n + 1, np.int32)
         hit = low[c.of] | (c.doc > c.e_doc[c.of])
         np.add.at(edge, c.start[hit], 1)
         np.add.at(edge, c.end[hit], -1)
         if mix.any():
-            key, _, first, p, doc, of = c.windows(c.e_at[mix])
-            below, _ = replies(told, 1, k, key, 64, buckets)
+            key, _, first, p, doc, of = windows(c, k, told)
+            below, _ = replies(told, WINDOWS, k, key, 64, buckets)
             w = p[below[of] | (doc > first[of])]
             np.add.at(edge, w, 1)
             np.add.at(edge, w + length, -1)
@@ -286,10 +337,14 @@ def mark_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([group.column("row").combine_chunks() if group.num_rows else group.column("row"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "spans", "kept"])
 
-    told = own.applyInArrow(first_digits, ENTRY).groupBy("bucket").applyInArrow(judge(0, 6), REPLY)
-    more = own.cogroup(told.groupBy("chunk")).applyInArrow(last_digits, ENTRY).groupBy("bucket").applyInArrow(judge(1, 8), REPLY)
+    def asked(step, told: DataFrame, kind: int) -> DataFrame:
+        return own.cogroup(told.groupBy("chunk")).applyInArrow(step, ENTRY).groupBy("bucket").applyInArrow(judge(kind, 8), REPLY)
+
+    told = own.applyInArrow(first_digits, ENTRY).groupBy("bucket").applyInArrow(judge(SURROUNDINGS, 6), REPLY)
+    told = told.unionByName(asked(third_digits, told, SIDES))
+    told = told.unionByName(asked(last_digits, told, WINDOWS))
     out = StructType([*schema, *StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")])
-    return own.cogroup(told.unionByName(more).groupBy("chunk")).applyInArrow(removed, out)
+    return own.cogroup(told.groupBy("chunk")).applyInArrow(removed, out)
 
 
 def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
