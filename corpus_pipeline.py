@@ -1,27 +1,66 @@
-"""From raw documents to a training mixture, stage by stage."""
+"""From raw documents to a training mixture: rules, near copies, repeated passages, benchmark leaks, mixture.
+
+Every stage takes all that its predecessor kept. Stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ontoloom.llm.common import shared_path, table
+from ontoloom.llm.common import WORD, shared_path, table
+from ontoloom.llm.decontaminate import drop_leaks
+from ontoloom.llm.mixing import mix
 from ontoloom.llm.repeats import drop_repeats
+from ontoloom.llm.rules import keep_quality
 from ontoloom.llm.simhash import drop_near_duplicates
 
+#: Passages of over 50 words have at least 51 bytes of words and 50 between them.
+PASSAGE_BYTES = 100
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return keep_quality(docs)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, by the fingerprints and links of op4."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("SimHash near-dedup", near_dedup)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; a document of which no word is left goes."""
+    left = drop_repeats(docs, length=PASSAGE_BYTES).where(F.col("text").rlike(WORD))
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by their weights; a document comes once for each draw, with its shard and its place there."""
+    return mix(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing to target weights", mixture),
+]
+#: Fingerprints, fitted rules and random draws are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of ``documents``; each stage is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        out = shared_path(spark, "stage")
+    for name, stage in STAGES:
+        out = shared_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs
