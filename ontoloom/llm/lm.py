@@ -70,6 +70,15 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def joined(words: list[bytes]) -> bytes:
+    return packed(np.frombuffer(b" ".join(words), np.uint8))
+
+
+def unjoined(blob: bytes) -> list[bytes]:
+    text = unpacked(blob)[0].tobytes()
+    return text.split(b" ") if text else []
+
+
 ASKED = "kind int, bucket int, chunk int, words binary, state binary"
 """kind 0: distinct words of a chunk, in order, with their counts in its training texts; 1: the chunk's texts as
 numbers of those words."""
@@ -96,8 +105,8 @@ def asked(parts: DataFrame, buckets: int) -> DataFrame:
         counts = counts[[n for _, _, n in placed]] if placed else counts
         where = np.array([b for b, _, _ in placed], np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(placed)] if placed else [0]
-        rows = [(0, int(where[a]), chunk, b" ".join(w for _, w, _ in placed[a:b]), packed(counts[a:b].astype(np.int64))) for a, b in zip(cuts, cuts[1:])]
-        rows.append((1, None, chunk, b" ".join(w for _, w, _ in placed), packed(ids, group.column("none").to_numpy(zero_copy_only=False).astype(np.uint8), train.astype(np.uint8), sizes, new[flat].astype(np.uint16 if len(placed) < NONE else np.uint32))))
+        rows = [(0, int(where[a]), chunk, joined([w for _, w, _ in placed[a:b]]), packed(counts[a:b].astype(np.int64))) for a, b in zip(cuts, cuts[1:])]
+        rows.append((1, None, chunk, joined([w for _, w, _ in placed]), packed(ids, group.column("none").to_numpy(zero_copy_only=False).astype(np.uint8), train.astype(np.uint8), sizes, new[flat].astype(np.uint16 if len(placed) < NONE else np.uint32))))
         cols = list(zip(*rows, strict=True))
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "chunk", "words", "state"])
 
@@ -115,7 +124,7 @@ def told(requests: DataFrame) -> DataFrame:
         total: dict[bytes, int] = {}
         asked_for = []
         for chunk, words, state in zip(*(group.column(c).to_pylist() for c in ("chunk", "words", "state")), strict=True):
-            w = words.split(b" ")
+            w = unjoined(words)
             asked_for.append((chunk, w))
             for word, c in zip(w, unpacked(state)[0].tolist(), strict=True):
                 total[word] = total.get(word, 0) + c
@@ -171,8 +180,7 @@ def coded(states: DataFrame, answers: DataFrame, counts: Counts) -> DataFrame:
         if not group.num_rows:
             return pa.table({"chunk": pa.array([], pa.int32()), "state": pa.array([], pa.binary())})
         ids, none, train, sizes, flat = unpacked(group.column("state")[0].as_py())
-        blob = group.column("words")[0].as_py()
-        words = blob.split(b" ") if blob else []
+        words = unjoined(group.column("words")[0].as_py())
         replies = sorted(zip(said.column("bucket").to_pylist(), said.column("counts").to_pylist(), strict=True))
         c = np.concatenate([unpacked(b)[0] for _, b in replies]) if replies else np.zeros(0, np.int64)
         c = np.append(c, counts.ends)  # the end is the word after all others
