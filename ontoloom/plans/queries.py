@@ -411,7 +411,7 @@ def expression_order(spark, d):
 @query("SELECT key, blank FROM anons")
 def blank_ids(spark, d):
     found = P.blank_ids(P.anonymous(star_view(spark, d)))
-    return found.select(F.expr("decode(substring(anon, 37), 'UTF-8')").alias("key"), "blank")
+    return found.select(F.expr("decode(substring(anon, 38), 'UTF-8')").alias("key"), "blank")
 
 
 @query("SELECT CAST(floor((n - 1) / 1000) AS BIGINT) AS batch, count(*) AS size FROM (SELECT row_number() OVER () AS n FROM ca) GROUP BY ALL")
