@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: White space of all word definitions: blank and U+0009 to U+000D, which is what ``bytes.split()`` splits on.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -28,8 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python a thousand at a time, unless the session has a limit of its own."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there, so that lost executors cost no earlier work."""
+    small_batches(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -39,6 +49,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -68,6 +79,14 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system, so that an idle worker holds little. Without glibc it does nothing."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def longs(column) -> np.ndarray:
     """An integer column as int64; nulls become NO_ID, which orders after every id."""
     if isinstance(column, pa.ChunkedArray):
@@ -75,10 +94,11 @@ def longs(column) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def texts(column) -> list[bytes]:
+def texts(column) -> Iterator[bytes]:
+    """Each value's bytes, one copy at a time."""
     data, at = buffers(column)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    raw = memoryview(data)
+    return (bytes(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
