@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import buffers, longs, pack, unpack
+from .common import buffers, longs, pack, tidy, unpack
 
 CHUNK_BYTES = 1 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 GRAM = 16
 TILE = 1 << 17
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -42,7 +42,7 @@ BYTE_CODE = _RNG.integers(1 << 62, (1 << 64) - 1, 256, np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 M1, M2, M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0xD6E8FEB86659FD93)
-LOW48 = np.uint64((1 << 48) - 1)
+LOW32 = np.uint64((1 << 32) - 1)
 _powers: dict[np.uint64, np.ndarray] = {}
 
 
@@ -159,7 +159,7 @@ class Chunk:
             right = self.least[p] >> np.uint64(16) == self.gram[a]
             a, p = a[right], p[right]
         key = mixed(self._hash(p, p + self.length))
-        other = (self.gram[a] ^ ((self.at[a] - p).astype(np.uint64) << np.uint64(40))) & LOW48
+        other = (self.gram[a] ^ ((self.at[a] - p).astype(np.uint64) << np.uint64(24))) & LOW32
         order = np.lexsort((self.doc[a], other, key))
         k, o = key[order], other[order]
         new = np.ones(len(order), bool)
@@ -181,11 +181,27 @@ ENTRY = "bucket int, chunk int, x binary, y binary, d binary, ids binary"
 REPLY = "chunk int, kind int, bucket int, lower binary, mixed binary"
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ascending ids as the first and the steps, in as many bytes as the largest step takes."""
+    if not len(ids):
+        return b""
+    steps = (ids[1:].astype(np.uint64) - ids[:-1].astype(np.uint64)) if len(ids) > 1 else np.zeros(0, np.uint64)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return ids[:1].tobytes() + bytes([width]) + pack(steps, width)
+
+
+def unpacked_ids(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.int64)
+    steps = unpack(blob[9:], blob[8])
+    return np.concatenate([np.frombuffer(blob, np.uint64, 1), np.frombuffer(blob, np.uint64, 1) + np.cumsum(steps)]).astype(np.int64)
+
+
 def sent(chunk: int, x: np.ndarray, y: np.ndarray, doc: np.ndarray, ids: np.ndarray, bits: int, buckets: int, wide: int) -> pa.Table:
     rows: list = []
     for bucket, i, j in dealt(chunk, x, bits, buckets):
         used, d = np.unique(doc[i:j], return_inverse=True)
-        rows.append((bucket, chunk, pack(x[i:j], wide), pack(y[i:j], 6), pack(d.astype(np.uint64), 2 if len(used) <= 1 << 16 else 4), ids[used].tobytes()))
+        rows.append((bucket, chunk, pack(x[i:j], wide), pack(y[i:j], 12 - wide), pack(d.astype(np.uint64), 2 if len(used) <= 1 << 16 else 4), packed_ids(ids[used])))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "chunk", "x", "y", "d", "ids"])
 
@@ -203,6 +219,7 @@ def judge(kind: int, wide: int):
     beside others under their first digit. Of SIDES only the latter is asked."""
 
     def run(group: pa.Table) -> pa.Table:
+        tidy()
         bucket = group.column("bucket")[0].as_py()
         rows = sorted(zip(group.column("chunk").to_pylist(), *(group.column(c).to_pylist() for c in ("x", "y", "d", "ids")), strict=True), key=lambda r: r[0])
         x = np.concatenate([unpack(r[1], wide) for r in rows])
@@ -219,9 +236,10 @@ def judge(kind: int, wide: int):
         if kind == SIDES:
             own = [(r, np.sort(order[who[order] == i] - bounds[i])) for i, r in enumerate(rows)]
             return reply([(r[0], kind, bucket, b"", at.astype(np.uint32).tobytes()) for r, at in own if len(at)])
-        y = np.concatenate([unpack(r[2], 6) for r in rows])[order]
-        ids = np.concatenate([np.frombuffer(r[4], np.int64)[unpack(r[3], len(r[3]) // max(1, n)).astype(np.int64)] for r, n in zip(rows, sizes, strict=True)])[order]
+        y = np.concatenate([unpack(r[2], 12 - wide) for r in rows])[order]
+        ids = np.concatenate([unpacked_ids(r[4])[unpack(r[3], len(r[3]) // max(1, n)).astype(np.int64)] for r, n in zip(rows, sizes, strict=True)])[order]
         x, who = x[order], who[order]
+        rows = [(r[0], None) for r in rows]
         again = np.lexsort((ids, y, x))
         x, y, ids, who, at = x[again], y[again], ids[again], who[again], order[again]
         new_x, new = np.ones(len(x), bool), np.ones(len(x), bool)
@@ -269,6 +287,7 @@ def mark_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     own = parts.groupBy("chunk")
 
     def opened(group: pa.Table) -> tuple[int, Chunk]:
+        tidy()
         c = Chunk(longs(group.column("id")), group.column("body"), length)
         c.entries()
         return group.column("chunk")[0].as_py(), c
