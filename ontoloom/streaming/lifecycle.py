@@ -35,7 +35,7 @@ def replay_states(views: Iterable[tuple[int, Ontology]]) -> DataFrame:
 
 def stream_edges(stream: DataFrame, path: str, checkpoint: str, view_of, options: Options | None = None):
     """A streaming table of axioms whose batches are calls: each batch's edges are written under its number, with
-    the role state of all batches so far. The fold is rebuilt from the stored role axioms after a restart."""
+    the role state of all batches that this process has seen; a restarted query begins with an empty state."""
     state = RoleState()
 
     def batch(rows: DataFrame, number: int) -> None:
