@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ontoloom.llm.common import WORD, shared_path, table
 from ontoloom.llm.decontaminate import drop_leaks
 from ontoloom.llm.mixing import mix
+from ontoloom.llm.near import drop_near_copies
 from ontoloom.llm.repeats import drop_repeats
 from ontoloom.llm.rules import keep_quality
-from ontoloom.llm.simhash import drop_near_duplicates
 
 #: Passages of over 50 words have at least 51 bytes of words and 50 between them.
 PASSAGE_BYTES = 100
@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, by the fingerprints and links of op4."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return drop_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     hashed = xxhash.xxh64_intdigest
     rows = zip(*(words[i:] for i in range(shingle)))
-    h = np.fromiter((hashed(x, SEED) for x in map(b" ".join, rows)), np.uint64, len(words) - shingle + 1)
+    return majority(np.fromiter((hashed(x, SEED) for x in map(b" ".join, rows)), np.uint64, len(words) - shingle + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         bits = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -193,7 +197,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` less all but one of each component: the one of least id, then of least text hash."""
     marked = docs.withColumn("_th", F.xxhash64(F.col(text)))
-    rows = near_duplicates(marked, id, text, keep=("_th",), **how)
+    return keep_one(docs, near_duplicates(marked, id, text, keep=("_th",), **how), id, text)
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, id: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each root of ``rows(doc_id, _th, root)``, which has every row of ``docs``."""
+    marked = docs.withColumn("_th", F.xxhash64(F.col(text)))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("best"))
     best = best.select(F.coalesce(F.col("best.doc_id"), F.lit(0)).alias("_id"), F.col("best.none").alias("_none"), F.col("best._th").alias("_th"))
     same = rows.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "_th").count()

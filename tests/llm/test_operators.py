@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from ontoloom.llm import chat, classifier, decontaminate, html, lm, mixing, repeats, rules, simhash, warc
+from ontoloom.llm import chat, classifier, decontaminate, html, lm, mixing, near, repeats, rules, simhash, warc
 from ontoloom.llm.queries import queries
 
 SF = "/root/testdata/sf0.001"
@@ -116,6 +116,38 @@ def test_vantage_point_tree_finds_every_pair(spark, monkeypatch):
     assert len({root(p) for p in signed}) >= 140
 
 
+def test_near_copies_of_the_pipeline(spark, docs, empty):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = [(i, t, "en", "s", 7, "r") for i, t, *_ in corpus()]
+    for i in range(1000, 1040):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+        rows.append((i, " ".join(words), "en", "s", 7, "r"))
+        for j in range(1, 3):
+            changed = list(words)
+            for k in range(rng.choice((2, 4, 6))):
+                changed[40 * k + 20] = "new" + str(i)
+            rows.append((i + 1000 * j, " ".join(changed), "en", "s", 7, "r"))
+    sets = []
+    for _, t, *_ in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, df, SF)
+    want = [min((r[0] is None, r[0]) for r, h in zip(rows, group) if h == g) for g in set(group)]
+    got = [(r["doc_id"] is None, r["doc_id"]) for r in kept.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and kept.columns == df.columns
+    assert not {i for i in range(2000, 4000)} & {i for _, i in got}
+    assert near.drop_near_copies(empty).count() == 0
+
+
 def test_rules(spark, docs, empty):
     for r in rules.quality(docs.withColumn("doc_id", F.monotonically_increasing_id())).collect():
         assert (r["n_words"] < 50 or 2 * r["n_repeat_words"] > r["n_words"]) == r["base_failed"]
