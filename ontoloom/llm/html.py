@@ -1,9 +1,9 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over their own and their neighbours' figures.
 
 A page becomes a flat list of text blocks. Each has its word count, link density, both of the blocks before and
-after it, its place (inside a marked article; on a page without one; outside it, or in an element that is boilerplate
-by its kind or by a word of its class, id or role), and whether it is a heading. A small labelled table (TABLE) trains
-the tree.
+after it, its place (inside a marked article; on a page without one; outside it; in an element that is boilerplate by
+its kind or by a word of its class, id or role), and whether it is a heading. An article element that is boilerplate
+itself, such as a reader's comment, marks no article. A small labelled table (TABLE) trains the tree.
 
 Defined results. A null or empty page gives an empty text, and so does one without article text. Broken markup is
 read as far as it goes: unknown or unmatched end tags are skipped, what is not closed ends with its parent. Texts
@@ -35,14 +35,15 @@ NOT_ARTICLE = frozenset("ad ads adv advert adverts advertisement advertising ban
 CLOSED_BY_SAME = frozenset("p li dt dd td th tr option".split())
 
 FIELDS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "heading")
-#: Places: in the marked article; on a page that marks none; in boilerplate, or outside the article of the page.
-INSIDE, UNMARKED, OUTSIDE = 2, 1, 0
+#: Places: in the marked article; on a page that marks none; outside the article, or named as boilerplate on a page that
+#: marks none; named as boilerplate on a page that marks its article. Only in the last does the place alone decide.
+INSIDE, UNMARKED, OUTSIDE, NAMED = 2, 1, 0, -1
 #: The labelled table: FIELDS (links are shares of words inside links), then 1 for article text.
 TABLE = np.array([
-    (3, 1.0, 60, 0, 4, 1.0, 0, 0, 0), (45, 0, 60, 0, 40, 0, 0, 0, 0), (10, 0, 90, 0, 30, 0, 0, 1, 0), (300, 0, 40, 0, 20, 0, 0, 0, 0),
-    (40, 0, 0, 0, 90, 0, 0, 0, 0), (15, 0, 3, 1.0, 8, 0, 0, 0, 0), (4, 0, 2, 1.0, 60, 0, 0, 1, 0), (90, .1, 70, 0, 10, 0, 0, 0, 0),
-    (12, 0, 180, 0, 0, 0, 0, 0, 0), (60, 0, 5, 1.0, 70, 0, 0, 0, 0), (14, 0, 2, 1.0, 9, 0, 0, 0, 0), (35, .05, 80, 0, 60, 0, 0, 0, 0),
-    (5, 0, 40, 0, 55, 0, 0, 1, 0), (200, 0, 30, 0, 50, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (9, 0, 300, 0, 4, 1.0, 0, 0, 0),
+    (3, 1.0, 60, 0, 4, 1.0, -1, 0, 0), (45, 0, 60, 0, 40, 0, -1, 0, 0), (10, 0, 90, 0, 30, 0, -1, 1, 0), (300, 0, 40, 0, 20, 0, -1, 0, 0),
+    (40, 0, 0, 0, 90, 0, -1, 0, 0), (15, 0, 3, 1.0, 8, 0, -1, 0, 0), (4, 0, 2, 1.0, 60, 0, -1, 1, 0), (90, .1, 70, 0, 10, 0, -1, 0, 0),
+    (12, 0, 180, 0, 0, 0, -1, 0, 0), (60, 0, 5, 1.0, 70, 0, -1, 0, 0), (14, 0, 2, 1.0, 9, 0, -1, 0, 0), (35, .05, 80, 0, 60, 0, -1, 0, 0),
+    (5, 0, 40, 0, 55, 0, -1, 1, 0), (200, 0, 30, 0, 50, 0, -1, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, -1, 0, 0), (9, 0, 300, 0, 4, 1.0, -1, 0, 0),
     (3, 0, 0, 0, 0, 0, 2, 0, 1), (1, 0, 8, 0, 2, 0, 2, 0, 1), (9, 0, 4, 1.0, 40, 0, 2, 1, 1), (150, 0, 9, 0, 80, 0, 2, 0, 1),
     (60, .1, 150, 0, 12, .1, 2, 0, 1), (4, .5, 60, 0, 50, 0, 2, 0, 1), (8, 0, 60, 0, 9, 1.0, 2, 0, 1), (5, 0, 3, 1.0, 4, 1.0, 2, 0, 1),
     (6, 0, 100, 0, 3, 1.0, 2, 0, 1), (2, 0, 4, 1.0, 2, 1.0, 2, 1, 1), (9, 0, 320, 0, 0, 0, 2, 0, 1), (30, .7, 80, 0, 5, 0, 2, 0, 1),
@@ -55,6 +56,18 @@ TABLE = np.array([
     (5, 0, 2, 1.0, 60, 0, 1, 1, 1), (8, 0, 1, 1.0, 28, 0, 1, 1, 1), (3, 0, 40, 0, 70, 0, 1, 1, 1), (6, 0, 0, 0, 20, 0, 1, 1, 1),
     (5, 0, 3, 1.0, 2, 1.0, 1, 0, 0), (7, .2, 2, 1.0, 5, .8, 1, 0, 0), (9, 0, 80, 0, 0, 0, 1, 0, 0), (6, 0, 0, 0, 4, 1.0, 1, 0, 0),
     (4, 0, 12, .9, 3, 1.0, 1, 1, 0), (8, 0, 60, 0, 5, 1.0, 1, 0, 0), (10, 0, 30, 0, 2, 0, 1, 0, 0), (3, 0, 2, 0, 4, 0, 1, 0, 0),
+    (3, 1.0, 2, 1.0, 4, 1.0, 2, 0, 0), (2, 1.0, 80, 0, 3, 1.0, 2, 0, 0), (4, 1.0, 3, 1.0, 30, 0, 2, 0, 0), (6, .9, 5, 1.0, 0, 0, 2, 0, 0),
+    (8, .8, 12, 0, 7, 1.0, 2, 0, 0), (12, .9, 9, .9, 60, 0, 2, 0, 0), (7, 1.0, 4, 0, 6, 1.0, 2, 0, 0), (5, 1.0, 8, 1.0, 7, .9, 2, 1, 0),
+    (6, 1.0, 90, 0, 70, .1, 2, 0, 1), (25, .1, 6, 1.0, 5, 1.0, 2, 0, 1), (7, .3, 5, 1.0, 6, 1.0, 2, 0, 1),
+    (3, 1.0, 60, 0, 4, 1.0, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (10, 0, 90, 0, 5, 0, 0, 0, 0), (15, 0, 3, 1.0, 8, 0, 0, 0, 0),
+    (4, 0, 2, 1.0, 6, 1.0, 0, 1, 0), (12, 0, 180, 0, 0, 0, 0, 0, 0), (35, .05, 8, 0, 6, 0, 0, 0, 0), (45, 0, 60, 0, 6, 0, 0, 0, 0),
+    (40, 0, 9, 1.0, 4, 1.0, 0, 0, 0), (90, .7, 70, .6, 60, .5, 0, 0, 0), (25, .8, 80, 0, 90, 0, 0, 0, 0), (14, 0, 2, 1.0, 9, 0, 0, 0, 0),
+    (150, 0, 60, 0, 80, 0, 0, 0, 1), (60, .05, 90, 0, 70, 0, 0, 0, 1), (300, 0, 40, 0, 20, 0, 0, 0, 1), (45, 0, 60, 0, 40, 0, 0, 0, 1),
+    (80, 0, 9, 0, 120, 0, 0, 0, 1), (120, 0, 100, 0, 5, 1.0, 0, 0, 1), (200, .1, 5, 1.0, 90, 0, 0, 0, 1), (5, 0, 40, 0, 55, 0, 0, 1, 1),
+    (12, 0, 70, 0, 90, 0, 0, 0, 1), (9, 0, 3, 1.0, 90, 0, 0, 1, 1), (70, 0, 80, 0, 6, 0, 0, 0, 1), (75, 0, 90, 0, 3, 1.0, 0, 0, 1),
+    (45, 0, 60, 0, 6, 0, 1, 0, 1), (35, .05, 8, 0, 6, 0, 1, 0, 1), (70, 0, 80, 0, 6, 0, 1, 0, 1), (40, 0, 9, 1.0, 4, 1.0, 1, 0, 1),
+    (30, 0, 60, 0, 6, 0, 1, 0, 1), (25, 0, 12, 0, 8, 0, 1, 0, 1), (3, 0, 2, 1.0, 60, 0, 0, 0, 0), (6, 0, 4, 1.0, 80, 0, 0, 0, 0),
+    (3, 0, 0, 0, 60, 0, 0, 0, 0), (8, 0, 60, 0, 20, 0, 0, 0, 0), (10, 0, 5, 0, 90, 0, 0, 0, 0), (14, 0, 3, 1.0, 40, 0, 0, 0, 0),
 ])
 
 
@@ -178,13 +191,13 @@ def unfinished(rest: str) -> int | None:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    region = any(b.region for b in found)
+    region = any(b.region and not b.boiler for b in found)
     figures = [(b.words, min(1.0, b.linked / b.words)) for b in found]
     none = (0, 0.0)
     out = []
     for i, b in enumerate(found):
         before, after = figures[i - 1] if i else none, figures[i + 1] if i + 1 < len(found) else none
-        place = OUTSIDE if b.boiler or region and not b.region else INSIDE if region else UNMARKED
+        place = (NAMED if region else OUTSIDE) if b.boiler else UNMARKED if not region else INSIDE if b.region else OUTSIDE
         if is_article((*figures[i], *before, *after, place, b.heading)):
             out.append(b.text)
     return "\n".join(out)

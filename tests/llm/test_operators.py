@@ -242,6 +242,24 @@ def test_html():
     assert len(html.main_text(f"<article><p>{long}</p></article>")) == len(long) - 1
 
 
+def test_html_decides_by_words_and_links():
+    para = lambda w: " ".join([w] * 70)
+    text = "".join(f"<p>{para(w)}</p>" for w in "abc")
+    want = "\n".join(para(w) for w in "abc")
+    comments = "".join(f"<article class=comment><p>Comment {i}, I read it all.</p></article>" for i in range(3))
+    assert html.main_text(f"<div>{text}</div><section id=comments>{comments}</section>") == want
+    teaser = "<aside><article class=teaser><h3><a href=x>More of it</a></h3></article></aside>"
+    assert html.main_text(f"<ul><li><a href=/>Home</a><li><a href=/b>News</a></ul><div>{text}</div>{teaser}") == want
+    card = "<article><a href=x>One more</a></article><article><a href=y>And more</a></article>"
+    assert html.main_text(f"<div>{text}</div><div>{card}</div>") == want
+    tags = "<ul><li><a href=1>Tag one</a><li><a href=2>Tag two</a><li><a href=3>Tag three</a></ul>"
+    assert html.main_text(f"<article>{text}{tags}</article>") == want
+    assert html.main_text(f"<article>{text}<p>See <a href=1>this</a> too.</article>") == want + "\nSee this too."
+    assert html.main_text(f"<article>{text}</article><footer><p>{para('d')}</p></footer>") == want
+    assert html.main_text(f"<div>By Ann</div><article>{text}</article>") == want
+    assert html.main_text(f"<form><div>{text}</div><p>Send</p></form>") == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_classifier_on_held_out_rows(spark):
     got = {r["doc_id"]: r for r in queries()["op2_quality_classifier"](spark, SF).collect()}
