@@ -6,12 +6,18 @@ least ``share`` of the item's windows and the placeholders of the best alignment
 stood for one value in the item stands for one value in the document. Leaks are ``exact`` (all values equal) or
 ``reparameterised``.
 
+Whether a word is a name depends on its capital and on what precedes it, and so may differ between an item and its
+verbatim copy. Therefore all words, without case and outer punctuation but with no placeholder and no minimum of
+literal words, are joined by windows too: a document that has ``share`` of these leaks the item, ``exact``. And a
+window of a document that begins with a name counts also with that word as it stands, as at the start of a sentence.
+
 Windows of documents that meet no bit of a fixed-size bitmap (2 ** BITS bits, whatever the benchmark's size) never
 leave their task; the bitmap can only let too much through, the join decides.
 
 Defined results. A null or blank text has no windows; an item without words leaks nowhere. Items under WINDOW words
-are one window. Windows with fewer than two literal words (one, in a window of one or two) count nowhere. Rows that
-share id and text are one document. A null id is an id of its own. Empty tables give an empty result. Texts count
+are one window. Template windows with fewer than two literal words (one, in a window of one or two) count nowhere. A
+word of nothing but punctuation is one of its own. If both kinds of windows show a leak, the figures are those of the
+template windows if these say ``exact``, else those of the plain ones. Rows that share id and text are one document. A null id is an id of its own. Empty tables give an empty result. Texts count
 whole.
 """
 
@@ -35,6 +41,8 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|[a-zµ°]{1,3}(?
 OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 UNITS = frozenset("% percent mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces l ml liter liters litre litres gallon gallons s sec ms min h hr second seconds minute minutes hour hours day days week weeks month months year years c f degrees dollar dollars euro euros cent cents mph kmh w kw kwh v".split())
 LITERAL, NUM, NAME, UNIT = range(4)
+#: Added to the length that starts the hash of a window of plain words.
+PLAIN = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -71,8 +79,8 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def scanned(text: bytes, known: Words) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words, the hash of each canonical word, and its kind."""
+def scanned(text: bytes, known: Words) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The words, the hash of each plain word and of each canonical word, and its kind."""
     words = text.split()
     n = known.numbers(words)
     code, kind, capital, ends, unit = (c[n] for c in known.columns)
@@ -82,23 +90,54 @@ def scanned(text: bytes, known: Words) -> tuple[list[bytes], np.ndarray, np.ndar
     after = np.zeros(len(n), bool)
     after[1:] = kind[:-1] == NUM
     kind[after & unit] = UNIT
+    plain = code.copy()
     code[kind != LITERAL] = kind[kind != LITERAL].astype(np.uint64)
-    return words, code, kind
+    return words, plain, code, kind
+
+
+def step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return (h * MULTIPLIER + code) ^ (h >> np.uint64(29))
+
+
+def last(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return h ^ (h >> np.uint64(29))
 
 
 def windows(code: np.ndarray, kind: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the windows that count, and their hashes."""
+    """Places of the template windows that count, and their hashes."""
     m = len(code) - length + 1
     if m <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h, literal = np.full(m, np.uint64(length)), np.zeros(m, np.int8)
     for k in range(length):
-        h = (h * MULTIPLIER + code[k : k + m]) ^ (h >> np.uint64(29))
+        h = step(h, code[k : k + m])
         literal += kind[k : k + m] == LITERAL
     at = np.flatnonzero(literal >= (2 if length > 2 else 1))
-    h = h[at]
-    h = (h ^ (h >> np.uint64(32))) * MIX
-    return at, h ^ (h >> np.uint64(29))
+    return at, last(h[at])
+
+
+def plain_windows(plain: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all windows, and the hashes of their plain words."""
+    m = len(plain) - length + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.full(m, np.uint64(PLAIN + length))
+    for k in range(length):
+        h = step(h, plain[k : k + m])
+    return np.arange(m), last(h)
+
+
+def opened_windows(plain: np.ndarray, code: np.ndarray, kind: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Template windows that begin with a name, with that word as it stands."""
+    m = len(code) - length + 1
+    at = np.flatnonzero(kind[: max(0, m)] == NAME)
+    h, literal = step(np.full(len(at), np.uint64(length)), plain[at]), np.ones(len(at), np.int8)
+    for k in range(1, length):
+        h = step(h, code[at + k])
+        literal += kind[at + k] == LITERAL
+    keep = literal >= (2 if length > 2 else 1)
+    return at[keep], last(h[keep])
 
 
 def slots(words: list[bytes], kind: np.ndarray, at: int, length: int) -> list[str]:
@@ -106,13 +145,10 @@ def slots(words: list[bytes], kind: np.ndarray, at: int, length: int) -> list[st
     return [OUTER.sub("", words[i].decode("utf-8", "replace")).lower() for i in range(at, at + length) if kind[i] != LITERAL]
 
 
-def _found(words, code, kind, length, bitmap):
-    at, h = windows(code, kind, length)
-    if bitmap is not None:
-        bit = h >> np.uint64(64 - BITS)
-        meets = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-        at, h = at[meets == 1], h[meets == 1]
-    return at, h, [slots(words, kind, int(i), length) for i in at]
+def meeting(at: np.ndarray, h: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bit = h >> np.uint64(64 - BITS)
+    meets = ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1) == 1
+    return at[meets], h[meets]
 
 
 def item_windows(benchmark: DataFrame, id: str, text: str) -> DataFrame:
@@ -121,17 +157,19 @@ def item_windows(benchmark: DataFrame, id: str, text: str) -> DataFrame:
         for b in batches:
             rows = []
             for item, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                words, code, kind = scanned(t, known)
+                words, plain, code, kind = scanned(t, known)
                 length = min(WINDOW, len(words))
                 if length:
-                    at, h, s = _found(words, code, kind, length, None)
-                    rows += [(item, len(at), length, int(x), int(i), y) for i, x, y in zip(at, h.view(np.int64), s, strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["item_id", "n_windows", "length", "h", "item_pos", "item_slots"])
+                    at, h = windows(code, kind, length)
+                    rows += [(item, False, len(at), length, int(x), int(i), slots(words, kind, int(i), length)) for i, x in zip(at, h.view(np.int64), strict=True)]
+                    at, h = plain_windows(plain, length)
+                    rows += [(item, True, len(at), length, int(x), int(i), []) for i, x in zip(at, h.view(np.int64), strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["item_id", "plain", "n_windows", "length", "h", "item_pos", "item_slots"])
 
     named = benchmark.select(F.col(id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
-    return named.mapInArrow(run, "item_id long, n_windows int, length int, h long, item_pos int, item_slots array<string>")
+    return named.mapInArrow(run, "item_id long, plain boolean, n_windows int, length int, h long, item_pos int, item_slots array<string>")
 
 
 def document_windows(docs: DataFrame, bitmap: np.ndarray, lengths: list[int]) -> DataFrame:
@@ -143,14 +181,18 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, lengths: list[int]) ->
             ids, ths = b.column(0), b.column(1)
             row, hs, pos, found = [], [], [], []
             for i, t in enumerate(texts(b.column(2))):
-                words, code, kind = scanned(t, known)
+                words, plain, code, kind = scanned(t, known)
                 for length in lengths:
-                    at, h, s = _found(words, code, kind, length, bitmap)
-                    if len(at):
-                        row.append(np.full(len(at), i))
-                        hs.append(h)
-                        pos.append(at)
-                        found += s
+                    for n, (at, h) in enumerate((windows(code, kind, length), plain_windows(plain, length), opened_windows(plain, code, kind, length))):
+                        at, h = meeting(at, h, bitmap)
+                        if len(at):
+                            row.append(np.full(len(at), i))
+                            hs.append(h)
+                            pos.append(at)
+                            if n == 1:
+                                found += [[]] * len(at)
+                            else:
+                                found += [slots(words, kind, int(p) + (n == 2), length - (n == 2)) for p in at]
             take = pa.array(np.concatenate(row) if row else np.zeros(0, np.int64))
             h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
             p = np.concatenate(pos) if pos else np.zeros(0, np.int64)
@@ -170,9 +212,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
     named = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
     pairs = document_windows(named, bits, lengths).join(items, "h").select(
-        "id", "th", "item_id", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("filled")
+        "id", "th", "item_id", "plain", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("filled")
     )
-    key = ["id", "th", "item_id", "n_windows"]
+    key = ["id", "th", "item_id", "plain", "n_windows"]
     shifts = pairs.groupBy(*key, "shift").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
     whole = shifts.groupBy(*key).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hits"),
@@ -182,7 +224,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     values = F.size(F.array_distinct(F.transform("filled", lambda x: x["i"])))
     exact = F.forall("filled", lambda x: x["i"] == x["d"])
     kind = F.when(exact, "exact").when(values == F.size("filled"), "reparameterised")
-    return whole.withColumn("kind", kind).where("kind IS NOT NULL").select(*key, "hits", "containment", "kind")
+    whole = whole.withColumn("kind", kind).where("kind IS NOT NULL")
+    rank = F.when(F.col("plain"), 1).when(F.col("kind") == "exact", 2).otherwise(0)
+    row = F.struct("n_windows", "hits", "containment", "kind")
+    return whole.groupBy("id", "th", "item_id").agg(F.max_by(row, rank).alias("row")).select("id", "th", "item_id", "row.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:

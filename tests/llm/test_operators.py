@@ -327,6 +327,21 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(empty, items).count() == decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_verbatim_copy(spark):
+    items = {1: "What is the capital of France?", 2: "short one", 3: "Paris 1900 London 1908 Stockholm 1912 Berlin 1916", 4: "Tom has 5 apples and buys 12 more apples for 30 cents each. How many apples does Tom have now?", 5: "Which river flows through the city of Rome?"}
+    texts = {
+        1: "Question 12\nWhat is the capital of France?", 2: "he asked What is the capital of France and left", 3: "what is the capital of france", 4: "WHAT IS THE CAPITAL OF FRANCE?",
+        5: "Host cities: paris 1900 london 1908 stockholm 1912 berlin 1916.", 6: "well a Short one here", 7: "tom HAS 5 apples and buys 12 more apples for 30 cents each. how many apples does tom have now?",
+        8: "Question 13\nWhich river flows through the city of Paris?", 9: "What is the size of France?", 10: "Paris 1904 London 1912 Stockholm 1916 Berlin 1920",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = decontaminate.leaks(df, benchmark).collect()
+    got = {(r["id"], r["item_id"]): r["kind"] for r in found}
+    assert got == {**{(i, 1): "exact" for i in (1, 2, 3, 4)}, (5, 3): "exact", (6, 2): "exact", (7, 4): "exact", (8, 5): "reparameterised"} and len(found) == len(got)
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(df, benchmark).collect()} == {9, 10}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline
