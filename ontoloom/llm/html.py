@@ -6,8 +6,9 @@ its kind or by a word of its class, id or role), and whether it is a heading. An
 itself, such as a reader's comment, marks no article. A small labelled table (TABLE) trains the tree.
 
 Defined results. A null or empty page gives an empty text, and so does one without article text. Broken markup is
-read as far as it goes: unknown or unmatched end tags are skipped, what is not closed ends with its parent. Texts
-count whole. Repeated rows give equal rows, an empty table an empty one.
+read as far as it goes, in time linear in the page: unknown or unmatched end tags are skipped, what is not closed ends
+with its parent, a tag that the page's end cuts off goes with all behind it, and a reference to no character is U+FFFD.
+Texts count whole. Repeated rows give equal rows, an empty table an empty one. A column of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,16 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S | re.I)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: Up to what can end a tag or open a quoted value.
+IN_TAG = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
+#: Elements whose content is no markup, or none of the page's text; it ends at their end tag alone.
+OPAQUE = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in "script style noscript template textarea svg iframe object select title".split()}
+#: Character references of more digits than any character has, and leading zeros.
+TOO_LONG, ZEROS = re.compile(r"&#(?:[1-9][0-9]{7,}|[xX][1-9a-fA-F][0-9a-fA-F]{6,});?"), re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold no article text of their own.
 NOT_TEXT = frozenset("head nav footer aside form menu dialog fieldset button".split())
 #: Words in a class, id or role that mark what is not the article.
 NOT_ARTICLE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus footer form gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination popup privacy promo promoted promotion reader recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toc toolbar topbar widget widgets".split())
+#: Of these, what an article element of its own is for a reader's comment or a teaser.
+NO_ARTICLE_OF_ITS_OWN = frozenset("comment comments reply teaser related promo ad".split())
 CLOSED_BY_SAME = frozenset("p li dt dd td th tr option".split())
 
 FIELDS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "heading")
@@ -112,17 +123,89 @@ def is_article(fields: tuple) -> bool:
     return at >= 0.5
 
 
-@functools.lru_cache(maxsize=4096)
-def marked(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role name boilerplate, or the main part."""
-    names = [x for _, a, b, c in ATTRIBUTE.findall(attributes) for x in NAME_PART.findall(a or b or c)]
-    low = {x.lower() for x in names}
-    return bool(low & NOT_ARTICLE), "main" in low and "role" in attributes.lower()
+def named(attributes: str) -> frozenset[str]:
+    """The words of class, id and role, in lower case."""
+    return frozenset(x.lower() for _, a, b, c in ATTRIBUTE.findall(attributes) for x in NAME_PART.findall(a or b or c))
+
+
+def marked(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role name boilerplate, the main part, or what an article element of its own may hold
+    beside the article."""
+    low = named(attributes)
+    return bool(low & NOT_ARTICLE), "main" in low and "role" in attributes.lower(), bool(low & NO_ARTICLE_OF_ITS_OWN)
+
+
+remembered = functools.lru_cache(maxsize=4096)(marked)
+
+
+def decoded(text: str) -> str:
+    if "&#" in text:
+        text = TOO_LONG.sub("\ufffd", ZEROS.sub(r"&#\1", text))
+    return html.unescape(text) if "&" in text else text
+
+
+class Token(NamedTuple):
+    start: int
+    end: int
+    tag: str | None  # None for comments, declarations and opaque elements
+    closes: bool
+    attributes: str
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """Markup in order. Time is linear in the page, whatever it holds: every step goes forward, except that one tag
+    which runs to the page's end inside quotes is read again without regard to quotes, as are all tags after it."""
+    last = {c: page.rfind(c) for c in "\"'>"}
+    quotes, i, n = True, 0, len(page)
+    while (i := page.find("<", i)) >= 0:
+        sign = page[i + 1 : i + 2]
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            end = n if end < 0 else end + 3
+            yield Token(i, end, None, False, "")
+        elif sign in ("!", "?") and sign:
+            end = n if i > last[">"] else page.find(">", i) + 1
+            yield Token(i, end, None, False, "")
+        elif m := NAME.match(page, i + 2 if sign == "/" else i + 1):
+            end = closing(page, m.end(), last, quotes)
+            if end is None and quotes:
+                quotes = False
+                end = closing(page, m.end(), last, quotes)
+            if end is None:  # cut off by the page's end
+                yield Token(i, n, None, False, "")
+                return
+            name = m[0].lower()
+            if name in OPAQUE and sign != "/":
+                stop = OPAQUE[name].search(page, end)
+                end = n if stop is None or stop.start() > last[">"] else page.find(">", stop.start()) + 1
+                yield Token(i, end, None, False, "")
+            else:
+                yield Token(i, end, name, sign == "/", page[m.end() : end - 1])
+        else:
+            i += 1
+            continue
+        i = end
+
+
+def closing(page: str, at: int, last: dict[str, int], quotes: bool) -> int | None:
+    """The end of the tag that is open at ``at``. A quote that is never closed is a character like others."""
+    if at > last[">"]:
+        return None
+    if not quotes:
+        return page.find(">", at) + 1
+    while True:
+        at = IN_TAG.match(page, at).end()
+        if at == len(page):
+            return None
+        if page[at] == ">":
+            return at + 1
+        at = page.find(page[at], at + 1) + 1 if at < last[page[at]] else at + 1
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = [("", False, False)]  # element, in an article, in boilerplate
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
     heading, link, at = False, 0, 0
@@ -139,56 +222,46 @@ def blocks(page: str) -> list[Block]:
         if link:
             linked.append(text)
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            say(html.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m[3]
+    def pop() -> None:
+        open_[stack.pop()[0]] -= 1
+
+    for t in tokens(page):
+        if t.start > at:
+            say(decoded(page[at : t.start]))
+        at, tag = t.end, t.tag
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "a":
-            link = 0 if m[2] else 1
-            if not m[2]:
+            link = 0 if t.closes else 1
+            if not t.closes:
                 linked.append(" ")
         elif tag == "br":
             say(" ")
         elif tag in BLOCKS or tag == "button":
             flush()
-            if m[2]:
+            if t.closes:
                 heading, link = False, 0
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if open_[tag]:
+                    while stack[-1][0] != tag:
+                        pop()
+                    pop()
                 continue
             if tag in CLOSED_BY_SAME and stack[-1][0] == tag or stack[-1][0] == "p":
-                stack.pop()
+                pop()
             heading = tag in HEADINGS
             if tag != "hr":
-                bad, main = marked(m[4]) if m[4] else (False, False)
+                bad, main, aside = (remembered if len(t.attributes) < 200 else marked)(t.attributes) if t.attributes else (False, False, False)
                 _, region, boiler = stack[-1]
                 root = tag in ("html", "body", "article", "main")
-                bad = bad and not root or tag in NOT_TEXT or tag == "header" and not region or tag == "article" and bad_article(m[4])
+                bad = bad and not root or tag in NOT_TEXT or tag == "header" and not region or tag == "article" and aside
                 stack.append((tag, region or tag == "article" or tag == "main" or main, boiler or bad))
+                open_[tag] += 1
     if at < len(page):
-        rest = page[at:]
-        say(html.unescape(rest[: cut] if (cut := unfinished(rest)) is not None else rest))
+        say(decoded(page[at:]))
     flush()
     return out
 
 
-def bad_article(attributes: str) -> bool:
-    """A reader's comment or a teaser in an article element of its own."""
-    return bool({x.lower() for _, a, b, c in ATTRIBUTE.findall(attributes) for x in NAME_PART.findall(a or b or c)} & {"comment", "comments", "reply", "teaser", "related", "promo", "ad"})
-
-
-def unfinished(rest: str) -> int | None:
-    """Where a tag begins that the page's end cuts off."""
-    i = rest.rfind("<")
-    return i if i >= 0 and re.match(r"</?[a-zA-Z!]?", rest[i:]) and ">" not in rest[i:] and (len(rest) == i + 1 or rest[i + 1] in "/!" or rest[i + 1].isalpha()) else None
-
-
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     region = any(b.region and not b.boiler for b in found)
