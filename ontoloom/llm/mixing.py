@@ -12,7 +12,8 @@ What the driver sees are the sources (MAX_SOURCES at most, else an error), never
 
 Defined results. A null text has size 0 and is taken as nothing; a null source is a source of its own, last in
 order. Rows with the same id and text share a block and are drawn together in whole passes; at the border each
-distinct (id, text) is one unit. An empty table gives an empty table. Other columns pass through.
+distinct (id, text) is one unit. An empty table gives an empty table. Other columns pass through; columns of the
+names of mix()'s own two are replaced.
 """
 
 from __future__ import annotations
@@ -134,18 +135,30 @@ class Plan:
         more = F.expr("IF(border >= 0 AND (block < border OR chosen), array(passes * blocks + block), array())")
         return took.withColumn("draws", F.when(F.col("size") > 0, F.concat(whole, more)).otherwise(F.expr("array()").cast("array<bigint>")))
 
-    def shard_of(self):
-        """A function of the columns s and draw."""
+    def deal(self, drawn: DataFrame) -> DataFrame:
+        """``drawn``, which has ``s`` and ``draws``, with ``shards``: for each draw the output shard that has it in its
+        range, by the splitting tree. A draw that no shard has is not taken; it has no place in ``shards``."""
         quotas, shards = tuple(self.quotas), self.shards
 
-        @F.pandas_udf("int")
-        def shard(s: pd.Series, draw: pd.Series) -> pd.Series:
-            return pd.Series(descend(quotas, shards, s.to_numpy(), draw.to_numpy()), dtype="int32")
+        @F.pandas_udf("array<int>")
+        def dealt(s: pd.Series, draws: pd.Series) -> pd.Series:
+            n = draws.map(len).to_numpy()
+            flat = np.concatenate([*draws, np.zeros(0, np.int64)]).astype(np.int64)
+            found = descend(quotas, shards, np.repeat(s.to_numpy(), n), flat)
+            return pd.Series([x[x >= 0] for x in np.split(found, np.cumsum(n)[:-1])] if len(n) else [], dtype=object)
 
-        return shard
+        return drawn.withColumn("shards", dealt("s", "draws"))
+
+
+#: Numbers that the splits which a task remembers may hold.
+REMEMBERED = 1 << 20
+
+
+@functools.cache
+def splitter(sources: int):
+    return functools.lru_cache(maxsize=max(1, REMEMBERED // max(1, sources)))(split)
 
 
-@functools.lru_cache(maxsize=1 << 14)
 def split(counts: tuple[int, ...], lo: int, hi: int) -> tuple[int, ...]:
     """Of a node's quotas those of its left half."""
     total = sum(counts)
@@ -155,17 +168,19 @@ def split(counts: tuple[int, ...], lo: int, hi: int) -> tuple[int, ...]:
 
 
 def descend(quotas: tuple[int, ...], shards: int, s: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """The shard of each draw: in every node a source's first draws go left, as many as the split gives it."""
-    out = np.zeros(len(s), np.int32)
+    """The shard of each draw: in every node a source's first draws go left, as many as the split gives it. A draw
+    beyond what the last node has is in no shard: -1."""
+    out = np.full(len(s), -1, np.int32)
+    halves = splitter(len(quotas))
     todo = [(0, shards, quotas, np.arange(len(s)), draw)]
     while todo:
         lo, hi, counts, rows, at = todo.pop()
         if not len(rows):
             continue
         if hi - lo == 1:
-            out[rows] = lo
+            out[rows[at < np.array(counts)[s[rows]]]] = lo
             continue
-        left = split(counts, lo, hi)
+        left = halves(counts, lo, hi)
         first = np.array(left)[s[rows]]
         goes = at < first
         mid = lo + (hi - lo) // 2
@@ -175,11 +190,12 @@ def descend(quotas: tuple[int, ...], shards: int, s: np.ndarray, draw: np.ndarra
 
 
 def taken(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """For every document ``id``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` words."""
+    """For every document ``id``, ``size``, ``source_size``, ``target``, ``shards`` (the output shard of each time that
+    it is drawn), ``copies`` and ``taken`` words. What counts are the draws that the tree deals to shards."""
     sizes = cut(narrow(docs, id, source, text))
-    rows = Plan(sizes, **how).draws(sizes)
-    copies = F.size("draws").cast("long")
-    return rows.select(F.col("id").alias(id), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    plan = Plan(sizes, **how)
+    copies = F.size("shards").cast("long")
+    return plan.deal(plan.draws(sizes)).select(F.col("id").alias(id), "size", "source_size", "target", "shards", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
@@ -187,6 +203,7 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str =
     Rows of a shard are together and in their shuffled order."""
     plan = Plan(cut(narrow(docs, id, source, text)), **how)
     rows = docs.select(F.struct("*").alias("row"), F.col(id).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), F.xxhash64(text).alias("th"))
-    rows = plan.draws(rows).select("row", "s", "id", "th", F.explode("draws").alias("draw"))
-    rows = rows.withColumn("mix_shard", plan.shard_of()("s", "draw")).withColumn("mix_order", F.xxhash64("id", "th", "draw", F.lit(SEED)))
-    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns), "mix_shard", "mix_order")
+    rows = plan.deal(plan.draws(rows)).select("row", "id", "th", F.posexplode("shards").alias("n", "mix_shard"))
+    rows = rows.withColumn("mix_order", F.xxhash64("id", "th", "n", "mix_shard", F.lit(SEED)))
+    keep = [c for c in docs.columns if c not in ("mix_shard", "mix_order")]
+    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").select(*(F.col(f"row.`{c}`").alias(c) for c in keep), "mix_shard", "mix_order")
