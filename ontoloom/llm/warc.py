@@ -233,6 +233,9 @@ def archived(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     path = shared_path(spark, "warc")
     write_archives(pages, path, id, url, html)
     read = cut(read_archives(spark, path))
+    own = read.where("refers_to IS NULL").select(F.col("page_id").alias(id), "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    # Only what refers to another record is joined, so responses, which refer to none, don't meet under one key.
     held = read.where("record_type = 'response'").groupBy("record_id").agg(F.first("page_id").alias("held_id"), F.first("payload_bytes").alias("held_bytes"))
-    back = read.join(held.withColumnRenamed("record_id", "refers_to"), "refers_to", "left")
-    return back.select(F.col("page_id").alias(id), F.coalesce("payload_bytes", "held_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("held_id").alias("refers_to"))
+    again = read.where("refers_to IS NOT NULL").join(held.withColumnRenamed("record_id", "refers_to"), "refers_to", "left")
+    again = again.select(F.col("page_id").alias(id), F.coalesce("payload_bytes", "held_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("held_id").alias("refers_to"))
+    return own.unionByName(again)
