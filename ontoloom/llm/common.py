@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,12 +20,15 @@ NO_ID = np.iinfo(np.int64).max
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the cluster names none, as in tests."""
+    """The folder that all executors share. Where none is set, a session that is all on this machine, as in tests,
+    gets a temporary one; on a cluster that is an error, since executors do not see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="ontoloom-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
@@ -101,6 +105,12 @@ def texts(column) -> Iterator[bytes]:
     return (bytes(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes what shared_path() named, wherever it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each unsigned 64-bit value."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
