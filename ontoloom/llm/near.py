@@ -79,8 +79,8 @@ def bands(points: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``docs(_id, _none, _th, text)`` to ``(_id, _none, _th, node, fp, keys)``; equal sets have equal nodes."""
-    names = ["_id", "_none", "_th", "node", "fp", "keys"]
+    """``docs(id, none, th, text)`` to ``(id, none, th, node, fp, keys)``; equal sets have equal nodes."""
+    names = ["id", "none", "th", "node", "fp", "keys"]
 
     def run(batches):
         known = Words()
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *both, pa.array(keys, pa.list_(pa.int64()))], names=names)
 
-    return docs.mapInArrow(run, "_id long, _none boolean, _th long, node long, fp long, keys array<long>")
+    return docs.mapInArrow(run, "id long, none boolean, th long, node long, fp long, keys array<long>")
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
@@ -152,12 +152,12 @@ def compared(candidates: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, _th, root)`` for every row: rows that a chain of near copies joins share a root."""
+    """``(doc_id, th, root)`` for every row: rows that a chain of near copies joins share a root."""
     none = F.col(id).isNull()
-    key = ["_id", "_none", "_th"]
-    named = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("_id"), none.alias("_none"), F.xxhash64(F.col(text)).alias("_th"), F.col(text).cast("string").alias("text"))
+    key = ["id", "none", "th"]
+    named = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("id"), none.alias("none"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     rows = cut(sketches(named))
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("_none", "_id", "_th")).alias("best"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("none", "id", "th")).alias("best"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
     keys = nodes.select(F.explode("keys").alias("k"), "node")
     least = keys.groupBy("k").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     banded = keys.join(least, "k").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
@@ -170,7 +170,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     wanted = cut(nodes.join(roots, "node").select("node", "root", *(F.col(f"best.{c}").alias(c) for c in key)))
     kinds = cut(compared(named.join(wanted, key).select("root", "node", "text")))
     found = rows.select(*key, "node").join(kinds, "node", "left")
-    return found.select(F.when(~F.col("_none"), F.col("_id")).alias("doc_id"), "_th", F.coalesce("kind", "node").alias("root"))
+    return found.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "th", F.coalesce("kind", "node").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

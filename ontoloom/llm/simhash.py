@@ -51,8 +51,8 @@ def majority(h: np.ndarray) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
-    """The other columns of ``docs`` and ``fp``, the fingerprint as a signed long."""
-    keep = [c for c in docs.columns if c != text]
+    """The other columns of ``docs`` and ``fp``, the fingerprint as a signed long; it replaces a column of that name."""
+    keep = [c for c in docs.columns if c not in (text, "fp")]
     schema = docs.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches):
@@ -196,21 +196,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` less all but one of each component: the one of least id, then of least text hash."""
-    marked = docs.withColumn("_th", F.xxhash64(F.col(text)))
-    return keep_one(docs, near_duplicates(marked, id, text, keep=("_th",), **how), id, text)
+    marked = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
+    return keep_one(docs, near_duplicates(marked, "id", "text", keep=("th",), **how), id, text)
 
 
 def keep_one(docs: DataFrame, rows: DataFrame, id: str, text: str) -> DataFrame:
-    """One row of ``docs`` for each root of ``rows(doc_id, _th, root)``, which has every row of ``docs``."""
-    marked = docs.withColumn("_th", F.xxhash64(F.col(text)))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("best"))
-    best = best.select(F.coalesce(F.col("best.doc_id"), F.lit(0)).alias("_id"), F.col("best.none").alias("_none"), F.col("best._th").alias("_th"))
-    same = rows.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "_th").count()
-    best = cut(best.join(same, ["_id", "_none", "_th"]))
-    marked = marked.withColumn("_id", F.coalesce(F.col(id).cast("long"), F.lit(0))).withColumn("_none", F.col(id).isNull())
-    on, back = ["_id", "_none", "_th"], docs.columns
-    once = marked.join(best.where("count = 1"), on, "left_semi").select(*back)
-    if best.where("count > 1").isEmpty():
-        return once
-    repeated = marked.join(best.where("count > 1"), on, "left_semi").dropDuplicates(on).select(*back)
-    return once.unionByName(repeated)
+    """One row of ``docs`` for each root of ``rows(doc_id, th, root)``, which has every row of ``docs``."""
+    on = ["id", "none", "th"]
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")).alias("best"))
+    same = rows.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "th").count()
+    best = cut(best.select(*(F.col(f"best.{c}").alias(c) for c in on)).join(same, on))
+    marked = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("id"), F.col(id).isNull().alias("none"), F.xxhash64(F.col(text)).alias("th"))
+    once = marked.join(best.where("count = 1"), on, "left_semi")
+    if not best.where("count > 1").isEmpty():
+        once = once.unionByName(marked.join(best.where("count > 1"), on, "left_semi").dropDuplicates(on))
+    return once.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
