@@ -1,13 +1,17 @@
 """A hidden Markov language model over word classes.
 
 Counts of all training tokens are summed by word over the cluster; each chunk of documents asks for the counts of its
-own distinct words. The ``TOP`` most frequent words are classes of their own, all other words share ``REST`` classes
-by their ending, the text's end is a class. So a word's probability is that of its class, from the hidden Markov
-model, times that of the word in its class, from the counts. Latent states start from an expectation-maximisation
-fit to the corpus' counts of neighbouring classes; Baum-Welch rounds then run over all training tokens, their
-expected counts summed across partitions. Scores come from the scaled forward recursion over each whole text.
-
-The driver holds class tables (fixed size) and the TOP words, never a vocabulary.
+own distinct words. A word that makes up at least one in ``alphabet(N)`` of the N training tokens is a class of its
+own, so classes grow with the corpus; all other words share classes by their ending, the text's end is a class. So a
+word's probability is that of its class, from the hidden Markov model, times that of the word in its class, from the
+counts. Latent states start from an expectation-maximisation fit to the corpus' counts of neighbouring classes
+(COARSE of them, a table of fixed size); Baum-Welch rounds then run the forward and backward recursions over every
+whole training text, their expected counts summed across partitions, until a round improves the training tokens'
+mean log-likelihood by less than ``TOLERANCE``. Scores come from the scaled forward recursion over each whole text.
+
+The driver holds class tables, never a vocabulary: at most MOST words can make up one in MOST tokens each, so what is
+sent to executors is bounded by 2 * MOST classes of STATES numbers. A chunk grows with the corpus (chunk_bytes()), so
+that the entries for a word that every chunk has stay few.
 
 Defined results. A null text is empty and scores as its end alone. A null id trains. Words that training never saw
 share half a count, in their class and in the unigram base alike. Without training documents every score is finite.
@@ -16,6 +20,7 @@ Repeated rows train and score as often as they come. An empty table gives an emp
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from typing import NamedTuple
@@ -27,26 +32,35 @@ from pyspark.sql import functions as F
 
 from .common import cut, longs, shuffle_partitions, texts
 
-CHUNK_BYTES = 4 << 20
-TOP, REST = 511, 256
-CLASSES = TOP + REST + 1
-END = CLASSES - 1
+CHUNK_BYTES, MOST_CHUNK_BYTES, MANY_CHUNKS = 4 << 20, 32 << 20, 1 << 20
+LEAST, MOST = 1 << 10, 1 << 15
+COARSE_TOP, COARSE_REST = 511, 256
+COARSE = COARSE_TOP + COARSE_REST + 1
 STATES = 12
-BIGRAM_ROUNDS, ROUNDS = 120, 2
-SEGMENT = 256
+BIGRAM_ROUNDS = 120
+#: Nats a token.
+TOLERANCE = 4e-3
 SMOOTH = 0.1
 SUMS = 16
 NONE = 0xFFFF
 
 
-def rest_class(word: bytes) -> int:
-    return TOP + zlib.crc32(word[-3:]) % REST
+def chunk_bytes(total: int) -> int:
+    return min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, total // MANY_CHUNKS))
+
+
+def alphabet(tokens: int) -> int:
+    return min(MOST, max(LEAST, 4 * math.isqrt(tokens)))
+
+
+def ending(word: bytes) -> int:
+    return zlib.crc32(word[-3:])
 
 
 class Model(NamedTuple):
     start: np.ndarray  # (STATES,)
     move: np.ndarray  # (STATES, STATES)
-    emit: np.ndarray  # (STATES, CLASSES)
+    emit: np.ndarray  # (STATES, classes)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -79,9 +93,9 @@ def unjoined(blob: bytes) -> list[bytes]:
     return text.split(b" ") if text else []
 
 
-ASKED = "kind int, bucket int, chunk int, words binary, state binary"
+ASKED = "kind int, bucket int, chunk int, words binary, state binary, tokens long"
 """kind 0: distinct words of a chunk, in order, with their counts in its training texts; 1: the chunk's texts as
-numbers of those words."""
+numbers of those words, and how many of its tokens train."""
 
 
 def asked(parts: DataFrame, buckets: int) -> DataFrame:
@@ -105,20 +119,22 @@ def asked(parts: DataFrame, buckets: int) -> DataFrame:
         counts = counts[[n for _, _, n in placed]] if placed else counts
         where = np.array([b for b, _, _ in placed], np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(placed)] if placed else [0]
-        rows = [(0, int(where[a]), chunk, joined([w for _, w, _ in placed[a:b]]), packed(counts[a:b].astype(np.int64))) for a, b in zip(cuts, cuts[1:])]
-        rows.append((1, None, chunk, joined([w for _, w, _ in placed]), packed(ids, group.column("none").to_numpy(zero_copy_only=False).astype(np.uint8), train.astype(np.uint8), sizes, new[flat].astype(np.uint16 if len(placed) < NONE else np.uint32))))
+        rows = [(0, int(where[a]), chunk, joined([w for _, w, _ in placed[a:b]]), packed(counts[a:b].astype(np.int64)), None) for a, b in zip(cuts, cuts[1:])]
+        rows.append((1, None, chunk, joined([w for _, w, _ in placed]), packed(ids, group.column("none").to_numpy(zero_copy_only=False).astype(np.uint8), train.astype(np.uint8), sizes, new[flat].astype(np.uint16 if len(placed) < NONE else np.uint32)), int(sizes[train].sum())))
         cols = list(zip(*rows, strict=True))
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "chunk", "words", "state"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["kind", "bucket", "chunk", "words", "state", "tokens"])
 
     return parts.groupBy("chunk").applyInArrow(run, ASKED)
 
 
 TOLD = "chunk int, bucket int, counts binary, top array<struct<c:long,w:binary>>, rest array<struct<n:long,v:long>>"
-"""A chunk's counts in the order in which it asked; or, without a chunk, a bucket's most frequent words and the
-counts and numbers of words of its rest classes."""
+"""A chunk's counts in the order in which it asked; or, without a chunk, a bucket's words that are classes of their own
+and the counts and numbers of words of its other classes."""
+
 
+def told(requests: DataFrame, tokens: int, rest: int) -> DataFrame:
+    least = max(1, -(-tokens // alphabet(tokens)))
 
-def told(requests: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         total: dict[bytes, int] = {}
@@ -128,14 +144,16 @@ def told(requests: DataFrame) -> DataFrame:
             asked_for.append((chunk, w))
             for word, c in zip(w, unpacked(state)[0].tolist(), strict=True):
                 total[word] = total.get(word, 0) + c
-        n, v = np.zeros(REST, np.int64), np.zeros(REST, np.int64)
+        n, v = [0] * rest, [0] * rest
+        top = []
         for word, c in total.items():
-            if c:
-                n[rest_class(word) - TOP] += c
-                v[rest_class(word) - TOP] += 1
-        top = sorted(((c, w) for w, c in total.items() if c), key=lambda x: (-x[0], x[1]))[:TOP]
+            if c >= least:
+                top.append({"c": c, "w": word})
+            elif c:
+                n[ending(word) % rest] += c
+                v[ending(word) % rest] += 1
         rows = [(chunk, bucket, packed(np.fromiter(map(total.__getitem__, w), np.int64, len(w))), None, None) for chunk, w in asked_for]
-        rows.append((None, bucket, None, [{"c": c, "w": w} for c, w in top], [{"n": a, "v": b} for a, b in zip(n.tolist(), v.tolist(), strict=True)]))
+        rows.append((None, bucket, None, top, [{"n": a, "v": b} for a, b in zip(n, v, strict=True)]))
         types = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct([("c", pa.int64()), ("w", pa.binary())])), pa.list_(pa.struct([("n", pa.int64()), ("v", pa.int64())])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["chunk", "bucket", "counts", "top", "rest"])
 
@@ -143,30 +161,32 @@ def told(requests: DataFrame) -> DataFrame:
 
 
 class Counts(NamedTuple):
-    top: dict[bytes, int]  # word to class
-    n: np.ndarray  # tokens of each class
+    top: dict[bytes, int]  # word to class, most frequent first
+    rest: int  # classes of words by their ending
+    n: np.ndarray  # tokens of each class; the last is the text's end
     v: np.ndarray  # distinct words of each class
+    coarse: np.ndarray  # of each class the class that the start of the states is fitted with
     tokens: int
     words: int
-    ends: int
 
+    def kind(self, word: bytes) -> int:
+        found = self.top.get(word)
+        return len(self.top) + ending(word) % self.rest if found is None else found
 
-def gathered(answers: DataFrame, ends: int) -> Counts:
+
+def gathered(answers: DataFrame, ends: int, rest: int) -> Counts:
     own = answers.where("chunk IS NULL")
-    best = own.select(F.explode("top").alias("t")).orderBy(F.desc("t.c"), "t.w").limit(TOP).collect()
-    rest = own.select(F.posexplode("rest").alias("g", "x")).groupBy("g").agg(F.sum("x.n").alias("n"), F.sum("x.v").alias("v")).collect()
-    n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in rest:
-        n[TOP + r["g"]], v[TOP + r["g"]] = r["n"], r["v"]
-    top = {}
-    for k, r in enumerate(best):
-        word = bytes(r["t"]["w"])
-        top[word] = k
-        n[k], v[k] = r["t"]["c"], 1
-        n[rest_class(word)] -= r["t"]["c"]
-        v[rest_class(word)] -= 1
-    n[END], v[END] = ends, int(ends > 0)
-    return Counts(top, n, v, int(n.sum()), int(v.sum()), ends)
+    best = own.select(F.explode("top").alias("t")).orderBy(F.desc("t.c"), "t.w").collect()  # MOST at most
+    others = own.select(F.posexplode("rest").alias("g", "x")).groupBy("g").agg(F.sum("x.n").alias("n"), F.sum("x.v").alias("v")).collect()
+    top = {bytes(r["t"]["w"]): k for k, r in enumerate(best)}
+    n, v = np.zeros(len(top) + rest + 1, np.int64), np.zeros(len(top) + rest + 1, np.int64)
+    n[: len(top)], v[: len(top)] = [r["t"]["c"] for r in best], 1
+    for r in others:
+        n[len(top) + r["g"]], v[len(top) + r["g"]] = r["n"], r["v"]
+    n[-1], v[-1] = ends, int(ends > 0)
+    coarse = [k if k < COARSE_TOP else COARSE_TOP + ending(w) % COARSE_REST for w, k in top.items()]
+    coarse += [COARSE_TOP + g % COARSE_REST for g in range(rest)] + [COARSE - 1]
+    return Counts(top, rest, n, v, np.array(coarse), int(n.sum()), int(v.sum()))
 
 
 CODED = "chunk int, state binary"
@@ -183,14 +203,13 @@ def coded(states: DataFrame, answers: DataFrame, counts: Counts) -> DataFrame:
         words = unjoined(group.column("words")[0].as_py())
         replies = sorted(zip(said.column("bucket").to_pylist(), said.column("counts").to_pylist(), strict=True))
         c = np.concatenate([unpacked(b)[0] for _, b in replies]) if replies else np.zeros(0, np.int64)
-        c = np.append(c, counts.ends)  # the end is the word after all others
-        kind = np.array([counts.top.get(w, -1) for w in words] + [END], np.int64)
-        for i in np.flatnonzero(kind < 0):
-            kind[i] = rest_class(words[i])
+        c = np.append(c, counts.n[-1])  # the end is the word after all others
+        end = len(counts.n) - 1
+        kind = np.array([*map(counts.kind, words), end], np.int64)
         base = np.log10((c + 0.5) / (counts.tokens + 0.5 * (counts.words + 1)))
         # Classes of one word can't hold an unseen one.
         own = np.log10((c + 0.5) / (counts.n[kind] + 0.5 * (counts.v[kind] + 1)))
-        own[(kind < TOP) | (kind == END)] = 0.0
+        own[(kind < len(counts.top)) | (kind == end)] = 0.0
         first = np.cumsum(np.append(0, sizes))
         with_end = np.insert(flat.astype(np.int64), first[1:], len(words))
         start = first[:-1] + np.arange(len(sizes))
@@ -219,24 +238,28 @@ def summed(rows: DataFrame, f, spark) -> list[np.ndarray]:
     return [sum(x) for x in zip(*blobs, strict=True)]
 
 
-def bigrams(blobs):
-    total = np.zeros(CLASSES * CLASSES, np.int64)
-    for blob in blobs:
-        _, _, train, sizes, *_, kind = unpacked(blob)
-        k = kind[np.repeat(train.astype(bool), sizes)].astype(np.int64)
-        own = np.repeat(np.arange(len(sizes)), sizes)[np.repeat(train.astype(bool), sizes)]
-        pair = own[1:] == own[:-1]
-        total += np.bincount(k[:-1][pair] * CLASSES + k[1:][pair], minlength=CLASSES * CLASSES)
-    return [total]
+def bigrams(coarse: np.ndarray):
+    def run(blobs):
+        total = np.zeros(COARSE * COARSE, np.int64)
+        for blob in blobs:
+            _, _, train, sizes, *_, kind = unpacked(blob)
+            learnt = np.repeat(train.astype(bool), sizes)
+            k = coarse[kind[learnt]]
+            own = np.repeat(np.arange(len(sizes)), sizes)[learnt]
+            pair = own[1:] == own[:-1]
+            total += np.bincount(k[:-1][pair] * COARSE + k[1:][pair], minlength=COARSE * COARSE)
+        return [total]
 
+    return run
 
-def start_model(pairs: np.ndarray, seed: int = 5) -> Model:
-    """States fitted to the counts of neighbouring classes alone."""
-    x = pairs.reshape(CLASSES, CLASSES) + 1e-4
+
+def start_model(pairs: np.ndarray, counts: Counts, seed: int = 5) -> Model:
+    """States fitted to the counts of neighbouring coarse classes alone; a class has its share of its coarse one."""
+    x = pairs.reshape(COARSE, COARSE) + 1e-4
     x /= x.sum()
     rng = np.random.Generator(np.random.PCG64(seed))
     unigram = (x.sum(0) + x.sum(1)) / 2
-    emit = unigram * rng.gamma(1.0, 1.0, (STATES, CLASSES)) + 1e-9
+    emit = unigram * rng.gamma(1.0, 1.0, (STATES, COARSE)) + 1e-9
     emit /= emit.sum(1, keepdims=True)
     joint = rng.gamma(2.0, 1.0, (STATES, STATES)) + 4 * np.eye(STATES)
     joint /= joint.sum()
@@ -248,75 +271,88 @@ def start_model(pairs: np.ndarray, seed: int = 5) -> Model:
         joint /= joint.sum()
         emit = more + 1e-9 * unigram
         emit /= emit.sum(1, keepdims=True)
-    share = joint.sum(1) + 1e-9
-    return Model(share / share.sum(), (joint + 1e-9) / (joint + 1e-9).sum(1, keepdims=True), emit)
-
-
-def stationary(move: np.ndarray) -> np.ndarray:
-    p = np.full(STATES, 1 / STATES)
-    for _ in range(200):
-        p = p @ move
-    return p / p.sum()
-
-
-def expected(model: Model):
-    """Expected counts of starts, moves and emissions over training texts, in segments of SEGMENT tokens."""
-    move, emit = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T.astype(np.float32))
-    begin, later = model.start.astype(np.float32), stationary(model.move).astype(np.float32)
+    state = joint.sum(1) + 1e-9
+    share = (counts.n + SMOOTH) / np.bincount(counts.coarse, counts.n + SMOOTH, minlength=COARSE)[counts.coarse]
+    emit = emit[:, counts.coarse] * share
+    return Model(state / state.sum(), (joint + 1e-9) / (joint + 1e-9).sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+
+
+def expected(model: Model, at_once: int = 3):
+    """Expected counts of starts, moves and emissions over whole training texts, their log-likelihood and tokens."""
+    move, emit, start = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T.astype(np.float32)), model.start.astype(np.float32)
+    states, classes = model.emit.shape
+
+    def add(total: list[np.ndarray], held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        sizes, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(sizes):
+            return
+        order = np.argsort(-sizes, kind="stable")
+        at, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right").tolist()
+        seen = [kind[at[:m] + t] for t, m in enumerate(live)]
+        alphas, scales = [], []
+        a = np.broadcast_to(start, (len(size), states))
+        for o in seen:
+            a = a[: len(o)] * emit[o]
+            s = a.sum(1, keepdims=True)
+            a /= s
+            alphas.append(a)
+            scales.append(s)
+            a = a @ move
+        moves = np.zeros((states, states))
+        beta = np.ones((live[-1], states), np.float32)
+        for t in range(len(live) - 1, -1, -1):
+            if len(beta) < live[t]:
+                beta = np.concatenate([beta, np.ones((live[t] - len(beta), states), np.float32)])
+            if t:
+                ahead = emit[seen[t]] * beta / scales[t]
+                moves += alphas[t - 1][: live[t]].T @ ahead
+                alphas[t] *= beta
+                beta = ahead @ move.T
+        alphas[0] *= beta
+        gamma, o = np.concatenate(alphas), np.concatenate(seen).astype(np.int64)
+        total[0] += alphas[0].sum(0)
+        total[1] += (moves * move).ravel()
+        total[2] += np.concatenate([np.bincount(o, gamma[:, k], minlength=classes) for k in range(states)]).astype(np.float32)
+        total[3] += [float(np.log(np.concatenate(scales).astype(np.float64)).sum()), len(o)]
 
     def run(blobs):
-        starts, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
+        total = [np.zeros(states), np.zeros(states * states), np.zeros(states * classes, np.float32), np.zeros(2)]
+        held: list = []
         for blob in blobs:
             _, _, train, sizes, *_, kind = unpacked(blob)
-            first = np.cumsum(np.append(0, sizes))[:-1][train.astype(bool)]
-            sizes = sizes[train.astype(bool)]
-            n = -(-sizes // SEGMENT)
-            if not len(n):
-                continue
-            part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(first, n) + part * SEGMENT
-            size = np.minimum(SEGMENT, np.repeat(sizes, n) - part * SEGMENT)
-            order = np.argsort(-size, kind="stable")
-            at, size, head = at[order], size[order], (part == 0)[order]
-            steps = int(size[0])
-            live = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")
-            alphas, scales, seen = [], [], []
-            a = np.where(head[:, None], begin, later)
-            for t in range(steps):
-                m = live[t]
-                o = kind[at[:m] + t]
-                a = (a if t == 0 else alphas[-1][:m] @ move) * emit[o]
-                s = a.sum(1, keepdims=True)
-                a = a / s
-                alphas.append(a)
-                scales.append(s)
-                seen.append(o)
-            beta = np.ones((live[-1], STATES), np.float32)
-            weights = [None] * steps
-            for t in range(steps - 1, -1, -1):
-                m = live[t]
-                if len(beta) < m:
-                    beta = np.concatenate([beta, np.ones((m - len(beta), STATES), np.float32)])
-                weights[t] = alphas[t] * beta
-                if t:
-                    ahead = emit[seen[t]] * beta / scales[t]
-                    moves += alphas[t - 1][:m].T @ ahead * move
-                    beta = ahead @ move.T
-            gamma, o = np.concatenate(weights), np.concatenate(seen).astype(np.int64)
-            for k in range(STATES):
-                emits[k] += np.bincount(o, gamma[:, k], minlength=CLASSES)
-            starts += weights[0][head].sum(0)
-        return [starts, moves.ravel(), emits.ravel()]
+            train = train.astype(bool)
+            held.append((sizes[train], kind[np.repeat(train, sizes)]))
+            if len(held) == at_once:
+                add(total, held)
+                held = []
+        if held:
+            add(total, held)
+        return total
 
     return run
 
 
 def improved(parts: list[np.ndarray], counts: Counts) -> Model:
-    starts, moves, emits = parts[0] + SMOOTH, parts[1].reshape(STATES, STATES) + SMOOTH, parts[2].reshape(STATES, CLASSES)
+    starts, moves, emits = parts[0] + SMOOTH, parts[1].reshape(STATES, STATES) + SMOOTH, parts[2].reshape(STATES, -1).astype(np.float64)
     emits = emits + SMOOTH * (counts.n + 1) / (counts.n + 1).sum() * STATES
     return Model(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / emits.sum(1, keepdims=True))
 
 
+def trained(rows: DataFrame, counts: Counts) -> Model:
+    spark = rows.sparkSession
+    found = summed(rows, bigrams(counts.coarse), spark)
+    model = start_model(found[0] if found else np.zeros(COARSE * COARSE, np.int64), counts)
+    before = -math.inf
+    while (found := summed(rows, expected(model), spark)) and found[3][1]:
+        model = improved(found, counts)
+        now = found[3][0] / found[3][1]
+        if now - before < TOLERANCE:
+            break
+        before = now
+    return model
+
+
 def forward(model: Model, kind: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log10 likelihood of each sequence, whole: one step of all that are still running at a time."""
     order = np.argsort(-sizes, kind="stable")
@@ -326,7 +362,7 @@ def forward(model: Model, kind: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if not len(sizes):
         return total
     live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
-    a = np.broadcast_to(model.start, (len(size), STATES))
+    a = np.broadcast_to(model.start, (len(size), len(model.start)))
     for t, m in enumerate(live.tolist()):
         a = (a if t == 0 else a[:m] @ model.move) * emit[kind[at[:m] + t]]
         s = a.sum(1)
@@ -366,16 +402,15 @@ def language_model(docs: DataFrame, train: Column, id: str = "doc_id", text: str
     """SCORED rows of all of ``docs``, learnt from the rows where ``train`` is not false; the counts; the model."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n"), F.sum(F.coalesce(train, F.lit(True)).cast("long")).alias("t")).first()
-    chunks = max(1, -(-((total["b"] or 0) + 64 * total["n"]) // CHUNK_BYTES))
+    size = (total["b"] or 0) + 64 * total["n"]
+    chunks = max(1, -(-size // chunk_bytes(size)))
     parts = docs.select(F.pmod(F.xxhash64(F.col(id).cast("long")), F.lit(chunks)).cast("int").alias("chunk"), F.col(id).cast("long").alias("id"), F.col(id).isNull().alias("none"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text).cast("string").alias("text"))
     first = cut(asked(parts, max(shuffle_partitions(spark), chunks // 4, 1)))
-    answers = cut(told(first.where("kind = 0").select("bucket", "chunk", "words", "state")))
-    counts = gathered(answers, int(total["t"] or 0))
+    ends = int(total["t"] or 0)
+    tokens = int(first.where("kind = 1").agg(F.sum("tokens")).first()[0] or 0) + ends
+    rest = max(COARSE_REST, alphabet(tokens) // 32)
+    answers = cut(told(first.where("kind = 0").select("bucket", "chunk", "words", "state"), tokens, rest))
+    counts = gathered(answers, ends, rest)
     rows = cut(coded(first.where("kind = 1").select("chunk", "words", "state"), answers.select("chunk", "bucket", "counts"), counts))
-    found = summed(rows, bigrams, spark)
-    model = start_model(found[0] if found else np.zeros(CLASSES * CLASSES, np.int64))
-    for _ in range(ROUNDS):
-        found = summed(rows, expected(model), spark)
-        if found:
-            model = improved(found, counts)
+    model = trained(rows, counts)
     return scored(rows, model), counts, model
