@@ -1,23 +1,27 @@
 """Quality classifier: random-indexing word vectors, pooled for each document, and a two-layer network.
 
-Every term has a sparse ternary index vector, made from its hash. The vector of a term is its index vector and the
-sum of those of the terms beside it in the training texts (WINDOW words to either side). A word gives two terms, its
-lower-case form and its shape, so a word that training never saw still has the vector of its shape. A document is
-the mean of its words' and of its shapes' vectors, with its length and its share of distinct words. The network's
-logits are divided by a temperature that is fitted on labelled rows held back from training.
+Every term has a sparse ternary index vector, made from its hash. The vector of a term is its index vector for each
+time that it occurs and the sum of those of the terms beside it (WINDOW words to either side), over all documents. A
+word gives two terms, its lower-case form and its shape. Terms share WORDS and SHAPES rows by their hash, so the table
+has one size whatever the corpus holds (under 9 MB, which is what is sent to executors), every word has a vector, and
+none is left out for being rare or late. A document is the mean of its words' and of its shapes' vectors, with its
+length and its share of distinct words. The network's logits are divided by a temperature that is fitted on labelled
+rows held back from training.
 
-Vectors and network are fitted on at most ``SAMPLE`` labelled rows, taken by hash of the id; MAX_WORDS and MAX_SHAPES
-bound the tables that are sent to the executors (under 20 MB). Scoring reads every document whole.
+The network alone is fitted on a sample: at most ``SAMPLE`` labelled ids, taken by hash of the id, whose documents are
+pooled where they lie. Vectors are counted over all documents, and scoring reads every document whole.
 
 Defined results. A null or blank text has zero vectors and gets the network's answer to them. Several labels of one
-id count as their mean, null labels don't count. With no label, or labels of one kind, all scores are the smoothed
-share of good labels. Repeated rows get equal scores. An empty table gives an empty table.
+id count as their mean, and so do several documents of one id; null labels don't count. With no label, or labels of
+one kind, all scores are the smoothed share of good labels. Repeated rows get equal scores. An empty table gives an
+empty table. A column of the score's name is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -30,8 +34,11 @@ from .common import texts
 
 SAMPLE = 6000
 DIM, NONZERO, WINDOW = 64, 8, 2
-MAX_WORDS, MAX_SHAPES = 1 << 15, 1 << 11
-LEAST_COUNT = 3
+WORDS, SHAPES = 1 << 15, 1 << 11
+#: Rows of a table that travel together when tables of partitions are summed.
+ROWS = 512
+#: Tokens whose vectors are held at a time.
+PART = 1 << 15
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 3e-3, 1e-4
 CALIBRATE = 5  # every fifth row of the sample sets the temperature
 KNOWN = 400_000
@@ -42,86 +49,123 @@ def shape(word: bytes) -> str:
     text = word.decode("utf-8", "replace")
     for find, to in SHAPE:
         text = find.sub(to, text)
-    return text.replace("xx", "x").replace("XX", "X")[:16]
+    return text.replace("xx", "x").replace("XX", "X")
 
 
-def index_vector(term: str) -> np.ndarray:
-    """NONZERO places of +1 or -1, chosen by the term's hash."""
-    rng = np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))))
-    out = np.zeros(DIM, np.float32)
-    out[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
+def index_vectors(kind: int, rows: int) -> np.ndarray:
+    """For each row NONZERO places of +1 or -1, drawn from the row's number."""
+    out = np.zeros((rows, DIM), np.float32)
+    rng = np.random.Generator(np.random.PCG64([kind, rows]))
+    at = rng.random((rows, DIM)).argsort(axis=1)[:, :NONZERO]
+    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.float32), (rows, NONZERO)), axis=1)
     return out
 
 
 class Vectors(NamedTuple):
-    words: dict[bytes, int]  # to rows of word_vectors; row 0 is for all others
-    shapes: dict[str, int]
-    word_vectors: np.ndarray
-    shape_vectors: np.ndarray
+    words: np.ndarray  # (WORDS, DIM)
+    shapes: np.ndarray  # (SHAPES, DIM)
 
 
 class Rows(dict):
-    """Word to its number, with the rows of its vectors; starts anew when it holds KNOWN words."""
+    """Word to its number, with the rows of its terms; starts anew when it holds KNOWN words."""
 
-    def __init__(self, vectors: Vectors):
+    def __init__(self):
         super().__init__()
-        self.vectors = vectors
         self.word, self.shape = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
 
     def __missing__(self, word: bytes) -> int:
         n = len(self)
         if n == len(self.word):
             self.word, self.shape = np.concatenate([self.word, self.word * 0]), np.concatenate([self.shape, self.shape * 0])
-        self.word[n] = self.vectors.words.get(word.lower(), 0)
-        self.shape[n] = self.vectors.shapes.get(shape(word), 0)
+        self.word[n] = xxhash.xxh64_intdigest(word.lower()) % WORDS
+        self.shape[n] = xxhash.xxh64_intdigest(shape(word).encode("utf-8", "surrogatepass")) % SHAPES
         self[word] = n
         return n
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > KNOWN:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.word[n], self.shape[n]
+
+
+def add_at(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    table[rows[first]] += np.add.reduceat(values[order], first, axis=0)
+
+
+def counted(docs: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """What these documents add to the tables of words and of shapes; whole numbers, so their order is all one."""
+    none = np.zeros((1, DIM), np.float32)  # the row of the gaps between documents
+    index_w, index_s = (np.concatenate([index_vectors(k, n), none]) for k, n in ((0, WORDS), (1, SHAPES)))
+    tables, totals = [np.zeros_like(x) for x in (index_w, index_s)], [np.zeros(x.shape) for x in (index_w, index_s)]
+    gap_w, gap_s = np.full(WINDOW, WORDS, np.int32), np.full(WINDOW, SHAPES, np.int32)
+    rows, held, size, flushed = Rows(), [], 0, 0
+
+    def flush() -> None:
+        word, shapes = (np.concatenate([gap, *x]) for gap, x in zip((gap_w, gap_s), zip(*held, strict=True), strict=True))
+        for i in range(WINDOW, len(word) - WINDOW, PART):
+            part = slice(i - WINDOW, i + PART + WINDOW)
+            index = index_w[word[part]] + index_s[shapes[part]]
+            near = index[: len(index) - 2 * WINDOW].copy()
+            for k in range(1, 2 * WINDOW + 1):  # each token's own index vector among them
+                near += index[k : k + len(near)]
+            own = slice(i, i + len(near))
+            add_at(tables[0], word[own], near)
+            add_at(tables[1], shapes[own], near)
+
+    def settle() -> None:  # float32 counts exactly up to 2 ** 24
+        for total, table in zip(totals, tables, strict=True):
+            total += table
+            table[:] = 0
 
-
-def fit_vectors(docs: list[list[bytes]]) -> Vectors:
-    words, shapes = Counter(), Counter()
-    for d in docs:
-        words.update(w.lower() for w in d)
-    for w, c in Counter(w for d in docs for w in d).items():
-        shapes[shape(w)] += c
-    order = lambda c: sorted((x for x in c.items() if x[1] >= LEAST_COUNT), key=lambda x: (-x[1], x[0]))
-    word_row = {w: i + 1 for i, (w, _) in enumerate(order(words)[: MAX_WORDS - 1])}
-    shape_row = {s: i + 1 for i, (s, _) in enumerate(order(shapes)[: MAX_SHAPES - 1])}
-    zero = np.zeros((1, DIM), np.float32)
-    index_w = np.concatenate([zero, *(index_vector("w" + w.decode("utf-8", "replace"))[None] for w in word_row)])
-    index_s = np.concatenate([zero, *(index_vector("s" + s)[None] for s in shape_row)])
-    at_w, at_s = index_w.copy(), index_s.copy()
-    rows = Rows(Vectors(word_row, shape_row, index_w, index_s))
     for d in docs:
-        if len(d) < 2:
-            continue
-        n = rows.of(d)
-        w, s = rows.word[n], rows.shape[n]
-        own = index_w[w] + index_s[s]
-        beside = np.zeros_like(own)
-        for k in range(1, min(WINDOW, len(d) - 1) + 1):
-            beside[k:] += own[:-k]
-            beside[:-k] += own[k:]
-        np.add.at(at_w, w, beside)
-        np.add.at(at_s, s, beside)
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    at_w[0] = at_s[0] = 0
-    return Vectors(word_row, shape_row, unit(at_w), unit(at_s))
-
-
-def pooled(words: list[bytes], rows: Rows) -> np.ndarray:
+        held += [rows.of(d), (gap_w, gap_s)]
+        size += len(d)
+        if size >= PART:
+            flush()
+            flushed += size
+            held, size = [], 0
+            if flushed > 1 << 18:
+                settle()
+                flushed = 0
+    if held:
+        flush()
+    settle()
+    return totals[0][:-1], totals[1][:-1]
+
+
+def fit_vectors(docs: DataFrame, text: str) -> Vectors:
+    """Tables of partitions are cut into blocks of rows and summed by block: no task or driver holds more than one
+    table of sums."""
+
+    def run(batches):
+        tables = counted(t.split() for b in batches for t in texts(b.column(0)))
+        parts = [(k, i, zlib.compress(t[i : i + ROWS].astype("<i8").T.tobytes(), 1)) for k, t in enumerate(tables) for i in range(0, len(t), ROWS) if t[i : i + ROWS].any()]
+        cols = list(zip(*parts, strict=True)) if parts else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "at", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in group.column("sums"))
+        return pa.table({"kind": group.column("kind")[:1], "at": group.column("at")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    parts = docs.select(F.col(text).cast("string")).mapInArrow(run, "kind int, at int, sums binary")
+    tables = np.zeros((WORDS, DIM)), np.zeros((SHAPES, DIM))
+    for r in parts.groupBy("kind", "at").applyInArrow(add, "kind int, at int, sums binary").collect():  # 18 MB at most
+        block = np.frombuffer(bytes(r["sums"]), "<i8").reshape(DIM, -1).T
+        tables[r["kind"]][r["at"] : r["at"] + len(block)] = block
+    return Vectors(*((t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-9)).astype(np.float32) for t in tables))
+
+
+def pooled(words: list[bytes], vectors: Vectors, rows: Rows) -> np.ndarray:
     out = np.zeros(2 * DIM + 2, np.float32)
     if words:
-        n = rows.of(words)
-        for i in range(0, len(n), 1 << 15):
-            part = n[i : i + (1 << 15)]
-            out[:DIM] += rows.vectors.word_vectors[rows.word[part]].sum(0)
-            out[DIM : 2 * DIM] += rows.vectors.shape_vectors[rows.shape[part]].sum(0)
+        for i in range(0, len(words), PART):
+            word, shapes = rows.of(words[i : i + PART])
+            out[:DIM] += vectors.words[word].sum(0)
+            out[DIM : 2 * DIM] += vectors.shapes[shapes].sum(0)
         out /= len(words)
         out[-2:] = np.log1p(len(words)), len(set(words)) / len(words)
     return out
@@ -184,27 +228,36 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 3) -> Network:
 
 def fit(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample: int = SAMPLE) -> tuple[Vectors, Network]:
     """``labels`` are those that may be learnt from."""
-    known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.avg(label).alias("y"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # sample rows of 16 bytes: small enough to broadcast
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("t")).join(F.broadcast(known), "_id").select("_id", "y", "t")
-    found = sorted(((r["_id"], float(r["y"]), (r["t"] or "").encode().split()) for r in rows.toLocalIterator()), key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[2]))
-    texts_, y = [r[2] for r in found], np.array([r[1] >= 0.5 for r in found], np.float64)
-    vectors = fit_vectors(texts_)
-    own = Rows(vectors)
-    x = np.array([pooled(t, own) for t in texts_]).reshape(len(texts_), 2 * DIM + 2)
-    return vectors, fit_network(x, y)
+    vectors = fit_vectors(docs, text)
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+    known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.avg(label).alias("y"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # sample rows of 16 bytes: small enough to broadcast
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t")).join(F.broadcast(known), "id").select("id", "y", "t")
+
+    def pool(batches):
+        own = Rows()
+        for b in batches:
+            x = [pooled(t.split(), sent.value, own).astype(np.float64) for t in texts(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
+
+    pooled_rows = rows.mapInArrow(pool, "id long, y double, x array<double>")
+    # One row of 2 * DIM + 2 numbers for each id of the sample comes to the driver.
+    means = F.array(*(F.avg(F.get("x", F.lit(i))) for i in range(2 * DIM + 2)))
+    found = sorted(pooled_rows.groupBy("id").agg(F.first("y").alias("y"), means.alias("x")).collect(), key=lambda r: xxhash.xxh64_intdigest(str(r["id"])))
+    x = np.array([r["x"] for r in found], np.float64).reshape(len(found), 2 * DIM + 2)
+    return vectors, fit_network(x, np.array([r["y"] >= 0.5 for r in found], np.float64))
 
 
 def with_quality(docs: DataFrame, vectors: Vectors, network: Network, text: str = "text") -> DataFrame:
     """The other columns of ``docs`` and ``score``."""
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "score")]
     sent = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
     def run(batches):
         vectors, network = sent.value
-        rows = Rows(vectors)
+        rows = Rows()
         for b in batches:
-            x = np.array([pooled(t.split(), rows) for t in texts(b.column(b.num_columns - 1))]).reshape(b.num_rows, 2 * DIM + 2)
+            x = np.array([pooled(t.split(), vectors, rows) for t in texts(b.column(b.num_columns - 1))]).reshape(b.num_rows, 2 * DIM + 2)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(network.score(x.astype(np.float64)))], names=[*keep, "score"])
 
     return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, docs.select(*keep, F.lit(0.0).alias("score")).schema)
