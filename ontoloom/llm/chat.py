@@ -10,8 +10,8 @@ text holds no control string, and the way back is exact.
 
 Defined results. A null text is empty, a null role reads back as empty, a null turn number comes first; rows with
 the same number are ordered by role, then text; repeated rows are turns of their own. Rows with a null conversation
-id form one conversation. A conversation is one row at a time: it is the unit of the output. An empty table gives
-an empty table.
+id form one conversation. An example is a row; the turns of one conversation, which its last example holds anyway, are
+gathered in one row to make them. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,29 +32,27 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\(\\*)" + TAILS, "$1$2$3")
 
 
-def expanded(rows: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """For each conversation ``examples``, an array of (formatted, loss_start, loss_chars); starts count from 1."""
+def examples(rows: DataFrame, id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """One row for each example: ``id``, ``example`` (from 0), ``formatted``, ``loss_start`` (from 1; 0: nothing to
+    train) and ``loss_chars``. The last example of a conversation has all of its turns."""
     one = F.struct(
         F.col(turn).alias("turn"),
         F.coalesce(role, F.lit("")).alias("role"),
         F.coalesce(text, F.lit("")).alias("text"),
     )
-    df = rows.groupBy(id).agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    df = df.select(id, F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("reply"), F.concat(F.lit(START), escaped(t["role"]), F.lit(ROLE_END)).alias("head"), escaped(t["text"]).alias("body"))).alias("turns"))
-    ends = "filter(transform(turns, (t, i) -> IF(t.reply, i, -1)), i -> i >= 0)"
-    df = df.select(id, "turns", F.expr(f"transform(array({ends}), e -> IF(coalesce(get(e, size(e) - 1), -1) = size(turns) - 1, e, concat(e, array(size(turns) - 1))))[0]").alias("ends"))
-    context = f"concat_ws('', transform(slice(turns, 1, e), t -> concat(t.head, t.body, '{TEXT_END}{END}')))"
-    example = f"""transform(array({context}), c -> named_struct(
-        'formatted', concat(c, turns[e].head, turns[e].body, '{TEXT_END}{END}'),
-        'loss_start', IF(turns[e].reply, length(c) + length(turns[e].head) + 1, 0),
-        'loss_chars', IF(turns[e].reply, length(turns[e].body), 0)))[0]"""
-    return df.select(id, F.expr(f"transform(ends, e -> {example})").alias("examples"))
-
-
-def examples(rows: DataFrame, id: str = "conv_id", **columns) -> DataFrame:
-    """One row for each example: ``id``, ``example`` (from 0), ``formatted``, ``loss_start``, ``loss_chars``."""
-    df = expanded(rows, id, **columns).select(id, F.posexplode("examples").alias("example", "e"))
-    return df.select(id, "example", "e.*")
+    df = rows.groupBy(F.col(id).alias("conversation")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    df = df.select("conversation", F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("reply"), F.concat(F.lit(START), escaped(t["role"]), F.lit(ROLE_END)).alias("head"), escaped(t["text"]).alias("body"))).alias("turns"))
+    # An example ends at each reply, and at the last turn.
+    ends = "filter(transform(turns, (t, i) -> IF(t.reply OR i = size(turns) - 1, i, -1)), i -> i >= 0)"
+    df = df.select("conversation", "turns", F.posexplode(F.expr(ends)).alias("example", "end"))
+    context = f"concat_ws('', transform(slice(turns, 1, end), t -> concat(t.head, t.body, '{TEXT_END}{END}')))"
+    df = df.select("conversation", "example", F.expr(context).alias("context"), F.expr("turns[end]").alias("target"))
+    return df.select(
+        F.col("conversation").alias(id), "example",
+        F.concat("context", "target.head", "target.body", F.lit(TEXT_END + END)).alias("formatted"),
+        F.when(F.col("target.reply"), F.length("context") + F.length("target.head") + 1).otherwise(0).alias("loss_start"),
+        F.when(F.col("target.reply"), F.length("target.body")).otherwise(0).alias("loss_chars"),
+    )
 
 
 def parsed(formatted: Column) -> Column:
@@ -66,19 +64,19 @@ def parsed(formatted: Column) -> Column:
     ))
 
 
-def read_back(expanded_rows: DataFrame, id: str = "conv_id") -> DataFrame:
-    """Digests of what expanded() wrote, got from its formatted texts and loss spans alone."""
-    last = F.element_at("examples", -1)["formatted"]
-    loss = F.concat_ws("", F.transform("examples", lambda e: F.when(e["loss_start"] > 0, unescaped(e["formatted"].substr(e["loss_start"], e["loss_chars"]))).otherwise("")))
-    df = expanded_rows.select(
-        id,
-        parsed(last).alias("turns"),
-        loss.alias("loss"),
-        F.aggregate("examples", F.lit(0).cast("long"), lambda n, e: n + F.length(e["formatted"])).alias("formatted_chars"),
-        F.size("examples").cast("long").alias("n_examples"),
+def read_back(found: DataFrame, id: str = "conv_id") -> DataFrame:
+    """Digests of conversations, got from the formatted texts and loss spans of their examples() alone. The examples
+    of a conversation are where its turns were, so nothing is shuffled again."""
+    loss = F.when(F.col("loss_start") > 0, unescaped(F.col("formatted").substr(F.col("loss_start"), F.col("loss_chars")))).otherwise("")
+    df = found.groupBy(F.col(id).alias("conversation")).agg(
+        F.max_by("formatted", "example").alias("whole"),
+        F.sort_array(F.collect_list(F.struct("example", loss.alias("loss")))).alias("losses"),
+        F.sum(F.length("formatted").cast("long")).alias("formatted_chars"),
+        F.count("*").alias("n_examples"),
     )
+    df = df.select("conversation", parsed(F.col("whole")).alias("turns"), F.concat_ws("", F.transform("losses", lambda x: x["loss"])).alias("loss"), "formatted_chars", "n_examples")
     whole = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return df.select(
-        id, F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.col("conversation").alias(id), F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples",
     )

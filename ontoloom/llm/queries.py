@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import expanded, read_back
+from .chat import examples, read_back
 from .classifier import fit, with_quality
 from .common import crc_mod, table
 from .decontaminate import leaks
@@ -72,7 +72,7 @@ OK = "</s>[INST] ok [/INST]"
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also conversation -1, whose texts are control strings of the template."""
     more = spark.createDataFrame([(-1, 0, "user", OK), (-1, 1, "assistant", OK)], "conv_id long, turn long, role string, text string")
-    return read_back(expanded(table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)))
+    return read_back(examples(table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

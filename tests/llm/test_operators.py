@@ -199,7 +199,7 @@ def test_chat(spark):
     for c, n, role, text in rows:
         by[c].append((-1 if n is None else n, role or "", text or ""))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    for r in chat.read_back(chat.expanded(df)).collect():
+    for r in chat.read_back(chat.examples(df)).collect():
         turns = sorted(by[r["conv_id"]])
         loss = "".join(t for _, role, t in turns if role == "assistant")
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), sha("".join(f"{x}\n{t}\n" for _, x, t in turns)), len(loss), sha(loss))
