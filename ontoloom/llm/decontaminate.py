@@ -2,33 +2,38 @@
 
 Words lose case and outer punctuation; numbers, names and units become typed placeholders. An item's windows of
 ``WINDOW`` canonical words are joined by hash with those of the documents. A document leaks an item if it has at
-least ``share`` of the item's windows and the placeholders of the best alignment can be filled consistently: what
-stood for one value in the item stands for one value in the document. Leaks are ``exact`` (all values equal) or
-``reparameterised``.
+least ``share`` of the item's windows in one passage (words may be missing or put in between, no more than the item
+has) and all their placeholders are filled consistently: what stood for one value in the item stands for one value in
+the passage. Leaks are ``exact`` (all values
+equal) or ``reparameterised``.
 
 Whether a word is a name depends on its capital and on what precedes it, and so may differ between an item and its
 verbatim copy. Therefore all words, without case and outer punctuation but with no placeholder and no minimum of
 literal words, are joined by windows too: a document that has ``share`` of these leaks the item, ``exact``. And a
 window of a document that begins with a name counts also with that word as it stands, as at the start of a sentence.
 
-Windows of documents that meet no bit of a fixed-size bitmap (2 ** BITS bits, whatever the benchmark's size) never
-leave their task; the bitmap can only let too much through, the join decides.
+A document that has ``share`` of n windows has one of any n - share * n + 1 of them. So documents meet items only by
+so many of an item's windows, those that fewest other items have: a phrase that many items share brings no document
+together with all of them. Documents that meet no bit of a fixed-size bitmap (2 ** BITS bits, whatever the benchmark's
+size) by such a window never leave their task; the bitmap can only let too much through, the join decides.
 
 Defined results. A null or blank text has no windows; an item without words leaks nowhere. Items under WINDOW words
 are one window. Template windows with fewer than two literal words (one, in a window of one or two) count nowhere. A
 word of nothing but punctuation is one of its own. If both kinds of windows show a leak, the figures are those of the
-template windows if these say ``exact``, else those of the plain ones. Rows that share id and text are one document. A null id is an id of its own. Empty tables give an empty result. Texts count
-whole.
+template windows if these say ``exact``, else those of the plain ones. Rows that share id and text are one document.
+A null id is an id of its own. Empty tables give an empty result. Texts count whole.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, texts
@@ -36,6 +41,7 @@ from .common import cut, texts
 WINDOW = 5
 SHARE = 0.8
 BITS = 24
+MERGES = 16
 VOCABULARY = 400_000
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|[a-zµ°]{1,3}(?:/[a-z])?)?$", re.I)
 OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
@@ -145,10 +151,37 @@ def slots(words: list[bytes], kind: np.ndarray, at: int, length: int) -> list[st
     return [OUTER.sub("", words[i].decode("utf-8", "replace")).lower() for i in range(at, at + length) if kind[i] != LITERAL]
 
 
-def meeting(at: np.ndarray, h: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bits_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bit = h >> np.uint64(64 - BITS)
-    meets = ((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1) == 1
-    return at[meets], h[meets]
+    return (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8)
+
+
+def meets(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    byte, bit = bits_of(h)
+    return bitmap[byte] & bit != 0
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """The bits of ``hashes(h)``, or-ed by partition and then in MERGES groups; so many bitmaps come to the driver."""
+
+    def whole(blobs) -> bytes:
+        bits = np.zeros(1 << (BITS - 3), np.uint8)
+        for blob in blobs:
+            bits |= np.frombuffer(zlib.decompress(blob), np.uint8)
+        return zlib.compress(bits.tobytes(), 1)
+
+    def each(batches):
+        bits = np.zeros(1 << (BITS - 3), np.uint8)
+        for b in batches:
+            np.bitwise_or.at(bits, *bits_of(b.column(0).to_numpy().view(np.uint64)))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    def merged(group: pa.Table) -> pa.Table:
+        return pa.table({"bits": pa.array([whole(x.as_py() for x in group.column("bits"))], pa.binary())})
+
+    parts = hashes.select("h").mapInArrow(each, "bits binary").withColumn("k", F.pmod(F.spark_partition_id(), F.lit(MERGES)))
+    found = [bytes(r["bits"]) for r in parts.groupBy("k").applyInArrow(merged, "bits binary").collect()]
+    return np.frombuffer(zlib.decompress(whole(found)), np.uint8)
 
 
 def item_windows(benchmark: DataFrame, id: str, text: str) -> DataFrame:
@@ -172,8 +205,16 @@ def item_windows(benchmark: DataFrame, id: str, text: str) -> DataFrame:
     return named.mapInArrow(run, "item_id long, plain boolean, n_windows int, length int, h long, item_pos int, item_slots array<string>")
 
 
-def document_windows(docs: DataFrame, bitmap: np.ndarray, lengths: list[int]) -> DataFrame:
-    """Windows of ``docs(id, th, text)`` that meet the bitmap."""
+def least_shared(items: DataFrame, share: float) -> DataFrame:
+    """``h, item_id`` of as many windows of each item, of either kind, as none that leaks can do without."""
+    often = items.groupBy("h").agg(F.count_distinct("item_id").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("item_id", "plain").orderBy("often", "h", "item_pos"))
+    needed = F.col("n_windows") - F.ceil(F.col("n_windows") * share - 1e-9) + 1
+    return items.join(often, "h").withColumn("rank", rank).where(F.col("rank") <= needed).select("h", "item_id").distinct()
+
+
+def document_windows(docs: DataFrame, every: np.ndarray, needed: np.ndarray, lengths: list[int]) -> DataFrame:
+    """Of those of ``docs(id, th, text)`` that meet ``needed``, the windows that meet ``every``."""
 
     def run(batches):
         known = Words()
@@ -182,17 +223,16 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, lengths: list[int]) ->
             row, hs, pos, found = [], [], [], []
             for i, t in enumerate(texts(b.column(2))):
                 words, plain, code, kind = scanned(t, known)
-                for length in lengths:
-                    for n, (at, h) in enumerate((windows(code, kind, length), plain_windows(plain, length), opened_windows(plain, code, kind, length))):
-                        at, h = meeting(at, h, bitmap)
-                        if len(at):
-                            row.append(np.full(len(at), i))
-                            hs.append(h)
-                            pos.append(at)
-                            if n == 1:
-                                found += [[]] * len(at)
-                            else:
-                                found += [slots(words, kind, int(p) + (n == 2), length - (n == 2)) for p in at]
+                own = [(n, length, *f) for length in lengths for n, f in enumerate((windows(code, kind, length), plain_windows(plain, length), opened_windows(plain, code, kind, length)))]
+                if not any(meets(h, needed).any() for _, _, _, h in own):
+                    continue
+                for n, length, at, h in own:
+                    keep = meets(h, every)
+                    at, h = at[keep], h[keep]
+                    row.append(np.full(len(at), i))
+                    hs.append(h)
+                    pos.append(at)
+                    found += [[] if n == 1 else slots(words, kind, int(p) + (n == 2), length - (n == 2)) for p in at]
             take = pa.array(np.concatenate(row) if row else np.zeros(0, np.int64))
             h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
             p = np.concatenate(pos) if pos else np.zeros(0, np.int64)
@@ -201,38 +241,92 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, lengths: list[int]) ->
     return docs.mapInArrow(run, "id long, th long, h long, pos int, slots array<string>")
 
 
+class Alignment:
+    """Windows of a document that lie as far behind those of the item, with what fills their placeholders. If one value
+    of the item is filled in several ways, the one found most often counts, and only windows that agree with it."""
+
+    def __init__(self, shift: int, windows: list[tuple[int, tuple[tuple[str, str], ...]]]):
+        ways: dict[str, Counter[str]] = {}
+        for _, filled in windows:
+            for i, d in filled:
+                ways.setdefault(i, Counter())[d] += 1
+        self.shift, self.filled = shift, {i: min(c, key=lambda d: (-c[d], d)) for i, c in ways.items()}
+        self.windows = [(at, filled) for at, filled in windows if all(self.filled[i] == d for i, d in filled)]
+        self.places, self.every = {at for at, _ in self.windows}, {at for at, _ in windows}
+
+
+def best_passage(hits: list[tuple[int, int, tuple[tuple[str, str], ...]]], needed: float, span: int) -> tuple[int, bool]:
+    """``hits`` are (place in the item, place in the document, filled placeholders). How many places of the item one
+    passage has with one filling, and whether that is the item's own. Starting from each alignment in turn, others of
+    the passage are taken in, the largest first, as far as they agree with what is filled so far. A place that the
+    passage has with another filling alone contradicts."""
+    by: dict[int, list] = {}
+    for at, pos, filled in hits:
+        by.setdefault(pos - at, []).append((at, filled))
+    found = sorted((Alignment(k, w) for k, w in by.items()), key=lambda a: (-len(a.places), a.shift))
+    near: dict[int, list[Alignment]] = {}
+    for a in found:
+        near.setdefault(a.shift // (span + 1), []).append(a)
+    best = 0, False
+    for first in found:
+        k = first.shift // (span + 1)
+        around = [a for j in (k - 1, k, k + 1) for a in near.get(j, ()) if abs(a.shift - first.shift) <= span]
+        every = set().union(*(a.every for a in around))
+        if len(every) < max(needed, best[0]):
+            continue
+        value, places = dict(first.filled), set(first.places)
+        for a in sorted(around, key=lambda a: (-len(a.places), a.shift)):
+            for at, filled in a.windows:
+                if at not in places and all(value.get(i, d) == d for i, d in filled):
+                    places.add(at)
+                    value.update(filled)
+        if places == every:
+            best = max(best, (len(places), all(i == d for i, d in value.items())))
+    return best
+
+
+def decided(pairs: DataFrame, share: float) -> DataFrame:
+    """``pairs(id, th, item_id, plain, n_windows, found)`` that are leaks, as ``id, th, item_id, row, rank``."""
+    out = "id long, th long, item_id long, n_windows int, hits int, containment double, kind string, rank int"
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                n = r["n_windows"]
+                if r["plain"]:
+                    hits, same = len({x["item_pos"] for x in r["found"]}), True
+                else:
+                    windows_ = [(x["item_pos"], x["pos"], tuple(zip(x["item_slots"], x["slots"], strict=True))) for x in r["found"]]
+                    hits, same = best_passage(windows_, share * n - 1e-9, n + WINDOW)
+                if hits >= share * n - 1e-9:
+                    rows.append((r["id"], r["th"], r["item_id"], n, hits, hits / n, "exact" if same else "reparameterised", 1 if r["plain"] else 2 if same else 0))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in out.split(", ")])
+
+    return pairs.select("id", "th", "item_id", "plain", "n_windows", "found").mapInArrow(run, out)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
     """``(id, th, item_id, n_windows, hits, containment, kind)`` of each document (th: hash of its text) and item
     that it leaks."""
     items = cut(item_windows(benchmark, item, item_text))
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    found = [r[0] for r in items.select(F.shiftrightunsigned("h", 64 - BITS).alias("b")).distinct().collect()]  # 2 ** BITS at most
-    b = np.array(found, np.int64)
-    np.bitwise_or.at(bits, b >> 3, (1 << (b & 7)).astype(np.uint8))
+    needed = cut(least_shared(items, share))
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())
     named = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
-    pairs = document_windows(named, bits, lengths).join(items, "h").select(
-        "id", "th", "item_id", "plain", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("filled")
-    )
+    found = cut(document_windows(named, bitmap(items), bitmap(needed), lengths)).distinct()
+    candidates = found.select("id", "th", "h").join(needed, "h").select(F.col("id").alias("c_id"), F.col("th").alias("c_th"), "item_id").distinct()
+    met = found.join(candidates, (F.col("th") == F.col("c_th")) & F.col("id").eqNullSafe(F.col("c_id"))).join(items, ["item_id", "h"])
     key = ["id", "th", "item_id", "plain", "n_windows"]
-    shifts = pairs.groupBy(*key, "shift").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
-    whole = shifts.groupBy(*key).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hits"),
-        F.max_by("filled", F.struct(F.size("at"), -F.col("shift"))).alias("filled"),
-    )
-    whole = whole.withColumn("containment", F.col("hits") / F.col("n_windows")).where(F.col("containment") >= share)
-    values = F.size(F.array_distinct(F.transform("filled", lambda x: x["i"])))
-    exact = F.forall("filled", lambda x: x["i"] == x["d"])
-    kind = F.when(exact, "exact").when(values == F.size("filled"), "reparameterised")
-    whole = whole.withColumn("kind", kind).where("kind IS NOT NULL")
-    rank = F.when(F.col("plain"), 1).when(F.col("kind") == "exact", 2).otherwise(0)
+    pairs = met.groupBy(*key).agg(F.collect_list(F.struct("item_pos", "pos", "item_slots", "slots")).alias("found"))
     row = F.struct("n_windows", "hits", "containment", "kind")
-    return whole.groupBy("id", "th", "item_id").agg(F.max_by(row, rank).alias("row")).select("id", "th", "item_id", "row.*")
+    return decided(pairs, share).groupBy("id", "th", "item_id").agg(F.max_by(row, "rank").alias("row")).select("id", "th", "item_id", "row.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
     found = cut(leaks(docs, benchmark, id, text, **how).select("id", "th").distinct())
-    marked = docs.withColumns({"_leak_id": F.col(id).cast("long"), "_leak_th": F.xxhash64(text)})
-    on = marked["_leak_id"].eqNullSafe(found["id"]) & (marked["_leak_th"] == found["th"])
-    return marked.join(found, on, "left_anti").select(*docs.columns)
+    marked = docs.select(F.struct("*").alias("row"), F.col(id).cast("long").alias("own_id"), F.xxhash64(text).alias("own_th"))
+    on = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th"))
+    return marked.join(found, on, "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
