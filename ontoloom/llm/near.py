@@ -8,7 +8,8 @@ probability (1 - 0.8 ** ROWS) ** BANDS, 2.2e-5, a closer pair with less. Compone
 whole shingle sets; only similarity joins two texts.
 
 Defined results. Texts with equal sets are one point. A text of fewer than five words is one shingle; blank and null
-texts are equal. A component of candidates is compared in one task. Shingles are compared by 64 bits of hash.
+texts are equal. Shingles are compared by 64 bits of hash. A component of candidates is compared in one task, or, if
+it has more text than GROUP_BYTES, in one task for each two of its blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ SIMILARITY = 0.8
 RADIUS = 2
 ROWS, BANDS = 5, 27
 VOCABULARY = 400_000
+GROUP_BYTES = 16 << 20
 #: Shingles that are permuted at once.
 BLOCK = 4096
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -79,23 +81,24 @@ def bands(points: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``docs(id, none, th, text)`` to ``(id, none, th, node, fp, keys)``; equal sets have equal nodes."""
-    names = ["id", "none", "th", "node", "fp", "keys"]
+    """``docs(id, none, th, text)`` to ``(id, none, th, node, bytes, fp, keys)``; equal sets have equal nodes."""
+    names = ["id", "none", "th", "node", "bytes", "fp", "keys"]
 
     def run(batches):
         known = Words()
         for b in batches:
-            node, fp, keys = [], [], []
+            node, size, fp, keys = [], [], [], []
             for t in texts(b.column(3)):
                 h = shingles(t, known)
                 own = np.unique(h)
+                size.append(len(t))
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0)
                 fp.append(majority(h))
                 keys.append(bands(own).view(np.int64))
-            both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *both, pa.array(keys, pa.list_(pa.int64()))], names=names)
+            node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], node, pa.array(size, pa.int64()), fp, pa.array(keys, pa.list_(pa.int64()))], names=names)
 
-    return docs.mapInArrow(run, "id long, none boolean, th long, node long, fp long, keys array<long>")
+    return docs.mapInArrow(run, "id long, none boolean, th long, node long, bytes long, fp long, keys array<long>")
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
@@ -139,7 +142,8 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def compared(candidates: DataFrame) -> DataFrame:
-    """``candidates(root, node, text)`` to ``(node, kind)``: nodes of one kind are near copies, by a chain of them."""
+    """``candidates(root, node, first, second, text)`` to pairs ``(node, kind)`` of nodes that are near copies, by a
+    chain of them inside one group."""
 
     def tie(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
@@ -148,7 +152,17 @@ def compared(candidates: DataFrame) -> DataFrame:
         label = similar([np.unique(shingles((text[int(i)].as_py() or "").encode(), known)) for i in pick])
         return pa.table({"node": node, "kind": node[label]})
 
-    return candidates.groupBy("root").applyInArrow(tie, "node long, kind long")
+    return candidates.groupBy("root", "first", "second").applyInArrow(tie, "node long, kind long")
+
+
+def dealt(wanted: DataFrame) -> DataFrame:
+    """``wanted(root, node, bytes, ...)`` with the groups ``(root, first, second)`` in which nodes are compared. A
+    component of more than GROUP_BYTES of text is cut into blocks, and each two of its blocks are a group, so that no
+    task gets a whole one; a block of one text may be larger."""
+    sizes = wanted.groupBy("root").agg(F.ceil(F.sum("bytes") / GROUP_BYTES).cast("int").alias("blocks"))
+    rows = wanted.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
+    return rows.select(*wanted.columns, F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), (F.col("blocks") > 1).alias("cut"))
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,7 +171,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     key = ["id", "none", "th"]
     named = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(0)).alias("id"), none.alias("none"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     rows = cut(sketches(named))
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("none", "id", "th")).alias("best"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("none", "id", "th")).alias("best"), F.max("bytes").alias("bytes"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
     keys = nodes.select(F.explode("keys").alias("k"), "node")
     least = keys.groupBy("k").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     banded = keys.join(least, "k").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
@@ -167,8 +181,12 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     ties = ties.join(points.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(points.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b")
     edges = banded.unionByName(same).unionByName(ties.select(F.col("x").alias("a"), F.col("y").alias("b")))
     roots = connected_components(edges)
-    wanted = cut(nodes.join(roots, "node").select("node", "root", *(F.col(f"best.{c}").alias(c) for c in key)))
-    kinds = cut(compared(named.join(wanted, key).select("root", "node", "text")))
+    wanted = cut(dealt(nodes.join(roots, "node").select("node", "root", "bytes", *(F.col(f"best.{c}").alias(c) for c in key))))
+    kinds = cut(compared(named.join(wanted, key).select("root", "node", "first", "second", "text")))
+    many = wanted.where("cut").select("node").distinct()
+    if not many.isEmpty():  # a node of a component that was cut has an answer from each of its groups
+        whole = connected_components(kinds.join(many, "node", "left_semi").select(F.col("node").alias("a"), F.col("kind").alias("b")))
+        kinds = kinds.join(many, "node", "left_anti").unionByName(whole.withColumnRenamed("root", "kind"))
     found = rows.select(*key, "node").join(kinds, "node", "left")
     return found.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "th", F.coalesce("kind", "node").alias("root"))
 
