@@ -105,6 +105,12 @@ def texts(column) -> Iterator[bytes]:
     return (bytes(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
+def chunk_bytes(total: int, least: int, most: int) -> int:
+    """The size of a chunk of ``total`` bytes: it grows from ``least`` to ``most`` once there would be over a million
+    chunks, since what every chunk has is one entry of each chunk in some group."""
+    return min(most, max(least, total >> 20))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes what shared_path() named, wherever it lies."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

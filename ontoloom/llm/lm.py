@@ -10,7 +10,7 @@ whole training text, their expected counts summed across partitions, until a rou
 mean log-likelihood by less than ``TOLERANCE``. Scores come from the scaled forward recursion over each whole text.
 
 The driver holds class tables, never a vocabulary: at most MOST words can make up one in MOST tokens each, so what is
-sent to executors is bounded by 2 * MOST classes of STATES numbers. A chunk grows with the corpus (chunk_bytes()), so
+sent to executors is bounded by 2 * MOST classes of STATES numbers. Chunks grow with the corpus (common.chunk_bytes), so
 that the entries for a word that every chunk has stay few.
 
 Defined results. A null text is empty and scores as its end alone. A null id trains. Words that training never saw
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, longs, shuffle_partitions, texts
+from .common import chunk_bytes, cut, longs, shuffle_partitions, texts
 
-CHUNK_BYTES, MOST_CHUNK_BYTES, MANY_CHUNKS = 4 << 20, 32 << 20, 1 << 20
+CHUNK_BYTES, MOST_CHUNK_BYTES = 4 << 20, 32 << 20
 LEAST, MOST = 1 << 10, 1 << 15
 COARSE_TOP, COARSE_REST = 511, 256
 COARSE = COARSE_TOP + COARSE_REST + 1
@@ -45,10 +45,6 @@ SUMS = 16
 NONE = 0xFFFF
 
 
-def chunk_bytes(total: int) -> int:
-    return min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, total // MANY_CHUNKS))
-
-
 def alphabet(tokens: int) -> int:
     return min(MOST, max(LEAST, 4 * math.isqrt(tokens)))
 
@@ -403,7 +399,7 @@ def language_model(docs: DataFrame, train: Column, id: str = "doc_id", text: str
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count("*").alias("n"), F.sum(F.coalesce(train, F.lit(True)).cast("long")).alias("t")).first()
     size = (total["b"] or 0) + 64 * total["n"]
-    chunks = max(1, -(-size // chunk_bytes(size)))
+    chunks = max(1, -(-size // chunk_bytes(size, CHUNK_BYTES, MOST_CHUNK_BYTES)))
     parts = docs.select(F.pmod(F.xxhash64(F.col(id).cast("long")), F.lit(chunks)).cast("int").alias("chunk"), F.col(id).cast("long").alias("id"), F.col(id).isNull().alias("none"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text).cast("string").alias("text"))
     first = cut(asked(parts, max(shuffle_partitions(spark), chunks // 4, 1)))
     ends = int(total["t"] or 0)

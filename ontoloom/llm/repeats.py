@@ -12,9 +12,10 @@ passes over partitions, and after each pass only groups with more than one membe
 4. Last digit, only for windows over a half that is seen again: the window itself.
 
 The groups that are left equal are exactly the repeated windows (digits are compared by at least 96 bits of hash
-of the whole content they stand for). Documents are dealt to chunks of ``CHUNK_BYTES`` once; every later step
-reads that exchange again. A chunk sends each distinct digit once with the least document that has it, so a
-passage in a third of all documents costs each bucket one entry a chunk.
+of the whole content they stand for). Documents are dealt to chunks of ``CHUNK_BYTES`` once (of up to
+``MOST_CHUNK_BYTES`` in a corpus of over a TiB); every later step reads that exchange again. A chunk sends each
+distinct digit once with the least document that has it, so a passage in a third of all documents costs each bucket
+one entry a chunk, which is 14 bytes.
 
 Defined results. A null text is empty. A null id orders after every id. Rows with the same id count as one
 document among themselves. Texts under ``length`` bytes stay as they are. An empty table gives an empty table.
@@ -27,13 +28,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import buffers, longs, pack, tidy, unpack
+from .common import buffers, chunk_bytes, longs, pack, tidy, unpack
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, MOST_CHUNK_BYTES = 1 << 20, 16 << 20
 BUCKET_BYTES = 8 << 20
 GRAM = 16
 TILE = 1 << 17
@@ -272,18 +273,20 @@ def replies(table: pa.Table, kind: int, chunk: int, key: np.ndarray, bits: int,
 
 def mark_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """The columns of ``docs`` as struct ``row``, and ``n_bytes``, ``n_removed``, ``spans`` (array of byte bounds
-    of the maximal removed runs) and ``kept`` (binary)."""
+    of the maximal removed runs) and ``kept`` (binary). If there is but an id and a text, ``row`` has the id alone."""
+    return marked(docs, id, text, F.struct(id) if docs.columns == [id, text] else F.struct("*"), length)
+
+
+def marked(docs: DataFrame, id: str, text: str, row: Column, length: int) -> DataFrame:
     if length < 2 * GRAM:
         raise ValueError(f"length is {length}; at least {2 * GRAM} is needed")
     total = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
-    chunks = max(1, -(-((total[0] or 0) + 64 * total[1]) // CHUNK_BYTES))
+    size = (total[0] or 0) + 64 * total[1]
+    chunks = max(1, -(-size // chunk_bytes(size, CHUNK_BYTES, MOST_CHUNK_BYTES)))
     # A bucket takes about 14 bytes for each anchor, one in (width + 1) / 2 bytes of text.
     buckets = max(1, -(-28 * (total[0] or 0) // (length - GRAM + 2) // BUCKET_BYTES))
-    schema = docs.select(F.struct("*").alias("row")).schema
-    parts = docs.select(F.pmod(F.xxhash64(F.col(id).cast("long")), F.lit(chunks)).cast("int").alias("chunk"), F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("body"), F.struct("*").alias("row"))
-    if docs.columns == [id, text]:
-        parts = parts.withColumn("row", F.struct(F.col(f"row.{id}").alias(id)))
-        schema = parts.select("row").schema
+    parts = docs.select(F.pmod(F.xxhash64(F.col(id).cast("long")), F.lit(chunks)).cast("int").alias("chunk"), F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("body"), row.alias("row"))
+    schema = parts.select("row").schema
     own = parts.groupBy("chunk")
 
     def opened(group: pa.Table) -> tuple[int, Chunk]:
@@ -366,14 +369,21 @@ def mark_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length
     return own.cogroup(told.groupBy("chunk")).applyInArrow(removed, out)
 
 
-def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
-    """``docs`` with repeated strings cut out of ``text``. A character of which only a part was cut goes too."""
+def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text``. A character of which only a part was cut goes too. With
+    ``drop_emptied``, rows that lost bytes and have no word left go."""
+    rest = [c for c in docs.columns if c != text]
 
     def run(batches):
         for b in batches:
-            done = [None if t is None else k.decode("utf-8", "ignore") if n else t for t, n, k in zip(b.column("body").to_pylist(), b.column("n_removed").to_pylist(), b.column("kept").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(done, pa.string())], names=["row", "body"])
-
-    marked = mark_repeats(docs, id, text, length).select("row", F.col(f"row.`{text}`").alias("body"), "n_removed", "kept")
-    done = marked.mapInArrow(run, marked.select("row", "body").schema)
-    return done.select(*(F.col("body").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+            done, stay = [], []
+            for none, n, k in zip(b.column("none").to_pylist(), b.column("n_removed").to_pylist(), b.column("kept"), strict=True):
+                raw = k.as_py()
+                done.append(None if none else raw.decode("utf-8", "ignore" if n else "replace"))
+                stay.append(not (drop_emptied and n and not raw.split()))
+            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(done, pa.string())], names=["rest", "body"]).filter(pa.array(stay, pa.bool_()))
+
+    row = F.struct(F.struct(*rest).alias("rest"), F.col(text).isNull().alias("none"))  # the text is not sent twice
+    found = marked(docs, id, text, row, length).select("row.rest", "row.none", "n_removed", "kept")
+    done = found.mapInArrow(run, found.select("rest", F.lit(None).cast("string").alias("body")).schema)
+    return done.select(*(F.col("body").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

@@ -116,7 +116,8 @@ def test_vantage_point_tree_finds_every_pair(spark, monkeypatch):
     assert len({root(p) for p in signed}) >= 140
 
 
-def test_near_copies_of_the_pipeline(spark, docs, empty):
+@pytest.mark.parametrize("cut_up", [False, True])
+def test_near_copies_of_the_pipeline(spark, docs, empty, monkeypatch, cut_up):
     import corpus_pipeline
 
     rng = random.Random(6)
@@ -140,6 +141,8 @@ def test_near_copies_of_the_pipeline(spark, docs, empty):
                 old, new = group[a], group[b]
                 group = [new if g == old else g for g in group]
     df = spark.createDataFrame(rows, DOCS).repartition(3)
+    if cut_up:
+        monkeypatch.setattr(near, "GROUP_BYTES", 3000)
     kept = corpus_pipeline.near_dedup(spark, df, SF)
     want = [min((r[0] is None, r[0]) for r, h in zip(rows, group) if h == g) for g in set(group)]
     got = [(r["doc_id"] is None, r["doc_id"]) for r in kept.collect()]
@@ -351,3 +354,45 @@ def test_pipeline(spark):
     rows = out.collect()
     assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(out.columns) and 50 < len(rows) < 3 * len(before)
     assert all(r["doc_id"] in before and r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_decontamination_fills_slots_once_over_a_passage(spark):
+    item = "Tom has 5 apples in a box and later on he gives 5 of the apples to a friend who lives next door to the old mill"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    same, other = item.replace("5", "7"), item.replace("5", "7", 1).replace("gives 5", "gives 99")
+    gap = lambda t: t.replace("later on", "later on and after a rest")
+    noise = "Tom has 3 apples in a box and later on he sleeps"
+    texts = {1: same, 2: other, 3: gap(same), 4: gap(other), 5: f"{noise}. {same}", 6: f"{same}. {noise}. {noise}", 7: item, 8: gap(item)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("own_id", F.lit(11)).withColumn("_leak_id", F.lit(12))
+    got = {r["id"]: r["kind"] for r in decontaminate.leaks(df, items).collect()}
+    assert got == {1: "reparameterised", 3: "reparameterised", 5: "reparameterised", 6: "reparameterised", 7: "exact", 8: "exact"}
+    kept = decontaminate.drop_leaks(df, items).collect()
+    assert {(r["doc_id"], r["own_id"], r["_leak_id"]) for r in kept} == {(2, 11, 12), (4, 11, 12)}
+
+
+def test_decontamination_by_plain_windows_against_brute_force(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    head = "choose the right answer to this question and explain why".split()
+    items = {k: (head if k % 2 else []) + [rng.choice(words) for _ in range(rng.randint(3, 25))] for k in range(25)}
+    texts = {}
+    for i in range(150):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        own = list(items[rng.randrange(25)])
+        if i % 2:
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            text[3:3] = own
+        texts[i] = text
+    w = decontaminate.WINDOW
+    want = set()
+    for i, text in texts.items():
+        for k, item in items.items():
+            n = min(w, len(item))
+            have = {tuple(text[p : p + n]) for p in range(len(text) - n + 1)}
+            parts = [tuple(item[p : p + n]) for p in range(len(item) - n + 1)]
+            if sum(p in have for p in parts) >= 0.8 * len(parts):
+                want.add((i, k))
+    as_text = lambda x: [(k, " ".join(v)) for k, v in x.items()]
+    got = decontaminate.leaks(spark.createDataFrame(as_text(texts), "doc_id long, text string"), spark.createDataFrame(as_text(items), "item_id long, text string")).collect()
+    assert {(r["id"], r["item_id"]) for r in got} == want and len(want) > 15 and len(got) == len(want)
