@@ -8,17 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import WORD, shared_path, table
+from ontoloom.llm.common import drop_path, shared_path, table
 from ontoloom.llm.decontaminate import drop_leaks
 from ontoloom.llm.mixing import mix
 from ontoloom.llm.near import drop_near_copies
 from ontoloom.llm.repeats import drop_repeats
 from ontoloom.llm.rules import keep_quality
 
-#: Passages of over 50 words have at least 51 bytes of words and 50 between them.
-PASSAGE_BYTES = 100
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return keep_quality(docs)
@@ -30,8 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; a document of which no word is left goes."""
-    left = drop_repeats(docs, length=PASSAGE_BYTES).where(F.col("text").rlike(WORD))
+    """Strings of 50 bytes that an earlier document has are cut out; a document that loses all its words so goes."""
+    left = drop_repeats(docs, drop_emptied=True)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
@@ -58,9 +54,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of ``documents``; each stage is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = shared_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            drop_path(spark, before)
+        before = out
     return docs
