@@ -35,7 +35,7 @@ from pyspark.sql.types import StructType
 from .common import buffers, chunk_bytes, longs, pack, tidy, unpack
 
 CHUNK_BYTES, MOST_CHUNK_BYTES = 1 << 20, 16 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 GRAM = 16
 TILE = 1 << 17
 _RNG = np.random.Generator(np.random.PCG64(7))
