@@ -2,24 +2,66 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import threading
+import time
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .errors import Nonconformance, ProjectionError
+from .errors import BackendUnavailable, Cancelled, InvalidOptions, Nonconformance, ProjectionError, ProjectionWarning, ResourceLimit
 from .operators.roles import RoleState, fold
-from .options import PROFILE, Options
+from .options import Options
 from .plans import projection as plan
 from .sources.views import Ontology
 from .streaming import sinks
 from .streaming.sinks import Artifact, Edge
 
 
+ARTIFACT_SCHEMA = "ontoloom-edges-1"
+
+
+class Limits(NamedTuple):
+    """What a call may use before it fails; None: no limit."""
+
+    max_edges: int | None = None
+    max_seconds: float | None = None
+
+
+class CancellationToken:
+    """Ends the jobs of the calls that it is given to, from any thread; such a call raises Cancelled."""
+
+    def __init__(self):
+        self.tag = f"projection-{uuid.uuid4().hex}"
+        self.cancelled = False
+        self._spark = None
+
+    def bind(self, spark: SparkSession) -> None:
+        self._spark = spark
+        spark.addTag(self.tag)
+        self.check()
+
+    def release(self) -> None:
+        if self._spark is not None:
+            self._spark.removeTag(self.tag)
+
+    def cancel(self) -> None:
+        self.cancelled = True
+        if self._spark is not None:
+            self._spark.interruptTag(self.tag)
+
+    def check(self) -> None:
+        if self.cancelled:
+            raise Cancelled("the call was cancelled")
+
+
 @dataclass(frozen=True)
 class Report:
     profile: str
@@ -31,8 +73,28 @@ class Report:
     skipped_axioms: int
     warnings: int
     diagnostics: tuple
+    source_kind: str
+    snapshot_sha256: str
+    invocation: int
+    diagnostics_sha256: str
+    history_sha256: str
     backend: str = "spark"
-    history_sha256: str | None = None
+
+    def warning_summary(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for code, _, severity, _, n in self.diagnostics:
+            if severity == "warning":
+                out[code] = out.get(code, 0) + n
+        return out
+
+    def metadata(self) -> dict:
+        """What an artifact says of its edges: nothing that differs by backend."""
+        return {
+            "schema": ARTIFACT_SCHEMA, "profile": self.profile, "options": {k: v for k, v in self.options.items() if k != "backend"}, "snapshot": {"axioms_sha256": self.snapshot_sha256},
+            "provenance": {"diagnostics_sha256": self.diagnostics_sha256, "invocation": self.invocation, "history_sha256": self.history_sha256},
+            "counts": {"edges": self.edges, "duplicates": self.duplicates, "skipped_axioms": self.skipped_axioms, "ignored_shapes": self.ignored_shapes, "warnings": self.warnings},
+            "warning_summary": self.warning_summary(), "artifact_hash_preimage": "metadata-without-artifact_sha256+edge-records",
+        }
 
 
 def load(source: Ontology | Callable[[], Ontology]) -> Ontology:
@@ -43,75 +105,138 @@ def load(source: Ontology | Callable[[], Ontology]) -> Ontology:
     return view
 
 
+def snapshot(view: Ontology) -> str:
+    """A digest of the bag of axioms, whatever their order: of the counts and sums of hashes of canonical bytes by kind
+    and document, which one aggregation finds."""
+    parts = [view.axioms(k).groupBy(F.lit(k).alias("kind"), "doc_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("canon").cast("decimal(38,0)")).cast("string").alias("h")) for k in view.kinds()]
+    rows = sorted(tuple(map(str, r)) for p in parts for r in p.collect())
+    return hashlib.sha256(sinks.record({"axioms": rows})).hexdigest()
+
+
 class Projector:
-    """Holds default options and, under ``scala-instance``, the role state of all calls; such calls don't overlap."""
+    """Holds default options and, under ``scala-instance``, the role state of all calls; such calls don't overlap: one
+    lasts until its result is complete, its iterator ended or closed."""
 
     def __init__(self, options: Options | None = None):
         self.options = options or Options()
         self.last_report: Report | None = None
         self.last_view: Ontology | None = None
         self._state = RoleState()
-        self._chains = 0
         self._lock = threading.Lock()
-        self._history = hashlib.sha256()
-
-    def _roles(self, view: Ontology, options: Options) -> tuple[DataFrame, int, str | None]:
-        if options.compatibility_state == "isolated":
-            state, chains = fold(view)
-            return state.table(view.spark), chains, None
-        if not self._lock.acquire(blocking=False):
-            raise ProjectionError("calls of a stateful projector overlap")
+        self._history = ""
+        self._invocations = 0
+
+    @contextlib.contextmanager
+    def _call(self, view: Ontology, options: Options, token: CancellationToken | None = None) -> Iterator[tuple[DataFrame, int]]:
+        """The table of roles for one call, and how many role axioms had a chain."""
+        stateful = options.compatibility_state == "scala-instance"
+        if stateful and not self._lock.acquire(blocking=False):
+            raise InvalidOptions("compatibility_state='scala-instance' is non-concurrent", compatibility_state="scala-instance")
         try:
-            _, chains = fold(view, self._state)
-            self._history.update(repr(sorted(self._state.subroles.items())).encode() + repr(sorted(self._state.inverses.items())).encode())
-            return self._state.table(view.spark), chains, self._history.hexdigest()
+            if token:
+                token.bind(view.spark)
+            self.last_view = view
+            self._invocations += 1
+            state, chains = fold(view, self._state if stateful else None)
+            yield state.table(view.spark), chains
+        except Exception as e:
+            if token and token.cancelled and not isinstance(e, Cancelled):
+                raise Cancelled("the call was cancelled") from e
+            raise
         finally:
-            self._lock.release()
+            if token:
+                token.release()
+            if stateful:
+                self._lock.release()
 
-    def edges(self, view: Ontology, options: Options | None = None, max_edges: int | None = None) -> DataFrame:
-        """The ordered edges as a DataFrame; nothing is collected."""
+    def edges(self, view: Ontology, options: Options | None = None, limits: Limits = Limits()) -> DataFrame:
+        """The ordered edges as a DataFrame; nothing is collected. A stateful call ends when the plan is made."""
         options = options or self.options
-        self.last_view = view
-        return plan.projected(view, options, self._roles(view, options)[0], max_edges)
+        with self._call(view, options) as (roles, _):
+            return plan.projected(view, options, roles, limits.max_edges)
 
-    def project(self, view: Ontology, options: Options | None = None) -> list[Edge]:
-        return list(sinks.iterate(self.edges(view, options)))
+    def project(self, view: Ontology, options: Options | None = None, limits: Limits = Limits(), token: CancellationToken | None = None) -> list[Edge]:
+        return list(self.iter_edges(view, options, limits, token))
 
     def project_with_report(self, view: Ontology, options: Options | None = None) -> tuple[list[Edge], Report]:
         options = options or self.options
-        roles, chains, history = self._roles(view, options)
-        edges = list(sinks.iterate(plan.projected(view, options, roles)))
-        self.last_view = view
-        self.last_report = self._report(view, options, roles, chains, history)
-        return edges, self.last_report
+        with self._call(view, options) as (roles, chains):
+            edges = list(sinks.iterate(plan.projected(view, options, roles)))
+            return edges, self._report(view, options, roles, chains)
 
-    def _report(self, view, options, roles, chains, history) -> Report:
+    def _report(self, view: Ontology, options: Options, roles: DataFrame, chains: int) -> Report:
         counts = plan.edge_counts(plan.raw_edges(view, options, roles)).first()
         found = sorted((tuple(r) for r in plan.diagnostics(view, options).collect()), key=lambda r: tuple(map(str, r)))
         of = lambda code: sum(r[4] for r in found if r[0] == code)
-        return Report(options.profile, options.to_dict(), counts["raw_edges"] if options.duplicates == "preserve" else counts["distinct_edges"], counts["distinct_edges"], counts["duplicate_edges"], of(plan.IGNORED[0]) + chains, of(plan.SKIPPED[0]), sum(r[4] for r in found if r[2] == "warning"), tuple(found), history_sha256=history)
-
-    def iter_edges(self, view: Ontology, options: Options | None = None) -> Iterator[Edge]:
-        return sinks.iterate(self.edges(view, options))
+        digest, number = snapshot(view), self._invocations
+        item = sinks.record({"snapshot": digest, "options": options.semantic(), "invocation": number})
+        stateful = options.compatibility_state == "scala-instance"
+        history = hashlib.sha256((self._history.encode() if stateful else b"") + b"\0" + item).hexdigest()
+        if stateful:
+            self._history = history
+        self.last_report = Report(
+            options.profile, options.to_dict(), counts["raw_edges"] if options.duplicates == "preserve" else counts["distinct_edges"], counts["distinct_edges"], counts["duplicate_edges"],
+            of(plan.IGNORED[0]) + chains, of(plan.SKIPPED[0]), sum(r[4] for r in found if r[2] == "warning"), tuple(found),
+            view.source_kind, digest, number, hashlib.sha256(sinks.record({"diagnostics": found})).hexdigest(), history,
+        )
+        return self.last_report
+
+    def iter_edges(self, view: Ontology, options: Options | None = None, limits: Limits = Limits(), token: CancellationToken | None = None) -> Iterator[Edge]:
+        options = options or self.options
+        ends = None if limits.max_seconds is None else time.monotonic() + limits.max_seconds
+        with self._call(view, options, token) as (roles, _):
+            for n, e in enumerate(sinks.iterate(plan.projected(view, options, roles, limits.max_edges))):
+                if token:
+                    token.check()
+                if ends is not None and n % 1024 == 0 and time.monotonic() > ends:
+                    raise ResourceLimit(f"over {limits.max_seconds} seconds", max_seconds=limits.max_seconds, seen=n)
+                yield e
 
     def project_to_sink(self, view: Ontology, sink, options: Options | None = None, batch_edges: int = 10_000) -> int:
-        return sinks.to_sink(self.edges(view, options), sink, batch_edges)
+        options = options or self.options
+        with self._call(view, options) as (roles, _):
+            return sinks.to_sink(plan.projected(view, options, roles), sink, batch_edges)
 
     def write_artifact(self, view: Ontology, path: str | os.PathLike, options: Options | None = None) -> Artifact:
         options = options or self.options
-        return sinks.write_artifact(self.edges(view, options), path, {"profile": PROFILE, "options": options.to_dict()})
+        with self._call(view, options) as (roles, chains):
+            metadata = self._report(view, options, roles, chains).metadata()
+            return sinks.write_artifact(plan.projected(view, options, roles), path, metadata)
 
     def canonical_digest(self, view: Ontology, options: Options | None = None) -> str:
-        return sinks.digest(self.edges(view, replace(options or self.options, order="canonical")))
+        options = replace(options or self.options, order="canonical")
+        with self._call(view, options) as (roles, _):
+            return sinks.digest(plan.projected(view, options, roles))
 
     def taxonomy(self, view: Ontology, bidirectional: bool = False, **policy) -> DataFrame:
         return plan.taxonomy(view, bidirectional, **policy)
 
-    def cancellable(self, view: Ontology) -> tuple[str, Callable[[], None]]:
-        """A tag for this thread's jobs and a function that ends them."""
-        tag = f"projection-{uuid.uuid4().hex}"
-        view.spark.addTag(tag)
-        return tag, lambda: view.spark.interruptTag(tag)
+    def iter_taxonomy_edges(self, view: Ontology, bidirectional: bool = False, **policy) -> Iterator[Edge]:
+        return sinks.iterate(self.taxonomy(view, bidirectional, **policy))
+
+
+class BackendStatus(NamedTuple):
+    available: bool
+    reason: str | None = None
+
+
+def probe_native_backend() -> BackendStatus:
+    """The engine is Spark; it is there when a session is active."""
+    if SparkSession.getActiveSession() is None:
+        return BackendStatus(False, "no Spark session is active")
+    return BackendStatus(True)
+
+
+def select_backend(requested: str, probe: Callable[[], BackendStatus] = probe_native_backend) -> str:
+    """``native`` asks for an engine that is up already. Otherwise a missing one, which the first query starts, is
+    worth a warning under ``auto``."""
+    Options(backend=requested)
+    status = probe()
+    if not status.available and requested == "native":
+        raise BackendUnavailable(status.reason or "no engine", requested=requested)
+    if not status.available and requested == "auto":
+        warnings.warn(status.reason or "no engine", ProjectionWarning, stacklevel=2)
+    return "spark"
 
 
 def project_source(source, options: Options | None = None) -> list[Edge]:
@@ -126,6 +251,10 @@ def project_taxonomy(source, bidirectional: bool = False) -> list[Edge]:
     return list(sinks.iterate(plan.taxonomy(load(source), bidirectional)))
 
 
+def iter_taxonomy_edges(source, bidirectional: bool = False) -> Iterator[Edge]:
+    return Projector().iter_taxonomy_edges(load(source), bidirectional)
+
+
 def canonical_edges_sha256(source, options: Options | None = None) -> str:
     return Projector(options).canonical_digest(load(source))
 

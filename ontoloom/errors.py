@@ -1,4 +1,4 @@
-"""Typed failures, each with a stable code."""
+"""Typed failures, each with a stable code. The codes."""
 
 
 class ProjectionError(Exception):
@@ -33,6 +33,10 @@ class ResourceLimit(ProjectionError):
     code = "PROJECTION_RESOURCE"
 
 
+class Cancelled(ProjectionError):
+    code = "PROJECTION_CANCELLED"
+
+
 class Nonconformance(ProjectionError, AssertionError):
     code = "CONSUMER_CONFORMANCE"
 

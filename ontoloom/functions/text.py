@@ -57,7 +57,7 @@ def property_hash(prop: Column) -> Column:
 
 def annotation_hashes(ann: Column) -> Column:
     property_ = lambda x: unsigned(iri_hash(x["prop"]))
-    value = lambda x: F.when(x["iri"].isNotNull(), iri_hash(x["iri"])).otherwise(string_hash(F.coalesce(x["lexical"], F.lit(""))))
+    value = lambda x: F.when(x["iri"].isNotNull(), iri_hash(x["iri"])).otherwise(string_hash(F.coalesce(x["key"], x["lexical"], F.lit(""))))
     return F.transform(F.coalesce(ann, F.array().cast(S.ANNOTATIONS)), lambda x: combined(HASH_SEEDS["annotation"], property_(x), value(x)))
 
 

@@ -1,7 +1,16 @@
-"""Role state: which sub-roles and which inverse a role expands to."""
+"""Role state: which sub-roles and which inverse a role expands to.
+
+Each sub-role axiom, when it is visited, gives its upper role the list of its sub-role followed by the list that the
+sub-role has at that time. So the axiom points to the one that last gave its sub-role a list, and the list of a role is
+what one meets on the way from the last axiom that gave it one. The state is these pointers: one for each axiom, though
+lists may have as many entries as the square of their number.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,37 +18,87 @@ from ..errors import ResourceLimit
 from ..functions.text import role_axiom_hash, spread
 from ..sources.views import Ontology
 
-#: A role box is schema-sized. Beyond so many axioms the fold on the driver is refused.
+#: A role box is schema-sized. Beyond so many axioms its pointers are not brought to the driver: an error.
 MAX_ROLE_AXIOMS = 1_000_000
-BROADCAST_ROLES = 100_000
+#: Bytes of all lists up to which the table of roles is sent to all tasks.
+BROADCAST_BYTES = 16 << 20
+NONE = -1
+ROLES = "relation string, subroles array<string>, inverse string"
 
 
 class RoleState:
-    """The two maps, as a fold over the role axioms leaves them."""
+    """What a series of role axioms leaves: pointers of sub-role axioms, and inverses."""
 
     def __init__(self):
-        self.subroles: dict[str, tuple[str, ...]] = {}
+        self.sub: list[str] = []
+        self.before: list[int] = []
+        self.size: list[int] = []  # bytes of the list that starts here, with 16 for each entry
+        self.last: dict[str, int] = {}
         self.inverses: dict[str, str] = {}
 
-    def fold(self, axioms) -> int:
-        """Applies (is_inverse, first, second) in order; returns how many had a chain and did nothing."""
+    def visit(self, axioms) -> int:
+        """Takes (is_inverse, first, second) in order; returns how many had a chain and did nothing."""
         chains = 0
         for is_inverse, first, second in axioms:
-            if first is None or second is None:
+            if None in (first, second):
                 chains += 1
             elif is_inverse:
-                self.inverses[first] = second
-                self.inverses[second] = first
-            else:  # the children known so far are those of the sub-role: a defect that results depend on
-                self.subroles[second] = (first, *self.subroles.get(first, ()))
+                self.inverses |= {first: second, second: first}
+            else:  # the list known so far is that of the sub-role: a defect that results depend on
+                at = self.last.get(first, NONE)
+                self.sub.append(first)
+                self.before.append(at)
+                self.size.append(weight(first, self.size, at))
+                self.last[second] = len(self.sub) - 1
         return chains
 
+    def subroles(self, role: str) -> Iterator[str]:
+        yield from way(self.sub, self.before, self.last.get(role, NONE))
+
+    def roles(self) -> list[tuple[str, int, str | None]]:
+        """Role, the axiom at which its list starts, its inverse."""
+        return [(r, self.last.get(r, NONE), self.inverses.get(r)) for r in sorted({*self.last, *self.inverses})]
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """``relation, subroles, inverse``; sent to all tasks if it is small, else joined by shuffle."""
-        names = sorted({*self.subroles, *self.inverses})
-        rows = [(n, list(self.subroles.get(n, ())), self.inverses.get(n)) for n in names]
-        df = spark.createDataFrame(rows, "relation string, subroles array<string>, inverse string")
-        return F.broadcast(df) if len(rows) <= BROADCAST_ROLES else df
+        """ROLES. A small one is sent to all tasks; else tasks make the lists, and it is joined by shuffle."""
+        size = sum(self.size[at] + len(r) for r, at in self.last.items()) + sum(len(a) + len(b) for a, b in self.inverses.items())
+        if size <= BROADCAST_BYTES:
+            return F.broadcast(spark.createDataFrame([(r, list(way(self.sub, self.before, at)), back) for r, at, back in self.roles()], ROLES))
+        sent = spark.sparkContext.broadcast((self.sub, self.before))
+
+        def lists(batches):
+            for b in batches:
+                yield pd.DataFrame({"relation": b["relation"], "subroles": [list(way(*sent.value, int(at))) for at in b["at"]], "inverse": b["inverse"]})
+
+        return spark.createDataFrame(self.roles(), "relation string, at long, inverse string").mapInPandas(lists, ROLES)
+
+    def to_rows(self) -> list[tuple]:
+        """The state as rows of STATE, from which of_rows() makes it again."""
+        return [("sub", i, s, None, b) for i, (s, b) in enumerate(zip(self.sub, self.before, strict=True))] + [("last", i, r, None, None) for r, i in self.last.items()] + [("inverse", None, a, b, None) for a, b in self.inverses.items()]
+
+    @classmethod
+    def of_rows(cls, rows) -> RoleState:
+        out = cls()
+        for _, i, name, _, at in sorted((tuple(r) for r in rows if r[0] == "sub"), key=lambda r: r[1]):
+            out.sub.append(name)
+            out.before.append(at)
+            out.size.append(weight(name, out.size, at))
+        out.last = {name: i for kind, i, name, _, _ in rows if kind == "last"}
+        out.inverses = {a: b for kind, _, a, b, _ in rows if kind == "inverse"}
+        return out
+
+
+STATE = "kind string, number long, name string, inverse string, before long"
+
+
+def weight(name: str, sizes: list[int], at: int) -> int:
+    return len(name.encode()) + 16 + (sizes[at] if at >= 0 else 0)
+
+
+def way(sub: list[str], before: list[int], at: int) -> Iterator[str]:
+    while at >= 0:
+        yield sub[at]
+        at = before[at]
 
 
 def role_axioms(view: Ontology) -> DataFrame:
@@ -52,31 +111,23 @@ def role_axioms(view: Ontology) -> DataFrame:
 
 
 def capacity(n: int) -> int:
-    """Slots of a hash table that doubles from 16 on and is at most three quarters full."""
-    slots = 16
-    while n > int(slots * 0.75):
-        slots *= 2
-    return slots
-
-
-def hash_order(df: DataFrame, slots: int) -> DataFrame:
-    """Adds ``bucket`` and ``spread``; the table's order is by them, then canonical bytes."""
-    df = df.withColumn("spread", spread(F.col("hash")))
-    return df.withColumn("bucket", F.col("spread").bitwiseAND(F.lit(slots - 1)))
+    """Slots of a hash table of n entries: the least power of two, 16 at least, that they fill to three quarters."""
+    return max(16, 1 << (-(-4 * n // 3) - 1).bit_length())
 
 
 def visited(view: Ontology) -> list[tuple]:
-    found = role_axioms(view)
-    n = found.count()
-    if n > MAX_ROLE_AXIOMS:
-        raise ResourceLimit(f"{n} role axioms; at most {MAX_ROLE_AXIOMS} are folded", role_axioms=n)
-    rows = hash_order(found, capacity(n)).orderBy("bucket", "spread", "canon").select("is_inverse", "first", "second").collect()
-    return [tuple(r) for r in rows]
+    """(is_inverse, first, second) in the order of the table: by slot, spread hash and canonical bytes. They come to
+    the driver by one job and are put in order there, since slots depend on how many there are."""
+    found = role_axioms(view).select("is_inverse", "first", "second", spread(F.col("hash")).alias("spread"), "canon").limit(MAX_ROLE_AXIOMS + 1).collect()
+    if len(found) > MAX_ROLE_AXIOMS:
+        raise ResourceLimit(f"more than {MAX_ROLE_AXIOMS} role axioms", role_axioms=len(found))
+    last_slot = capacity(len(found)) - 1
+    return [tuple(r)[:3] for r in sorted(found, key=lambda r: (r["spread"] & last_slot, r["spread"], bytes(r["canon"])))]
 
 
 def fold(view: Ontology, state: RoleState | None = None) -> tuple[RoleState, int]:
     state = state or RoleState()
-    return state, state.fold(visited(view))
+    return state, state.visit(visited(view))
 
 
 def expand(base: DataFrame, roles: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..errors import UnsupportedAxiomShape
+from ..errors import IncompatibleSource, UnsupportedAxiomShape
 from ..functions.text import blank_label, literal_text
 from ..options import Options
 from ..sources.views import Ontology, class_signature
@@ -156,21 +156,14 @@ def class_assertion_ignored(view: Ontology) -> DataFrame:
     return view.axioms("ClassAssertion").where(~(is_class(F.col("sub")) & F.col("i1.iri").isNotNull())).select(F.lit("ClassAssertion").alias("constructor"))
 
 
-def refuse_inverse_assertions(view: Ontology) -> None:
-    bad = view.axioms("ObjectPropertyAssertion").where("p1.inverse").select("p1.iri").limit(1).collect()
-    if bad:
-        raise UnsupportedAxiomShape("an object-property assertion with an inverse property", constructor="ObjectInverseOf", reference_error="java.lang.ClassCastException", property=bad[0]["iri"])
-
-
-#: Anonymous individuals that one task may number; beyond, they are numbered over a range partitioning.
-ONE_TASK_BLANKS = 1_000_000
 FIRST_BLANK = 1 << 31
-#: Leading bytes that tell groups of individuals apart: constructor, scope and some of the local key.
-LEAD_BYTES = 42
 
 
-def anonymous(view: Ontology) -> DataFrame:
-    parts = [view.axioms(k).select(F.explode("anons").alias("anon")) for k in view.kinds()]
+def anonymous(view: Ontology) -> DataFrame | None:
+    """Each anonymous individual once; None if the view has no kind of axiom that names any."""
+    parts = [view.axioms(k).select(F.explode("anons").alias("anon")) for k in view.anonymous_kinds()]
+    if not parts:
+        return None
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -178,29 +171,28 @@ def anonymous(view: Ontology) -> DataFrame:
 
 
 def blank_ids(found: DataFrame) -> DataFrame:
-    """``anon, blank``: distinct individuals numbered in the order of their canonical bytes."""
-    from pyspark.sql import Window
-
-    label = lambda n: F.concat(F.lit("_:genid"), (n + (FIRST_BLANK - 1)).cast("string"))
-    if found.count() <= ONE_TASK_BLANKS:
-        return found.select("anon", label(F.row_number().over(Window.orderBy("anon")).cast("long")).alias("blank"))
-    # Groups of neighbours in the order, by their leading bytes: each is numbered on its own, from the sum of the
-    # sizes of those before it. Sums run over spans of groups first, so no task sees all groups.
-    led = found.select("anon", F.hex(F.substring("anon", 1, LEAD_BYTES)).alias("lead"))
-    sizes = led.groupBy("lead").count().withColumn("span", F.substring("lead", 1, LEAD_BYTES))
-    spans = sizes.groupBy("span").agg(F.sum("count").alias("n"))
-    spans = spans.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("base"))
-    inside = F.sum("count").over(Window.partitionBy("span").orderBy("lead")) - F.col("count")
-    before = sizes.withColumn("inside", inside).join(spans, "span").select("lead", (F.col("inside") + F.col("base")).alias("before"))
-    number = F.row_number().over(Window.partitionBy("lead").orderBy("anon")) + F.col("before")
-    return led.join(before, "lead").select("anon", label(number).alias("blank"))
+    """``anon, blank``: distinct individuals numbered in the order of their canonical bytes, over a range partitioning
+    of any size: a place inside its partition, behind all that the partitions before hold. The numbered rows are kept
+    for the later steps, so they are sorted once and their partitions stay the same."""
+    row = F.monotonically_increasing_id()
+    placed = found.repartitionByRange("anon").sortWithinPartitions("anon").select("anon", F.spark_partition_id().alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")).persist()
+    sizes = sorted(placed.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a partition
+    first, rows = FIRST_BLANK, []
+    for r in sizes:
+        rows.append((r["part"], first))
+        first += r["n"]
+    starts = found.sparkSession.createDataFrame(rows, "part int, first long")
+    return placed.join(F.broadcast(starts), "part").select("anon", F.concat(F.lit("_:genid"), (F.col("first") + F.col("place")).cast("string")).alias("blank"))
 
 
 def with_blank(df: DataFrame, anon: str, label: str, to: str, blanks: DataFrame | None) -> DataFrame:
     """The number of an anonymous individual, or the label that it has of its own where none is known."""
     if blanks is None:
         return df.withColumn(to, F.col(label))
-    return df.join(blanks.select(F.col("anon").alias("_anon"), F.col("blank").alias("_blank")), F.col(anon) == F.col("_anon"), "left").withColumn(to, F.coalesce("_blank", F.col(label))).drop("_anon", "_blank")
+    # Rows without an anonymous individual stay out of the join, where they would meet under one key.
+    known = df.where(F.col(anon).isNotNull()).join(blanks.select(F.col("anon").alias("_anon"), F.col("blank").alias("_blank")), F.col(anon) == F.col("_anon"), "left")
+    known = known.withColumn(to, F.coalesce("_blank", F.col(label))).drop("_anon", "_blank")
+    return known.unionByName(df.where(F.col(anon).isNull()).withColumn(to, F.col(label)))
 
 
 def object_assertion_edges(view: Ontology, blanks: DataFrame | None) -> DataFrame:
@@ -237,12 +229,15 @@ def skipped(view: Ontology) -> DataFrame:
     return view.axioms("Other").where("root_kind = 2").select(F.col("kind").alias("constructor"))
 
 
-def check_kinds(view: Ontology) -> None:
-    from ..errors import IncompatibleSource
-
-    bad = view.axioms("Other").where((F.col("root_kind") == 2) & ~F.col("kind").isin(*S.SKIPPED)).select("kind").limit(1).collect()
-    if bad:
-        raise IncompatibleSource(f"no such kind of axiom: {bad[0]['kind']}", constructor=bad[0]["kind"])
+def refuse(view: Ontology) -> None:
+    """Raises for an object-property assertion with an inverse property, and for an unknown kind of axiom; both are
+    looked for by one job."""
+    inverse = view.axioms("ObjectPropertyAssertion").where("p1.inverse").select(F.lit(0).alias("what"), F.col("p1.iri").alias("name")).limit(1)
+    unknown = view.axioms("Other").where((F.col("root_kind") == 2) & ~F.col("kind").isin(*S.SKIPPED)).select(F.lit(1).alias("what"), F.col("kind").alias("name")).limit(1)
+    for what, name in sorted(tuple(r) for r in inverse.unionByName(unknown).collect()):
+        if what == 0:
+            raise UnsupportedAxiomShape("an object-property assertion with an inverse property", constructor="ObjectInverseOf", reference_error="java.lang.ClassCastException", property=name)
+        raise IncompatibleSource(f"no such kind of axiom: {name}", constructor=name)
 
 
 def core_blank(key: Column) -> Column:

@@ -6,6 +6,7 @@ from dataclasses import asdict, dataclass
 
 from .errors import InvalidOptions, UnsupportedProfile
 
+# Names of the profile, of options and of their choices.
 PROFILE = "mowl-d993536-v1"
 CHOICES = {
     "duplicates": ("preserve", "unique"),
@@ -40,3 +41,7 @@ class Options:
 
     def to_dict(self) -> dict:
         return asdict(self)
+
+    def semantic(self) -> dict:
+        """What results depend on: all but the backend."""
+        return {k: v for k, v in asdict(self).items() if k != "backend"}

@@ -17,12 +17,11 @@ EDGE = ("source", "relation", "destination")
 def raw_edges(view: Ontology, options: Options | None = None, roles: DataFrame | None = None) -> DataFrame:
     """All edges with their encounter key. Flags choose branches; branches that are off are not in the plan."""
     options = options or Options()
-    P.refuse_inverse_assertions(view)
-    P.check_kinds(view)
+    P.refuse(view)
     if roles is None:
         roles = R.fold(view)[0].table(view.spark)
     found = P.anonymous(view)
-    blanks = None if found.isEmpty() else P.blank_ids(found)
+    blanks = None if found is None else P.blank_ids(found)
     parts = [P.subclass_edges(view, options, roles), P.equivalent_edges(view, options, roles)]
     if options.include_literals:
         parts.append(P.annotation_edges(view, blanks))

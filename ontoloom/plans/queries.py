@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import canon as C
+from ..functions import canon_columns as C
 from ..functions import text as T
 from ..operators import roles as R
 from ..operators import rules as P
@@ -461,7 +461,7 @@ def core_blank_id(spark, d):
 
 @query("SELECT iri, lower(hex('\\x01\\x02'::BLOB || from_hex(printf('%02x', strlen(iri))) || encode(iri))) AS canon FROM (SELECT DISTINCT iri FROM classes)".replace("from_hex(", "unhex("))
 def canonical_bytes(spark, d):
-    return views.class_signature(star_view(spark, d)).select("iri", F.lower(F.hex(C.column(C.iri, F.col("iri")))).alias("canon"))
+    return views.class_signature(star_view(spark, d)).select("iri", F.lower(F.hex(C.iri(F.col("iri")))).alias("canon"))
 
 
 @query("SELECT '{\"source\":' || to_json(source)::VARCHAR || ',\"relation\":' || to_json(relation)::VARCHAR || ',\"destination\":' || to_json(destination)::VARCHAR || '}' AS value FROM ann_edges")

@@ -9,7 +9,8 @@ OPERAND = f"struct<tag:int,iri:string,prop:{PROP},card:bigint,filler_tag:int,fil
 EXPR = f"struct<tag:int,iri:string,prop:{PROP},card:bigint,filler_tag:int,filler_iri:string,canon:binary,operands:array<{OPERAND}>>"
 IND = "struct<iri:string,anon:binary,label:string>"
 VALUE = "struct<kind:string,iri:string,anon:binary,label:string,lexical:string,datatype:string,lang:string>"
-ANNOTATIONS = "array<struct<prop:string,iri:string,lexical:string>>"
+#: A value is an IRI, the local key of an anonymous individual, or a literal.
+ANNOTATIONS = "array<struct<prop:string,iri:string,key:string,lexical:string>>"
 
 #: Columns that each kind of axiom has besides HEAD.
 HEAD = "doc_id string, canon binary, anons array<binary>"

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import canon as C
+from ..functions import canon_columns as C
 from .views import Ontology
 
 
 def named_class(iri: Column) -> Column:
     return F.struct(
         F.lit(S.ENTITY).alias("tag"), iri.alias("iri"), F.lit(None).cast(S.PROP).alias("prop"), F.lit(None).cast("long").alias("card"),
-        F.lit(None).cast("int").alias("filler_tag"), F.lit(None).cast("string").alias("filler_iri"), C.column(C.named_class, iri).alias("canon"),
+        F.lit(None).cast("int").alias("filler_tag"), F.lit(None).cast("string").alias("filler_iri"), C.named_class(iri).alias("canon"),
     )
 
 
@@ -30,12 +30,12 @@ def chosen(condition: Column, a: Column, b: Column) -> Column:
 
 
 def object_property(iri: Column) -> Column:
-    return F.struct(iri.alias("iri"), F.lit(False).alias("inverse"), F.lit(False).alias("chain"), C.column(C.prop, iri).alias("canon"))
+    return F.struct(iri.alias("iri"), F.lit(False).alias("inverse"), F.lit(False).alias("chain"), C.prop(iri).alias("canon"))
 
 
 def restriction(tag: Column, prop: Column, filler: Column, card: Column) -> Column:
     """``filler`` is the IRI of a named class; null stands for a filler that is none."""
-    raw = C.column(lambda t, p, f, c: C.restriction(int(t), C.prop(p), f, None if c is None else int(c)), tag, prop["iri"], filler, card)
+    raw = C.restriction(tag, C.prop(prop["iri"]), filler, card)
     return F.struct(
         tag.cast("int").alias("tag"), F.lit(None).cast("string").alias("iri"), prop.alias("prop"), card.cast("long").alias("card"),
         F.when(filler.isNull(), 32).otherwise(S.ENTITY).alias("filler_tag"), filler.alias("filler_iri"), raw.alias("canon"),
@@ -50,7 +50,7 @@ def axiom(df: DataFrame, kind: str, doc: str | Column, fields: dict[str, Column]
 
 def subclass(df: DataFrame, doc, sub: Column, sup: Column) -> DataFrame:
     """``sub`` and ``sup`` are operands' structs."""
-    raw = C.column(lambda a, b: C.axiom("SubClassOf", a, b), sub["canon"], sup["canon"])
+    raw = C.axiom("SubClassOf", sub["canon"], sup["canon"])
     return axiom(df, "SubClassOf", doc, {"sub": with_operands(sub), "sup": with_operands(sup)}, raw)
 
 
@@ -60,7 +60,7 @@ def chain(spark: SparkSession, n: int) -> Ontology:
     df = spark.range(n).select(named_class(name(F.col("id"))).alias("a"), named_class(name(F.col("id") + 1)).alias("b"))
     documents = spark.createDataFrame([("root", [], True)], S.DOCUMENTS)
     entities = spark.range(n + 1).select(F.lit("root").alias("doc_id"), F.lit("class").alias("kind"), name(F.col("id")).alias("iri"))
-    return Ontology(spark, {"SubClassOf": subclass(df, "root", F.col("a"), F.col("b"))}, documents, entities)
+    return Ontology(spark, {"SubClassOf": subclass(df, "root", F.col("a"), F.col("b"))}, documents, entities, anonymous=())
 
 
 def synthetic_edges(spark: SparkSession, n: int) -> DataFrame:

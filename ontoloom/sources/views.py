@@ -17,9 +17,11 @@ class Ontology:
     A kind that is not given is empty. Kinds are narrow and apart, so a query reads only the columns and rows of
     the kinds that it visits; from_table() gets them from one table by a partition filter."""
 
-    def __init__(self, spark: SparkSession, axioms: Mapping[str, DataFrame | Callable[[], DataFrame]], documents: DataFrame, entities: DataFrame):
-        """A kind may be given as a function, which is called when the kind is first asked for."""
-        self.spark, self._axioms, self.documents, self.entities = spark, dict(axioms), documents, entities
+    def __init__(self, spark: SparkSession, axioms: Mapping[str, DataFrame | Callable[[], DataFrame]], documents: DataFrame, entities: DataFrame, anonymous: tuple[str, ...] | None = None):
+        """A kind may be given as a function, which is called when the kind is first asked for. ``anonymous`` are the
+        kinds whose axioms may name anonymous individuals, if that is known; others are not looked through for them."""
+        self.spark, self._axioms, self.documents, self.entities, self._anonymous = spark, dict(axioms), documents, entities, anonymous
+        self.source_kind = "frames"
         for kind, df in self._axioms.items():
             if kind not in S.KINDS:
                 raise IncompatibleSource(f"no such kind of axiom: {kind}", constructor=kind)
@@ -28,16 +30,22 @@ class Ontology:
 
     @staticmethod
     def _check(kind: str, df: DataFrame) -> DataFrame:
-        missing = {f.name for f in S.schema_of(kind)} - set(df.columns)
+        have = {f.name: f.dataType for f in df.schema}
+        missing = {f.name for f in S.schema_of(kind)} - set(have)
         if missing:
             raise IncompatibleSource(f"{kind} lacks {', '.join(sorted(missing))}", constructor=kind)
+        other = [f.name for f in S.schema_of(kind) if have[f.name].simpleString() != f.dataType.simpleString()]
+        if other:
+            raise IncompatibleSource(f"{kind} has other types of {', '.join(other)}", constructor=kind)
         return df
 
     @classmethod
     def from_table(cls, table: DataFrame, documents: DataFrame, entities: DataFrame) -> Ontology:
         """``table`` has all columns of schema.KINDS and ``axiom``, the kind, by which it should be partitioned."""
         kinds = {k: table.where(F.col("axiom") == k).select(*(f.name for f in S.schema_of(k))) for k in S.KINDS}
-        return cls(table.sparkSession, kinds, documents, entities)
+        out = cls(table.sparkSession, kinds, documents, entities)
+        out.source_kind = "table"
+        return out
 
     def axioms(self, kind: str, root: bool = False) -> DataFrame:
         if kind not in self._axioms:
@@ -50,8 +58,11 @@ class Ontology:
     def kinds(self) -> list[str]:
         return [k for k in S.KINDS if k in self._axioms]
 
+    def anonymous_kinds(self) -> list[str]:
+        return [k for k in self.kinds() if self._anonymous is None or k in self._anonymous]
+
     def mapped(self, f) -> Ontology:
-        return Ontology(self.spark, {k: f(k, self.axioms(k)) for k in self.kinds()}, self.documents, self.entities)
+        return Ontology(self.spark, {k: f(k, self.axioms(k)) for k in self.kinds()}, self.documents, self.entities, self._anonymous)
 
     def closure(self, root: str | None = None) -> Ontology:
         """Only documents that the root reaches by imports; equal axioms of several documents count once."""
@@ -74,7 +85,7 @@ class Ontology:
                 return low.select("m.doc_id", "canon", *(f"m.{c}" for c in df.columns if c not in ("doc_id", "canon")))
             return df.dropDuplicates(["canon"])
 
-        return Ontology(self.spark, {k: once(k, self.axioms(k)) for k in self.kinds()}, docs, self.entities.join(kept, "doc_id", "left_semi").select("doc_id", "kind", "iri"))
+        return Ontology(self.spark, {k: once(k, self.axioms(k)) for k in self.kinds()}, docs, self.entities.join(kept, "doc_id", "left_semi").select("doc_id", "kind", "iri"), self._anonymous)
 
 
 def class_signature(view: Ontology) -> DataFrame:

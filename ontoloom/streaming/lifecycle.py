@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.roles import RoleState, fold
+from ..operators.roles import STATE, RoleState, fold
 from ..options import Options
 from ..plans.projection import projected
 from ..sources.views import Ontology
@@ -25,22 +25,30 @@ def replay_states(views: Iterable[tuple[int, Ontology]]) -> DataFrame:
     state, out = RoleState(), None
     for number, view in views:
         fold(view, state)
-        names = sorted({*state.subroles, *state.inverses})
-        rows = [(number, n, list(state.subroles.get(n, ())), state.inverses.get(n)) for n in names]
-        df = view.spark.createDataFrame(rows, "invocation int, relation string, subroles array<string>, inverse string")
-        df = df.select("invocation", "relation", "inverse", F.posexplode_outer("subroles").alias("pos", "subrole"))
+        df = state.table(view.spark).select(F.lit(number).alias("invocation"), "relation", "inverse", F.posexplode_outer("subroles").alias("pos", "subrole"))
         out = df if out is None else out.unionByName(df)
     return out
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def stream_edges(stream: DataFrame, path: str, checkpoint: str, view_of, options: Options | None = None):
-    """A streaming table of axioms whose batches are calls: each batch's edges are written under its number, with
-    the role state of all batches that this process has seen; a restarted query begins with an empty state."""
-    state = RoleState()
+    """A streaming table of axioms whose batches are calls. Each batch's edges are written under its number, and beside
+    them the role state of all batches up to it, from which the next one goes on. So a restarted query goes on where it
+    was, and a batch that is run again starts from the state that it had before and replaces what it wrote. A batch that
+    writes no state of its own does not occur: an empty one writes that of its predecessor."""
+
+    def state_path(number: int) -> str:
+        return f"{path}/_role_state/batch={number}"
 
     def batch(rows: DataFrame, number: int) -> None:
-        view = view_of(rows)
-        fold(view, state)
-        projected(view, options, state.table(rows.sparkSession)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark, view = rows.sparkSession, view_of(rows)
+        before = spark.read.schema(STATE).parquet(state_path(number - 1)).collect() if number and stored(spark, state_path(number - 1)) else []
+        state = fold(view, RoleState.of_rows(before))[0]
+        projected(view, options, state.table(spark)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark.createDataFrame(state.to_rows(), STATE).coalesce(1).write.mode("overwrite").parquet(state_path(number))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -69,8 +69,9 @@ def test_subclass_rules(spark):
 
 def test_roles_fold_reads_children_of_the_sub_role():
     s = R.RoleState()
-    assert s.fold([(False, "q", "r"), (False, "p", "q"), (True, "r", "s"), (True, "r", "t"), (False, "p", "r"), (False, None, "r")]) == 1
-    assert s.subroles == {"r": ("p",), "q": ("p",)}
+    assert s.visit([(False, "q", "r"), (False, "p", "q"), (True, "r", "s"), (True, "r", "t"), (False, "p", "r"), (False, None, "r")]) == 1
+    assert {r: list(s.subroles(r)) for r in "pqr"} == {"p": [], "q": ["p"], "r": ["p"]}
+    assert R.RoleState.of_rows(s.to_rows()).__dict__ == s.__dict__
     assert s.inverses == {"r": "t", "s": "r", "t": "r"}
 
 
