@@ -2,11 +2,19 @@
 
 A node is its constructor number and its fields; a field is a kind byte and a payload, nested nodes and texts with
 their length in front. Byte order of the whole decides encounter order, ties and identity. These builders are plain
-functions of single values; canon_columns has the same ones as column expressions.
+functions of single values. column() applies one to Arrow batches, which keeps the plan small for nodes of many parts
+(class expressions, of which there are as many as the schema has); canon_columns has those of large tables as column
+expressions. A query that needs no canonical bytes prunes either.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .. import schema as S
 
 NODE_KIND, TEXT_KIND, BYTES_KIND, INTEGER_KIND, ENUM_KIND, SET_KIND, SEQUENCE_KIND = range(1, 8)
@@ -93,3 +101,15 @@ def restriction(tag: int, property_: bytes, filler: str | None, card: int | None
 
 def axiom(kind: str, *nodes: bytes, annotations=()) -> bytes:
     return node(S.AXIOM_TAGS[kind], *(sub(n) for n in nodes), members(annotations))
+
+
+def column(f: Callable, *cols: Column) -> Column:
+    """f of each row's values (null as None)."""
+
+    def run(*series: pd.Series) -> pd.Series:
+        rows = zip(*(s.astype(object).where(s.notna(), None) if not isinstance(s, pd.DataFrame) else s.itertuples(index=False) for s in series), strict=True)
+        return pd.Series([f(*r) for r in rows], dtype=object)
+
+    wrapped = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c), 4: lambda a, b, c, d: run(a, b, c, d), 5: lambda a, b, c, d, e: run(a, b, c, d, e)}[len(cols)]
+    wrapped.__annotations__ = {**dict.fromkeys(wrapped.__code__.co_varnames, pd.Series), "return": pd.Series}
+    return F.pandas_udf(wrapped, "binary")(*cols)

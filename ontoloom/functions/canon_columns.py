@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from . import canon as C
 
-EVERY_BYTE = bytes(range(256))
 NO_MEMBERS = C.members(())
 
 
@@ -22,17 +21,14 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def byte(n: Column) -> Column:
-    return F.substring(F.lit(EVERY_BYTE), (n + 1).cast("int"), F.lit(1))
-
-
 def varint(n: Column) -> Column:
-    """Of a number of at most 31 bits."""
-    digit = lambda i: F.shiftright(n, 7 * i).bitwiseAND(F.lit(127))
-    out = F.when(n < 128, byte(n))
-    for size in (2, 3, 4):
-        out = out.when(n < 1 << 7 * size, F.concat(*(byte(digit(i) + 128) for i in range(size - 1)), byte(digit(size - 1))))
-    return out.otherwise(F.concat(*(byte(digit(i) + 128) for i in range(4)), byte(digit(4))))
+    """Of a number under 2 ** 28: its groups of seven bits, in hexadecimal, as many as it has."""
+    group = lambda i: F.shiftright(n, 7 * i).bitwiseAND(F.lit(127))
+    two = F.shiftleft(group(0), 8) + F.shiftright(n, 7) + F.lit(0x8000)
+    four = F.shiftleft((F.shiftleft(group(0), 8) + group(1) + F.lit(0x8080)).cast("long"), 16) + F.shiftleft(group(2), 8) + F.shiftright(n, 21) + F.lit(0x8000)
+    three = F.shiftleft((F.shiftleft(group(0), 8) + group(1) + F.lit(0x8080)).cast("long"), 8) + F.shiftright(n, 14)
+    value = F.when(n < 1 << 7, n.cast("long") + 256).when(n < 1 << 14, two.cast("long") + (1 << 16)).when(n < 1 << 21, three + (1 << 24)).otherwise(four + (1 << 32))
+    return F.unhex(F.substring(F.hex(value), 2, 8))  # the digit in front keeps leading zeros
 
 
 def with_length(raw: Column) -> Column:
@@ -52,7 +48,7 @@ def sub(node_: Column) -> Column:
 
 
 def integer(value: Column) -> Column:
-    return F.concat(F.lit(bytes([C.INTEGER_KIND])), varint(value))
+    return F.concat(F.lit(bytes([C.INTEGER_KIND])), varint(value.cast("int")))
 
 
 def members(nodes: Column) -> Column:

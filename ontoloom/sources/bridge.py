@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import canon_columns as C
+from ..functions import canon as C
+from ..functions import canon_columns as K
 from .generators import axiom, chosen, named_class, object_property, restriction, subclass, with_operands
 from .views import Ontology
 
@@ -57,7 +58,7 @@ class Bridge:
         types = types.unionByName(brands.select("p_brand", restriction(F.lit(S.SOME), prop, every, no).alias("o")))
         types = types.unionByName(brands.select("p_brand", restriction(F.lit(S.EXACT), prop, every, F.lit(1).cast("long")).alias("o")))
         df = types.groupBy("p_brand").agg(F.collect_list("o").alias("operands")).withColumn("tag", F.when(number % 2 == 0, S.AND).otherwise(S.OR))
-        raw = C.node(F.col("tag"), C.members(F.transform("operands", lambda o: o["canon"])))
+        raw = C.column(lambda t, xs: C.node(int(t), C.members(bytes(x) for x in xs)), F.col("tag"), F.transform("operands", lambda o: o["canon"]))
         none = F.lit(None)
         aggregate = F.struct(F.col("tag"), none.cast("string").alias("iri"), none.cast(S.PROP).alias("prop"), none.cast("long").alias("card"), none.cast("int").alias("filler_tag"), none.cast("string").alias("filler_iri"), raw.alias("canon"))
         parts = [self._equivalent(df, named_class(urn("brand", "p_brand")), aggregate, F.col("operands"))]
@@ -68,7 +69,7 @@ class Bridge:
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def _equivalent(self, df: DataFrame, a: Column, b: Column, operands: Column | None = None) -> DataFrame:
-        raw = C.node(S.AXIOM_TAGS["EquivalentClasses"], C.members(F.array(a["canon"], b["canon"])), C.NO_MEMBERS)
+        raw = C.column(lambda x, y: C.node(S.AXIOM_TAGS["EquivalentClasses"], C.members((x, y)), C.members(())), a["canon"], b["canon"])
         return axiom(df, "EquivalentClasses", "catalog", {"exprs": F.array(with_operands(a), with_operands(b, operands))}, raw)
 
     def roles(self, kind: str) -> DataFrame:
@@ -79,12 +80,12 @@ class Bridge:
         if kind == "SubObjectPropertyOf":  # annotated variants are axioms of their own
             df = df.unionByName(self.read("nation").where("n_nationkey % 5 = 0").withColumn("noted", F.lit(True)))
         a, b = urn("prop", n), urn("prop", to)
-        raw = C.axiom(kind, C.prop(a), C.prop(b), annotations=F.when(F.col("noted"), F.array(self.note(name))).otherwise(F.array().cast("array<binary>")))
+        raw = C.column(lambda x, y, noted, lexical: C.axiom(kind, C.prop(x), C.prop(y), annotations=[Bridge.note(lexical)] if noted else ()), a, b, F.col("noted"), name)
         return axiom(df, kind, "core", {"p1": object_property(a), "p2": object_property(b), "ann": note}, raw)
 
     @staticmethod
-    def note(lexical: Column) -> Column:
-        return C.annotation(COMMENT, C.literal(lexical, F.lit(S.XSD_STRING)))
+    def note(lexical: str) -> bytes:
+        return C.annotation(COMMENT, C.literal(str(lexical), S.XSD_STRING))
 
     def domains(self) -> DataFrame:
         df = self.read("customer").select("c_mktsegment", "c_nationkey").distinct()
@@ -97,12 +98,12 @@ class Bridge:
 
     def _sided(self, df: DataFrame, kind: str, cls: Column) -> DataFrame:
         p = urn("segment", "c_mktsegment")
-        raw = C.axiom(kind, C.prop(p), C.named_class(cls))
+        raw = K.axiom(kind, K.prop(p), K.named_class(cls))
         return axiom(df, kind, "core", {"p1": object_property(p), "sub": with_operands(named_class(cls))}, raw)
 
     def individual(self, iri: Column, anon: Column, key: Column) -> tuple[Column, Column]:
         """A struct of S.IND, and the array of what is anonymous in it."""
-        raw = F.when(anon, C.anonymous(SCOPE, key))
+        raw = F.when(anon, K.anonymous(SCOPE, key))
         made = F.struct(F.when(~anon, iri).alias("iri"), raw.alias("anon"), F.when(anon, F.concat(F.lit("_:"), key)).alias("label"))
         return made, F.when(anon, F.array(raw)).otherwise(F.array().cast("array<binary>"))
 
@@ -113,7 +114,7 @@ class Bridge:
         c = self.read("customer").select(urn("customer", "c_custkey").alias("iri"), F.concat(F.lit("c"), F.col("c_custkey")).alias("key"), (F.col("c_custkey") % 50 == 0).alias("anon"), F.col("c_nationkey").alias("n"))
         s = self.read("supplier").select(urn("supplier", "s_suppkey").alias("iri"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("key"), F.lit(False).alias("anon"), F.col("s_nationkey").alias("n"))
         ind, anons = self.individual(F.col("iri"), F.col("anon"), F.col("key"))
-        raw = C.axiom("ClassAssertion", C.named_class(urn("nation", "n")), F.when(F.col("anon"), C.anonymous(SCOPE, F.col("key"))).otherwise(C.individual(F.col("iri"))))
+        raw = K.axiom("ClassAssertion", K.named_class(urn("nation", "n")), F.when(F.col("anon"), K.anonymous(SCOPE, F.col("key"))).otherwise(K.individual(F.col("iri"))))
         return axiom(c.unionByName(s), "ClassAssertion", "core", {"sub": with_operands(named_class(urn("nation", "n"))), "i1": ind}, raw, anons)
 
     def object_assertions(self) -> DataFrame:
@@ -121,8 +122,9 @@ class Bridge:
         anon, key, order, part, rel = F.col("l_orderkey") % 97 == 0, F.concat(F.lit("o"), F.col("l_orderkey")), urn("order", "l_orderkey"), urn("part", "l_partkey"), "urn:tpch:prop#hasPart"
         ind, anons = self.individual(order, anon, key)
 
-        source = F.when(anon, C.anonymous(SCOPE, key)).otherwise(C.individual(order))
-        raw = C.axiom("ObjectPropertyAssertion", C.prop(F.lit(rel)), source, C.individual(part), annotations=F.array(self.note(F.col("l_linenumber").cast("string"))))
+        source = F.when(anon, K.anonymous(SCOPE, key)).otherwise(K.individual(order))
+        note = K.annotation(COMMENT, K.literal(F.col("l_linenumber").cast("string"), F.lit(S.XSD_STRING)))
+        raw = K.axiom("ObjectPropertyAssertion", K.prop(F.lit(rel)), source, K.individual(part), annotations=F.array(note))
         return axiom(df, "ObjectPropertyAssertion", "core", {"p1": object_property(F.lit(rel)), "i1": ind, "i2": self.named_individual(part)}, raw, anons)
 
     def annotations(self) -> DataFrame:
@@ -147,8 +149,8 @@ class Bridge:
         for p in parts[1:]:
             df = df.unionByName(p)
 
-        value = F.when(F.col("iri").isNotNull(), C.iri(F.col("iri"))).otherwise(C.literal(F.col("lexical"), F.col("datatype"), F.col("lang")))
-        raw = C.axiom("AnnotationAssertion", C.entity("annotation_property", F.col("prop")), C.iri(F.col("subject")), value)
+        value = F.when(F.col("iri").isNotNull(), K.iri(F.col("iri"))).otherwise(K.literal(F.col("lexical"), F.col("datatype"), F.col("lang")))
+        raw = K.axiom("AnnotationAssertion", K.entity("annotation_property", F.col("prop")), K.iri(F.col("subject")), value)
         own = F.struct(F.when(F.col("iri").isNotNull(), "iri").otherwise("literal").alias("kind"), F.col("iri"), F.lit(None).cast("binary").alias("anon"), none.alias("label"), F.col("lexical"), F.col("datatype"), F.col("lang"))
         return axiom(df, "AnnotationAssertion", F.col("doc"), {"prop": F.col("prop"), "subject": F.col("subject"), "value": own}, raw)
 
@@ -158,7 +160,7 @@ class Bridge:
         a = self.read("nation").select(F.col("n_nationkey").alias("n"), kinds, F.lit(2).alias("root_kind"))
         b = self.read("region").select(F.col("r_regionkey").alias("n"), F.lit("Rule").alias("kind"), F.lit(3).alias("root_kind"))
         df = a.unionByName(b)
-        raw = C.node(110, C.sub(C.iri(urn("nation", "n"))), C.text(F.col("kind")))
+        raw = C.column(lambda i, k: C.node(110, C.sub(C.iri(i)), C.text(k)), urn("nation", "n"), F.col("kind"))
         return axiom(df, "Other", "core", {"kind": F.col("kind"), "root_kind": F.col("root_kind")}, raw)
 
     def documents(self) -> DataFrame:

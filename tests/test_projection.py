@@ -7,16 +7,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontoloom import schema as S
-from ontoloom.api import Projector, project_taxonomy
-from ontoloom.errors import InvalidOptions, ResourceLimit, UnsupportedAxiomShape, UnsupportedProfile
+from ontoloom.api import BackendStatus, CancellationToken, Projector, iter_taxonomy_edges, project_taxonomy, select_backend
+from ontoloom.errors import BackendUnavailable, Cancelled, InvalidOptions, ResourceLimit, UnsupportedAxiomShape, UnsupportedProfile
 from ontoloom.functions import canon as C
+from ontoloom.functions import canon_columns as K
 from ontoloom.functions import text as T
 from ontoloom.operators import roles as R
+from ontoloom.operators import rules as P
 from ontoloom.options import Options
 from ontoloom.plans import projection as plan
 from ontoloom.sources.views import Ontology
 from ontoloom.streaming import sinks
-from ontoloom.streaming.lifecycle import replay
+from ontoloom.streaming.lifecycle import replay, stream_edges
 
 
 def prop(iri, inverse=False):
@@ -200,3 +202,112 @@ def test_closure_counts_equal_axioms_once(spark):
     rows = [subclass(cls("A"), cls("B"), doc_id=d) for d in ("root", "leaf", "far")]
     v = view(spark, docs=[("root", ["leaf"], True), ("leaf", ["root"], False), ("far", [], False)], SubClassOf=rows)
     assert len(edges(plan.projected(v.closure("root")))) == 1
+
+
+def test_flags_of_a_role_box_with_collisions(spark):
+    ns = "urn:oracle:rbox#"
+    p, q, r, s, t, a, b = (ns + x for x in "pqrstAB")
+    v = view(
+        spark, SubObjectPropertyOf=[sub_role(p, r), sub_role(q, r), sub_role(p, q)], InverseObjectProperties=[inverse_roles(r, s), inverse_roles(r, t)],
+        SubClassOf=[subclass(cls(a), some(r, b)), subclass(cls(a), some(q, b))],
+    )
+    want = sorted([(a, p, b), (a, p, b), (a, q, b), (a, r, b), (b, t, a)])
+    for both in (False, True):
+        for literals in (False, True):
+            assert edges(plan.projected(v, Options(bidirectional_taxonomy=both, include_literals=literals))) == want
+            assert edges(plan.projected(v, Options(bidirectional_taxonomy=both, include_literals=literals, only_taxonomy=True))) == []
+    assert tuple(plan.edge_counts(plan.raw_edges(v)).first()) == (5, 4, 1)
+
+
+def lifecycle(spark):
+    ns = "urn:oracle:lifecycle#"
+    a = view(spark, SubClassOf=[subclass(cls(ns + "A"), some(ns + "shared", ns + "B"))], SubObjectPropertyOf=[sub_role(ns + "child", ns + "shared")], InverseObjectProperties=[inverse_roles(ns + "shared", ns + "inverse")])
+    b = view(spark, SubClassOf=[subclass(cls(ns + "X"), some(ns + "shared", ns + "Y"))])
+    return a, b, [(ns + x, ns + y, ns + z) for x, y, z in (("X", "child", "Y"), ("X", "shared", "Y"), ("Y", "inverse", "X"))]
+
+
+def test_stateful_calls_do_not_overlap(spark):
+    a, b, after = lifecycle(spark)
+    p = Projector(Options(compatibility_state="scala-instance"))
+    first = p.iter_edges(a)
+    assert next(first)
+    with pytest.raises(InvalidOptions, match="non-concurrent"):
+        p.project(b)
+    first.close()
+    assert [tuple(e) for e in p.project(b)] == after
+    token = CancellationToken()
+    found = Projector().iter_edges(a, token=token)
+    assert next(found)
+    token.cancel()
+    with pytest.raises(Cancelled):
+        list(found)
+    assert len(list(iter_taxonomy_edges(view(spark, SubClassOf=[subclass(cls("A"), cls("B"))]), True))) == 2
+
+
+def test_stream_goes_on_where_it_was(spark, tmp_path):
+    a, b, after = lifecycle(spark)
+    views = {"a": a, "b": b}
+
+    def run():
+        rows = spark.readStream.schema("doc string").option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+        stream_edges(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint"), lambda df: views[df.first()[0]]).trigger(availableNow=True).start().awaitTermination()
+
+    def found(number):
+        return edges(spark.read.parquet(str(tmp_path / "out" / f"batch={number}")).orderBy("source", "relation", "destination"))
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.txt").write_text("a\n")
+    run()
+    (tmp_path / "in" / "1.txt").write_text("b\n")
+    run()  # another query, with the state of the first
+    assert len(found(0)) == 3 and found(1) == after
+    for name in ("1", ".1.crc"):  # the second batch is run again
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert len(found(0)) == 3 and found(1) == after
+
+
+def test_large_role_tables_are_made_by_tasks(spark, monkeypatch):
+    s = R.RoleState()
+    s.visit([(False, f"r{i}", f"r{i + 1}") for i in range(40)] + [(True, "r3", "back")])
+    small = {r["relation"]: r for r in s.table(spark).collect()}
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 10)
+    assert {r["relation"]: r for r in s.table(spark).collect()} == small
+    assert small["r3"]["subroles"] == ["r2", "r1", "r0"] and small["r3"]["inverse"] == "back" and small["back"]["subroles"] == []
+
+
+def test_capacity_is_that_of_a_table_that_doubles():
+    for n in [*range(400), 767, 768, 769, 100_000]:
+        slots = R.capacity(n)
+        assert slots >= 16 and slots & slots - 1 == 0 and 4 * n <= 3 * slots and (slots == 16 or 4 * n > 3 * slots // 2)
+
+
+def test_canonical_bytes_as_columns(spark):
+    values = ["", "a", "é" * 70, "x" * 127, "x" * 128, "y" * 17_000, "z" * 3_000_000]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    v, i = F.col("v"), F.col("i")
+    notes = F.array(K.annotation("p", K.literal(v, F.lit("d"), F.lit("en"))), *[K.annotation("p", K.literal(F.lit("q"), F.lit("d")))] * 2)
+    whole = K.axiom("ClassAssertion", K.named_class(v), K.anonymous(b"s", v), annotations=notes)
+    part = K.restriction(F.lit(38), K.prop(v), F.when(i % 2 == 0, v), F.when(i % 3 == 0, i * 1000))
+    for r in df.select("i", "v", whole.alias("whole"), part.alias("part")).collect():
+        n, t = r["i"], r["v"]
+        assert bytes(r["whole"]) == C.axiom("ClassAssertion", C.named_class(t), C.anonymous(b"s", t), annotations=[C.annotation("p", C.literal(t, "d", "en")), C.annotation("p", C.literal("q", "d"))])
+        assert bytes(r["part"]) == C.restriction(38, C.prop(t), t if n % 2 == 0 else None, n * 1000 if n % 3 == 0 else None)
+
+
+def test_blank_numbers_over_partitions(spark):
+    raw = [C.anonymous(bytes(32), f"genid{k}") for k in range(3000)]
+    found = spark.createDataFrame([(x,) for x in raw[::-1]], "anon binary").repartition(7)
+    got = {bytes(r["anon"]): r["blank"] for r in P.blank_ids(found).collect()}
+    assert got == {x: f"_:genid{(1 << 31) + k}" for k, x in enumerate(sorted(raw))}
+
+
+def test_artifact_says_nothing_of_the_backend(spark, tmp_path):
+    v = view(spark, SubClassOf=[subclass(cls("A"), cls("B")), subclass(cls("A"), some("p", "C", S.EXACT, 1))])
+    found = [Projector(Options(backend=b)).write_artifact(v, tmp_path / b) for b in ("python", "auto")]
+    assert found[0] == found[1] and (tmp_path / "python").read_bytes() == (tmp_path / "auto").read_bytes()
+    head = found[0].metadata
+    assert "backend" not in head["options"] and head["counts"] == {"edges": 1, "duplicates": 0, "skipped_axioms": 0, "ignored_shapes": 1, "warnings": 0}
+    with pytest.raises(BackendUnavailable):
+        select_backend("native", lambda: BackendStatus(False, "none"))
+    assert select_backend("auto") == "spark"
