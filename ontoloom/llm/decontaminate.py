@@ -46,7 +46,9 @@ VOCABULARY = 400_000
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%|[a-zµ°]{1,3}(?:/[a-z])?)?$", re.I)
 OUTER = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 UNITS = frozenset("% percent mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces l ml liter liters litre litres gallon gallons s sec ms min h hr second seconds minute minutes hour hours day days week weeks month months year years c f degrees dollar dollars euro euros cent cents mph kmh w kw kwh v".split())
+UNIT_BYTES = frozenset(u.encode() for u in UNITS)
 LITERAL, NUM, NAME, UNIT = range(4)
+NUMBER_SIGN, CAPITAL_SIGN, END_SIGN, UNIT_SIGN = 1, 2, 4, 8
 #: Added to the length that starts the hash of a window of plain words.
 PLAIN = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -54,51 +56,62 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Words(dict):
-    """Word to its number; what is known of each word is in columns by that number. It starts anew when it holds
-    VOCABULARY words, so its size has a bound whatever the texts are."""
-
-    TYPES = (np.uint64, np.int8, bool, bool, bool)
+    """Word to its number; the hash and the signs of each word are in arrays by that number. It starts anew when it
+    holds VOCABULARY words, so its size has a bound whatever the texts are."""
 
     def __init__(self):
         super().__init__()
-        self.columns = [np.zeros(1 << 12, t) for t in self.TYPES]
+        self.code, self.signs = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
+        self.filled = 0
+        self.new: list[tuple[int, int]] = []  # of words that are not in the arrays yet
 
     def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        bare = OUTER.sub("", text) or text
-        low = bare.lower()
-        capital = bare[:1].isupper() and bare[1:] != bare[1:].upper()
-        ends = text[-1] in ".!?:;" or text[-2:-1] in (".", "!", "?")
-        n = len(self)
-        if n == len(self.columns[0]):
-            self.columns = [np.concatenate([c, np.zeros_like(c)]) for c in self.columns]
-        row = (xxhash.xxh64_intdigest(low.encode()), NUM if NUMBER.match(bare) else LITERAL, capital, ends, low in UNITS)
-        for c, value in zip(self.columns, row, strict=True):
-            c[n] = value
-        self[word] = n
+        if word.isalpha() and word.islower():  # ASCII letters only
+            self.new.append((xxhash.xxh64_intdigest(word), UNIT_SIGN if word in UNIT_BYTES else 0))
+        else:
+            text = word.decode("utf-8", "replace")
+            bare = OUTER.sub("", text) or text
+            low = bare.lower()
+            signs = NUMBER_SIGN if NUMBER.match(bare) else 0
+            if bare[:1].isupper() and bare[1:] != bare[1:].upper():
+                signs |= CAPITAL_SIGN
+            if text[-1] in ".!?:;" or text[-2:-1] in (".", "!", "?"):
+                signs |= END_SIGN
+            if low in UNITS:
+                signs |= UNIT_SIGN
+            self.new.append((xxhash.xxh64_intdigest(low.encode()), signs))
+        self[word] = n = len(self)
         return n
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hash and the signs of each."""
         if len(self) > VOCABULARY:
-            self.__init__()
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            self.filled = 0
+        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            last = self.filled + len(self.new)
+            while len(self.code) < last:
+                self.code, self.signs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.code, self.signs))
+            self.code[self.filled : last], self.signs[self.filled : last] = zip(*self.new, strict=True)
+            self.filled = last
+            self.new.clear()
+        return self.code[n], self.signs[n]
 
 
 def scanned(text: bytes, known: Words) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """The words, the hash of each plain word and of each canonical word, and its kind."""
     words = text.split()
-    n = known.numbers(words)
-    code, kind, capital, ends, unit = (c[n] for c in known.columns)
-    start = np.ones(len(n), bool)
-    start[1:] = ends[:-1]
-    kind[(kind == LITERAL) & capital & ~start] = NAME
-    after = np.zeros(len(n), bool)
+    plain, signs = known.of(words)
+    start = np.ones(len(words), bool)
+    start[1:] = signs[:-1] & END_SIGN != 0
+    number = signs & NUMBER_SIGN != 0
+    kind = np.where(number, NUM, LITERAL).astype(np.int8)
+    kind[~number & (signs & CAPITAL_SIGN != 0) & ~start] = NAME
+    after = np.zeros(len(words), bool)
     after[1:] = kind[:-1] == NUM
-    kind[after & unit] = UNIT
-    plain = code.copy()
-    code[kind != LITERAL] = kind[kind != LITERAL].astype(np.uint64)
-    return words, plain, code, kind
+    kind[after & (signs & UNIT_SIGN != 0)] = UNIT
+    return words, plain, np.where(kind == LITERAL, plain, kind.astype(np.uint64)), kind
 
 
 def step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
