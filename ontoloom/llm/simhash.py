@@ -1,9 +1,15 @@
 """SimHash near-duplicates, joined exactly by vantage-point trees over the fingerprints.
 
-A tree built from a bounded sample (``SAMPLE_PER_LEAF`` fingerprints a leaf, ``MAX_LEAVES`` leaves) deals every
+A tree built from a bounded sample (``SAMPLE_PER_LEAF`` fingerprints a leaf, ``LEAVES`` leaves at most) deals every
 distinct fingerprint to its home leaf and, by the triangle bound, to the leaves that a partner of it may have as
-home. Each leaf goes on splitting its own points by further vantage points. A leaf emits a spanning forest of
-what it links, never all pairs; components are joined across leaves afterwards.
+home. Distances of unrelated fingerprints are nearly all 32 +- 4, so each further level of such a tree sends a third of
+the guests both ways; the copies of a point would grow with the tree (2.3 at 16 leaves, 24 at 4096). Therefore larger
+inputs cut leaves into cells of another kind: of ``radius`` + 1 blocks of bits two partners share one, so a leaf's
+points are dealt by leading bits of each block, as many as keep cells at LEAF_POINTS. Copies then stay at
+2.3 * (radius + 1), whatever the input. A cell that is still larger than MOST_POINTS (fingerprints of texts much alike)
+is cut into parts, each two of which are compared in a task of their own. In each cell further vantage points split
+the points, and what is linked comes out as a spanning forest, never as all pairs; components are joined across cells
+afterwards.
 
 Defined results. A null or blank text has fingerprint zero and links like any other. A null id orders last: it
 names a component only if all its members have none. Repeated rows come out as often as they went in. An empty
@@ -21,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import cut, texts
 from .components import connected_components
 
-MAX_LEAVES = 4096
+LEAVES = 16
 SAMPLE_PER_LEAF = 32
-#: Distinct fingerprints whose home is one leaf, on average.
-LEAF_POINTS = 16384
+#: Distinct fingerprints whose home is one cell, on average, and copies that one task gets at most.
+LEAF_POINTS, MOST_POINTS = 1 << 14, 1 << 18
 BRUTE = 1 << 21
 SEED = 42
 
@@ -159,10 +165,19 @@ def link_leaf(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def cells(points: np.ndarray, leaf: np.ndarray, radius: int, bits: int) -> np.ndarray:
+    """(radius + 1, points): for each block of bits the number of the cell, from the leaf and the block's leading bits."""
+    blocks = radius + 1
+    width = 64 // blocks
+    value = [(points >> np.uint64(64 - (j + 1) * width) & np.uint64((1 << width) - 1)) >> np.uint64(width - bits) for j in range(blocks)]
+    return np.stack([((leaf.astype(np.int64) * blocks + j) << width) + v.astype(np.int64) for j, v in enumerate(value)])
+
+
 def link(points: DataFrame, radius: int = 2) -> DataFrame:
     """``points(fp)``, each once, to edges ``(a, b)`` whose components are those of all pairs within ``radius``."""
-    spark = points.sparkSession
-    leaves = min(MAX_LEAVES, max(1, -(-points.count() // LEAF_POINTS)))
+    want = max(1, -(-points.count() // LEAF_POINTS))
+    leaves = min(LEAVES, want)
+    bits = min(64 // (radius + 1), (-(-want // leaves) - 1).bit_length())
     sample = [r[0] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(leaves * SAMPLE_PER_LEAF).collect()] if leaves > 1 else []
     nodes = build_tree(np.array(sample, np.int64).view(np.uint64), leaves)
 
@@ -170,7 +185,9 @@ def link(points: DataFrame, radius: int = 2) -> DataFrame:
         for b in batches:
             p = b.column(0).to_numpy()
             i, leaf, home = route(p.view(np.uint64), nodes, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(p[i]), pa.array(home)], names=["leaf", "fp", "home"])
+            cell = cells(p.view(np.uint64)[i], leaf, radius, bits) if bits else leaf[None].astype(np.int64)
+            n = len(cell)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), pa.array(np.tile(p[i], n)), pa.array(np.tile(home, n))], names=["cell", "fp", "home"])
 
     def tie(group: pa.Table) -> pa.Table:
         p = group.column("fp").to_numpy()
@@ -180,7 +197,15 @@ def link(points: DataFrame, radius: int = 2) -> DataFrame:
         own = np.flatnonzero(label != np.arange(len(p)))
         return pa.table({"a": p[own], "b": p[label[own]]})
 
-    return points.mapInArrow(deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInArrow(tie, "a long, b long")
+    rows = points.mapInArrow(deal, "cell long, fp long, home boolean")
+    large = cut(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > MOST_POINTS))
+    if large.isEmpty():
+        return rows.groupBy("cell").applyInArrow(tie, "a long, b long")
+    rows = rows.join(large, "cell", "left")
+    parts = F.ceil(2 * F.coalesce("n", F.lit(0)) / MOST_POINTS).cast("int")  # two of them are a task
+    rows = rows.withColumn("parts", F.greatest(parts, F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.groupBy("cell", F.least("part", "other"), F.greatest("part", "other")).applyInArrow(tie, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, keep: tuple = ()) -> DataFrame:

@@ -91,9 +91,13 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == simhash.drop_near_duplicates(empty).count() == 0
 
 
-def test_vantage_point_tree_finds_every_pair(spark, monkeypatch):
+@pytest.mark.parametrize(("leaves", "most"), [(16, 1 << 18), (4, 1 << 18), (4, 30), (1, 60)])
+def test_vantage_point_tree_finds_every_pair(spark, monkeypatch, leaves, most):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(150)]
+    base += [base[0] ^ rng.getrandbits(8) for _ in range(40)]  # much alike
+    monkeypatch.setattr(simhash, "LEAVES", leaves)
+    monkeypatch.setattr(simhash, "MOST_POINTS", most)
     points = {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(4)} | set(base)
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
     monkeypatch.setattr(simhash, "LEAF_POINTS", 40)
@@ -113,7 +117,13 @@ def test_vantage_point_tree_finds_every_pair(spark, monkeypatch):
         for b in signed[:i]:
             if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
                 assert root(a) == root(b)
-    assert len({root(p) for p in signed}) >= 140
+    classes = list(range(len(signed)))
+    for i, a in enumerate(signed):
+        for j, b in enumerate(signed[:i]):
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2 and classes[i] != classes[j]:
+                old, new = classes[i], classes[j]
+                classes = [new if c == old else c for c in classes]
+    assert len({root(p) for p in signed}) == len(set(classes)) >= 100
 
 
 @pytest.mark.parametrize("cut_up", [False, True])
@@ -396,3 +406,123 @@ def test_decontamination_by_plain_windows_against_brute_force(spark):
     as_text = lambda x: [(k, " ".join(v)) for k, v in x.items()]
     got = decontaminate.leaks(spark.createDataFrame(as_text(texts), "doc_id long, text string"), spark.createDataFrame(as_text(items), "item_id long, text string")).collect()
     assert {(r["id"], r["item_id"]) for r in got} == want and len(want) > 15 and len(got) == len(want)
+
+
+def test_mixing_takes_what_the_tree_deals(spark, docs):
+    """The draws of every source, walked down the tree one by one."""
+    import numpy as np
+
+    def shard_of(quotas, shards, s, draw):
+        lo, hi, counts = 0, shards, list(quotas)
+        while hi - lo > 1:
+            total = sum(counts)
+            rng = np.random.Generator(np.random.PCG64([mixing.SEED, lo, hi]))
+            left = rng.multivariate_hypergeometric(counts, total * ((hi - lo) // 2) // (hi - lo), method="marginals").tolist() if total else counts
+            mid = lo + (hi - lo) // 2
+            if draw < left[s]:
+                hi, counts = mid, left
+            else:
+                lo, draw, counts = mid, draw - left[s], [c - x for c, x in zip(counts, left)]
+        return lo if draw < counts[s] else None
+
+    old = mixing.BLOCK_WORDS, mixing.SHARD_WORDS
+    mixing.BLOCK_WORDS, mixing.SHARD_WORDS = 60, 500
+    try:
+        plan = mixing.Plan(mixing.cut(mixing.narrow(docs)))
+        drawn = plan.draws(mixing.narrow(docs)).collect()
+        want = collections.Counter((r["id"], r["size"], tuple(shard_of(plan.quotas, plan.shards, r["s"], d) for d in r["draws"])) for r in drawn)
+        got = collections.Counter((r["doc_id"], r["size"], tuple(r["shards"])) for r in mixing.taken(docs).collect())
+        mixed = collections.Counter(r["mix_shard"] for r in mixing.mix(docs.withColumn("mix_order", F.lit("x"))).collect())
+    finally:
+        mixing.BLOCK_WORDS, mixing.SHARD_WORDS = old
+    assert got == want and plan.shards > 4
+    assert mixed == collections.Counter(x for _, _, shards in want.elements() for x in shards)
+    assert (mixing.descend((3, 2), 4, np.array([0, 0, 1]), np.array([2, 3, 2])) >= 0).tolist() == [True, False, False]
+
+
+def test_expected_counts_of_the_language_model():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    k, v = 3, 5
+    model = lm.Model(*(x / x.sum(-1, keepdims=True) for x in (rng.random(k), rng.random((k, k)), rng.random((k, v)))))
+    seqs = [[0, 1, 4, 2], [2], [3, 3, 1], [4, 0]]
+    starts, moves, emits, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((k, v)), 0.0
+    for s in (x for i, x in enumerate(seqs) if i != 1):
+        paths = {}
+        for path in itertools.product(range(k), repeat=len(s)):
+            p = model.start[path[0]] * model.emit[path[0], s[0]]
+            for a, b, o in zip(path, path[1:], s[1:]):
+                p *= model.move[a, b] * model.emit[b, o]
+            paths[path] = p
+        total = sum(paths.values())
+        likelihood += math.log(total)
+        for path, p in paths.items():
+            starts[path[0]] += p / total
+            for a, b in zip(path, path[1:]):
+                moves[a, b] += p / total
+            for a, o in zip(path, s):
+                emits[a, o] += p / total
+    none = np.zeros(0)
+    blobs = [lm.packed(none, none, np.array(t, np.uint8), np.array([len(s) for s in part]), none, none, none, np.concatenate(part).astype(np.uint16)) for part, t in ((seqs[:2], [1, 0]), (seqs[2:], [1, 1]))]
+    got = lm.expected(model)(iter(blobs))
+    assert np.allclose(got[0], starts, atol=1e-5) and np.allclose(got[1].reshape(k, k), moves, atol=1e-5) and np.allclose(got[2].reshape(k, v), emits, atol=1e-5)
+    assert np.allclose(got[3], [likelihood, 9], atol=1e-4)
+
+
+def test_html_is_linear_in_broken_markup():
+    import time
+
+    n = 100_000
+    pages = ["<a " + '"' * n, "<a " + "\"'" * n + ">", "<a " * n, '<a "' * n + '>"', "<a b=\"'> " * n, "<script " * n, "<script>" * n, "<div>" * n + "</section>" * n, "<!-- " * n, "<" * n, "&#" + "1" * n + ";", "<title>" + "</title" * n]
+    for page in pages:
+        start = time.perf_counter()
+        html.main_text(f"<article><p>text</p></article>{page}")
+        assert time.perf_counter() - start < 20
+    assert html.main_text("<article><p>a &#0000065; &#x41; &#99999999999999; b</p></article>") == "a A A � b"
+    assert html.main_text('<article><p class="x>y">in</p><p title="open>out</p></article>') == "in\nout"
+
+
+def test_html_tree_separates_its_table():
+    for row in html.TABLE:
+        assert html.is_article(tuple(row[:-1])) == bool(row[-1])
+    fields = set()
+
+    def walk(t):
+        if isinstance(t, tuple):
+            fields.add(html.FIELDS[t[0]])
+            walk(t[2])
+            walk(t[3])
+
+    walk(html.tree())
+    assert {"words", "links"} <= fields and len(fields & {"words_before", "links_before", "words_after", "links_after"}) >= 2
+
+
+def test_columns_of_users_stay_theirs(spark, docs):
+    names = ["id", "none", "th", "fp", "root", "node", "kind", "item_id", "pos", "h", "count", "s", "draws", "shards", "block", "key", "size", "votes", "quality", "body", "rest", "n_removed", "kept", "row", "_th", "_id", "_leak_id", "_leak_th"]
+    own = docs.select("doc_id", "text", "lang", "source", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    benchmark = spark.createDataFrame([(1, "no such words in here at all")], "item_id long, text string")
+    for found in (simhash.drop_near_duplicates(own), near.drop_near_copies(own), decontaminate.drop_leaks(own, benchmark), repeats.drop_repeats(own), rules.keep_quality(own), mixing.mix(own)):
+        assert found.columns[: len(own.columns)] == own.columns
+        assert all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in found.collect())
+
+
+def test_classifier_counts_against_brute_force(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(1)
+    texts = [[rng.choice([b"a", b"bb", b"C1", b"dd!", b"eee"]) for _ in range(rng.randint(0, 30))] for _ in range(50)]
+    monkeypatch.setattr(classifier, "PART", 64)
+    got = classifier.counted(texts)
+    index = classifier.index_vectors(0, classifier.WORDS), classifier.index_vectors(1, classifier.SHAPES)
+    want, rows = [np.zeros(x.shape) for x in index], classifier.Rows()
+    for t in texts:
+        at = rows.of(t)
+        for i in range(len(t)):
+            for j in range(max(0, i - classifier.WINDOW), min(len(t), i + classifier.WINDOW + 1)):
+                for k in (0, 1):
+                    want[k][at[k][i]] += index[0][at[0][j]] + index[1][at[1][j]]
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    assert [classifier.shape(w.encode()) for w in ("abc", "Abc", "ABC", "a1__--BBcé", "--__99", "x")] == ["x", "Xx", "X", "x9__--Xx", "--__99", "x"]
