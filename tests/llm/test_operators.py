@@ -526,3 +526,38 @@ def test_classifier_counts_against_brute_force(monkeypatch):
                     want[k][at[k][i]] += index[0][at[0][j]] + index[1][at[1][j]]
     assert all(np.array_equal(a, b) for a, b in zip(got, want))
     assert [classifier.shape(w.encode()) for w in ("abc", "Abc", "ABC", "a1__--BBcé", "--__99", "x")] == ["x", "Xx", "X", "x9__--Xx", "--__99", "x"]
+
+
+def test_rules_verdicts_against_a_fit_by_document(spark, docs):
+    """Expectation-maximisation over documents, one by one, with conditions that another engine evaluates."""
+    import duckdb
+
+    rows = rules.quality(docs.withColumn("doc_id", F.monotonically_increasing_id())).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE f (i BIGINT, {', '.join(f'{c} BIGINT' for c in rules.FEATURES)})")
+    con.executemany(f"INSERT INTO f VALUES ({', '.join('?' * (len(rules.FEATURES) + 1))})", [(i, *(r[c] for c in rules.FEATURES)) for i, r in enumerate(rows)])
+    votes = con.execute(f"SELECT {', '.join(f'({c})' for _, _, c in rules.RULES)} FROM f ORDER BY i").fetchall()
+    learnt = [v for v, r in zip(votes, rows) if not r["base_failed"]]
+    start = [(0.9, 0.3) if good else (0.05, 0.3) for _, good, _ in rules.RULES]
+    rate, share, k = list(start), 0.8, rules.PRIOR_DOCS
+
+    def posterior(v):
+        good = math.prod(t if x else 1 - t for x, (t, _) in zip(v, rate)) * share
+        bad = math.prod(f if x else 1 - f for x, (_, f) in zip(v, rate)) * (1 - share)
+        return good / (good + bad)
+
+    for _ in range(200):
+        q = [posterior(v) for v in learnt]
+        for i, (_, good, _) in enumerate(rules.RULES):
+            t = (sum(x for x, v in zip(q, learnt) if v[i]) + k * start[i][0]) / (sum(q) + k)
+            f = (sum(1 - x for x, v in zip(q, learnt) if v[i]) + k * start[i][1]) / (len(q) - sum(q) + k)
+            if (t < f) == good:
+                t = f = (t + f) / 2
+            rate[i] = tuple(min(max(x, 1e-6), 1 - 1e-6) for x in (t, f))
+        share = (sum(q) + 0.8 * k) / (len(q) + k)
+    assert len(learnt) > 10
+    for v, r in zip(votes, rows):
+        if not r["base_failed"]:
+            assert abs(posterior(v) - r["quality"]) < 1e-6 and r["kept"] == (r["quality"] >= 0.5)
+        else:
+            assert not r["kept"]
