@@ -132,9 +132,11 @@ def annotation_edges(view: Ontology, blanks: DataFrame | None) -> DataFrame:
     df = allowed_annotations(view)
     v = F.col("value")
     text = F.when(v["kind"] == "iri", v["iri"]).when(v["kind"] == "literal", literal_text(v["lexical"], v["datatype"]))
-    df = df.select(F.col("canon").alias("k1"), F.col("subject").alias("source"), annotation_relation(F.col("prop")).alias("relation"), text.alias("text"), v["anon"].alias("anon"), v["label"].alias("label"))
-    df = with_blank(df, "anon", "label", "blank", blanks)
-    return edges(df.select("k1", "source", "relation", F.coalesce("text", "blank").alias("destination")), ANNOTATION)
+    df = df.select(F.col("canon").alias("k1"), F.col("subject").alias("source"), annotation_relation(F.col("prop")).alias("relation"), text.alias("destination"), v["anon"].alias("anon"), v["label"].alias("label"))
+    if blanks is None:
+        return edges(df.select("k1", "source", "relation", F.coalesce("destination", "label").alias("destination")), ANNOTATION)
+    known = with_blank(df.where("destination IS NULL"), "anon", "label", "blank", blanks).select("k1", "source", "relation", F.col("blank").alias("destination"))
+    return edges(df.where("destination IS NOT NULL").select(*known.columns).unionByName(known), ANNOTATION)
 
 
 def annotation_ignored(view: Ontology) -> DataFrame:
@@ -186,22 +188,23 @@ def blank_ids(found: DataFrame) -> DataFrame:
 
 
 def with_blank(df: DataFrame, anon: str, label: str, to: str, blanks: DataFrame | None) -> DataFrame:
-    """The number of an anonymous individual, or the label that it has of its own where none is known."""
+    """The number of an anonymous individual, or the label that it has of its own where none is known. Rows without an
+    anonymous individual are joined under keys that nothing has, and not under one."""
     if blanks is None:
         return df.withColumn(to, F.col(label))
-    # Rows without an anonymous individual stay out of the join, where they would meet under one key.
-    known = df.where(F.col(anon).isNotNull()).join(blanks.select(F.col("anon").alias("_anon"), F.col("blank").alias("_blank")), F.col(anon) == F.col("_anon"), "left")
-    known = known.withColumn(to, F.coalesce("_blank", F.col(label))).drop("_anon", "_blank")
-    return known.unionByName(df.where(F.col(anon).isNull()).withColumn(to, F.col(label)))
+    spread_out = F.unhex(F.hex(F.xxhash64("source", "destination")))
+    keyed = df.withColumn("_key", F.coalesce(F.col(anon), spread_out))
+    return keyed.join(blanks.select(F.col("anon").alias("_key"), F.col("blank").alias("_blank")), "_key", "left").withColumn(to, F.coalesce("_blank", F.col(label))).drop("_key", "_blank")
 
 
 def object_assertion_edges(view: Ontology, blanks: DataFrame | None) -> DataFrame:
     df = view.axioms("ObjectPropertyAssertion").where(F.col("p1.iri").isNotNull() & ~F.coalesce(F.col("p1.chain"), F.lit(False)))
-    df = df.select(F.col("canon").alias("k1"), F.col("p1.iri").alias("relation"), F.col("i1.iri").alias("a"), F.col("i1.anon").alias("a_anon"), F.col("i1.label").alias("a_label"), F.col("i2.iri").alias("b"), F.col("i2.anon").alias("b_anon"), F.col("i2.label").alias("b_label"))
+    df = df.select(F.col("canon").alias("k1"), F.col("i1.iri").alias("source"), F.col("p1.iri").alias("relation"), F.col("i2.iri").alias("destination"), F.col("i1.anon").alias("a_anon"), F.col("i1.label").alias("a_label"), F.col("i2.anon").alias("b_anon"), F.col("i2.label").alias("b_label"))
     # Named ends need no lookup and stay out of the joins.
-    named = df.where("a IS NOT NULL AND b IS NOT NULL").select("k1", F.col("a").alias("source"), "relation", F.col("b").alias("destination"))
-    other = with_blank(with_blank(df.where("a IS NULL OR b IS NULL"), "a_anon", "a_label", "a_blank", blanks), "b_anon", "b_label", "b_blank", blanks)
-    other = other.select("k1", F.coalesce("a", "a_blank").alias("source"), "relation", F.coalesce("b", "b_blank").alias("destination"))
+    both = F.col("source").isNotNull() & F.col("destination").isNotNull()
+    named = df.where(both).select("k1", "source", "relation", "destination")
+    other = with_blank(with_blank(df.where(~both), "a_anon", "a_label", "a_blank", blanks), "b_anon", "b_label", "b_blank", blanks)
+    other = other.select("k1", F.coalesce("source", "a_blank").alias("source"), "relation", F.coalesce("destination", "b_blank").alias("destination"))
     return edges(named.unionByName(other), OBJECT_ASSERTION)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -132,14 +132,18 @@ def missing_imports(spark, d):
     return views.missing_imports(b.documents().unionByName(lost))
 
 
-@query(f"SELECT 'urn:p4:class:' || lpad(CAST(i AS VARCHAR), 9, '0') AS source, '{S.SUBCLASS_OF}' AS relation, 'urn:p4:class:' || lpad(CAST(i + 1 AS VARCHAR), 9, '0') AS destination FROM range(10000) t(i)")
+NUMBERED = "(SELECT row_number() OVER () - 1 AS i, count(*) OVER () AS n FROM lineitem)"
+
+
+@query(f"SELECT 'urn:p4:class:' || lpad(CAST(i AS VARCHAR), 9, '0') AS source, '{S.SUBCLASS_OF}' AS relation, 'urn:p4:class:' || lpad(CAST(i + 1 AS VARCHAR), 9, '0') AS destination FROM {NUMBERED}")
 def synthetic_chain(spark, d):
-    return triples(plan.raw_edges(generators.chain(spark, 10_000)))
+    """As many axioms as there are order lines."""
+    return plan.projected(generators.chain(spark, Bridge(spark, d).read("lineitem").count()))
 
 
-@query("SELECT 'urn:synthetic:class:' || lpad(CAST(i % 8000 AS VARCHAR), 9, '0') AS source, 'urn:synthetic:relation:' || lpad(CAST(i % 17 AS VARCHAR), 2, '0') AS relation, 'urn:synthetic:class:' || lpad(CAST((i * 37) % 8000 AS VARCHAR), 9, '0') AS destination FROM range(10000) t(i)")
+@query(f"SELECT 'urn:synthetic:class:' || lpad(CAST(i % greatest(1, n * 4 // 5) AS VARCHAR), 9, '0') AS source, 'urn:synthetic:relation:' || lpad(CAST(i % 17 AS VARCHAR), 2, '0') AS relation, 'urn:synthetic:class:' || lpad(CAST((i * 37) % greatest(1, n * 4 // 5) AS VARCHAR), 9, '0') AS destination FROM {NUMBERED}")
 def synthetic_edges(spark, d):
-    return generators.synthetic_edges(spark, 10_000)
+    return generators.synthetic_edges(spark, Bridge(spark, d).read("lineitem").count())
 
 
 # Edge rules
@@ -303,10 +307,11 @@ def domain_range_lists(spark, d):
     return side("ObjectPropertyDomain", "domains").join(side("ObjectPropertyRange", "ranges"), "relation")
 
 
-@query(f"SELECT sum(('x' || substr(md5(source || '|' || relation || '|' || destination), 1, 8))::BIGINT) AS digest, count(*) AS n FROM ({Q.FULL})".replace("('x' || substr(md5(source || '|' || relation || '|' || destination), 1, 8))::BIGINT", "length(source) * 1000003 + length(relation) * 1009 + length(destination)"))
+@query(f"SELECT CAST(sum(CAST('0x' || substr(md5(source || '|' || relation || '|' || destination), 1, 8) AS BIGINT)) AS BIGINT) AS digest, count(*) AS n FROM ({Q.FULL})")
 def bag_checksum(spark, d):
-    df = plan.raw_edges(star_view(spark, d))
-    return df.agg(F.sum(F.length("source").cast("long") * 1000003 + F.length("relation") * 1009 + F.length("destination")).alias("digest"), F.count("*").alias("n"))
+    """The sum of 32 bits of a digest of each edge: it depends on every edge and its multiplicity, not on order."""
+    edge = F.md5(F.encode(F.concat_ws("|", *EDGE), "UTF-8"))
+    return plan.raw_edges(star_view(spark, d)).agg(F.sum(F.conv(F.substring(edge, 1, 8), 16, 10).cast("long")).alias("digest"), F.count("*").alias("n"))
 
 
 @query("SELECT sha256(string_agg('{\"source\":\"' || source || '\",\"relation\":\"' || relation || '\",\"destination\":\"' || destination || '\"}' || chr(10), '' ORDER BY encode(source), encode(relation), encode(destination))) AS digest FROM subclass_both")
@@ -363,7 +368,7 @@ def by_region(spark, d):
     return out
 
 
-@query()
+@query(Q.LIFECYCLE)
 def role_lifecycle(spark, d):
     return replay_states(by_region(spark, d))
 
@@ -371,30 +376,43 @@ def role_lifecycle(spark, d):
 # Order and duplicates
 
 
-def ranked(df: DataFrame, *by) -> DataFrame:
-    """Order as a column; for results of schema size."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("long")).select("rank", *EDGE)
+def ranked(ordered: DataFrame) -> DataFrame:
+    """The place of each row of a DataFrame in global order: inside its partition, behind those of the partitions
+    before, of which one number each comes to the driver."""
+    placed = ordered.select(*EDGE, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")).persist()
+    before, rows = 1, []
+    for part, n in sorted(tuple(r) for r in placed.groupBy("part").count().collect()):
+        rows.append((part, before))
+        before += n
+    starts = ordered.sparkSession.createDataFrame(rows, "part int, first long")
+    return placed.join(F.broadcast(starts), "part").select((F.col("first") + F.col("place")).alias("rank"), *EDGE)
 
 
-@query("SELECT row_number() OVER (ORDER BY encode(source), encode(relation), encode(destination)) AS rank, * FROM subclass_both")
+@query(f"SELECT row_number() OVER (ORDER BY encode(source), encode(relation), encode(destination)) AS rank, * FROM ({Q.FULL})")
 def canonical_order(spark, d):
-    return ranked(P.named_subclasses(star_view(spark, d), True), *EDGE)
+    return ranked(plan.projected(star_view(spark, d)))
+
 
+ENCOUNTER = f"""SELECT 1 AS cat, sub AS source, '{S.SUBCLASS_OF}' AS relation, sup AS destination, length(sub) AS l0, encode(sub) AS k0, length(sup) AS l1, encode(sup) AS k1, 0 AS emit FROM named
+    UNION ALL SELECT 1, sup, '{S.SUPERCLASS_OF}', sub, length(sub), encode(sub), length(sup), encode(sup), 1 FROM named
+    UNION ALL SELECT 4, source, relation, destination, length(destination), encode(destination), length(source), encode(source), 0 FROM ca"""
 
-ENCOUNTER = f"""SELECT sub AS source, '{S.SUBCLASS_OF}' AS relation, sup AS destination, sub, sup, 0 AS emit FROM named UNION ALL SELECT sup, '{S.SUPERCLASS_OF}', sub, sub, sup, 1 FROM named"""
+
+def encountered(spark, d) -> DataFrame:
+    """Edges of two categories."""
+    v = star_view(spark, d)
+    return P.named_subclasses(v, True).unionByName(P.class_assertion_edges(v))
 
 
-@query(f"SELECT row_number() OVER (ORDER BY length(sub), encode(sub), length(sup), encode(sup), emit) AS rank, source, relation, destination FROM ({ENCOUNTER})")
+@query(f"SELECT row_number() OVER (ORDER BY cat, l0, k0, l1, k1, emit) AS rank, source, relation, destination FROM ({ENCOUNTER})")
 def encounter_order(spark, d):
-    return ranked(P.named_subclasses(star_view(spark, d), True), *P.KEY)
+    return ranked(plan.with_policy(encountered(spark, d), order="encounter"))
 
 
-@query(f"SELECT row_number() OVER (ORDER BY first) AS rank, source, relation, destination FROM (SELECT source, relation, destination, min(r) AS first FROM (SELECT *, row_number() OVER (ORDER BY length(sub), encode(sub), length(sup), encode(sup), emit) AS r FROM ({ENCOUNTER})) GROUP BY ALL)")
+@query(f"SELECT row_number() OVER (ORDER BY first) AS rank, source, relation, destination FROM (SELECT source, relation, destination, min(r) AS first FROM (SELECT *, row_number() OVER (ORDER BY cat, l0, k0, l1, k1, emit) AS r FROM ({ENCOUNTER})) GROUP BY ALL)")
 def encounter_unique(spark, d):
-    df = P.named_subclasses(star_view(spark, d), True)
-    twice = df.unionByName(df.withColumn("cat", F.lit(9)))
-    first = twice.groupBy(*EDGE).agg(F.min(F.struct(*P.KEY)).alias("key")).select(*EDGE, "key.*")
-    return ranked(first, *P.KEY)
+    df = encountered(spark, d)
+    return ranked(plan.with_policy(df.unionByName(df.withColumn("cat", F.lit(9))), "unique", "encounter"))
 
 
 @query(f"SELECT DISTINCT source, relation, destination FROM ({Q.FULL})")
@@ -402,10 +420,11 @@ def canonical_unique(spark, d):
     return plan.projected(star_view(spark, d), Options(duplicates="unique"))
 
 
-@query("SELECT 'urn:tpch:brand#' || p_brand AS source, op, kind FROM operands")
+@query("SELECT 'urn:tpch:brand#' || p_brand AS source, op, kind, destination AS operand FROM operands")
 def expression_order(spark, d):
     kind = F.when(P.is_class(F.col("operand")), "class").when(F.col("operand.tag") == S.SOME, "some").otherwise("exact")
-    return P.equivalence_operands(star_view(spark, d)).select("source", "op", kind.alias("kind"))
+    name = F.coalesce("operand.iri", "operand.filler_iri")
+    return P.equivalence_operands(star_view(spark, d)).select("source", "op", kind.alias("kind"), name.alias("operand"))
 
 
 @query("SELECT key, blank FROM anons")

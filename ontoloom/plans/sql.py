@@ -112,3 +112,18 @@ def sql(select: str) -> str:
 EXPANDED = expanded("SELECT * FROM expandable")
 FULL = f"SELECT * FROM plain UNION ALL ({EXPANDED})"
 ALL_FLAGS = f"SELECT * FROM subclass_both UNION ALL SELECT * FROM eq_both UNION ALL SELECT * FROM ca UNION ALL SELECT * FROM oa UNION ALL ({EXPANDED}) UNION ALL SELECT * FROM ann_edges"
+
+#: Calls over the role axioms of one region's nations after another; each call has a table of its own, of 16 slots up
+#: to 12 axioms.
+LIFECYCLE_CTES = {
+    "owned": "SELECT h.*, n.n_regionkey AS call, count(*) OVER (PARTITION BY n.n_regionkey) AS size FROM hashed h JOIN nation n ON h.a = 'urn:tpch:prop#' || n.n_nationkey",
+    "turns": "SELECT *, row_number() OVER (ORDER BY call, spread & (CASE WHEN size <= 12 THEN 15 ELSE 31 END), spread) AS ord FROM (SELECT *, xor(hash, hash >> 16) AS spread FROM owned)",
+    "steps": "SELECT call, ord, a AS sub, b AS sup FROM turns WHERE NOT inv",
+    "pointers": "SELECT x.ord AS t, max(y.ord) AS ord FROM steps x JOIN steps y ON y.sup = x.sub AND y.ord < x.ord GROUP BY x.ord",
+    "calls": "SELECT DISTINCT call FROM turns",
+    "ways": """SELECT c.call AS invocation, s.sup AS relation, 0 AS pos, arg_max(s.sub, s.ord) AS subrole, max(s.ord) AS t FROM calls c JOIN steps s ON s.call <= c.call GROUP BY c.call, s.sup
+        UNION ALL SELECT w.invocation, w.relation, w.pos + 1, n.sub, n.ord FROM ways w JOIN pointers p ON p.t = w.t JOIN steps n ON n.ord = p.ord""",
+    "backs": """SELECT c.call AS invocation, i.a AS relation, arg_max(i.b, i.ord) AS inverse
+        FROM calls c JOIN (SELECT call, a, b, ord * 2 AS ord FROM turns WHERE inv UNION ALL SELECT call, b, a, ord * 2 + 1 FROM turns WHERE inv) i ON i.call <= c.call GROUP BY c.call, i.a""",
+}
+LIFECYCLE = ", " + ", ".join(f"{k} AS ({v})" for k, v in LIFECYCLE_CTES.items()) + " SELECT coalesce(w.invocation, b.invocation) AS invocation, coalesce(w.relation, b.relation) AS relation, b.inverse, w.pos, w.subrole FROM ways w FULL JOIN backs b ON w.invocation = b.invocation AND w.relation = b.relation"
