@@ -49,8 +49,9 @@ def set_hash(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: unsigned(a + x))
 
 
-def property_hash(prop: Column) -> Column:
-    named = combined(HASH_SEEDS["object_property"], iri_hash(prop["iri"]))
+def property_hash(prop: Column, hashed: Column) -> Column:
+    """``hashed`` is iri_hash() of the property's IRI."""
+    named = combined(HASH_SEEDS["object_property"], hashed)
     chain = string_hash(F.lit("ObjectPropertyChain"))
     return F.when(F.coalesce(prop["chain"], F.lit(False)), chain).when(prop["inverse"], combined(HASH_SEEDS["inverse"], named)).otherwise(named)
 
@@ -61,9 +62,11 @@ def annotation_hashes(ann: Column) -> Column:
     return F.transform(F.coalesce(ann, F.array().cast(S.ANNOTATIONS)), lambda x: combined(HASH_SEEDS["annotation"], property_(x), value(x)))
 
 
-def role_axiom_hash(inverse: Column, p1: Column, p2: Column, ann: Column) -> Column:
-    a, b, s = property_hash(p1), property_hash(p2), set_hash(annotation_hashes(ann))
-    return F.when(inverse, combined(HASH_SEEDS["inverse_properties"], unsigned(a + b), s)).otherwise(combined(HASH_SEEDS["sub_property"], a, b, s))
+def role_axiom_hash(inverse: bool, first: Column, second: Column, annotations: Column) -> Column:
+    """From the hashes of both properties and of the set of annotations."""
+    if inverse:
+        return combined(HASH_SEEDS["inverse_properties"], unsigned(first + second), annotations)
+    return combined(HASH_SEEDS["sub_property"], first, second, annotations)
 
 
 def spread(hash_: Column) -> Column:

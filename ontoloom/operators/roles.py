@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ResourceLimit
-from ..functions.text import role_axiom_hash, spread
+from ..functions.text import annotation_hashes, iri_hash, property_hash, role_axiom_hash, set_hash, spread
 from ..sources.views import Ontology
 
 #: A role box is schema-sized. Beyond so many axioms its pointers are not brought to the driver: an error.
@@ -106,7 +106,10 @@ def role_axioms(view: Ontology) -> DataFrame:
     named = lambda p: F.when(~F.coalesce(p["chain"], F.lit(False)), p["iri"])
     parts = []
     for kind, inverse in (("SubObjectPropertyOf", False), ("InverseObjectProperties", True)):
-        parts.append(view.axioms(kind).select("canon", F.lit(inverse).alias("is_inverse"), named(F.col("p1")).alias("first"), named(F.col("p2")).alias("second"), role_axiom_hash(F.lit(inverse), F.col("p1"), F.col("p2"), F.col("ann")).alias("hash")))
+        # Hashes of names are columns before they are combined, so that the plan holds each once.
+        df = view.axioms(kind).select("canon", "p1", "p2", iri_hash(F.col("p1.iri")).alias("h1"), iri_hash(F.col("p2.iri")).alias("h2"), set_hash(annotation_hashes(F.col("ann"))).alias("notes"))
+        hashed = role_axiom_hash(inverse, property_hash(F.col("p1"), F.col("h1")), property_hash(F.col("p2"), F.col("h2")), F.col("notes"))
+        parts.append(df.select("canon", F.lit(inverse).alias("is_inverse"), named(F.col("p1")).alias("first"), named(F.col("p2")).alias("second"), hashed.alias("hash")))
     return parts[0].unionByName(parts[1])
 
 
