@@ -198,9 +198,13 @@ def unpacked_ids(blob: bytes) -> np.ndarray:
     return np.concatenate([np.frombuffer(blob, np.uint64, 1), np.frombuffer(blob, np.uint64, 1) + np.cumsum(steps)]).astype(np.int64)
 
 
-def sent(chunk: int, x: np.ndarray, y: np.ndarray, doc: np.ndarray, ids: np.ndarray, bits: int, buckets: int, wide: int) -> pa.Table:
+def sent(chunk: int, x: np.ndarray, y: np.ndarray | None, doc: np.ndarray, ids: np.ndarray, bits: int, buckets: int, wide: int) -> pa.Table:
+    """Entries by bucket. Without ``y`` the first keys go alone."""
     rows: list = []
     for bucket, i, j in dealt(chunk, x, bits, buckets):
+        if y is None:
+            rows.append((bucket, chunk, pack(x[i:j], wide), b"", b"", b""))
+            continue
         used, d = np.unique(doc[i:j], return_inverse=True)
         rows.append((bucket, chunk, pack(x[i:j], wide), pack(y[i:j], 12 - wide), pack(d.astype(np.uint64), 2 if len(used) <= 1 << 16 else 4), packed_ids(ids[used])))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
@@ -312,8 +316,7 @@ def marked(docs: DataFrame, id: str, text: str, row: Column, length: int) -> Dat
             return nothing()
         k, c = opened(group)
         _, key, _, _ = halves(c, k, told)
-        zero = np.zeros(len(key), np.int64)
-        return sent(k, key, key, zero, c.ids[:1], 64, buckets, 8)
+        return sent(k, key, None, c.doc, c.ids, 64, buckets, 8)
 
     def windows(c: Chunk, k: int, told: pa.Table) -> tuple[np.ndarray, ...]:
         anchors, key, owner, later = halves(c, k, told)
