@@ -38,18 +38,30 @@ WORDS, SHAPES = 1 << 15, 1 << 11
 #: Rows of a table that travel together when tables of partitions are summed.
 ROWS = 512
 #: Tokens whose vectors are held at a time.
-PART = 1 << 15
+PART = 1 << 16
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 3e-3, 1e-4
 CALIBRATE = 5  # every fifth row of the sample sets the temperature
 KNOWN = 400_000
-SHAPE = ((re.compile(r"[^\W\d_]", re.U), lambda m: "X" if m[0].isupper() else "x"), (re.compile(r"\d"), "9"), (re.compile(r"(.)\1+", re.S), r"\1\1"))
+RUN = re.compile(r"(.)\1+", re.S)
+
+
+class Like(dict):
+    """Of each character what stands for it in a shape."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = like = "9" if c.isdecimal() else ("X" if c.isupper() else "x") if c.isalnum() else c
+        return like
+
+
+LIKE = Like()
 
 
 def shape(word: bytes) -> str:
-    text = word.decode("utf-8", "replace")
-    for find, to in SHAPE:
-        text = find.sub(to, text)
-    return text.replace("xx", "x").replace("XX", "X")
+    """Letters are x or X, digits 9; runs of letters count as one, of other characters as two."""
+    if word.isalpha() and word.islower():  # ASCII letters only
+        return "x"
+    return RUN.sub(r"\1\1", word.decode("utf-8", "replace").translate(LIKE)).replace("xx", "x").replace("XX", "X")
 
 
 def index_vectors(kind: int, rows: int) -> np.ndarray:
@@ -82,59 +94,63 @@ class Rows(dict):
         self[word] = n
         return n
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > KNOWN:
             self.clear()
-        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        n = self.numbers(words)
         return self.word[n], self.shape[n]
 
 
-def add_at(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows with the sums of their values."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    table[rows[first]] += np.add.reduceat(values[order], first, axis=0)
+    return rows[first], np.add.reduceat(np.ascontiguousarray(values[order].T).astype(np.int32), first, axis=1).T
 
 
 def counted(docs: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """What these documents add to the tables of words and of shapes; whole numbers, so their order is all one."""
-    none = np.zeros((1, DIM), np.float32)  # the row of the gaps between documents
-    index_w, index_s = (np.concatenate([index_vectors(k, n), none]) for k, n in ((0, WORDS), (1, SHAPES)))
-    tables, totals = [np.zeros_like(x) for x in (index_w, index_s)], [np.zeros(x.shape) for x in (index_w, index_s)]
-    gap_w, gap_s = np.full(WINDOW, WORDS, np.int32), np.full(WINDOW, SHAPES, np.int32)
-    rows, held, size, flushed = Rows(), [], 0, 0
+    none = np.zeros((1, DIM), np.int8)  # the row of the gaps between documents
+    index_w, index_s = (np.concatenate([index_vectors(k, n).astype(np.int8), none]) for k, n in ((0, WORDS), (1, SHAPES)))
+    total_w, total_s = np.zeros(index_w.shape, np.int64), np.zeros(index_s.shape, np.int64)
+    gap = np.full(WINDOW, -1)
+    rows, held, size = Rows(), [], 0
 
     def flush() -> None:
-        word, shapes = (np.concatenate([gap, *x]) for gap, x in zip((gap_w, gap_s), zip(*held, strict=True), strict=True))
+        word = np.concatenate([gap, *held])
+        at_w, at_s = rows.word[word], rows.shape[word]
+        at_w[word < 0], at_s[word < 0] = WORDS, SHAPES
         for i in range(WINDOW, len(word) - WINDOW, PART):
             part = slice(i - WINDOW, i + PART + WINDOW)
-            index = index_w[word[part]] + index_s[shapes[part]]
-            near = index[: len(index) - 2 * WINDOW].copy()
+            index = index_w[at_w[part]] + index_s[at_s[part]]
+            near = index[: len(index) - 2 * WINDOW].copy()  # at most 2 * (2 * WINDOW + 1)
             for k in range(1, 2 * WINDOW + 1):  # each token's own index vector among them
                 near += index[k : k + len(near)]
-            own = slice(i, i + len(near))
-            add_at(tables[0], word[own], near)
-            add_at(tables[1], shapes[own], near)
-
-    def settle() -> None:  # float32 counts exactly up to 2 ** 24
-        for total, table in zip(totals, tables, strict=True):
-            total += table
-            table[:] = 0
+            own, sums = summed(word[i : i + len(near)], near)
+            own, sums = own[own >= 0], sums[own >= 0]
+            if len(own):
+                for total, of in ((total_w, rows.word), (total_s, rows.shape)):
+                    at, more = summed(of[own], sums)
+                    total[at] += more
 
     for d in docs:
-        held += [rows.of(d), (gap_w, gap_s)]
+        if len(rows) > KNOWN:  # numbers of words are given anew
+            if held:
+                flush()
+            held, size = [], 0
+            rows.clear()
+        held += [rows.numbers(d), gap]
         size += len(d)
         if size >= PART:
             flush()
-            flushed += size
             held, size = [], 0
-            if flushed > 1 << 18:
-                settle()
-                flushed = 0
     if held:
         flush()
-    settle()
-    return totals[0][:-1], totals[1][:-1]
+    return total_w[:-1], total_s[:-1]
 
 
 def fit_vectors(docs: DataFrame, text: str) -> Vectors:
