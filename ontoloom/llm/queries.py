@@ -12,6 +12,7 @@ from .classifier import fit, with_quality
 from .common import crc_mod, table
 from .decontaminate import leaks
 from .html import with_main_text
+from .interactions import interactions
 from .lm import language_model
 from .mixing import taken
 from .repeats import mark_repeats
@@ -75,8 +76,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(examples(table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)))
 
 
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op8_lm, op9_html, op10_chat)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op8_lm, op9_html, op10_chat, op13_interactions)}
 
 
 ORACLES = {
@@ -105,6 +110,27 @@ ORACLES = {
             CAST(sum(prefix) FILTER (role = 'assistant' OR n = total) AS BIGINT) AS formatted_chars,
             count(*) FILTER (role = 'assistant' OR n = total) AS n_examples
         FROM s GROUP BY conv_id""",
+    "op13_interactions": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+        b AS (
+            SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+                (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+                + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+                + 16 * (d.doc_id > min(d.doc_id) OVER (PARTITION BY text))::INT AS fails
+            FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+        m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM b GROUP BY part, fails),
+        o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE length(filter_order) < 5 AND NOT contains(filter_order, x)),
+        s AS (
+            SELECT filter_order, k AS step, 1 << (ascii(substr(filter_order, k, 1)) - 65) AS f, coalesce(list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(substr(filter_order, i::INT, 1)) - 65))), 0)::INT AS before
+            FROM (SELECT filter_order, unnest(range(1, 6))::INT AS k FROM o WHERE length(filter_order) = 5)),
+        r AS (
+            SELECT part, filter_order, step, f,
+                coalesce(sum(n) FILTER (fails & (before | f) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & f > 0), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (fails & before > 0 AND fails & f > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (fails & before = 0 AND fails & f > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & f > 0), 0)::BIGINT AS toxic_lost
+            FROM m, s GROUP BY ALL)
+        SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r""",
 }
 
 
