@@ -15,6 +15,7 @@ from .html import with_main_text
 from .interactions import interactions
 from .lm import language_model
 from .mixing import taken
+from .packing import pack
 from .repeats import mark_repeats
 from .rules import quality
 from .simhash import near_duplicates
@@ -76,12 +77,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(examples(table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """``tokenizer`` is the path of a tokenizer's file; unless given, that of the public byte-level BPE."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = str(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op8_lm, op9_html, op10_chat, op13_interactions)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op8_lm, op9_html, op10_chat, op11_packing, op13_interactions)}
 
 
 ORACLES = {
