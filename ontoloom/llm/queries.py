@@ -11,6 +11,7 @@ from .chat import examples, read_back
 from .classifier import fit, with_quality
 from .common import crc_mod, table
 from .decontaminate import leaks
+from .divergence import audit
 from .html import with_main_text
 from .interactions import interactions
 from .lm import language_model
@@ -86,12 +87,16 @@ def op11_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return pack(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op8_lm, op9_html, op10_chat, op11_packing, op13_interactions)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_classifier, op3_quality_rules, op4_simhash, op5_suffix_array, op6_decontamination, op7_warc, op8_lm, op9_html, op10_chat, op11_packing, op12_divergence, op13_interactions)}
 
 
 ORACLES = {
@@ -120,6 +125,20 @@ ORACLES = {
             CAST(sum(prefix) FILTER (role = 'assistant' OR n = total) AS BIGINT) AS formatted_chars,
             count(*) FILTER (role = 'assistant' OR n = total) AS n_examples
         FROM s GROUP BY conv_id""",
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+        v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT lang, source, coalesce(n, 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) USING (lang, source)),
+        p AS (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v) AS p FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+        a AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 1)) // (any_value(n) + any_value(v)) AS q FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS n FROM g GROUP BY lang) USING (lang) GROUP BY lang, term),
+        pairs AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+            LEFT JOIN (SELECT s.lang, s.source AS a, t.source AS b, sum((s.p - t.p) * (s.p - t.p) // t.p) AS value FROM p s JOIN p t ON s.lang = t.lang AND s.term = t.term AND s.source <> t.source GROUP BY ALL) z ON z.lang = x.lang AND a = x.source AND b = y.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN a USING (lang, term) WHERE c > 0 AND p > q)
+        SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 200""",
     "op13_interactions": r"""
         WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         l AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
