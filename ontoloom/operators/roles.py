@@ -4,101 +4,27 @@ Each sub-role axiom, when it is visited, gives its upper role the list of its su
 sub-role has at that time. So the axiom points to the one that last gave its sub-role a list, and the list of a role is
 what one meets on the way from the last axiom that gave it one. The state is these pointers: one for each axiom, though
 lists may have as many entries as the square of their number.
+
+Nothing of this passes the driver but counts. Axioms are numbered over a range partitioning in the order in which the
+hash table is visited; pointers are an as-of lookup by a window; lists grow by pointer doubling, so a list of n entries
+takes log2 n rounds of equi-joins, each kept durably.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import ResourceLimit
 from ..functions.text import annotation_hashes, iri_hash, property_hash, role_axiom_hash, set_hash, spread
 from ..sources.views import Ontology
+from ..storage import durable, numbered
 
-#: A role box is schema-sized. Beyond so many axioms its pointers are not brought to the driver: an error.
-MAX_ROLE_AXIOMS = 1_000_000
-#: Bytes of all lists up to which the table of roles is sent to all tasks.
+#: Bytes of all expansions up to which they are sent to all tasks; beyond, they are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
-NONE = -1
-ROLES = "relation string, subroles array<string>, inverse string"
-
-
-class RoleState:
-    """What a series of role axioms leaves: pointers of sub-role axioms, and inverses."""
-
-    def __init__(self):
-        self.sub: list[str] = []
-        self.before: list[int] = []
-        self.size: list[int] = []  # bytes of the list that starts here, with 16 for each entry
-        self.last: dict[str, int] = {}
-        self.inverses: dict[str, str] = {}
-
-    def visit(self, axioms) -> int:
-        """Takes (is_inverse, first, second) in order; returns how many had a chain and did nothing."""
-        chains = 0
-        for is_inverse, first, second in axioms:
-            if None in (first, second):
-                chains += 1
-            elif is_inverse:
-                self.inverses |= {first: second, second: first}
-            else:  # the list known so far is that of the sub-role: a defect that results depend on
-                at = self.last.get(first, NONE)
-                self.sub.append(first)
-                self.before.append(at)
-                self.size.append(weight(first, self.size, at))
-                self.last[second] = len(self.sub) - 1
-        return chains
-
-    def subroles(self, role: str) -> Iterator[str]:
-        yield from way(self.sub, self.before, self.last.get(role, NONE))
-
-    def roles(self) -> list[tuple[str, int, str | None]]:
-        """Role, the axiom at which its list starts, its inverse."""
-        return [(r, self.last.get(r, NONE), self.inverses.get(r)) for r in sorted({*self.last, *self.inverses})]
-
-    def table(self, spark: SparkSession) -> DataFrame:
-        """ROLES. A small one is sent to all tasks; else tasks make the lists, and it is joined by shuffle."""
-        size = sum(self.size[at] + len(r) for r, at in self.last.items()) + sum(len(a) + len(b) for a, b in self.inverses.items())
-        if size <= BROADCAST_BYTES:
-            return F.broadcast(spark.createDataFrame([(r, list(way(self.sub, self.before, at)), back) for r, at, back in self.roles()], ROLES))
-        sent = spark.sparkContext.broadcast((self.sub, self.before))
-
-        def lists(batches):
-            for b in batches:
-                yield pd.DataFrame({"relation": b["relation"], "subroles": [list(way(*sent.value, int(at))) for at in b["at"]], "inverse": b["inverse"]})
-
-        return spark.createDataFrame(self.roles(), "relation string, at long, inverse string").mapInPandas(lists, ROLES)
-
-    def to_rows(self) -> list[tuple]:
-        """The state as rows of STATE, from which of_rows() makes it again."""
-        return [("sub", i, s, None, b) for i, (s, b) in enumerate(zip(self.sub, self.before, strict=True))] + [("last", i, r, None, None) for r, i in self.last.items()] + [("inverse", None, a, b, None) for a, b in self.inverses.items()]
-
-    @classmethod
-    def of_rows(cls, rows) -> RoleState:
-        out = cls()
-        for _, i, name, _, at in sorted((tuple(r) for r in rows if r[0] == "sub"), key=lambda r: r[1]):
-            out.sub.append(name)
-            out.before.append(at)
-            out.size.append(weight(name, out.size, at))
-        out.last = {name: i for kind, i, name, _, _ in rows if kind == "last"}
-        out.inverses = {a: b for kind, _, a, b, _ in rows if kind == "inverse"}
-        return out
-
-
-STATE = "kind string, number long, name string, inverse string, before long"
-
-
-def weight(name: str, sizes: list[int], at: int) -> int:
-    return len(name.encode()) + 16 + (sizes[at] if at >= 0 else 0)
-
-
-def way(sub: list[str], before: list[int], at: int) -> Iterator[str]:
-    while at >= 0:
-        yield sub[at]
-        at = before[at]
+#: What a role's edge becomes: number 0 is the edge itself, sub-roles follow, the inverse, with its ends swapped, is last.
+EXPANSIONS = "relation string, emit int, role string, swapped boolean"
+LAST_EMIT = (1 << 31) - 1
+STATE = {"pointers": "number long, sub string, before long", "last": "relation string, number long", "inverses": "relation string, inverse string"}
 
 
 def role_axioms(view: Ontology) -> DataFrame:
@@ -118,32 +44,125 @@ def capacity(n: int) -> int:
     return max(16, 1 << (-(-4 * n // 3) - 1).bit_length())
 
 
-def visited(view: Ontology) -> list[tuple]:
-    """(is_inverse, first, second) in the order of the table: by slot, spread hash and canonical bytes. They come to
-    the driver by one job and are put in order there, since slots depend on how many there are."""
-    found = role_axioms(view).select("is_inverse", "first", "second", spread(F.col("hash")).alias("spread"), "canon").limit(MAX_ROLE_AXIOMS + 1).collect()
-    if len(found) > MAX_ROLE_AXIOMS:
-        raise ResourceLimit(f"more than {MAX_ROLE_AXIOMS} role axioms", role_axioms=len(found))
-    last_slot = capacity(len(found)) - 1
-    return [tuple(r)[:3] for r in sorted(found, key=lambda r: (r["spread"] & last_slot, r["spread"], bytes(r["canon"])))]
+def visits(view: Ontology, first: int = 0) -> tuple[DataFrame, int]:
+    """``visit, is_inverse, first, second`` in the order of the hash table (slot, spread hash, canonical bytes), and how
+    many there are, on which slots depend."""
+    axioms = role_axioms(view)
+    n = axioms.count()  # without the hashes, which are not read here
+    slot = F.col("spread").bitwiseAND(F.lit(capacity(n) - 1))
+    hashed = axioms.select("is_inverse", "first", "second", "canon", spread(F.col("hash")).alias("spread")).withColumn("slot", slot)
+    if not n:
+        return hashed.select(F.lit(0).cast("long").alias("visit"), "is_inverse", "first", "second"), 0
+    return numbered(hashed, ("slot", "spread", "canon"), "visit", first).select("visit", "is_inverse", "first", "second"), n
+
+
+class RoleState:
+    """What a series of role axioms leaves: pointers of sub-role axioms, the last axiom of each role, and inverses, as
+    DataFrames that later calls add to."""
+
+    def __init__(self, tables: dict[str, DataFrame] | None = None, visited: int = 0):
+        self.tables = tables or {}
+        self.visited = visited
+        self._expansions: DataFrame | None = None
+
+    def get(self, spark: SparkSession, name: str) -> DataFrame:
+        return self.tables[name] if name in self.tables else spark.createDataFrame([], STATE[name])
+
+    def visit(self, view: Ontology) -> int:
+        """Takes a view's role axioms; returns how many had a chain and did nothing."""
+        rows, n = visits(view, self.visited)
+        return self.add(rows, n) if n else 0
+
+    def add(self, rows: DataFrame, n: int) -> int:
+        """Takes n ``rows`` as visits() gives them, numbered after all before."""
+        spark = rows.sparkSession
+        named = rows.where(F.col("first").isNotNull() & F.col("second").isNotNull())
+        sub = named.where("NOT is_inverse")
+        # What a role's list starts with at the time of an axiom: the last axiom before it that gave one. An axiom asks
+        # before it gives.
+        none = F.lit(None).cast("long")
+        asks = sub.select(F.col("first").alias("relation"), "visit", F.lit(0).alias("turn"), none.alias("number"))
+        gives = sub.select(F.col("second").alias("relation"), "visit", F.lit(1).alias("turn"), F.col("visit").alias("number"))
+        known = self.get(spark, "last").select("relation", F.col("number").alias("visit"), F.lit(1).alias("turn"), "number")
+        before = Window.partitionBy("relation").orderBy("visit", "turn").rowsBetween(Window.unboundedPreceding, -1)
+        events = asks.unionByName(gives).unionByName(known).withColumn("before", F.last("number", ignorenulls=True).over(before))
+        found = events.where("turn = 0").select(F.col("visit").alias("number"), F.col("relation").alias("sub"), "before")
+        last = known.unionByName(gives).groupBy("relation").agg(F.max("number").alias("number"))
+        both = lambda a, b, k: named.where("is_inverse").select(F.col(a).alias("relation"), F.col(b).alias("inverse"), (F.col("visit") * 2 + k).alias("at"))
+        backs = self.get(spark, "inverses").withColumn("at", F.lit(-1).cast("long")).unionByName(both("first", "second", 0)).unionByName(both("second", "first", 1))
+        inverses = backs.groupBy("relation").agg(F.max_by("inverse", "at").alias("inverse"))
+        chains = n - named.count()
+        new = {"pointers": self.get(spark, "pointers").unionByName(found), "last": last, "inverses": inverses}
+        self.tables = {k: durable(df) for k, df in new.items()}
+        self.visited += n
+        self._expansions = None
+        return chains
+
+    def lists(self, spark: SparkSession) -> DataFrame:
+        """``relation, pos, subrole`` of all lists. After k rounds all places below 2 ** k of each list are known: place
+        p + 2 ** k is 2 ** k pointers on from place p."""
+        pointers = self.get(spark, "pointers")
+        # Places have a relation and pos, jumps have where they start; one join takes both as far again as jumps reach.
+        none = lambda kind: F.lit(None).cast(kind)
+        places = self.get(spark, "last").select("relation", F.lit(0).cast("long").alias("pos"), none("long").alias("start"), F.col("number").alias("node"))
+        jumps = pointers.where("before IS NOT NULL").select(none("string").alias("relation"), none("long").alias("pos"), F.col("number").alias("start"), F.col("before").alias("node"))
+        now, far = places.unionByName(jumps), 1
+        while True:
+            reach = now.where("start IS NOT NULL").select(F.col("start").alias("at"), F.col("node").alias("to"))
+            then = now.join(reach, F.col("node") == F.col("at")).select("relation", (F.col("pos") + far).alias("pos"), "start", F.col("to").alias("node"))
+            seen = Observation()
+            now = durable(now.where("start IS NULL").unionByName(then).observe(seen, F.count("start").alias("jumps")))
+            if not seen.get["jumps"]:
+                return now.join(pointers, F.col("node") == F.col("number")).select("relation", F.col("pos").cast("int").alias("pos"), F.col("sub").alias("subrole"))
+            far *= 2
+
+    def inverses(self, spark: SparkSession) -> DataFrame:
+        return self.get(spark, "inverses")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """EXPANSIONS, made once for each state. A table of few bytes, which are counted, is sent to all tasks."""
+        if self._expansions is None:
+            if not self.tables:
+                self._expansions = F.broadcast(spark.createDataFrame([], EXPANSIONS))
+                return self._expansions
+            emit = lambda e: F.lit(e).cast("int").alias("emit")
+            below = self.lists(spark).select("relation", (F.col("pos") + 1).alias("emit"), F.col("subrole").alias("role"), F.lit(False).alias("swapped"))
+            back = self.inverses(spark).select("relation", emit(LAST_EMIT), F.col("inverse").alias("role"), F.lit(True).alias("swapped"))
+            own = self.get(spark, "last").select("relation").union(self.inverses(spark).select("relation")).distinct()
+            own = own.select("relation", emit(0), F.col("relation").alias("role"), F.lit(False).alias("swapped"))
+            made = durable(own.unionByName(below).unionByName(back))
+            size = made.agg(F.sum(F.octet_length("relation") + F.octet_length("role") + 32)).first()[0] or 0
+            self._expansions = F.broadcast(made) if size <= BROADCAST_BYTES else made
+        return self._expansions
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        for name in STATE:
+            self.get(spark, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        spark.createDataFrame([(self.visited,)], "visited long").coalesce(1).write.mode("overwrite").parquet(f"{path}/visited")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RoleState:
+        tables = {k: spark.read.schema(s).parquet(f"{path}/{k}") for k, s in STATE.items()}
+        visited = spark.read.parquet(f"{path}/visited").first()[0]
+        return cls(tables if visited else {}, visited)
 
 
 def fold(view: Ontology, state: RoleState | None = None) -> tuple[RoleState, int]:
-    state = state or RoleState()
-    return state, state.visit(visited(view))
+    """The state after a view's axioms, and how many had a chain. That of a view alone is found once for each view."""
+    if state is None:
+        if "roles" not in view.memo:
+            alone = RoleState()
+            view.memo["roles"] = alone, alone.visit(view)
+        return view.memo["roles"]
+    return state, state.visit(view)
 
 
 def expand(base: DataFrame, roles: DataFrame) -> DataFrame:
     """``base(..., source, relation, destination)`` to the role's edge, one for each sub-role, and the inverse's
-    with its ends swapped; ``emit`` numbers them."""
+    with its ends swapped; ``emit`` numbers them. Roles without a list or an inverse keep their edge."""
     rest = [c for c in base.columns if c not in ("source", "relation", "destination", "emit")]
-    joined = base.join(roles, "relation", "left")
-    edge = lambda i, s, r, d: F.struct(i.cast("int").alias("emit"), s.alias("source"), r.alias("relation"), d.alias("destination"))
-    s, r, d = F.col("source"), F.col("relation"), F.col("destination")
-    n = F.coalesce(F.size("subroles"), F.lit(0))
-    own = F.array(edge(F.lit(0), s, r, d))
-    below = F.transform("subroles", lambda x, i: edge(i + 1, s, x, d))
-    back = F.when(F.col("inverse").isNotNull(), F.array(edge(F.greatest(n, F.lit(0)) + 1, d, F.col("inverse"), s)))
-    none = F.array().cast("array<struct<emit:int,source:string,relation:string,destination:string>>")
-    every = F.concat(own, F.coalesce(below, none), F.coalesce(back, none))
-    return joined.select(*rest, F.explode(every).alias("e")).select(*rest, "e.*")
+    s, d, back = F.col("source"), F.col("destination"), F.coalesce("swapped", F.lit(False))
+    joined = base.drop("emit").join(roles, "relation", "left")
+    return joined.select(
+        *rest, F.coalesce("emit", F.lit(0)).alias("emit"), F.when(back, d).otherwise(s).alias("source"),
+        F.coalesce("role", "relation").alias("relation"), F.when(back, s).otherwise(d).alias("destination"))

@@ -10,6 +10,7 @@ from ..errors import IncompatibleSource, UnsupportedAxiomShape
 from ..functions.text import blank_label, literal_text
 from ..options import Options
 from ..sources.views import Ontology, class_signature
+from ..storage import numbered
 from .roles import expand
 
 KEY = ("cat", "k0", "k1", "k2", "op", "emit")
@@ -173,18 +174,8 @@ def anonymous(view: Ontology) -> DataFrame | None:
 
 
 def blank_ids(found: DataFrame) -> DataFrame:
-    """``anon, blank``: distinct individuals numbered in the order of their canonical bytes, over a range partitioning
-    of any size: a place inside its partition, behind all that the partitions before hold. The numbered rows are kept
-    for the later steps, so they are sorted once and their partitions stay the same."""
-    row = F.monotonically_increasing_id()
-    placed = found.repartitionByRange("anon").sortWithinPartitions("anon").select("anon", F.spark_partition_id().alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")).persist()
-    sizes = sorted(placed.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a partition
-    first, rows = FIRST_BLANK, []
-    for r in sizes:
-        rows.append((r["part"], first))
-        first += r["n"]
-    starts = found.sparkSession.createDataFrame(rows, "part int, first long")
-    return placed.join(F.broadcast(starts), "part").select("anon", F.concat(F.lit("_:genid"), (F.col("first") + F.col("place")).cast("string")).alias("blank"))
+    """``anon, blank``: distinct individuals numbered in the order of their canonical bytes."""
+    return numbered(found, ("anon",), "n", FIRST_BLANK).select("anon", F.concat(F.lit("_:genid"), F.col("n").cast("string")).alias("blank"))
 
 
 def with_blank(df: DataFrame, anon: str, label: str, to: str, blanks: DataFrame | None) -> DataFrame:
@@ -192,7 +183,7 @@ def with_blank(df: DataFrame, anon: str, label: str, to: str, blanks: DataFrame
     anonymous individual are joined under keys that nothing has, and not under one."""
     if blanks is None:
         return df.withColumn(to, F.col(label))
-    spread_out = F.unhex(F.hex(F.xxhash64("source", "destination")))
+    spread_out = F.unhex(F.hex(F.xxhash64("k1")))
     keyed = df.withColumn("_key", F.coalesce(F.col(anon), spread_out))
     return keyed.join(blanks.select(F.col("anon").alias("_key"), F.col("blank").alias("_blank")), "_key", "left").withColumn(to, F.coalesce("_blank", F.col(label))).drop("_key", "_blank")
 

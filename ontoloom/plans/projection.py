@@ -38,9 +38,12 @@ def with_policy(edges: DataFrame, duplicates: str = "preserve", order: str = "ca
     if order == "canonical":
         out = edges.select(*EDGE)
         return (out.distinct() if duplicates == "unique" else out).orderBy(*EDGE)
-    if duplicates == "unique":
-        edges = edges.groupBy(*EDGE).agg(F.min(F.struct(*P.KEY)).alias("key")).select(*EDGE, "key.*")
-    return edges.orderBy(*P.KEY).select(*EDGE)
+    return (firsts(edges) if duplicates == "unique" else edges).orderBy(*P.KEY).select(*EDGE)
+
+
+def firsts(edges: DataFrame) -> DataFrame:
+    """The first of equal edges by encounter."""
+    return edges.groupBy(*EDGE).agg(F.min(F.struct(*P.KEY)).alias("key")).select(*EDGE, "key.*")
 
 
 def projected(view: Ontology, options: Options | None = None, roles: DataFrame | None = None, max_edges: int | None = None) -> DataFrame:

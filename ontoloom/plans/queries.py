@@ -15,6 +15,7 @@ from ..operators import rules as P
 from ..options import Options
 from ..sources import generators, views
 from ..sources.bridge import IMPORTS, Bridge, star_view, urn
+from ..storage import numbered
 from ..streaming.lifecycle import replay_states
 from . import projection as plan
 from . import sql as Q
@@ -326,24 +327,24 @@ def canonical_digest(spark, d):
 
 @query("SELECT relation, pos, subrole FROM chain")
 def role_state_subroles(spark, d):
-    return roles_of(star_view(spark, d)).select("relation", F.posexplode("subroles").alias("pos", "subrole"))
+    return R.fold(star_view(spark, d))[0].lists(spark)
 
 
 @query("SELECT relation, inverse FROM inverses")
 def role_state_inverse(spark, d):
-    return roles_of(star_view(spark, d)).where("inverse IS NOT NULL").select("relation", "inverse")
+    return R.fold(star_view(spark, d))[0].inverses(spark)
 
 
 @query("SELECT b.source, c.subrole AS relation, b.destination FROM restr_fine b JOIN chain c ON c.relation = b.relation")
 def role_subroles_join(spark, d):
     v = star_view(spark, d)
-    return P.unexpanded_restrictions(v).join(roles_of(v), "relation").select("source", F.explode("subroles").alias("relation"), "destination")
+    return P.unexpanded_restrictions(v).join(R.fold(v)[0].lists(spark), "relation").select("source", F.col("subrole").alias("relation"), "destination")
 
 
 @query("SELECT b.destination AS source, i.inverse AS relation, b.source AS destination FROM restr_fine b JOIN inverses i ON i.relation = b.relation")
 def role_inverse_join(spark, d):
     v = star_view(spark, d)
-    return P.unexpanded_restrictions(v).join(roles_of(v).where("inverse IS NOT NULL"), "relation").select(F.col("destination").alias("source"), F.col("inverse").alias("relation"), F.col("source").alias("destination"))
+    return P.unexpanded_restrictions(v).join(R.fold(v)[0].inverses(spark), "relation").select(F.col("destination").alias("source"), F.col("inverse").alias("relation"), F.col("source").alias("destination"))
 
 
 @query(f"SELECT inv AS is_inverse, a AS first, b AS second, {Q.int32('hash')} AS hash FROM hashed")
@@ -353,7 +354,7 @@ def role_axiom_hash(spark, d):
 
 @query("SELECT ord AS visit, inv AS is_inverse, a AS first, b AS second FROM visits")
 def hashset_order(spark, d):
-    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(R.visited(star_view(spark, d)))], "visit long, is_inverse boolean, first string, second string")
+    return R.visits(star_view(spark, d), 1)[0]
 
 
 def by_region(spark, d):
@@ -376,21 +377,13 @@ def role_lifecycle(spark, d):
 # Order and duplicates
 
 
-def ranked(ordered: DataFrame) -> DataFrame:
-    """The place of each row of a DataFrame in global order: inside its partition, behind those of the partitions
-    before, of which one number each comes to the driver."""
-    placed = ordered.select(*EDGE, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")).persist()
-    before, rows = 1, []
-    for part, n in sorted(tuple(r) for r in placed.groupBy("part").count().collect()):
-        rows.append((part, before))
-        before += n
-    starts = ordered.sparkSession.createDataFrame(rows, "part int, first long")
-    return placed.join(F.broadcast(starts), "part").select((F.col("first") + F.col("place")).alias("rank"), *EDGE)
+def ranked(edges: DataFrame, *keys: str) -> DataFrame:
+    return numbered(edges, keys, "rank", 1).select("rank", *EDGE)
 
 
 @query(f"SELECT row_number() OVER (ORDER BY encode(source), encode(relation), encode(destination)) AS rank, * FROM ({Q.FULL})")
 def canonical_order(spark, d):
-    return ranked(plan.projected(star_view(spark, d)))
+    return ranked(plan.raw_edges(star_view(spark, d)).select(*EDGE), *EDGE)
 
 
 ENCOUNTER = f"""SELECT 1 AS cat, sub AS source, '{S.SUBCLASS_OF}' AS relation, sup AS destination, length(sub) AS l0, encode(sub) AS k0, length(sup) AS l1, encode(sup) AS k1, 0 AS emit FROM named
@@ -406,13 +399,13 @@ def encountered(spark, d) -> DataFrame:
 
 @query(f"SELECT row_number() OVER (ORDER BY cat, l0, k0, l1, k1, emit) AS rank, source, relation, destination FROM ({ENCOUNTER})")
 def encounter_order(spark, d):
-    return ranked(plan.with_policy(encountered(spark, d), order="encounter"))
+    return ranked(encountered(spark, d), *P.KEY)
 
 
 @query(f"SELECT row_number() OVER (ORDER BY first) AS rank, source, relation, destination FROM (SELECT source, relation, destination, min(r) AS first FROM (SELECT *, row_number() OVER (ORDER BY cat, l0, k0, l1, k1, emit) AS r FROM ({ENCOUNTER})) GROUP BY ALL)")
 def encounter_unique(spark, d):
     df = encountered(spark, d)
-    return ranked(plan.with_policy(df.unionByName(df.withColumn("cat", F.lit(9))), "unique", "encounter"))
+    return ranked(plan.firsts(df.unionByName(df.withColumn("cat", F.lit(9)))), *P.KEY)
 
 
 @query(f"SELECT DISTINCT source, relation, destination FROM ({Q.FULL})")

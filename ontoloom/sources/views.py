@@ -22,6 +22,7 @@ class Ontology:
         kinds whose axioms may name anonymous individuals, if that is known; others are not looked through for them."""
         self.spark, self._axioms, self.documents, self.entities, self._anonymous = spark, dict(axioms), documents, entities, anonymous
         self.source_kind = "frames"
+        self.memo: dict = {}  # what is found once for a view
         for kind, df in self._axioms.items():
             if kind not in S.KINDS:
                 raise IncompatibleSource(f"no such kind of axiom: {kind}", constructor=kind)

@@ -7,7 +7,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.roles import STATE, RoleState, fold
+from ..errors import IncompatibleSource
+from ..operators.roles import RoleState, fold
 from ..options import Options
 from ..plans.projection import projected
 from ..sources.views import Ontology
@@ -25,7 +26,7 @@ def replay_states(views: Iterable[tuple[int, Ontology]]) -> DataFrame:
     state, out = RoleState(), None
     for number, view in views:
         fold(view, state)
-        df = state.table(view.spark).select(F.lit(number).alias("invocation"), "relation", "inverse", F.posexplode_outer("subroles").alias("pos", "subrole"))
+        df = state.lists(view.spark).join(state.inverses(view.spark), "relation", "full").select(F.lit(number).alias("invocation"), "relation", "inverse", "pos", "subrole")
         out = df if out is None else out.unionByName(df)
     return out
 
@@ -38,17 +39,18 @@ def stored(spark: SparkSession, path: str) -> bool:
 def stream_edges(stream: DataFrame, path: str, checkpoint: str, view_of, options: Options | None = None):
     """A streaming table of axioms whose batches are calls. Each batch's edges are written under its number, and beside
     them the role state of all batches up to it, from which the next one goes on. So a restarted query goes on where it
-    was, and a batch that is run again starts from the state that it had before and replaces what it wrote. A batch that
-    writes no state of its own does not occur: an empty one writes that of its predecessor."""
+    was, and a batch that is run again starts from the state that it had before and replaces what it wrote. A batch
+    whose predecessor's state is gone is an error. The state stays in tables; the driver holds none of it."""
 
     def state_path(number: int) -> str:
         return f"{path}/_role_state/batch={number}"
 
     def batch(rows: DataFrame, number: int) -> None:
         spark, view = rows.sparkSession, view_of(rows)
-        before = spark.read.schema(STATE).parquet(state_path(number - 1)).collect() if number and stored(spark, state_path(number - 1)) else []
-        state = fold(view, RoleState.of_rows(before))[0]
+        if number and not stored(spark, f"{state_path(number - 1)}/visited/_SUCCESS"):
+            raise IncompatibleSource(f"the role state of batch {number - 1} is gone", batch=number)
+        state = fold(view, RoleState.load(spark, state_path(number - 1)) if number else RoleState())[0]
         projected(view, options, state.table(spark)).write.mode("overwrite").parquet(f"{path}/batch={number}")
-        spark.createDataFrame(state.to_rows(), STATE).coalesce(1).write.mode("overwrite").parquet(state_path(number))
+        state.save(spark, state_path(number))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,12 +70,67 @@ def test_subclass_rules(spark):
     assert [tuple(e) for e in project_taxonomy(v)] == [("A", S.SUBCLASS_OF, "B")]
 
 
-def test_roles_fold_reads_children_of_the_sub_role():
+def role_rows(spark, axioms, first=0):
+    """(is_inverse, first, second) as numbered rows, shuffled over partitions."""
+    rows = [(first + i, *a) for i, a in enumerate(axioms)]
+    return spark.createDataFrame(rows[::-1], "visit long, is_inverse boolean, first string, second string").repartition(3), len(rows)
+
+
+def folded(axioms):
+    """The fold as it is defined, one axiom after the other."""
+    lists, inverses = {}, {}
+    for is_inverse, a, b in axioms:
+        if None in (a, b):
+            continue
+        if is_inverse:
+            inverses |= {a: b, b: a}
+        else:
+            lists[b] = [a, *lists.get(a, [])]
+    return lists, inverses
+
+
+def held(spark, state):
+    lists = {}
+    for r in state.lists(spark).orderBy("relation", "pos").collect():
+        own = lists.setdefault(r["relation"], [])
+        assert r["pos"] == len(own)
+        own.append(r["subrole"])
+    return lists, {r["relation"]: r["inverse"] for r in state.inverses(spark).collect()}
+
+
+def test_roles_fold_reads_children_of_the_sub_role(spark, tmp_path):
+    axioms = [(False, "q", "r"), (False, "p", "q"), (True, "r", "s"), (True, "r", "t"), (False, "p", "r"), (False, None, "r"), (False, "r", "r")]
     s = R.RoleState()
-    assert s.visit([(False, "q", "r"), (False, "p", "q"), (True, "r", "s"), (True, "r", "t"), (False, "p", "r"), (False, None, "r")]) == 1
-    assert {r: list(s.subroles(r)) for r in "pqr"} == {"p": [], "q": ["p"], "r": ["p"]}
-    assert R.RoleState.of_rows(s.to_rows()).__dict__ == s.__dict__
-    assert s.inverses == {"r": "t", "s": "r", "t": "r"}
+    assert s.add(*role_rows(spark, axioms)) == 1
+    assert held(spark, s) == folded(axioms) == ({"q": ["p"], "r": ["r", "p"]}, {"r": "t", "s": "r", "t": "r"})
+    s.save(spark, str(tmp_path / "state"))
+    again = R.RoleState.load(spark, str(tmp_path / "state"))
+    more = [(False, "r", "u"), (True, "s", "v")]
+    for state in (s, again):
+        state.add(*role_rows(spark, more, len(axioms)))
+        assert held(spark, state) == folded(axioms + more) and state.visited == 9
+
+
+def test_role_fold_over_random_and_long_boxes(spark):
+    rng = random.Random(4)
+    boxes = [[(rng.random() < 0.2, f"r{rng.randrange(12)}", f"r{rng.randrange(12)}") for _ in range(n)] for n in (1, 60)]
+    boxes.append([(False, f"r{i}", f"r{i + 1}") for i in range(300)])  # lists of up to 300 entries
+    boxes.append([(False, "hub", "hub")] * 40)  # one role has every axiom
+    for axioms in boxes:
+        s = R.RoleState()
+        s.add(*role_rows(spark, axioms))
+        assert held(spark, s) == folded(axioms)
+    assert R.RoleState().table(spark).count() == 0
+
+
+def test_visits_follow_the_hash_table(spark):
+    names = [f"urn:n#{i}" for i in range(60)]
+    v = view(spark, SubObjectPropertyOf=[sub_role(a, b) for a, b in zip(names, names[1:])], InverseObjectProperties=[inverse_roles(names[3], names[5])])
+    rows, n = R.visits(v, 7)
+    hashed = R.role_axioms(v).select("first", "second", T.spread(F.col("hash")).alias("s"), "canon").collect()
+    want = [(r["first"], r["second"]) for r in sorted(hashed, key=lambda r: (r["s"] & R.capacity(n) - 1, r["s"], bytes(r["canon"])))]
+    got = sorted(rows.collect())
+    assert n == 60 and [r["visit"] for r in got] == list(range(7, 67)) and [(r["first"], r["second"]) for r in got] == want
 
 
 def test_role_expansion(spark):
@@ -267,13 +323,31 @@ def test_stream_goes_on_where_it_was(spark, tmp_path):
     assert len(found(0)) == 3 and found(1) == after
 
 
-def test_large_role_tables_are_made_by_tasks(spark, monkeypatch):
+def test_large_role_tables_are_joined_by_shuffle(spark, monkeypatch):
     s = R.RoleState()
-    s.visit([(False, f"r{i}", f"r{i + 1}") for i in range(40)] + [(True, "r3", "back")])
-    small = {r["relation"]: r for r in s.table(spark).collect()}
+    s.add(*role_rows(spark, [(False, f"r{i}", f"r{i + 1}") for i in range(40)] + [(True, "r3", "back")]))
+    small = sorted(map(tuple, s.table(spark).collect()))
     monkeypatch.setattr(R, "BROADCAST_BYTES", 10)
-    assert {r["relation"]: r for r in s.table(spark).collect()} == small
-    assert small["r3"]["subroles"] == ["r2", "r1", "r0"] and small["r3"]["inverse"] == "back" and small["back"]["subroles"] == []
+    s._expansions = None
+    assert sorted(map(tuple, s.table(spark).collect())) == small
+    assert [x[1:] for x in small if x[0] == "r3"] == [(0, "r3", False), (1, "r2", False), (2, "r1", False), (3, "r0", False), (R.LAST_EMIT, "back", True)]
+    base = spark.createDataFrame([(1, "x", "r3", "y"), (2, "x", "none", "y")], "k int, source string, relation string, destination string")
+    assert sorted(edges(R.expand(base, s.table(spark)).select("k", "source", "relation", "destination"))) == [(1, "x", r, "y") for r in ("r0", "r1", "r2", "r3")] + [(1, "y", "back", "x"), (2, "x", "none", "y")]
+
+
+def test_a_stream_without_its_state_fails(spark, tmp_path):
+    a, b, _ = lifecycle(spark)
+    (tmp_path / "in").mkdir()
+    rows = spark.readStream.schema("doc string").option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+
+    def run(name):
+        (tmp_path / "in" / name).write_text(f"{name}\n")
+        stream_edges(rows, str(tmp_path / "out"), str(tmp_path / "checkpoint"), lambda df: {"a": a, "b": b}[df.first()[0]]).trigger(availableNow=True).start().awaitTermination()
+
+    run("a")
+    (tmp_path / "out" / "_role_state").rename(tmp_path / "elsewhere")
+    with pytest.raises(Exception, match="role state of batch 0 is gone"):
+        run("b")
 
 
 def test_capacity_is_that_of_a_table_that_doubles():
