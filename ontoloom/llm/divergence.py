@@ -3,19 +3,21 @@
 Texts are first written as blocks: those of one language in one task, about ``BLOCK_BYTES``, with letters A to Z lower-
 cased and all that is no part of a term turned into blanks. The first pass counts in how many documents of a block each
 term occurs; the sums over blocks are exact document frequencies, and terms in ``MIN_DOCS`` documents or more are kept.
-The second pass sends the kept terms back to the blocks that have them, where an Aho-Corasick automaton of these terms,
-each between blanks, recounts the occurrences of every source. So an automaton holds what one block has, however large
-the vocabulary grows; no vocabulary is collected or sent to all tasks.
+The second pass tells each block which of its terms are kept; an Aho-Corasick automaton of these, each between blanks,
+recounts the occurrences of every source. So an automaton holds what one block has, however large the vocabulary grows;
+no vocabulary is collected or sent to all tasks, and a term has one row a block at most.
 
-What comes out are sparse postings (language, term, source, count). A term that neither of two sources has adds the same
-to their divergence, whatever the term, so a pair needs: that amount for all terms; for each source, the difference that
-its own terms make, of which only how many have each count matters; and a correction for terms that both have, which
-tasks find from the postings of a term. Everything is whole numbers of 64 bits, with 128 where a product needs them.
+What comes out are sparse postings: for each term the sources that have it, and how often. A term that neither of two
+sources has adds the same to their divergence, whatever the term, so a pair needs: that amount for all terms; for each
+source, the difference that its own terms make, of which only how many have each count matters; and a correction for
+terms that both have, which tasks find from the postings of a term. Everything is whole numbers of 64 bits, decimals
+where a product needs more.
 
 Defined results. Null texts, languages and sources are ''. A document without a term counts for its source, which then
 gives every term its least probability; a language without kept terms has pairs of value 0. Repeated rows and ids count
 as documents of their own. A language with one source has no pair. A very long text is one block of its own, so memory
-grows with it. An empty table gives an empty table. Other columns are ignored, whatever their names.
+grows with it; postings of a term are one row, as long as its language has sources. An empty table gives an empty table.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,9 +37,9 @@ from .common import cut, shared_path, small_batches, texts, tidy
 
 MIN_DOCS = 3
 TOP_TERMS = 200
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 SCALE = 1_000_000_000
-#: Terms of a group are ranked in so many parts before the group's best are.
+#: A group's terms are ranked in so many parts, by the task that finds them, before its best are.
 PARTS = 16
 #: Pairs of postings that a task makes at a time, and sums that it holds.
 PAIRS_AT_ONCE = 1 << 19
@@ -71,7 +74,8 @@ def blocks(docs: DataFrame) -> DataFrame:
         def row(lang: str, b: Block) -> pa.RecordBatch:
             nonlocal number
             number += 1
-            blobs = [BLANK.join([b"", *x, b""]) for x in b.sources.values()]
+            pack = zstandard.ZstdCompressor(level=1).compress
+            blobs = [pack(BLANK.join([b"", *x, b""])) for x in b.sources.values()]
             values = ([number], [lang], [list(b.sources)], [blobs], [list(b.docs)], [list(b.docs.values())])
             kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "lang", "sources", "blobs", "terms", "docs"])
@@ -99,45 +103,66 @@ def blocks(docs: DataFrame) -> DataFrame:
     where = shared_path(spark, "blocks")
     found = docs.select(empty("lang"), empty("source"), empty("text")).mapInArrow(run, BLOCKS)
     # Rows are large, so the writer looks at its memory after each.
-    small = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false", "compression": "zstd"}
+    small = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
     found.write.options(**{k: str(v) for k, v in small.items()}).parquet(where)
     return spark.read.parquet(where)
 
 
-def block_terms(made: DataFrame) -> DataFrame:
-    """``block, lang, term, docs``."""
-    return made.select("block", "lang", F.explode(F.arrays_zip("terms", "docs")).alias("t")).select("block", "lang", F.col("t.terms").alias("term"), F.col("t.docs").alias("docs"))
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder."""
+    where = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(where)
+    return df.sparkSession.read.parquet(where)
 
 
 def kept_terms(made: DataFrame) -> DataFrame:
-    """``lang, term`` of the terms in MIN_DOCS documents or more."""
-    return block_terms(made).groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).select("lang", "term")
+    """``block, place`` of the terms in MIN_DOCS documents or more, by their place in the block's list of terms."""
+    each = made.select("block", "lang", F.posexplode(F.arrays_zip("terms", "docs")).alias("place", "t")).select("block", "lang", "place", F.col("t.terms").alias("term"), F.col("t.docs").alias("docs"))
+    whole = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    return each.withColumn("whole", whole).where(F.col("whole") >= MIN_DOCS).select("block", "place")
 
 
-def recounted(made: DataFrame, kept: DataFrame) -> DataFrame:
-    """Sparse postings ``lang, term, source, count``: occurrences of kept terms, found by each block's automaton."""
-    own = block_terms(made).select(F.col("block").alias("owner"), "lang", "term").join(kept, ["lang", "term"]).select("owner", "term")
+def source_groups(made: DataFrame) -> DataFrame:
+    """``lang, source, gid``: all groups that occur, also without a term."""
+    each = made.select("lang", F.explode("sources").alias("source")).distinct()
+    return cut(each.withColumn("gid", F.monotonically_increasing_id()))
 
-    def run(key: tuple, block: pa.Table, terms: pa.Table) -> pa.Table:
+
+def recounted(made: DataFrame, groups: DataFrame) -> DataFrame:
+    """Sparse postings ``lang, term, found array<struct<gid, count>>`` of the kept terms; each block's automaton counts."""
+    terms = kept_terms(made).select(F.col("block").alias("owner"), "place", F.lit(None).cast("long").alias("gid"))
+    sources = made.select(F.col("block").alias("owner"), "lang", F.posexplode("sources").alias("place", "source")).join(groups, ["lang", "source"]).select("owner", "place", "gid")
+
+    def run(key: tuple, block: pa.Table, known: pa.Table) -> pa.Table:
         import ahocorasick
 
+        gid = known.column("gid").to_numpy(zero_copy_only=False)
+        place = known.column("place").to_numpy()
+        is_term = known.column("gid").is_null().to_numpy()
+        kept = place[is_term]
+        gids = dict(zip(place[~is_term].tolist(), gid[~is_term].astype(np.int64).tolist(), strict=True))
+        names = block.column("terms").combine_chunks().flatten().take(pa.array(kept))
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        names = terms.column("term").to_pylist()
-        for i, term in enumerate(names):
+        for i, term in enumerate(names.to_pylist()):
             automaton.add_word(f" {term.decode('latin-1')} ", i)  # a character for each byte
-        out = []
-        if names:
+        at, who, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(names):
             automaton.make_automaton()
-            row = block.slice(0, 1).to_pylist()[0] if block.num_rows else {"lang": "", "sources": [], "blobs": []}
-            for source, blob in zip(row["sources"], row["blobs"], strict=True):
-                found = Counter(map(itemgetter(1), automaton.iter(blob.decode("latin-1"))))
-                out.append((row["lang"], source, np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))))
-        at = pa.array(np.concatenate([np.zeros(0, np.int64), *(x[2] for x in out)]))
-        repeat = lambda k: pa.array([x[k] for x in out for _ in range(len(x[2]))], pa.string())
-        return pa.table({"lang": repeat(0), "term": pa.array(names, pa.binary()).take(at), "source": repeat(1), "count": pa.array(np.concatenate([np.zeros(0, np.int64), *(x[3] for x in out)]))})
-
-    found = made.select("block", "lang", "sources", "blobs").groupBy("block").cogroup(own.groupBy("owner")).applyInArrow(run, "lang string, term binary, source string, count long")
-    return found.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
+            unpack = zstandard.ZstdDecompressor().decompress
+            for k, blob in enumerate(block.column("blobs").combine_chunks().flatten()):
+                found = Counter(map(itemgetter(1), automaton.iter(unpack(blob.as_buffer()).decode("latin-1"))))
+                at.append(np.fromiter(found, np.int64, len(found)))
+                n.append(np.fromiter(found.values(), np.int64, len(found)))
+                who.append(np.full(len(found), gids[k], np.int64))
+        at = np.concatenate(at)
+        lang = pa.array(np.zeros(len(at), np.int32))
+        return pa.table({"lang": block.column("lang").combine_chunks().take(lang), "term": names.take(pa.array(at)), "gid": pa.array(np.concatenate(who)), "count": pa.array(np.concatenate(n))})
+
+    whole = made.select("block", "lang", "blobs", "terms").groupBy("block")
+    found = whole.cogroup(terms.unionByName(sources).groupBy("owner")).applyInArrow(run, "lang string, term binary, gid long, count long")
+    # One exchange by term serves the sums and the lists.
+    sums = found.repartition("lang", "term").groupBy("lang", "term", "gid").agg(F.sum("count").alias("count"))
+    return sums.groupBy("lang", "term").agg(F.collect_list(F.struct("gid", "count")).alias("found"))
 
 
 def probability(count: Column | int, total: Column, terms: Column) -> Column:
@@ -151,8 +176,8 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 def shared_corrections(rows: DataFrame) -> DataFrame:
-    """From ``term, lang, gid, p, p0``, what terms that both have change, as ``a, b, value``. Rows of a term come to a
-    task one after the other; of these it makes pairs of postings in blocks and holds sums alone."""
+    """From ``tid, gid, p, p0``, what terms that both have change, as ``a, b, value``. Rows of a term come to a task one
+    after the other; of these it makes pairs of postings in blocks and holds sums alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], int] = {}
@@ -195,21 +220,14 @@ def shared_corrections(rows: DataFrame) -> DataFrame:
         def whole(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
             """All terms of ``t`` but the last, which may go on, unless nothing follows."""
             nonlocal carry
-            names, langs = t.column("term").combine_chunks(), t.column("lang").combine_chunks()
-            same = np.zeros(len(t), bool)
-            if len(t) > 1:
-                import pyarrow.compute as pc
-
-                same[1:] = pc.and_(pc.equal(names.slice(1), names.slice(0, len(t) - 1)), pc.equal(langs.slice(1), langs.slice(0, len(t) - 1))).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(~same)
-            if not last:
-                carry = t.slice(int(starts[-1]))
-                t, starts = t.slice(0, int(starts[-1])), starts[:-1]
-            if len(t):
-                sizes = np.diff(np.r_[starts, len(t)])
-                for _ in pairs(*(t.column(c).to_numpy() for c in ("gid", "p", "p0")), sizes):
-                    if len(held) > PAIRS_AT_ONCE:
-                        yield sent()
+            tid = t.column("tid").to_numpy()
+            starts = np.flatnonzero(np.r_[True, tid[1:] != tid[:-1]])
+            end = len(t) if last else int(starts[-1])
+            carry = t.slice(end)
+            starts = starts[starts < end]
+            for _ in pairs(*(t.column(c).to_numpy()[:end] for c in ("gid", "p", "p0")), np.diff(np.r_[starts, end])):
+                if len(held) > PAIRS_AT_ONCE:
+                    yield sent()
 
         for batch in batches:
             if len(batch):
@@ -219,7 +237,7 @@ def shared_corrections(rows: DataFrame) -> DataFrame:
         if held:
             yield sent()
 
-    ordered = rows.select("lang", "term", "gid", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term")
+    ordered = rows.select("tid", "gid", "p", "p0").repartition("tid").sortWithinPartitions("tid")
     return ordered.mapInArrow(run, "a long, b long, value long")
 
 
@@ -227,20 +245,17 @@ def audit(docs: DataFrame) -> DataFrame:
     """``lang, source, part, item, value, rank``: for each source the other sources of its language by how far it is
     from them (``pair``), and the terms that it has more of than its language (``term``, TOP_TERMS at most)."""
     made = blocks(docs)
-    kept = cut(kept_terms(made))
-    postings = cut(recounted(made, kept))
-    terms = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    totals = postings.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    every = made.select("lang", F.explode("sources").alias("source")).distinct().join(totals, ["lang", "source"], "left").join(terms, "lang", "left")
+    groups = source_groups(made)
+    postings = stored(recounted(made, groups), "postings")
+    terms = postings.groupBy("lang").agg(F.count("*").alias("v"))
+    totals = postings.select(F.explode("found").alias("f")).groupBy("f.gid").agg(F.sum("f.count").alias("n"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    groups = every.select("lang", "source", zero("n"), zero("v"), F.monotonically_increasing_id().alias("gid"))
+    groups = groups.join(totals, "gid", "left").join(terms, "lang", "left").select("lang", "source", "gid", zero("n"), zero("v"))
     least = F.when(F.col("v") > 0, probability(0, F.col("n"), F.col("v"))).otherwise(1)
-    groups = cut(groups.withColumn("p0", least))
-    of_lang = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"))
-    groups = cut(groups.join(of_lang, "lang"))
+    groups = cut(groups.withColumns({"p0": least, "lang_n": F.sum("n").over(Window.partitionBy("lang"))}))
 
-    rows = postings.join(groups, ["lang", "source"]).withColumn("p", probability(F.col("count"), F.col("n"), F.col("v")))
-    rows = cut(rows.withColumn("all", F.sum("count").over(Window.partitionBy("lang", "term"))).select("lang", "source", "term", "gid", "p", "p0", "count", probability(F.col("all"), F.col("lang_n"), F.col("v")).alias("q")))
+    each = postings.withColumn("tid", F.monotonically_increasing_id()).select("term", "tid", F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["count"]).alias("all"), F.explode("found").alias("f"))
+    rows = each.select("term", "tid", "all", "f.gid", "f.count").join(groups, "gid").withColumn("p", probability(F.col("count"), F.col("n"), F.col("v")))
 
     other = groups.select("lang", F.col("gid").alias("other"), F.col("p0").alias("q0"))
     own = groups.select("lang", "gid", "p0", "v").join(other, "lang").where("gid <> other")
@@ -256,8 +271,9 @@ def audit(docs: DataFrame) -> DataFrame:
     best = lambda *by: Window.partitionBy(*by).orderBy(F.desc("value"), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(best("lang", "source")).alias("rank"))
 
-    more = rows.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
-    salted = more.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(PARTS)))
+    q = probability(F.col("all"), F.col("lang_n"), F.col("v"))
+    more = rows.withColumn("q", q).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
+    salted = more.withColumn("salt", F.spark_partition_id() % PARTS)
     first = salted.withColumn("rank", F.row_number().over(best("lang", "source", "salt"))).where(F.col("rank") <= TOP_TERMS).drop("rank", "salt")
     ranked = first.withColumn("rank", F.row_number().over(best("lang", "source"))).where(F.col("rank") <= TOP_TERMS)
     return pairs.unionByName(ranked)
