@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,9 +37,9 @@ from .common import cut, tidy
 CAPACITY = 1024
 END = 2
 #: Fillings that are gone through for one node, those kept, and nodes of a search.
-STEPS, WIDTH, NODES = 4000, 12, 3000
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+STEPS, WIDTH, NODES = 1500, 12, 1500
+#: Strings whose ids a worker remembers, some 200 bytes each.
+REMEMBERED = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 Pattern = tuple[tuple[int, int], ...]
@@ -221,41 +222,84 @@ class Plan:
 
 #: White space around a blank: only there does what a tokenizer's word is depend on more than the words at a blank.
 RUN = re.compile(r"\s \s")
-_held: dict[str, tuple] = {}
+LETTERS, DIGITS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[0-9]", r"[!-&(-/:;=-@[-`{-~]"
+#: Runs of letters, digits and marks, and single line ends between them: the words that they are to the tokenizer. An
+#: apostrophe may begin a word of its own kind, and ``<`` a special token, so these are not plain.
+PLAIN = re.compile(rf"(?:{LETTERS}++|{DIGITS}++|{MARKS}++)(?:{LETTERS}++|{DIGITS}++|{MARKS}++|\n(?=\S))*+")
+WORDS = re.compile(rf"{LETTERS}+|{DIGITS}+|{MARKS}+|\n")
 
 
-def tokenizer(path: str):
-    """The tokenizer of a file and the ids of words behind a blank, kept by the worker."""
-    if path not in _held:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _held[path] = (Tokenizer.from_file(path), {})
-    return _held[path]
+def byte_letters() -> dict[int, int]:
+    """Which letter stands for each byte in byte-level BPE: itself if it can be seen, else the next above 255."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in seen)}
 
 
 def raw(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Encoder:
+    """A tokenizer's file, and the ids of words that were met, four bytes each; kept by the worker.
 
+    Byte-level BPE cuts a text into words before it merges. A blank with no white space on one side or the other always
+    begins a word, so a text's ids are those of what stands between blanks, each with its blank. Plain ones of these are
+    runs of letters, digits and marks, which are words apart. The tokenizer's model merges each word once and then it is looked
+    up; whatever is not plain, and every text with longer runs of white space, goes through the whole tokenizer."""
 
-def encoded(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids, little-endian, four bytes each.
+    held: dict[str, Encoder] = {}
 
-    Byte-level BPE cuts a text into words before it merges, and a blank with no white space on one side or the other
-    always begins a word. So a text's ids are those of what is between blanks, each with its blank, and are looked up
-    after the first time. Texts with longer runs of white space are encoded whole."""
-    model, known = tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    parts = [None if RUN.search(t) else t.split(" ") for t in texts]
-    new = {w for p in parts if p for w in p[1:]} - known.keys()
-    marked = {w for w in new if w[-1:] in (".", ",") and w[:-1].isalpha()}  # letters and a mark are words apart
-    single = list((new - marked) | {w[:-1] for w in marked} - known.keys())
-    known.update((w, raw(e.ids)) for w, e in zip(single, model.encode_batch_fast([f" {w}" for w in single], add_special_tokens=False), strict=True))
-    marks = {m: raw(model.encode(m, add_special_tokens=False).ids) for m in (".", ",")}
-    known.update((w, known[w[:-1]] + marks[w[-1]]) for w in marked)
-    whole = lambda t: raw(model.encode(t, add_special_tokens=False).ids)
-    return [whole(t) if p is None else whole(p[0]) + b"".join(map(known.__getitem__, p[1:])) for t, p in zip(texts, parts, strict=True)]
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.behind_blank: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def word(self, word: str) -> bytes:
+        """One word to the tokenizer."""
+        seen = word.encode().decode("latin-1").translate(self.letters)
+        return raw([t.id for t in self.merge(seen)])
+
+    def learn(self, parts: set[str]) -> None:
+        """What stands behind a blank, and is not known yet."""
+        known, bare = self.behind_blank, self.bare
+        odd = []
+        for part in parts:
+            if not PLAIN.fullmatch(part):
+                odd.append(part)
+                continue
+            first, *rest = WORDS.findall(part)
+            ids = known.get(first)
+            if ids is None:
+                ids = known[first] = self.word(f" {first}")
+            if rest:
+                for w in rest:
+                    if w not in bare:
+                        bare[w] = self.word(w)
+                known[part] = ids + b"".join(map(bare.__getitem__, rest))
+        known.update((p, raw(e.ids)) for p, e in zip(odd, self.tokenizer.encode_batch_fast([f" {p}" for p in odd], add_special_tokens=False), strict=True))
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        if len(self.behind_blank) + len(self.bare) > REMEMBERED:
+            self.behind_blank.clear()
+            self.bare.clear()
+        parts = [None if RUN.search(t) else t.split(" ") for t in texts]
+        self.learn(set().union(*(p[1:] for p in parts if p)).difference(self.behind_blank))
+        known = self.behind_blank
+        return [self.whole(t) if p is None else self.whole(p[0]) + b"".join([known[w] for w in p[1:]]) for t, p in zip(texts, parts, strict=True)]
 
 
 def tokenized(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
@@ -264,9 +308,10 @@ def tokenized(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CAPACITY + 1, np.int64)
+        encoder = Encoder.of(path)
         part, end = TaskContext.get().partitionId(), raw([END])
         for batch in batches:
-            blobs = encoded(["" if t is None else t for t in batch.column(1).to_pylist()], path)
+            blobs = encoder.encoded(["" if t is None else t for t in batch.column(1).to_pylist()])
             n = np.array([len(b) // 4 + 1 for b in blobs], np.int64)
             pieces = -(-n // CAPACITY)
             doc = np.repeat(np.arange(len(n)), pieces)
