@@ -119,10 +119,17 @@ def equivalent_ignored(view: Ontology, options: Options) -> DataFrame:
     return whole.unionByName(equivalence_operands(view).where(~is_class(operand) & ~F.coalesce(is_restriction(operand), F.lit(False))).select(F.lit("EquivalentClasses").alias("constructor")))
 
 
+def root_annotations(view: Ontology) -> DataFrame:
+    """The root document's annotations, and whether each is of a known class by a known property: ``allowed``. Classes
+    are joined once, from the outside: such a join stays above the union of what annotations come from."""
+    df = view.axioms("AnnotationAssertion", root=True)
+    known = class_signature(view).select(F.col("iri").alias("_class"))
+    fits = F.col("_class").isNotNull() & F.coalesce(F.col("prop").isin(*S.ANNOTATION_PROPERTIES), F.lit(False))
+    return df.join(known, F.col("subject") == F.col("_class"), "left").withColumn("allowed", fits).drop("_class")
+
+
 def allowed_annotations(view: Ontology) -> DataFrame:
-    """The root document's annotations of known classes by known properties."""
-    df = view.axioms("AnnotationAssertion", root=True).where(F.col("subject").isNotNull() & F.col("prop").isin(*S.ANNOTATION_PROPERTIES))
-    return df.join(class_signature(view).withColumnRenamed("iri", "subject"), "subject", "left_semi")
+    return root_annotations(view).where("allowed").drop("allowed")
 
 
 def annotation_relation(prop: Column) -> Column:
@@ -140,14 +147,12 @@ def annotation_edges(view: Ontology, blanks: DataFrame | None) -> DataFrame:
     return edges(df.where("destination IS NOT NULL").select(*known.columns).unionByName(known), ANNOTATION)
 
 
-def annotation_ignored(view: Ontology) -> DataFrame:
-    every = view.axioms("AnnotationAssertion", root=True)
-    return every.join(allowed_annotations(view).select("canon"), "canon", "left_anti").select(F.lit("AnnotationAssertion").alias("constructor"))
-
-
-def literal_warnings(view: Ontology) -> DataFrame:
+def annotation_faults(view: Ontology) -> DataFrame:
+    """``ignored`` or a ``literal`` that is no string: what is to be said of each annotation, by one pass."""
     v = F.col("value")
-    return allowed_annotations(view).where((v["kind"] == "literal") & ~v["datatype"].isin(S.XSD_STRING, S.PLAIN_LITERAL)).select(F.lit("Literal").alias("constructor"))
+    odd = (v["kind"] == "literal") & ~v["datatype"].isin(S.XSD_STRING, S.PLAIN_LITERAL)
+    fault = F.when(~F.col("allowed"), "ignored").when(odd, "literal")
+    return root_annotations(view).select(fault.alias("fault")).where("fault IS NOT NULL")
 
 
 def class_assertion_edges(view: Ontology) -> DataFrame:

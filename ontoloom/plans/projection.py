@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ResourceLimit
@@ -81,29 +81,36 @@ SKIPPED = ("MOWL_SKIPPED_AXIOM", "axiom category is not visited by the pinned pr
 RENDERED = ("MOWL_NON_STRING_LITERAL_RENDERING", "pinned mOWL rendering preserves malformed datatype syntax", "warning")
 
 
-def ignored(view: Ontology, options: Options) -> DataFrame:
-    parts = [P.subclass_ignored(view, options), P.equivalent_ignored(view, options), P.class_assertion_ignored(view), P.domain_range_ignored(view)]
+def faults(view: Ontology, options: Options) -> DataFrame:
+    """``kind`` of diagnostic and ``constructor``: a row for each axiom or operand without effect, each axiom that is not
+    visited, each literal that is rendered oddly. Every kind of axiom is gone through once."""
+    ignored = [P.subclass_ignored(view, options), P.equivalent_ignored(view, options), P.class_assertion_ignored(view), P.domain_range_ignored(view)]
     chained = view.axioms("ObjectPropertyAssertion").where(F.col("p1.iri").isNull() | F.coalesce(F.col("p1.chain"), F.lit(False)))
-    parts.append(chained.select(F.lit("ObjectPropertyAssertion").alias("constructor")))
+    ignored.append(chained.select(F.lit("ObjectPropertyAssertion").alias("constructor")))
+    parts = [p.select(F.lit("ignored").alias("kind"), "constructor") for p in ignored]
+    parts.append(P.skipped(view).select(F.lit("skipped").alias("kind"), "constructor"))
     if options.include_literals:
-        parts.append(P.annotation_ignored(view))
+        literal = F.col("fault") == "literal"
+        parts.append(P.annotation_faults(view).select(F.col("fault").alias("kind"), F.when(literal, "Literal").otherwise("AnnotationAssertion").alias("constructor")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def ignored(view: Ontology, options: Options) -> DataFrame:
+    return faults(view, options).where("kind = 'ignored'").select("constructor")
+
+
 def diagnostics(view: Ontology, options: Options | None = None) -> DataFrame:
     """Grouped: code, message, severity, constructor, count."""
-    options = options or Options()
-    groups = [(IGNORED, ignored(view, options)), (SKIPPED, P.skipped(view))]
-    if options.include_literals:
-        groups.append((RENDERED, P.literal_warnings(view)))
-    out = None
-    for (code, message, severity), rows in groups:
-        part = rows.select(F.lit(code).alias("code"), F.lit(message).alias("message"), F.lit(severity).alias("severity"), "constructor")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("code", "message", "severity", "constructor").agg(F.count("*").alias("count"))
+    found = faults(view, options or Options()).groupBy("kind", "constructor").agg(F.count("*").alias("count"))
+    said = found.select(F.when(F.col("kind") == "ignored", said_as(IGNORED)).when(F.col("kind") == "skipped", said_as(SKIPPED)).otherwise(said_as(RENDERED)).alias("d"), "constructor", "count")
+    return said.select("d.*", "constructor", "count")
+
+
+def said_as(diagnostic: tuple[str, str, str]) -> Column:
+    return F.struct(*(F.lit(x).alias(n) for n, x in zip(("code", "message", "severity"), diagnostic, strict=True)))
 
 
 def warning_count(found: DataFrame) -> DataFrame:

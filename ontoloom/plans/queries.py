@@ -121,9 +121,17 @@ def anon_scope_remap(spark, d):
     return views.remap_scopes(people, remap).select("key", F.conv(F.hex("scope"), 16, 10).cast("int").alias("scope"))
 
 
-@query("""SELECT r_regionkey AS start, doc_id FROM region, (SELECT unnest(['root', 'geo', 'catalog', 'core']) AS doc_id) WHERE r_regionkey = 0""")
+@query(", links AS (SELECT c_custkey AS a, unnest([2 * c_custkey, 2 * c_custkey + 1, c_custkey // 3, c_custkey]) AS b FROM customer WHERE c_nationkey <> 7), reached AS (SELECT 1::BIGINT AS k UNION SELECT b FROM links JOIN reached ON a = k WHERE b IN (SELECT c_custkey FROM customer)) SELECT 'urn:doc#' || k AS doc_id FROM reached")
 def imports_closure(spark, d):
-    return views.imports_closure(Bridge(spark, d).documents(), "root").select(F.lit(0).alias("start"), "doc_id")
+    """Each customer is a document that imports others: some twice as far on, one back (cycles), itself; those of one
+    nation import nothing."""
+    key = F.col("c_custkey")
+    far = F.when(F.col("c_nationkey") != 7, F.array(2 * key, 2 * key + 1, F.floor(key / 3), key)).otherwise(F.array().cast("array<bigint>"))
+    name = lambda x: F.concat(F.lit("urn:doc#"), x.cast("string"))
+    customers = Bridge(spark, d).read("customer")
+    links = customers.select(key, F.explode_outer(far).alias("to")).join(customers.select(key.alias("to"), F.lit(True).alias("there")), "to", "left")
+    documents = links.groupBy(name(key).alias("doc_id")).agg(F.collect_list(F.when(F.col("there"), name(F.col("to")))).alias("imports"))
+    return views.imports_closure(documents, "urn:doc#1")
 
 
 @query("SELECT 'geo' AS doc_id, 'lost' || r_regionkey AS import_id FROM region")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..errors import IncompatibleSource
+from ..storage import durable
 
 
 class Ontology:
@@ -54,7 +55,8 @@ class Ontology:
         if callable(self._axioms[kind]):
             self._axioms[kind] = self._check(kind, self._axioms[kind]())
         df = self._axioms[kind].select(*(f.name for f in S.schema_of(kind)))
-        return df.join(self.documents.where("is_root").select("doc_id"), "doc_id", "left_semi").select(*df.columns) if root else df
+        # Inner joins with what is there once: a semi-join would be pushed below every part of a union, with its right side.
+        return df.join(self.documents.where("is_root").select("doc_id").distinct(), "doc_id").select(*df.columns) if root else df
 
     def kinds(self) -> list[str]:
         return [k for k in S.KINDS if k in self._axioms]
@@ -94,15 +96,19 @@ def class_signature(view: Ontology) -> DataFrame:
 
 
 def imports_closure(documents: DataFrame, root: str) -> DataFrame:
-    """``doc_id`` of all documents reached from the root, itself included. One join a level; each level is cut from
-    what came before by collecting it, as imports are named in document heads: few and short."""
-    edges = documents.select("doc_id", F.explode("imports").alias("to")).distinct()
-    known, front = {root}, {root}
-    while front:
-        at = documents.sparkSession.createDataFrame([(x,) for x in sorted(front)], "doc_id string")
-        front = {r["to"] for r in edges.join(F.broadcast(at), "doc_id").select("to").distinct().collect()} - known
-        known |= front
-    return documents.sparkSession.createDataFrame([(x,) for x in sorted(known)], "doc_id string")
+    """``doc_id`` of all documents reached from the root, itself included; cycles and diamonds count once. Rounds of
+    equi-joins from the documents that the round before reached first, each kept durably, until one reaches nothing new:
+    as many as the longest shortest way. (Recursive SQL ends only where a UNION drops what is known, which Spark's does
+    not have.)"""
+    spark = documents.sparkSession
+    edges = documents.select(F.col("doc_id").alias("from"), F.explode("imports").alias("to")).distinct()
+    front = known = spark.createDataFrame([(root,)], "doc_id string")
+    while True:
+        reached = front.join(edges, front["doc_id"] == edges["from"]).select(F.col("to").alias("doc_id")).distinct()
+        front = durable(reached.join(known, "doc_id", "left_anti"))
+        if front.isEmpty():
+            return known
+        known = durable(known.unionByName(front))
 
 
 def missing_imports(documents: DataFrame) -> DataFrame:
@@ -142,9 +148,14 @@ def composite(members: list[tuple[DataFrame, str, DataFrame | None]], bridge: Da
 
 def remap_scopes(anonymous: DataFrame, remap: DataFrame) -> DataFrame:
     """``anonymous(scope, ...)`` with scopes replaced by those of ``remap(scope, new_scope)``, which keeps their order;
-    without a change of order only."""
-    bad = remap.select("scope", "new_scope").agg(F.sort_array(F.collect_list(F.struct("scope", "new_scope"))).alias("r"))
-    bad = bad.where(F.expr("exists(transform(sequence(1, size(r) - 1), i -> IF(size(r) < 2, false, r[i].new_scope <= r[i - 1].new_scope)), x -> x)"))
-    if remap.count() > 1 and not bad.isEmpty():
+    without a change of order only. Neighbours in the old order are compared inside range partitions, and across these
+    the least and the greatest of each."""
+    kept = durable(remap.select("scope", "new_scope").repartitionByRange("scope").withColumn("part", F.spark_partition_id()))
+    before = F.lag("new_scope").over(Window.partitionBy("part").orderBy("scope"))
+    inside = kept.withColumn("before", before).where("new_scope <= before").select("part").limit(1)
+    ends = kept.groupBy("part").agg(F.min("new_scope").alias("low"), F.max("new_scope").alias("high"))  # one row a partition
+    reach = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    across = ends.withColumn("before", F.max("high").over(reach)).where("low <= before").select("part").limit(1)
+    if not inside.unionByName(across).isEmpty():
         raise IncompatibleSource("the remap changes the order of scopes")
     return anonymous.join(remap, "scope", "left").withColumn("scope", F.coalesce("new_scope", "scope")).drop("new_scope")
