@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import numbered
 from .common import cut, shared_path, small_batches, texts, tidy
 
 MIN_DOCS = 3
@@ -46,7 +47,9 @@ PAIRS_AT_ONCE = 1 << 19
 BLANK = b" "
 #: Bytes to what stands for them in a block.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
-BLOCKS = "block long, lang string, sources array<string>, blobs array<binary>, terms array<binary>, docs array<int>"
+BLOCKS = "block long, lang string, sources array<string>, blobs array<binary>, terms array<binary>, docs array<int>, names binary"
+#: Bytes of all groups up to which they are sent to all tasks; beyond, they are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 class Block:
@@ -74,11 +77,12 @@ def blocks(docs: DataFrame) -> DataFrame:
         def row(lang: str, b: Block) -> pa.RecordBatch:
             nonlocal number
             number += 1
-            pack = zstandard.ZstdCompressor(level=1).compress
+            pack = zstandard.ZstdCompressor(level=3).compress
+            terms = sorted(b.docs)
             blobs = [pack(BLANK.join([b"", *x, b""])) for x in b.sources.values()]
-            values = ([number], [lang], [list(b.sources)], [blobs], [list(b.docs)], [list(b.docs.values())])
-            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "lang", "sources", "blobs", "terms", "docs"])
+            values = ([number], [lang], [list(b.sources)], [blobs], [terms], [[b.docs[t] for t in terms]], [pack(BLANK.join(terms))])
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "lang", "sources", "blobs", "terms", "docs", "names"])
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
@@ -125,12 +129,12 @@ def kept_terms(made: DataFrame) -> DataFrame:
 def source_groups(made: DataFrame) -> DataFrame:
     """``lang, source, gid``: all groups that occur, also without a term."""
     each = made.select("lang", F.explode("sources").alias("source")).distinct()
-    return cut(each.withColumn("gid", F.monotonically_increasing_id()))
+    return cut(numbered(each, ("lang", "source"), "gid").withColumn("gid", F.col("gid").cast("int")))
 
 
 def recounted(made: DataFrame, groups: DataFrame) -> DataFrame:
     """Sparse postings ``lang, term, found array<struct<gid, count>>`` of the kept terms; each block's automaton counts."""
-    terms = kept_terms(made).select(F.col("block").alias("owner"), "place", F.lit(None).cast("long").alias("gid"))
+    terms = kept_terms(made).select(F.col("block").alias("owner"), "place", F.lit(None).cast("int").alias("gid"))
     sources = made.select(F.col("block").alias("owner"), "lang", F.posexplode("sources").alias("place", "source")).join(groups, ["lang", "source"]).select("owner", "place", "gid")
 
     def run(key: tuple, block: pa.Table, known: pa.Table) -> pa.Table:
@@ -141,27 +145,32 @@ def recounted(made: DataFrame, groups: DataFrame) -> DataFrame:
         is_term = known.column("gid").is_null().to_numpy()
         kept = place[is_term]
         gids = dict(zip(place[~is_term].tolist(), gid[~is_term].astype(np.int64).tolist(), strict=True))
-        names = block.column("terms").combine_chunks().flatten().take(pa.array(kept))
+        unpack = zstandard.ZstdDecompressor().decompress
+        every = unpack(block.column("names")[0].as_py()).split()
+        names = [every[k] for k in kept.tolist()]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, term in enumerate(names.to_pylist()):
+        for i, term in enumerate(names):
             automaton.add_word(f" {term.decode('latin-1')} ", i)  # a character for each byte
-        at, who, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(names):
+        at, who, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        if names:
             automaton.make_automaton()
-            unpack = zstandard.ZstdDecompressor().decompress
             for k, blob in enumerate(block.column("blobs").combine_chunks().flatten()):
                 found = Counter(map(itemgetter(1), automaton.iter(unpack(blob.as_buffer()).decode("latin-1"))))
                 at.append(np.fromiter(found, np.int64, len(found)))
-                n.append(np.fromiter(found.values(), np.int64, len(found)))
-                who.append(np.full(len(found), gids[k], np.int64))
-        at = np.concatenate(at)
-        lang = pa.array(np.zeros(len(at), np.int32))
-        return pa.table({"lang": block.column("lang").combine_chunks().take(lang), "term": names.take(pa.array(at)), "gid": pa.array(np.concatenate(who)), "count": pa.array(np.concatenate(n))})
-
-    whole = made.select("block", "lang", "blobs", "terms").groupBy("block")
-    found = whole.cogroup(terms.unionByName(sources).groupBy("owner")).applyInArrow(run, "lang string, term binary, gid long, count long")
+                n.append(np.fromiter(found.values(), np.int32, len(found)))
+                who.append(np.full(len(found), gids[k], np.int32))
+        at, who, n = map(np.concatenate, (at, who, n))
+        order = np.argsort(at, kind="stable")
+        ends = pa.array(np.searchsorted(at[order], np.arange(len(names) + 1)), pa.int32())  # every term of a block is found in it
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (who, n)]
+        lang = pa.array([block.column("lang")[0].as_py()] * len(names), pa.string())
+        return pa.table({"lang": lang, "term": pa.array(names, pa.binary()), "gids": lists[0], "counts": lists[1]})
+
+    whole = made.select("block", "lang", "blobs", "names").groupBy("block")
+    found = whole.cogroup(terms.unionByName(sources).groupBy("owner")).applyInArrow(run, "lang string, term binary, gids array<int>, counts array<int>")
     # One exchange by term serves the sums and the lists.
-    sums = found.repartition("lang", "term").groupBy("lang", "term", "gid").agg(F.sum("count").alias("count"))
+    each = found.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("gids", "counts")).alias("f")).select("lang", "term", F.col("f.gids").alias("gid"), F.col("f.counts").alias("count"))
+    sums = each.groupBy("lang", "term", "gid").agg(F.sum("count").alias("count"))
     return sums.groupBy("lang", "term").agg(F.collect_list(F.struct("gid", "count")).alias("found"))
 
 
@@ -176,8 +185,8 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 def shared_corrections(rows: DataFrame) -> DataFrame:
-    """From ``tid, gid, p, p0``, what terms that both have change, as ``a, b, value``. Rows of a term come to a task one
-    after the other; of these it makes pairs of postings in blocks and holds sums alone."""
+    """From ``tid, gid, p, p0``, what terms that both have change, as ``a, b, value``. Rows of a term come one after the
+    other in one partition; a task makes pairs of these postings in blocks and holds sums alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], int] = {}
@@ -195,7 +204,7 @@ def shared_corrections(rows: DataFrame) -> DataFrame:
 
         def sent() -> pa.RecordBatch:
             keys = np.array(list(held), np.int64).reshape(-1, 2)
-            out = pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(held.values()), pa.int64())], names=["a", "b", "value"])
+            out = pa.RecordBatch.from_arrays([pa.array(keys[:, 0], pa.int32()), pa.array(keys[:, 1], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["a", "b", "value"])
             held.clear()
             return out
 
@@ -237,8 +246,7 @@ def shared_corrections(rows: DataFrame) -> DataFrame:
         if held:
             yield sent()
 
-    ordered = rows.select("tid", "gid", "p", "p0").repartition("tid").sortWithinPartitions("tid")
-    return ordered.mapInArrow(run, "a long, b long, value long")
+    return rows.select("tid", F.col("gid").cast("long").alias("gid"), "p", "p0").mapInArrow(run, "a int, b int, value long")
 
 
 def audit(docs: DataFrame) -> DataFrame:
@@ -253,9 +261,10 @@ def audit(docs: DataFrame) -> DataFrame:
     groups = groups.join(totals, "gid", "left").join(terms, "lang", "left").select("lang", "source", "gid", zero("n"), zero("v"))
     least = F.when(F.col("v") > 0, probability(0, F.col("n"), F.col("v"))).otherwise(1)
     groups = cut(groups.withColumns({"p0": least, "lang_n": F.sum("n").over(Window.partitionBy("lang"))}))
+    size = groups.agg(F.sum(F.octet_length("lang") + F.octet_length("source") + 64)).first()[0] or 0
 
-    each = postings.withColumn("tid", F.monotonically_increasing_id()).select("term", "tid", F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["count"]).alias("all"), F.explode("found").alias("f"))
-    rows = each.select("term", "tid", "all", "f.gid", "f.count").join(groups, "gid").withColumn("p", probability(F.col("count"), F.col("n"), F.col("v")))
+    each = postings.withColumn("tid", F.monotonically_increasing_id()).select("term", "tid", F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x["count"]).alias("all"), (F.size("found") > 1).alias("many"), F.explode("found").alias("f"))
+    rows = each.select("term", "tid", "all", "many", "f.gid", "f.count").join(F.broadcast(groups) if size <= BROADCAST_BYTES else groups, "gid").withColumn("p", probability(F.col("count"), F.col("n"), F.col("v")))
 
     other = groups.select("lang", F.col("gid").alias("other"), F.col("p0").alias("q0"))
     own = groups.select("lang", "gid", "p0", "v").join(other, "lang").where("gid <> other")
@@ -265,7 +274,10 @@ def audit(docs: DataFrame) -> DataFrame:
     change = histogram.join(other, "lang").where("gid <> other").groupBy("gid", "other").agg(
         F.sum(F.col("m") * (divergence(p, q0) - divergence(p0, q0))).alias("to"), F.sum(F.col("m") * (divergence(q0, p) - divergence(q0, p0))).alias("back"))
     both = F.explode(F.array(F.struct(F.col("gid").alias("a"), F.col("other").alias("b"), F.col("to").alias("value")), F.struct(F.col("other").alias("a"), F.col("gid").alias("b"), F.col("back").alias("value"))))
-    sums = base.unionByName(change.select(both.alias("e")).select("e.*")).unionByName(shared_corrections(rows)).groupBy("a", "b").agg(F.sum("value").alias("value"))
+    shared = rows.where("many")
+    if size > BROADCAST_BYTES:  # else postings of a term are still together
+        shared = shared.select("tid", "gid", "p", "p0").repartition("tid").sortWithinPartitions("tid")
+    sums = base.unionByName(change.select(both.alias("e")).select("e.*")).unionByName(shared_corrections(shared)).groupBy("a", "b").agg(F.sum("value").alias("value"))
     named = groups.select(F.col("gid").alias("a"), "lang", "source")
     pairs = sums.join(named, "a").join(groups.select(F.col("gid").alias("b"), F.col("source").alias("item")), "b")
     best = lambda *by: Window.partitionBy(*by).orderBy(F.desc("value"), "item")

@@ -157,7 +157,8 @@ def audited(table):
 def test_divergence(spark, docs, empty, monkeypatch):
     want = audited(rows())
     assert {x[2] for x in want} == {"pair", "term"}
-    for block, pairs, top in ((8 << 20, 1 << 19, 200), (3000, 7, 5)):  # few and many blocks, sums that are sent on, short lists
+    for block, pairs, top, sent in ((8 << 20, 1 << 19, 200, 1 << 24), (3000, 7, 5, 0)):  # few and many blocks, sums that are sent on, short lists, a join by shuffle
+        monkeypatch.setattr(divergence, "BROADCAST_BYTES", sent)
         monkeypatch.setattr(divergence, "BLOCK_BYTES", block)
         monkeypatch.setattr(divergence, "PAIRS_AT_ONCE", pairs)
         monkeypatch.setattr(divergence, "TOP_TERMS", top)
