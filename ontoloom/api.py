@@ -11,6 +11,7 @@ import uuid
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from .operators.roles import RoleState, fold
 from .options import Options
 from .plans import projection as plan
 from .sources.views import Ontology
-from .streaming import sinks
+from .streaming import distributed, sinks
 from .streaming.sinks import Artifact, Edge
 
 
@@ -41,6 +42,7 @@ class CancellationToken:
     def __init__(self):
         self.tag = f"projection-{uuid.uuid4().hex}"
         self.cancelled = False
+        self.seconds: float | None = None  # the limit that ended the call
         self._spark = None
 
     def bind(self, spark: SparkSession) -> None:
@@ -57,9 +59,18 @@ class CancellationToken:
         if self._spark is not None:
             self._spark.interruptTag(self.tag)
 
+    def expire(self, seconds: float) -> None:
+        self.seconds = seconds
+        self.cancel()
+
     def check(self) -> None:
         if self.cancelled:
-            raise Cancelled("the call was cancelled")
+            raise self.reason()
+
+    def reason(self) -> ProjectionError:
+        if self.seconds is not None:
+            return ResourceLimit(f"over {self.seconds} seconds", max_seconds=self.seconds)
+        return Cancelled("the call was cancelled")
 
 
 @dataclass(frozen=True)
@@ -108,9 +119,11 @@ def load(source: Ontology | Callable[[], Ontology]) -> Ontology:
 def snapshot(view: Ontology) -> str:
     """A digest of the bag of axioms, whatever their order: of the counts and sums of hashes of canonical bytes by kind
     and document, which one aggregation finds."""
-    parts = [view.axioms(k).groupBy(F.lit(k).alias("kind"), "doc_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("canon").cast("decimal(38,0)")).cast("string").alias("h")) for k in view.kinds()]
-    rows = sorted(tuple(map(str, r)) for p in parts for r in p.collect())
-    return hashlib.sha256(sinks.record({"axioms": rows})).hexdigest()
+    parts = [view.axioms(k).select(F.lit(k).alias("kind"), "doc_id", F.xxhash64("canon").cast("decimal(38,0)").alias("h")) for k in view.kinds()]
+    if not parts:
+        return hashlib.sha256(sinks.record({"axioms": []})).hexdigest()
+    found = reduce(DataFrame.unionByName, parts).groupBy("kind", "doc_id").agg(F.count("*").alias("n"), F.sum("h").cast("string").alias("h"))
+    return hashlib.sha256(sinks.record({"axioms": sorted(tuple(map(str, r)) for r in found.collect())})).hexdigest()
 
 
 class Projector:
@@ -140,8 +153,8 @@ class Projector:
             state, chains = fold(view, self._state if stateful else None)
             yield state.table(view.spark), chains
         except Exception as e:
-            if token and token.cancelled and not isinstance(e, Cancelled):
-                raise Cancelled("the call was cancelled") from e
+            if token and token.cancelled and not isinstance(e, ProjectionError):
+                raise token.reason() from e
             raise
         finally:
             if token:
@@ -182,21 +195,48 @@ class Projector:
         return self.last_report
 
     def iter_edges(self, view: Ontology, options: Options | None = None, limits: Limits = Limits(), token: CancellationToken | None = None) -> Iterator[Edge]:
+        """Edges one after the other. ``max_seconds`` ends the jobs of the call when they are over, also before the first
+        edge. In encounter order with duplicates kept, each category's edges come before later ones are read."""
         options = options or self.options
-        ends = None if limits.max_seconds is None else time.monotonic() + limits.max_seconds
-        with self._call(view, options, token) as (roles, _):
-            for n, e in enumerate(sinks.iterate(plan.projected(view, options, roles, limits.max_edges))):
-                if token:
-                    token.check()
-                if ends is not None and n % 1024 == 0 and time.monotonic() > ends:
-                    raise ResourceLimit(f"over {limits.max_seconds} seconds", max_seconds=limits.max_seconds, seen=n)
-                yield e
+        token = token or CancellationToken()
+        clock = None if limits.max_seconds is None else threading.Timer(limits.max_seconds, token.expire, (limits.max_seconds,))
+        if clock:
+            clock.daemon = True
+            clock.start()
+        try:
+            with self._call(view, options, token) as (roles, _):
+                staged = options.order == "encounter" and options.duplicates == "preserve"
+                parts = plan.encountered(view, options, roles) if staged else iter([plan.projected(view, options, roles, limits.max_edges)])
+                n = 0
+                for part in parts:
+                    for e in sinks.iterate(part):
+                        token.check()
+                        if staged and n == limits.max_edges:
+                            raise ResourceLimit(f"more than {n} edges", max_total_edges=n, seen=n + 1)
+                        n += 1
+                        yield e
+        finally:
+            if clock:
+                clock.cancel()
 
     def project_to_sink(self, view: Ontology, sink, options: Options | None = None, batch_edges: int = 10_000) -> int:
         options = options or self.options
         with self._call(view, options) as (roles, _):
             return sinks.to_sink(plan.projected(view, options, roles), sink, batch_edges)
 
+    def project_to_tasks(self, view: Ontology, sink, options: Options | None = None, batch_edges: int = 10_000) -> int:
+        """Like project_to_sink(), but tasks write: see distributed.to_tasks()."""
+        options = options or self.options
+        with self._call(view, options) as (roles, _):
+            return distributed.to_tasks(plan.projected(view, options, roles), sink, batch_edges)
+
+    def write_parts(self, view: Ontology, path: str, options: Options | None = None) -> dict:
+        """An artifact that tasks write and read: a folder with a manifest that has all that write_artifact() says."""
+        options = options or self.options
+        with self._call(view, options) as (roles, chains):
+            metadata = self._report(view, options, roles, chains).metadata()
+            return distributed.write_parts(plan.projected(view, options, roles), path, metadata)
+
     def write_artifact(self, view: Ontology, path: str | os.PathLike, options: Options | None = None) -> Artifact:
         options = options or self.options
         with self._call(view, options) as (roles, chains):

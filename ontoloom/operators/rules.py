@@ -228,15 +228,16 @@ def skipped(view: Ontology) -> DataFrame:
     return view.axioms("Other").where("root_kind = 2").select(F.col("kind").alias("constructor"))
 
 
-def refuse(view: Ontology) -> None:
-    """Raises for an object-property assertion with an inverse property, and for an unknown kind of axiom; both are
-    looked for by one job."""
-    inverse = view.axioms("ObjectPropertyAssertion").where("p1.inverse").select(F.lit(0).alias("what"), F.col("p1.iri").alias("name")).limit(1)
-    unknown = view.axioms("Other").where((F.col("root_kind") == 2) & ~F.col("kind").isin(*S.SKIPPED)).select(F.lit(1).alias("what"), F.col("kind").alias("name")).limit(1)
-    for what, name in sorted(tuple(r) for r in inverse.unionByName(unknown).collect()):
-        if what == 0:
-            raise UnsupportedAxiomShape("an object-property assertion with an inverse property", constructor="ObjectInverseOf", reference_error="java.lang.ClassCastException", property=name)
-        raise IncompatibleSource(f"no such kind of axiom: {name}", constructor=name)
+def refuse_assertions(view: Ontology) -> None:
+    """Raises for an object-property assertion with an inverse property."""
+    for row in view.axioms("ObjectPropertyAssertion").where("p1.inverse").select("p1.iri").limit(1).collect():
+        raise UnsupportedAxiomShape("an object-property assertion with an inverse property", constructor="ObjectInverseOf", reference_error="java.lang.ClassCastException", property=row[0])
+
+
+def refuse_kinds(view: Ontology) -> None:
+    """Raises for a kind of axiom that is not known."""
+    for row in view.axioms("Other").where((F.col("root_kind") == 2) & ~F.col("kind").isin(*S.SKIPPED)).select("kind").limit(1).collect():
+        raise IncompatibleSource(f"no such kind of axiom: {row[0]}", constructor=row[0])
 
 
 def core_blank(key: Column) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import ResourceLimit
@@ -10,26 +14,45 @@ from ..operators import roles as R
 from ..operators import rules as P
 from ..options import Options
 from ..sources.views import Ontology
+from ..storage import PLACE, durable
 
 EDGE = ("source", "relation", "destination")
 
 
-def raw_edges(view: Ontology, options: Options | None = None, roles: DataFrame | None = None) -> DataFrame:
-    """All edges with their encounter key. Flags choose branches; branches that are off are not in the plan."""
-    options = options or Options()
-    P.refuse(view)
-    if roles is None:
-        roles = R.fold(view)[0].table(view.spark)
-    found = P.anonymous(view)
-    blanks = None if found is None else P.blank_ids(found)
-    parts = [P.subclass_edges(view, options, roles), P.equivalent_edges(view, options, roles)]
+def categories(view: Ontology, options: Options, roles: DataFrame | None = None) -> Iterator[DataFrame]:
+    """Edges with their encounter key by category, in the order of categories. Each is planned when it is asked for, and
+    only then what it alone needs is looked for: the role box, numbers of anonymous individuals, assertions to refuse.
+    Flags choose branches; branches that are off are not in the plan."""
+    state = lambda: roles if roles is not None else R.fold(view)[0].table(view.spark)
+
+    def blanks() -> DataFrame | None:
+        if "blanks" not in view.memo:
+            found = P.anonymous(view)
+            view.memo["blanks"] = None if found is None else P.blank_ids(found)
+        return view.memo["blanks"]
+
+    yield P.named_subclasses(view, options.bidirectional_taxonomy) if options.only_taxonomy else P.subclass_edges(view, options, state())
+    yield P.equivalent_edges(view, options, None if options.only_taxonomy else state())
     if options.include_literals:
-        parts.append(P.annotation_edges(view, blanks))
-    parts += [P.class_assertion_edges(view), P.object_assertion_edges(view, blanks), P.domain_range_edges(view, roles)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        yield P.annotation_edges(view, blanks())
+    yield P.class_assertion_edges(view)
+    P.refuse_assertions(view)
+    yield P.object_assertion_edges(view, blanks())
+    yield P.domain_range_edges(view, state())
+
+
+def raw_edges(view: Ontology, options: Options | None = None, roles: DataFrame | None = None) -> DataFrame:
+    """All edges with their encounter key."""
+    P.refuse_kinds(view)
+    return reduce(DataFrame.unionByName, categories(view, options or Options(), roles))
+
+
+def encountered(view: Ontology, options: Options, roles: DataFrame | None = None) -> Iterator[DataFrame]:
+    """The edges of a projection in encounter order as one ordered DataFrame after the other: those of a category are
+    there before what later ones need is read."""
+    P.refuse_kinds(view)
+    for part in categories(view, options, roles):
+        yield part.orderBy(*P.KEY).select(*EDGE)
 
 
 def with_policy(edges: DataFrame, duplicates: str = "preserve", order: str = "canonical") -> DataFrame:
@@ -49,11 +72,31 @@ def firsts(edges: DataFrame) -> DataFrame:
 def projected(view: Ontology, options: Options | None = None, roles: DataFrame | None = None, max_edges: int | None = None) -> DataFrame:
     options = options or Options()
     found = raw_edges(view, options, roles)
-    if max_edges is not None and (n := found.limit(max_edges + 1).count()) > max_edges:
-        raise ResourceLimit(f"more than {max_edges} edges", max_total_edges=max_edges, seen=n)
+    if max_edges is not None:
+        found = limited(found, max_edges)
     return with_policy(found, options.duplicates, options.order)
 
 
+TOO_MANY = "more edges than max_edges"
+
+
+def limited(edges: DataFrame, most: int) -> DataFrame:
+    """``edges``, if there are ``most`` at most, else ResourceLimit. They are made once: a task that has more of its own
+    fails the job, the job counts them as it keeps them durably, and what follows reads the kept ones."""
+    seen = Observation()
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(PLACE))
+    guarded = edges.withColumn("_place", place).where(F.when(F.col("_place") >= most, F.raise_error(F.lit(TOO_MANY)).cast("string")).isNull()).drop("_place")
+    try:
+        kept = durable(guarded.observe(seen, F.count(F.lit(1)).alias("n")))
+    except PySparkException as e:
+        if TOO_MANY in str(e):
+            raise ResourceLimit(f"more than {most} edges", max_total_edges=most, seen=most + 1) from e
+        raise
+    if (n := seen.get["n"]) > most:
+        raise ResourceLimit(f"more than {most} edges", max_total_edges=most, seen=n)
+    return kept
+
+
 def taxonomy(view: Ontology, bidirectional: bool = False, duplicates: str = "preserve", order: str = "canonical") -> DataFrame:
     """Asserted subclass axioms between named classes alone."""
     return with_policy(P.named_subclasses(view, bidirectional), duplicates, order)
@@ -92,10 +135,7 @@ def faults(view: Ontology, options: Options) -> DataFrame:
     if options.include_literals:
         literal = F.col("fault") == "literal"
         parts.append(P.annotation_faults(view).select(F.col("fault").alias("kind"), F.when(literal, "Literal").otherwise("AnnotationAssertion").alias("constructor")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ignored(view: Ontology, options: Options) -> DataFrame:

@@ -155,6 +155,20 @@ def synthetic_edges(spark, d):
     return generators.synthetic_edges(spark, Bridge(spark, d).read("lineitem").count())
 
 
+SPLIT_MIX = """SELECT l_orderkey, l_linenumber, printf('%016x', xor(z, z >> 31)) AS number FROM (
+    SELECT * REPLACE ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS z) FROM (
+    SELECT * REPLACE ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS z) FROM (
+    SELECT l_orderkey, l_linenumber, ((l_orderkey::HUGEINT + 11400714819323198485::HUGEINT * l_linenumber::HUGEINT) % 18446744073709551616)::UBIGINT AS z FROM lineitem)))"""
+
+
+@query(f" SELECT * FROM ({SPLIT_MIX})")
+def split_mix(spark, d):
+    """The number that a generator seeded by an order's key gives at each line of it, by the line's number alone."""
+    lines = Bridge(spark, d).read("lineitem").select("l_orderkey", "l_linenumber")
+    number = generators.split_mix(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long"))
+    return lines.select("l_orderkey", "l_linenumber", generators.hex64(number).alias("number"))
+
+
 # Edge rules
 
 
@@ -436,10 +450,9 @@ def blank_ids(spark, d):
 
 @query("SELECT CAST(floor((n - 1) / 1000) AS BIGINT) AS batch, count(*) AS size FROM (SELECT row_number() OVER () AS n FROM ca) GROUP BY ALL")
 def batch_sizes(spark, d):
-    from ..streaming.sinks import batches
+    from ..streaming.sinks import numbered_batches
 
-    edges = plan.with_policy(P.class_assertion_edges(star_view(spark, d)))
-    return spark.createDataFrame([(i, len(b)) for i, b in enumerate(batches(edges, 1000))], "batch long, size long")
+    return numbered_batches(P.class_assertion_edges(star_view(spark, d)), 1000).groupBy("batch").agg(F.count("*").alias("size"))
 
 
 @query("SELECT a.source, a.relation, a.destination, 2 AS left_count, 1 AS right_count FROM subclass_up a WHERE destination = 'urn:tpch:region#1'")

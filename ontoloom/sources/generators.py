@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,75 @@ def synthetic_edges(spark: SparkSession, n: int) -> DataFrame:
         name("relation", F.pmod(i, F.lit(17)), 2).alias("relation"),
         name("class", F.pmod(i * 37, F.lit(classes)), 9).alias("destination"),
     )
+
+
+# Random numbers
+
+#: Fixed values of SplitMix64: what the state grows by, and the factors of its output.
+GAMMA, FACTORS, SHIFTS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (30, 27, 31)
+HALF = 0xFFFFFFFF
+
+
+class Word(NamedTuple):
+    """An unsigned 64-bit number as two columns of 32 bits: longs do not wrap around in ANSI mode."""
+
+    high: Column
+    low: Column
+
+
+def word(value: Column) -> Word:
+    return Word(F.shiftrightunsigned(value, 32), value.bitwiseAND(F.lit(HALF)))
+
+
+def plus(a: Word, b: Word) -> Word:
+    low = a.low + b.low
+    return Word((a.high + b.high + F.shiftright(low, 32)).bitwiseAND(F.lit(HALF)), low.bitwiseAND(F.lit(HALF)))
+
+
+def times(a: Word, factor: int) -> Word:
+    """The low 64 bits of a product, by products of 32 and 16 bits."""
+
+    def product(x: Column, k: int) -> Word:  # x, k of 32 bits
+        upper = x * F.lit(k >> 16)
+        low = x * F.lit(k & 0xFFFF) + F.shiftleft(upper.bitwiseAND(F.lit(0xFFFF)), 16)
+        return Word((F.shiftright(low, 32) + F.shiftright(upper, 16)).bitwiseAND(F.lit(HALF)), low.bitwiseAND(F.lit(HALF)))
+
+    own = product(a.low, factor & HALF)
+    high = own.high + product(a.high, factor & HALF).low + product(a.low, factor >> 32).low
+    return Word(high.bitwiseAND(F.lit(HALF)), own.low)
+
+
+def shifted_in(a: Word, by: int) -> Word:
+    """a XOR a >> by, for a shift under 32."""
+    low = F.shiftright(a.low, by) + F.shiftleft(a.high.bitwiseAND(F.lit((1 << by) - 1)), 32 - by)
+    return Word(a.high.bitwiseXOR(F.shiftright(a.high, by)), a.low.bitwiseXOR(low))
+
+
+def split_mix(seed: Column, count: Column) -> Word:
+    """The number that SplitMix64 from ``seed`` gives at call ``count``, from 1 on. Every call's state is the seed and so
+    many times GAMMA, so any row has its number without those before."""
+    steps = times(word(count), GAMMA)
+    z = plus(word(seed), steps)
+    for shift, factor in zip(SHIFTS, FACTORS, strict=False):
+        z = times(shifted_in(z, shift), factor)
+    return shifted_in(z, SHIFTS[-1])
+
+
+def hex64(a: Word) -> Column:
+    return F.lower(F.concat(F.lpad(F.hex(a.high), 8, "0"), F.lpad(F.hex(a.low), 8, "0")))
+
+
+def index(a: Word, length: int) -> Column:
+    """The number modulo ``length``, which has 31 bits at most."""
+    return F.pmod(F.pmod(a.high, F.lit(length)) * F.lit((1 << 32) % length) + a.low, F.lit(length))
+
+
+KINDS = ("named", "some", "all", "role", "inverse", "typed", "related")
+
+
+def random_cases(spark: SparkSession, cases: int, axioms: int, seed: int = 0) -> DataFrame:
+    """``case, kind, a, b, r`` of as many axioms for each case: a mixture of kinds over eight classes, four roles and four
+    individuals. Each number comes from the case's seed and its place alone."""
+    df = spark.range(cases * axioms).select(F.floor(F.col("id") / axioms).alias("case"), F.pmod("id", F.lit(axioms)).alias("place"))
+    draw = lambda k, n: index(split_mix(F.col("case") + seed, F.col("place") * 4 + k), n)
+    return df.select("case", F.element_at(F.array(*map(F.lit, KINDS)), (draw(1, len(KINDS)) + 1).cast("int")).alias("kind"), draw(2, 8).alias("a"), draw(3, 8).alias("b"), draw(4, 4).alias("r"))

@@ -3,13 +3,14 @@
 import hashlib
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from ontoloom import schema as S
-from ontoloom.api import BackendStatus, CancellationToken, Projector, iter_taxonomy_edges, project_taxonomy, select_backend
-from ontoloom.errors import BackendUnavailable, Cancelled, InvalidOptions, ResourceLimit, UnsupportedAxiomShape, UnsupportedProfile
+from ontoloom.api import BackendStatus, CancellationToken, Limits, Projector, iter_taxonomy_edges, project_taxonomy, select_backend
+from ontoloom.errors import BackendUnavailable, Cancelled, IncompatibleSource, InvalidOptions, ResourceLimit, UnsupportedAxiomShape, UnsupportedProfile
 from ontoloom.functions import canon as C
 from ontoloom.functions import canon_columns as K
 from ontoloom.functions import text as T
@@ -17,8 +18,9 @@ from ontoloom.operators import roles as R
 from ontoloom.operators import rules as P
 from ontoloom.options import Options
 from ontoloom.plans import projection as plan
+from ontoloom.sources import generators
 from ontoloom.sources.views import Ontology
-from ontoloom.streaming import sinks
+from ontoloom.streaming import distributed, sinks
 from ontoloom.streaming.lifecycle import replay, stream_edges
 
 
@@ -385,3 +387,177 @@ def test_artifact_says_nothing_of_the_backend(spark, tmp_path):
     with pytest.raises(BackendUnavailable):
         select_backend("native", lambda: BackendStatus(False, "none"))
     assert select_backend("auto") == "spark"
+
+
+class Flaky(distributed.FolderSink):
+    """The first attempt of a part fails after it has written."""
+
+    def open(self, part, name):
+        own = super().open(part, name)
+        flag = Path(self.path, f"failed-{part}")
+        if not flag.exists():
+            write = own.write_batch
+
+            def fail(batch):
+                write(batch)
+                own.end()
+                flag.touch()
+                raise OSError("lost")
+
+            own.write_batch = fail
+        return own
+
+
+def test_tasks_write_parts_that_count_once(spark, tmp_path, monkeypatch):
+    made = spark.range(50_000).select(F.concat(F.lit('urn:"é'), "id").alias("source"), F.lit("r").alias("relation"), (F.col("id") % 7).cast("string").alias("destination")).repartition(3)
+    kept = distributed.write_parts(made, str(tmp_path / "out"), {"profile": "p"})
+    assert kept["edge_count"] == 50_000 and kept["profile"] == "p" and len(kept["parts"]) == 3
+    back = distributed.read_parts(spark, str(tmp_path / "out"))
+    assert plan.bag_diff(back, made).isEmpty()
+    part = tmp_path / "out" / kept["parts"][0]["name"]
+    raw = part.read_bytes()
+    part.write_bytes(raw.replace(b"1", b"2", 1))
+    with pytest.raises(Exception, match="are not those that were written"):
+        back.count()
+    (tmp_path / "out" / distributed.MANIFEST).write_text("{}")
+    with pytest.raises(IncompatibleSource):
+        distributed.manifest(str(tmp_path / "out"))
+    nothing = distributed.write_parts(made.limit(0), str(tmp_path / "none"))
+    assert nothing["edge_count"] == 0 and distributed.read_parts(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="lost"):  # no retries in a local session: the job fails and nothing is committed
+        distributed.to_tasks(made, Flaky(str(tmp_path / "again")), 100)
+    assert not (tmp_path / "again" / distributed.MANIFEST).exists()
+    while len(list((tmp_path / "again").glob("failed-*"))) < 3:
+        with pytest.raises(Exception, match="lost"):
+            distributed.to_tasks(made, Flaky(str(tmp_path / "again")), 100)
+    assert distributed.to_tasks(made, Flaky(str(tmp_path / "again")), 100) == 50_000  # beside what failed attempts left
+    assert plan.bag_diff(distributed.read_parts(spark, str(tmp_path / "again")), made).isEmpty()
+
+
+def test_projector_writes_parts(spark, tmp_path):
+    v = view(spark, SubClassOf=[subclass(cls("A"), cls("B")), subclass(cls("C"), cls("B"))])
+    head = Projector().write_parts(v, str(tmp_path / "x"))
+    assert head["counts"]["edges"] == head["edge_count"] == 2 and head["options"]["order"] == "canonical"
+    assert edges(distributed.read_parts(spark, str(tmp_path / "x")).orderBy("source")) == [("A", S.SUBCLASS_OF, "B"), ("C", S.SUBCLASS_OF, "B")]
+
+
+def counting(spark, v, asked):
+    """The same view, whose kinds say when they are asked for."""
+    def ask(kind):
+        def give():
+            asked.append(kind)
+            return v.axioms(kind)
+
+        return give
+
+    return Ontology(spark, {k: ask(k) for k in v.kinds()}, v.documents, v.entities, anonymous=("ObjectPropertyAssertion",))
+
+
+def test_first_edge_comes_before_later_kinds_are_read(spark):
+    ind = lambda x: {"iri": x, "anon": None, "label": None}
+    related = lambda p: row("ObjectPropertyAssertion", canon=C.axiom("ObjectPropertyAssertion", p["canon"], C.individual("a"), C.individual("b")), p1=p, i1=ind("a"), i2=ind("b"))
+    typed = row("ClassAssertion", canon=C.axiom("ClassAssertion", C.named_class("A"), C.individual("a")), sub=cls("A"), i1=ind("a"))
+    v = view(spark, SubClassOf=[subclass(cls("A"), cls("B"))], ClassAssertion=[typed], ObjectPropertyAssertion=[related(prop("p"))])
+    asked = []
+    found = Projector(Options(order="encounter")).iter_edges(counting(spark, v, asked))
+    assert tuple(next(found)) == ("A", S.SUBCLASS_OF, "B") and asked == ["SubClassOf"]
+    assert [tuple(e) for e in found] == [("a", S.RDF_TYPE, "A"), ("a", "p", "b")] and set(asked) == {"SubClassOf", "ClassAssertion", "ObjectPropertyAssertion"}
+    assert [tuple(e) for e in Projector(Options(order="encounter")).iter_edges(v)] == edges(plan.projected(v, Options(order="encounter")))
+    refused = view(spark, SubClassOf=[subclass(cls("A"), cls("B"))], ObjectPropertyAssertion=[related(prop("p", True))])
+    found = Projector(Options(order="encounter")).iter_edges(refused)
+    assert next(found)
+    with pytest.raises(UnsupportedAxiomShape):
+        list(found)
+
+
+def test_limits_hold_in_one_pass(spark):
+    v = view(spark, SubClassOf=[subclass(cls(f"A{i}"), cls("T")) for i in range(40)])
+    for options in (Options(), Options(order="encounter")):
+        assert len(Projector(options).project(v, limits=Limits(max_edges=40))) == 40
+        for most in (39, 3):
+            with pytest.raises(ResourceLimit) as e:
+                Projector(options).project(v, limits=Limits(max_edges=most))
+            assert e.value.details["max_total_edges"] == most and e.value.details["seen"] > most
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def slow(x):
+        import time
+
+        runs.add(1)
+        time.sleep(0.5)
+        return x
+
+    late = Ontology(spark, {"SubClassOf": v.axioms("SubClassOf").withColumn("sub", F.col("sub").withField("iri", slow("sub.iri")))}, v.documents, v.entities)
+    with pytest.raises(ResourceLimit, match="over 1 seconds"):  # before the first edge is there
+        next(Projector().iter_edges(late, limits=Limits(max_seconds=1)))
+    fast = Ontology(spark, {"SubClassOf": v.axioms("SubClassOf").withColumn("doc_id", F.lit("root"))}, v.documents, v.entities)
+    assert len(Projector().project(fast, limits=Limits(max_seconds=600))) == 40
+
+
+def split_mix(seed):
+    mask, state = (1 << 64) - 1, seed
+    while True:
+        state = (state + 0x9E3779B97F4A7C15) & mask
+        z = state
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+        yield z ^ z >> 31
+
+
+def test_counter_based_numbers_are_those_of_the_sequence(spark):
+    seeds = [0, 1, 17, (1 << 63) - 1, -1, -(1 << 63)]
+    df = spark.createDataFrame([(s,) for s in seeds], "seed long").crossJoin(spark.range(1, 30).withColumnRenamed("id", "n"))
+    z = generators.split_mix(F.col("seed"), F.col("n"))
+    got = {(r[0], r[1]): (int(r[2], 16), r[3]) for r in df.select("seed", "n", generators.hex64(z), generators.index(z, 1000)).collect()}
+    for s in seeds:
+        for n, x in zip(range(1, 30), split_mix(s & (1 << 64) - 1)):
+            assert got[s, n] == (x, x % 1000)
+
+
+def plainly(rows, options):
+    """The edges of a random case, by rules written down once more in plain Python; the role box in the order of visits."""
+    boxed, out = [], []
+    for kind, a, b, r in rows:
+        if kind in ("role", "inverse"):
+            boxed.append((kind == "inverse", f"p{r}", f"p{a % 4}"))
+    lists, inverses = folded(boxed)
+    up = lambda x, y: [(x, S.SUBCLASS_OF, y)] + [(y, S.SUPERCLASS_OF, x)] * options.bidirectional_taxonomy
+    for kind, a, b, r in rows:
+        if kind == "named":
+            out += up(f"C{a}", f"C{b}")
+        elif kind in ("some", "all") and not options.only_taxonomy:
+            s, d, p = f"C{a}", f"C{b}", f"p{r}"
+            out += [(s, p, d), *((s, x, d) for x in lists.get(p, [])), *([(d, inverses[p], s)] if p in inverses else [])]
+        elif kind == "typed":
+            out.append((f"i{r}", S.RDF_TYPE, f"C{a}"))
+        elif kind == "related":
+            out.append((f"i{a % 4}", f"p{r}", f"i{b % 4}"))
+    return sorted(set(out) if options.duplicates == "unique" else out)
+
+
+def test_random_cases_under_random_flags(spark):
+    """Cases as the generator makes them, under flags from the bits of their number."""
+    ind = lambda x: {"iri": x, "anon": None, "label": None}
+    found = {}
+    for r in generators.random_cases(spark, 6, 25, seed=40).collect():
+        found.setdefault(r["case"], []).append((r["kind"], r["a"], r["b"], r["r"]))
+    assert len(found) == 6 and len({k for rows in found.values() for k, *_ in rows}) == len(generators.KINDS)
+    for case, rows in found.items():
+        kinds = {}
+        for kind, a, b, r in dict.fromkeys(rows):
+            A, B, p = cls(f"C{a}"), cls(f"C{b}"), prop(f"p{r}")
+            i, j = ind(f"i{a % 4}"), ind(f"i{b % 4}")
+            name, made = {
+                "named": ("SubClassOf", lambda: subclass(A, B)), "some": ("SubClassOf", lambda: subclass(A, some(f"p{r}", f"C{b}"))), "all": ("SubClassOf", lambda: subclass(some(f"p{r}", f"C{b}", S.ALL), A)),
+                "role": ("SubObjectPropertyOf", lambda: sub_role(f"p{r}", f"p{a % 4}")), "inverse": ("InverseObjectProperties", lambda: inverse_roles(f"p{r}", f"p{a % 4}")),
+                "typed": ("ClassAssertion", lambda: row("ClassAssertion", canon=C.axiom("ClassAssertion", A["canon"], C.individual(f"i{r}")), sub=A, i1=ind(f"i{r}"))),
+                "related": ("ObjectPropertyAssertion", lambda: row("ObjectPropertyAssertion", canon=C.axiom("ObjectPropertyAssertion", p["canon"], C.individual(i["iri"]), C.individual(j["iri"])), p1=p, i1=i, i2=j)),
+            }[kind]
+            kinds.setdefault(name, {})[made()[1]] = made()  # equal axioms count once
+        v = view(spark, **{k: list(x.values()) for k, x in kinds.items()})
+        options = Options(bidirectional_taxonomy=bool(case & 1), only_taxonomy=bool(case & 2), duplicates="unique" if case & 4 else "preserve")
+        order = R.visits(v)[0].orderBy("visit").collect() if {"SubObjectPropertyOf", "InverseObjectProperties"} & set(kinds) else []
+        boxed = [("inverse" if x["is_inverse"] else "role", int(x["second"][1:]), 0, int(x["first"][1:])) for x in order]
+        rest = list({(k, a, b, 0) if k == "named" else (k, a, b, r) if k in ("some", "all") else (k, a, 0, r) if k == "typed" else (k, a % 4, b % 4, r): None for k, a, b, r in rows if k not in ("role", "inverse")})
+        assert edges(plan.projected(v, options)) == plainly(boxed + rest, options), case
