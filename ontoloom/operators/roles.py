@@ -12,6 +12,8 @@ takes log2 n rounds of equi-joins, each kept durably.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,12 +93,15 @@ class RoleState:
         both = lambda a, b, k: named.where("is_inverse").select(F.col(a).alias("relation"), F.col(b).alias("inverse"), (F.col("visit") * 2 + k).alias("at"))
         backs = self.get(spark, "inverses").withColumn("at", F.lit(-1).cast("long")).unionByName(both("first", "second", 0)).unionByName(both("second", "first", 1))
         inverses = backs.groupBy("relation").agg(F.max_by("inverse", "at").alias("inverse"))
-        chains = n - named.count()
-        new = {"pointers": self.get(spark, "pointers").unionByName(found), "last": last, "inverses": inverses}
-        self.tables = {k: durable(df) for k, df in new.items()}
+        new = {"pointers": self.get(spark, "pointers").unionByName(found), "last": last, "inverses": inverses, "chains": rows.where(F.col("first").isNull() | F.col("second").isNull()).select("visit")}
+        # One job for all: each row says of which table it is.
+        chains = Observation()
+        marked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("table", F.lit(k)) for k, df in new.items()))
+        kept = durable(marked.observe(chains, F.count(F.when(F.col("table") == "chains", 1)).alias("n")))
+        self.tables = {k: kept.where(F.col("table") == k).select(*new[k].columns) for k in STATE}
         self.visited += n
         self._expansions = None
-        return chains
+        return chains.get["n"]
 
     def lists(self, spark: SparkSession) -> DataFrame:
         """``relation, pos, subrole`` of all lists. After k rounds all places below 2 ** k of each list are known: place
