@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, tree_sums
 
 SAMPLE = 6000
 DIM, NONZERO, WINDOW = 64, 8, 2
@@ -163,14 +163,14 @@ def fit_vectors(docs: DataFrame, text: str) -> Vectors:
         cols = list(zip(*parts, strict=True)) if parts else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "at", "sums"])
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in group.column("sums"))
-        return pa.table({"kind": group.column("kind")[:1], "at": group.column("at")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    def add(blobs: list[bytes]) -> bytes:
+        total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in blobs)
+        return zlib.compress(total.tobytes(), 1)
 
     parts = docs.select(F.col(text).cast("string")).mapInArrow(run, "kind int, at int, sums binary")
     tables = np.zeros((WORDS, DIM)), np.zeros((SHAPES, DIM))
-    for r in parts.groupBy("kind", "at").applyInArrow(add, "kind int, at int, sums binary").collect():  # 18 MB at most
-        block = np.frombuffer(bytes(r["sums"]), "<i8").reshape(DIM, -1).T
+    for r in tree_sums(parts, ["kind", "at"], "sums", add).collect():  # 18 MB at most
+        block = np.frombuffer(zlib.decompress(bytes(r["sums"])), "<i8").reshape(DIM, -1).T
         tables[r["kind"]][r["at"] : r["at"] + len(block)] = block
     return Vectors(*((t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-9)).astype(np.float32) for t in tables))
 

@@ -117,6 +117,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tree_sums(parts: DataFrame, keys: list[str], value: str, add, ends: int = 1, fan_in: int = 64) -> DataFrame:
+    """``parts`` with what partitions have in ``value`` summed by ``keys``, level by level over the numbers of the
+    partitions, until ``ends`` rows a key are left at most. ``add`` takes a list of up to ``fan_in`` blobs to one, so no
+    group grows with the number of partitions."""
+    now = parts.select(*keys, value, F.spark_partition_id().cast("long").alias("part"))
+    schema = now.schema
+
+    def run(group: pa.Table) -> pa.Table:
+        total = pa.array([add([x.as_py() for x in group.column(value)])], pa.binary())
+        return pa.table([group.column(c)[:1] if c != value else total for c in group.column_names], names=group.column_names)
+
+    while True:
+        now = cut(now.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy(*keys, "part").applyInArrow(run, schema))
+        if (now.agg(F.max("part")).first()[0] or 0) < ends:
+            return now.drop("part")
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of each unsigned 64-bit value."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_bytes, cut, longs, shuffle_partitions, texts
+from .common import chunk_bytes, cut, longs, shuffle_partitions, texts, tree_sums
 
 CHUNK_BYTES, MOST_CHUNK_BYTES = 4 << 20, 32 << 20
 LEAST, MOST = 1 << 10, 1 << 15
@@ -222,15 +222,14 @@ def summed(rows: DataFrame, f, spark) -> list[np.ndarray]:
         total = f(x for b in batches for x in b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([packed(*total)], pa.binary())], names=["x"])
 
-    def add(group: pa.Table) -> pa.Table:
-        total = None
-        for blob in group.column("x"):
-            parts = unpacked(blob.as_py())
-            total = parts if total is None else [a + b for a, b in zip(total, parts, strict=True)]
-        return pa.table({"x": pa.array([packed(*total)], pa.binary())})
+    def add(blobs: list[bytes]) -> bytes:
+        total = unpacked(blobs[0])
+        for x in blobs[1:]:
+            total = [a + b for a, b in zip(total, unpacked(x), strict=True)]
+        return packed(*total)
 
-    partial = rows.select("state").mapInArrow(each, "x binary").select(F.pmod(F.spark_partition_id(), F.lit(SUMS)).alias("k"), "x")
-    blobs = [unpacked(bytes(r["x"])) for r in partial.groupBy("k").applyInArrow(add, "x binary").collect()]
+    partial = rows.select("state").mapInArrow(each, "x binary")
+    blobs = [unpacked(bytes(r["x"])) for r in tree_sums(partial, [], "x", add, SUMS, 16).collect()]
     return [sum(x) for x in zip(*blobs, strict=True)]
 
 

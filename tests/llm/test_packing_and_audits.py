@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ontoloom.llm import divergence, interactions, packing
+from ontoloom.llm import common, divergence, interactions, packing
 
 DOCS = "doc_id long, text string, lang string, source string, part string, marks int, gid long, length int"
 BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -205,3 +205,18 @@ def test_interactions(spark, docs, empty, monkeypatch):
         assert all(r["shapley"] == whole[r["part"], r["filter_order"][r["step"] - 1]] for r in got)
     assert interactions.interactions(empty, frame).count() == 0
     assert interactions.interactions(docs, frame.where(F.lit(False))).agg(F.sum("good_lost")).first()[0] == 0
+
+
+def test_sums_of_many_partitions_meet_in_small_groups(spark):
+    """A blob says how many it is the sum of, and the largest group that it went through."""
+    parts = spark.range(0, 100, numPartitions=100).selectExpr("id % 2 AS k", "encode('1 1', 'UTF-8') AS x")
+
+    def add(blobs):
+        each = [tuple(map(int, b.split())) for b in blobs]
+        return f"{sum(n for n, _ in each)} {max(len(blobs), *(m for _, m in each))}".encode()
+
+    got = {r["k"]: bytes(r["x"]) for r in common.tree_sums(parts, ["k"], "x", add, fan_in=4).collect()}
+    assert {k: int(x.split()[0]) for k, x in got.items()} == {0: 50, 1: 50} and all(int(x.split()[1]) <= 4 for x in got.values())
+    ends = common.tree_sums(parts.drop("k"), [], "x", add, ends=8, fan_in=4).collect()
+    assert 1 < len(ends) <= 8 and sum(int(bytes(r["x"]).split()[0]) for r in ends) == 100
+    assert common.tree_sums(parts.limit(0), ["k"], "x", add).count() == 0
