@@ -20,7 +20,7 @@ from ontoloom.options import Options
 from ontoloom.plans import projection as plan
 from ontoloom.sources import generators
 from ontoloom.sources.views import Ontology
-from ontoloom.streaming import distributed, sinks
+from ontoloom.streaming import distributed, role_stream, sinks
 from ontoloom.streaming.lifecycle import replay, stream_edges
 
 
@@ -560,3 +560,38 @@ def test_random_cases_under_random_flags(spark):
         boxed = [("inverse" if x["is_inverse"] else "role", int(x["second"][1:]), 0, int(x["first"][1:])) for x in order]
         rest = list({(k, a, b, 0) if k == "named" else (k, a, b, r) if k in ("some", "all") else (k, a, 0, r) if k == "typed" else (k, a % 4, b % 4, r): None for k, a, b, r in rows if k not in ("role", "inverse")})
         assert edges(plan.projected(v, options)) == plainly(boxed + rest, options), case
+
+
+def test_role_stream_keeps_its_state_in_the_store(spark, tmp_path):
+    rng = random.Random(9)
+    axioms = [(rng.random() < 0.2, f"r{rng.randrange(8)}", f"r{rng.randrange(8)}") for _ in range(45)] + [(False, None, "r1")]
+    where = {k: str(tmp_path / k) for k in ("in", "out", "checkpoint")}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", role_stream.PROVIDER)
+
+    def run(first, last, at=None):
+        rows = [(i, *axioms[i]) for i in range(first, last)] if at is None else at
+        spark.createDataFrame(rows[::-1], "visit long, is_inverse boolean, first string, second string").coalesce(1).write.mode("append").parquet(where["in"])
+        again()
+
+    def again():
+        stream = spark.readStream.schema("visit long, is_inverse boolean, first string, second string").parquet(where["in"])
+        changes = role_stream.role_changes(stream)
+        changes.writeStream.format("parquet").option("path", where["out"]).option("checkpointLocation", where["checkpoint"]).trigger(availableNow=True).start().awaitTermination()
+
+    def found():
+        return held(spark, role_stream.state_of(spark.read.parquet(where["out"])))
+
+    try:
+        run(0, 20)
+        assert found() == folded(axioms[:20])
+        run(20, 46)  # a restarted query
+        assert found() == folded(axioms)
+        last = max(int(p.name) for p in (tmp_path / "checkpoint" / "commits").glob("[0-9]*"))
+        for name in (str(last), f".{last}.crc"):  # its last batch is run again
+            (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+        again()
+        assert found() == folded(axioms)
+        with pytest.raises(Exception, match="comes after visit"):
+            run(0, 0, [(3, False, axioms[44][1], axioms[44][2])])
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
