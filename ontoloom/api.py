@@ -99,7 +99,7 @@ class Report:
         return out
 
     def metadata(self) -> dict:
-        """What an artifact says of its edges: nothing that differs by backend."""
+        """What an artifact says of its edges: nothing that differs by backend. The keys."""
         return {
             "schema": ARTIFACT_SCHEMA, "profile": self.profile, "options": {k: v for k, v in self.options.items() if k != "backend"}, "snapshot": {"axioms_sha256": self.snapshot_sha256},
             "provenance": {"diagnostics_sha256": self.diagnostics_sha256, "invocation": self.invocation, "history_sha256": self.history_sha256},

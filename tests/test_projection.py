@@ -539,9 +539,9 @@ def test_random_cases_under_random_flags(spark):
     """Cases as the generator makes them, under flags from the bits of their number."""
     ind = lambda x: {"iri": x, "anon": None, "label": None}
     found = {}
-    for r in generators.random_cases(spark, 4, 40, seed=40).collect():
+    for r in generators.random_cases(spark, 3, 50, seed=40).collect():
         found.setdefault(r["case"], []).append((r["kind"], r["a"], r["b"], r["r"]))
-    assert len(found) == 4 and len({k for rows in found.values() for k, *_ in rows}) == len(generators.KINDS)
+    assert len(found) == 3 and len({k for rows in found.values() for k, *_ in rows}) == len(generators.KINDS)
     for case, rows in found.items():
         kinds = {}
         for kind, a, b, r in dict.fromkeys(rows):
