@@ -485,6 +485,74 @@ def test_html_is_linear_in_broken_markup():
     assert html.main_text('<article><p class="x>y">in</p><p title="open>out</p></article>') == "in\nout"
 
 
+def test_html_keeps_links_of_the_article():
+    a = "<p>The first paragraph says this.</p>"
+    b = "<p>The second one says that.</p>"
+    want = "The first paragraph says this.\n{}The second one says that."
+    page = lambda inner, head="": html.main_text(f"<nav><a href=/>Home</a></nav><article>{head}{a}{inner}{b}</article><footer>c</footer>")
+    assert page("") == want.format("")
+    assert page("", '<h1><a href="/post">My Great Post Title</a></h1>') == "My Great Post Title\n" + want.format("")
+    items = "".join(f"<li><a href={i}>Item {i}</a>" for i in range(4))
+    assert page(f"<ul>{items}</ul>") == want.format("Item 0\nItem 1\nItem 2\nItem 3\n")
+    assert page(f"<div class=ad>Buy</div><ul>{items}</ul>") == want.format("Item 0\nItem 1\nItem 2\nItem 3\n")
+    assert page("<p><a href=x>A paragraph that is one link.</a></p>") == want.format("A paragraph that is one link.\n")
+    assert page("<div class='social-history'><p>Of the town.</p></div>") == want.format("Of the town.\n")
+    prose = " ".join(["word"] * 40)
+    assert page(f"<section class=search><h2>The search</h2><p>{prose}</p></section>") == want.format(f"The search\n{prose}\n")
+    # What is no part of it goes, by words and links or by its name.
+    assert page("<div class=share-buttons><a href=1>One</a> <a href=2>Two</a><span>Share this</span></div>") == want.format("")
+    assert page("<div class=search><label>Search</label></div>") == want.format("")
+    assert page(f"<div class=toc><h2>Contents</h2><ul>{items}</ul></div>") == want.format("")
+    for name in ("user-comments", "comment-body", "cookieBanner", "ad_slot_3", "site-footer x"):
+        assert page(f"<div class='{name}'><p>{prose}</p></div>") == want.format(""), name
+    assert html.main_text(f"<article>{a}{b}</article><nav><p>{prose}</p></nav>") == want.format("")
+
+
+def plain_walk(found):
+    """FIELDS of blocks on a page with an article, from their definition."""
+    density = lambda b: b.linked / b.words
+    out = []
+    for i, b in enumerate(found):
+        mine = [j for j, x in enumerate(found) if not x.boiler and x.control == b.control and (x.region or x.control)]
+        if b.boiler or i not in mine:
+            mine, row = list(range(len(found))), []
+        else:
+            row = [i] if density(b) > html.OF_LINKS else []
+            for step in (-1, 1):
+                at = mine.index(i) + step
+                while row and 0 <= at < len(mine) and density(found[mine[at]]) > html.OF_LINKS:
+                    row.append(mine[at])
+                    at += step
+        low, high = mine.index(min(row or [i])) - 1, mine.index(max(row or [i])) + 1
+        figures = [(found[j].words, density(found[j])) if j is not None else (0, 0) for j in (i, mine[low] if low >= 0 else None, mine[high] if high < len(mine) else None)]
+        scope = html.FLAT if b.boiler or not (b.region or b.control) else html.IN_CONTROLS if b.control else html.ARTICLE
+        place = html.NAMED if b.boiler else html.INSIDE if b.region else html.OUTSIDE
+        out.append((*figures[0], *figures[1], *figures[2], place, b.heading, scope, len(row)))
+    return out
+
+
+def test_html_fields_follow_their_definition():
+    import random
+
+    r = random.Random(5)
+    for _ in range(200):
+        n = r.randint(1, 14)
+        found = []
+        for _ in range(n):
+            words = r.randint(1, 60)
+            found.append(html.Block("x", words, r.choice([0, 0, words, words, words // 2]), r.random() < 0.7, r.random() < 0.2, r.random() < 0.2, r.choice([0, 0, 0, 1, 2])))
+        found.append(html.Block("x", 30, 0, True, False, False, 0))
+        assert html.fields(found) == plain_walk(found)
+
+
+def test_html_tree_decides_on_pages_with_articles():
+    page = "<nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav><article><p>Text of it.</p></article>"
+    found = html.blocks(page)
+    rows = html.fields(found)
+    assert [html.is_article(f) for f in rows] == [False, False, True]
+    assert all(f[html.FIELDS.index("place")] != html.NAMED for f in rows)
+
+
 def test_html_tree_separates_its_table():
     for row in html.TABLE:
         assert html.is_article(tuple(row[:-1])) == bool(row[-1])
