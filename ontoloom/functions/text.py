@@ -11,6 +11,9 @@ MASK = 0xFFFFFFFF
 
 # Seeds of structural hashes.
 HASH_SEEDS = {"class": 2293, "object_property": 4153, "inverse": 4241, "annotation": 6311, "sub_property": 1823, "inverse_properties": 1229}
+EXPRESSION_SEEDS = {S.AND: 3083, S.OR: 3581, S.SOME: 3517, S.ALL: 2833, S.MIN: 3259, S.MAX: 3187}
+# What stands for expressions that have no seed, hashed as text.
+UNSEEDED = {S.EXACT: "ObjectExactCardinality", S.HAS_VALUE: "ObjectHasValue", S.HAS_SELF: "ObjectHasSelf"}
 
 
 def int32(x: Column) -> Column:
@@ -69,6 +72,32 @@ def role_axiom_hash(inverse: bool, first: Column, second: Column, annotations: C
     return combined(HASH_SEEDS["sub_property"], first, second, annotations)
 
 
+def by_tag(tag: Column, values: dict[int, Column]) -> Column:
+    """The value of a constructor number; null for others."""
+    out = F.lit(None).cast("long")
+    for k, v in values.items():
+        out = F.when(tag == k, v.cast("long")).otherwise(out)
+    return out
+
+
+def member_hash(e: Column) -> Column:
+    """Of an operand, or of an expression without operands: a class, or a restriction by a named class. Null where the
+    filler is no named class, since a row does not hold what that is."""
+    seed = by_tag(e["tag"], {k: F.lit(v) for k, v in EXPRESSION_SEEDS.items() if k not in (S.AND, S.OR)})
+    held = unsigned(seed * 31 + property_hash(e["prop"], iri_hash(e["prop"]["iri"])))
+    held = F.when(e["tag"].isin(S.MIN, S.MAX), unsigned(held * 31 + unsigned(e["card"]))).otherwise(held)
+    restriction = unsigned(held * 31 + F.when(e["filler_tag"] == S.ENTITY, combined(HASH_SEEDS["class"], iri_hash(e["filler_iri"]))))
+    unseeded = by_tag(e["tag"], {k: string_hash(F.lit(v)) for k, v in UNSEEDED.items()})
+    return F.when(e["tag"] == S.ENTITY, combined(HASH_SEEDS["class"], iri_hash(e["iri"]))).otherwise(F.coalesce(unseeded, restriction))
+
+
+def expression_hash(e: Column) -> Column:
+    """Of a class expression, unsigned. Operands are a set; null if one of them has none."""
+    seed = by_tag(e["tag"], {k: F.lit(EXPRESSION_SEEDS[k]) for k in (S.AND, S.OR)})
+    joined = unsigned(seed * 31 + set_hash(F.transform(F.array_distinct(e["operands"]), member_hash)))
+    return F.when(e["tag"].isin(S.AND, S.OR), joined).otherwise(member_hash(e))
+
+
 def spread(hash_: Column) -> Column:
     return hash_.bitwiseXOR(F.shiftright(hash_, 16))
 

@@ -374,6 +374,13 @@ def role_axiom_hash(spark, d):
     return R.role_axioms(star_view(spark, d)).select("is_inverse", "first", "second", T.int32(F.col("hash")).alias("hash"))
 
 
+@query(f"SELECT source, {Q.int32('hash')} AS hash FROM ({Q.EXPRESSION_HASHES})")
+def class_expression_hash(spark, d):
+    v = star_view(spark, d)
+    found = P.restriction_sides(v).select("source", "expr").unionByName(P.equivalences(v).select(F.col("first.iri").alias("source"), F.col("second").alias("expr")))
+    return found.select("source", T.int32(T.expression_hash(F.col("expr"))).alias("hash"))
+
+
 @query("SELECT ord AS visit, inv AS is_inverse, a AS first, b AS second FROM visits")
 def hashset_order(spark, d):
     return R.visits(star_view(spark, d), 1)[0]

@@ -4,7 +4,9 @@ nothing."""
 from __future__ import annotations
 
 from .. import schema as S
+from ..functions.text import EXPRESSION_SEEDS as EXPRESSIONS
 from ..functions.text import HASH_SEEDS as SEEDS
+from ..functions.text import UNSEEDED
 from ..sources.bridge import ALT_LABEL, COMMENT, LABEL, PREF_LABEL, TITLE, UNSUPPORTED
 
 MASK = 4294967295
@@ -109,6 +111,23 @@ def sql(select: str) -> str:
     return f"{PRELUDE}\n{select}"
 
 
+def restriction_hash(kind: str, relation: str, destination: str) -> str:
+    """Of a restriction by a named class; ``kind``: 0 some, 1 all, 2 at least one, 3 at most one, 4 exactly one."""
+    p = combined(SEEDS["object_property"], iri_hash(relation))
+    c = combined(SEEDS["class"], iri_hash(destination))
+    seeds = [EXPRESSIONS[t] for t in (S.SOME, S.ALL, S.MIN, S.MAX)]
+    of = [combined(s, p, *(["1"] if i > 1 else []), c) for i, s in enumerate(seeds)]
+    named = string_hash(f"'{UNSEEDED[S.EXACT]}'")
+    return f"CASE {kind} WHEN 0 THEN {of[0]} WHEN 1 THEN {of[1]} WHEN 2 THEN {of[2]} WHEN 3 THEN {of[3]} WHEN 4 THEN {named} END"
+
+
+PROP_OF_BRAND, CLASS_SEED = "'urn:tpch:prop#' || (n % 25)", SEEDS["class"]
+OPERAND_HASH = f"CASE kind WHEN 'class' THEN {combined(CLASS_SEED, iri_hash('destination'))} WHEN 'some' THEN {restriction_hash('0', f'({PROP_OF_BRAND})', 'destination')} ELSE {restriction_hash('4', f'({PROP_OF_BRAND})', 'destination')} END"
+EXPRESSION_HASHES = f"""SELECT source, {restriction_hash('kind', 'relation', 'destination')} AS hash FROM restr
+    UNION ALL SELECT 'urn:tpch:brand#' || p_brand, CASE WHEN n % 2 = 0 THEN {combined(EXPRESSIONS[S.AND], 'members')} ELSE {combined(EXPRESSIONS[S.OR], 'members')} END
+        FROM (SELECT p_brand, any_value(n) AS n, CAST(sum({OPERAND_HASH}) % 4294967296 AS BIGINT) AS members FROM operands GROUP BY p_brand)
+    UNION ALL SELECT sub, {combined(CLASS_SEED, iri_hash('sup'))} FROM eq_pairs
+    UNION ALL SELECT 'urn:tpch:nation#' || n_nationkey, {restriction_hash('0', "('urn:tpch:prop#' || n_nationkey)", "('urn:tpch:region#' || n_regionkey)")} FROM nation WHERE n_nationkey % 2 = 0"""
 EXPANDED = expanded("SELECT * FROM expandable")
 FULL = f"SELECT * FROM plain UNION ALL ({EXPANDED})"
 ALL_FLAGS = f"SELECT * FROM subclass_both UNION ALL SELECT * FROM eq_both UNION ALL SELECT * FROM ca UNION ALL SELECT * FROM oa UNION ALL ({EXPANDED}) UNION ALL SELECT * FROM ann_edges"
