@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -59,8 +60,13 @@ LIKE = Like()
 
 def shape(word: bytes) -> str:
     """Letters are x or X, digits 9; runs of letters count as one, of other characters as two."""
-    if word.isalpha() and word.islower():  # ASCII letters only
-        return "x"
+    if word.isalpha():  # ASCII letters only
+        if word.islower():
+            return "x"
+        if word.isupper():
+            return "X"
+        if word.istitle():
+            return "Xx"
     return RUN.sub(r"\1\1", word.decode("utf-8", "replace").translate(LIKE)).replace("xx", "x").replace("XX", "X")
 
 
@@ -83,17 +89,26 @@ class Rows(dict):
 
     def __init__(self):
         super().__init__()
-        self.word, self.shape = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.word, self.shape, self.shapes = array("i", [0]), array("i", [0]), {}
 
     def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == len(self.word):
-            self.word, self.shape = np.concatenate([self.word, self.word * 0]), np.concatenate([self.shape, self.shape * 0])
-        self.word[n] = xxhash.xxh64_intdigest(word.lower()) % WORDS
-        self.shape[n] = xxhash.xxh64_intdigest(shape(word).encode("utf-8", "surrogatepass")) % SHAPES
+        n, like = len(self.word), shape(word)  # 0 is no word
+        row = self.shapes.get(like)
+        if row is None:
+            row = self.shapes[like] = xxhash.xxh64_intdigest(like.encode("utf-8", "surrogatepass")) % SHAPES
+        self.shape.append(row)
+        self.word.append(xxhash.xxh64_intdigest(word.lower()) % WORDS)
         self[word] = n
         return n
 
+    def clear(self) -> None:
+        super().clear()
+        self.word, self.shape, self.shapes = array("i", [0]), array("i", [0]), {}
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows by number; no word may be added while these views are held."""
+        return np.frombuffer(self.word, np.int32), np.frombuffer(self.shape, np.int32)
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
@@ -101,7 +116,8 @@ class Rows(dict):
         if len(self) > KNOWN:
             self.clear()
         n = self.numbers(words)
-        return self.word[n], self.shape[n]
+        word, like = self.tables()
+        return word[n], like[n]
 
 
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +138,8 @@ def counted(docs: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
     def flush() -> None:
         word = np.concatenate([gap, *held])
-        at_w, at_s = rows.word[word], rows.shape[word]
+        word_rows, shape_rows = rows.tables()
+        at_w, at_s = word_rows[word], shape_rows[word]
         at_w[word < 0], at_s[word < 0] = WORDS, SHAPES
         for i in range(WINDOW, len(word) - WINDOW, PART):
             part = slice(i - WINDOW, i + PART + WINDOW)
@@ -133,7 +150,7 @@ def counted(docs: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
             own, sums = summed(word[i : i + len(near)], near)
             own, sums = own[own >= 0], sums[own >= 0]
             if len(own):
-                for total, of in ((total_w, rows.word), (total_s, rows.shape)):
+                for total, of in ((total_w, word_rows), (total_s, shape_rows)):
                     at, more = summed(of[own], sums)
                     total[at] += more
 
