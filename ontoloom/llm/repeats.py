@@ -149,7 +149,7 @@ class Chunk:
 
     def windows(self, anchors: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
         """Distinct windows over these anchors that have the half before, or after, where told: key, second key,
-        least document; and place, document and number among the distinct ones of each window."""
+        least document; and anchor, place and number among the distinct ones of each window."""
         half = (self.width - 1) // 2
         p = self.start[anchors, None] + np.arange(self.width)[None, :]
         lead = self.at[anchors, None] - p
@@ -168,7 +168,21 @@ class Chunk:
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
         first = order[new]
-        return key[first], other[first], self.doc[a][first], p, self.doc[a], of
+        return key[first], other[first], self.doc[a][first], a, p, of
+
+    def copied(self, a: np.ndarray, p: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the runs of windows, at p over the anchors a, at each of ``anchors`` with the same surroundings."""
+        new = np.ones(len(p), bool)
+        new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:], len(p))[: len(lo)] - 1
+        anchors = anchors[np.argsort(self.of[anchors], kind="stable")]
+        first, last = (np.searchsorted(self.of[anchors], self.of[a[lo]], side=s) for s in ("left", "right"))
+        n = last - first
+        run = np.repeat(np.arange(len(lo)), n)
+        to = anchors[np.arange(len(run)) + np.repeat(first - np.cumsum(n) + n, n)]
+        by = self.start[to] - self.start[a[lo]][run]
+        return p[lo][run] + by, p[hi][run] + self.length + by
 
 
 def dealt(chunk: int, key: np.ndarray, bits: int, buckets: int) -> list[tuple[int, int, int]]:
@@ -342,11 +356,13 @@ def marked(docs: DataFrame, id: str, text: str, row: Column, length: int) -> Dat
         np.add.at(edge, c.start[hit], 1)
         np.add.at(edge, c.end[hit], -1)
         if mix.any():
-            key, _, first, p, doc, of = windows(c, k, told)
+            key, _, first, a, p, of = windows(c, k, told)
             below, _ = replies(told, WINDOWS, k, key, 64, buckets)
-            w = p[below[of] | (doc > first[of])]
-            np.add.at(edge, w, 1)
-            np.add.at(edge, w + length, -1)
+            on = below[of] | (c.doc[a] > first[of])
+            # The document of an entry's first anchor may have the same surroundings again.
+            begin, end = c.copied(a[on], p[on], np.flatnonzero(mix[c.of] & ~hit))
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, end, -1)
         gone = np.cumsum(edge[:-1]) > 0
         sizes, counts, spans, kept = [0] * len(c.order), [0] * len(c.order), [[]] * len(c.order), [b""] * len(c.order)
         for i, row in enumerate(c.order.tolist()):

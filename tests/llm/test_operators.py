@@ -48,6 +48,18 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_repeats_of_a_passage_that_a_document_has_twice(spark):
+    """An earlier document has but the middle of it: the middle of every copy goes."""
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    middle = say(60)
+    passage = say(40) + middle + say(40)
+    rows = [(1, say(90) + middle + say(90)), (2, say(10) + passage + say(30) + passage + say(20) + passage)]
+    got = {r["doc_id"]: (r["n_removed"], [tuple(s) for s in r["spans"]]) for r in repeats.mark_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_removed", "spans").collect()}
+    assert got[1] == (0, [])
+    assert got[2] == (180, [(50, 110), (220, 280), (380, 440)])
+
+
 def test_repeats(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 6000)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", 3000)
