@@ -1,7 +1,9 @@
-"""Hashes, renderings and records as column expressions; nothing here leaves the JVM."""
+"""Hashes, renderings and records as column expressions; nothing here but java_hash() leaves the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,13 +28,42 @@ def unsigned(x: Column) -> Column:
 
 
 def string_hash(text: Column) -> Column:
-    """h = 31 h + u over UTF-16 units, unsigned."""
-    units = F.transform(F.array(F.hex(F.encode(text, "UTF-16BE"))), lambda u: F.aggregate(F.when(F.length(u) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), (F.length(u) / 4).cast("int") - 1)), F.lit(0).cast("long"), lambda h, i: unsigned(h * 31 + F.conv(F.substring(u, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))))
-    return F.get(units, 0)
+    """h = 31 h + u over UTF-16 units, unsigned; four units a step. Units of zero in front, which fill up the first
+    step, leave the hash at zero."""
+
+    def steps(raw: Column) -> Column:
+        n = F.ceil(F.octet_length(raw) / 8).cast("int")
+        at = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1))
+        # Of bytes, unlike of a string, a part is found without going through all before it.
+        word = lambda whole: F.transform(at, lambda i: F.conv(F.hex(F.substring(whole, i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+        return F.get(F.transform(F.array(F.lpad(raw, n * 8, F.lit(b"\0"))), word), 0)
+
+    unit = lambda w, place: F.shiftright(w, 48 - 16 * place).bitwiseAND(F.lit(0xFFFF)) * 31 ** (3 - place)
+    add = lambda h, w: unsigned(h * 31**4 + unit(w, 0) + unit(w, 1) + unit(w, 2) + unit(w, 3))
+    return F.get(F.transform(F.array(F.encode(text, "UTF-16BE")), lambda raw: F.aggregate(steps(raw), F.lit(0).cast("long"), add)), 0)
+
+
+BLOCK = 1 << 16
+POWERS = np.array([pow(31, BLOCK - 1 - i, 1 << 32) for i in range(BLOCK)], np.uint32)
+
+
+def unit_hash(raw: bytes) -> int:
+    """The signed hash of a text's UTF-8, a block of units at a time."""
+    units = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-16-le"), "<u2")
+    h = 0
+    for i in range(0, len(units), BLOCK):
+        part = units[i : i + BLOCK].astype(np.uint32)
+        h = (h * pow(31, len(part), 1 << 32) + int(np.dot(part, POWERS[BLOCK - len(part) :]))) & MASK
+    return (h + (1 << 31) & MASK) - (1 << 31)
 
 
 def java_hash(text: Column) -> Column:
-    return int32(string_hash(text))
+    """int32(string_hash()) of texts of any length, in Arrow batches."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unit_hash(x) for x in texts.to_pylist()], pa.int64())
+
+    return F.arrow_udf(run, "long")(text.cast("binary"))
 
 
 def iri_hash(iri: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -240,6 +241,16 @@ def test_hash_render_and_json(spark):
         assert r["r"] == f'"{escaped}"^^<urn:t>'.replace("\\", "")[1:-1]
 
 
+def test_hash_of_a_long_text_is_linear(spark):
+    """A step that went through all before it took minutes here."""
+    words = ["aé日😀" * 60000, None, "", "b" * 65537, "\0\0a"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    start = time.monotonic()
+    for r in df.select("i", T.java_hash(F.col("w")).alias("h"), T.int32(T.string_hash(F.col("w"))).alias("s")).collect():
+        assert r["h"] == r["s"] == (None if words[r["i"]] is None else java(words[r["i"]]))
+    assert time.monotonic() - start < 60
+
+
 def test_sinks(spark, tmp_path):
     v = view(spark, SubClassOf=[subclass(cls(a), cls("T")) for a in ("é", "a", "b")])
     p, out = Projector(), []
