@@ -9,6 +9,7 @@ from .. import schema as S
 from ..errors import IncompatibleSource, UnsupportedAxiomShape
 from ..functions.text import blank_label, literal_text
 from ..options import Options
+from ..sources.generators import FIELDS, chosen
 from ..sources.views import Ontology, class_signature
 from ..storage import numbered
 from .roles import expand
@@ -44,12 +45,17 @@ def named_subclasses(view: Ontology, both: bool = False) -> DataFrame:
     return edges(df.select(F.col("canon").alias("k1"), F.explode(taxonomy_pair(F.col("sub.iri"), F.col("sup.iri"), both)).alias("e")).select("k1", "e.*"), SUBCLASS)
 
 
+def other_side(named: Column) -> Column:
+    """Of a subclass axiom, the side that is not the named one; a condition on it makes no canonical bytes."""
+    return chosen(named, F.col("sup"), F.col("sub"), (*FIELDS, "operands"))
+
+
 def restriction_sides(view: Ontology) -> DataFrame:
     """Subclass axioms with exactly one named side: ``k1, side, source, expr``."""
     df = view.axioms("SubClassOf")
     sub, sup = is_class(F.col("sub")), is_class(F.col("sup"))
     one = df.where(sub != sup)
-    return one.select(F.col("canon").alias("k1"), F.when(sub, "super").otherwise("sub").alias("side"), F.when(sub, F.col("sub.iri")).otherwise(F.col("sup.iri")).alias("source"), F.when(sub, F.col("sup")).otherwise(F.col("sub")).alias("expr"))
+    return one.select(F.col("canon").alias("k1"), F.when(sub, "super").otherwise("sub").alias("side"), F.when(sub, F.col("sub.iri")).otherwise(F.col("sup.iri")).alias("source"), other_side(sub).alias("expr"))
 
 
 def unexpanded_restrictions(view: Ontology, side: str | None = None) -> DataFrame:
@@ -69,7 +75,7 @@ def subclass_edges(view: Ontology, options: Options, roles: DataFrame) -> DataFr
 def subclass_ignored(view: Ontology, options: Options) -> DataFrame:
     df = view.axioms("SubClassOf")
     sub, sup = is_class(F.col("sub")), is_class(F.col("sup"))
-    other = F.when(sub, F.col("sup")).when(sup, F.col("sub"))
+    other = other_side(sub)
     bad = ~(sub & sup)
     if not options.only_taxonomy:
         bad = bad & ~((sub | sup) & F.coalesce(is_restriction(other), F.lit(False)))

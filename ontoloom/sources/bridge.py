@@ -125,7 +125,7 @@ class Bridge:
         source = F.when(anon, K.anonymous(SCOPE, key)).otherwise(K.individual(order))
         note = K.annotation(COMMENT, K.literal(F.col("l_linenumber").cast("string"), F.lit(S.XSD_STRING)))
         raw = K.axiom("ObjectPropertyAssertion", K.prop(F.lit(rel)), source, K.individual(part), annotations=F.array(note))
-        return axiom(df, "ObjectPropertyAssertion", "core", {"p1": object_property(F.lit(rel)), "i1": ind, "i2": self.named_individual(part)}, raw, anons)
+        return axiom(df, "ObjectPropertyAssertion", "core", {"p1": object_property(rel), "i1": ind, "i2": self.named_individual(part)}, raw, anons)
 
     def annotations(self) -> DataFrame:
         none = F.lit(None).cast("string")

@@ -20,19 +20,25 @@ def named_class(iri: Column) -> Column:
 
 
 FIELDS = ("tag", "iri", "prop", "card", "filler_tag", "filler_iri", "canon")
+PROP_FIELDS = ("iri", "inverse", "chain", "canon")
 
 
 def with_operands(expr: Column, operands: Column | None = None) -> Column:
     return F.struct(*(expr[n].alias(n) for n in FIELDS), (F.lit(None) if operands is None else operands).cast(f"array<{S.OPERAND}>").alias("operands"))
 
 
-def chosen(condition: Column, a: Column, b: Column) -> Column:
-    """a or b, field by field, so that fields which nothing reads go away."""
-    return F.struct(*(F.when(condition, a[n]).otherwise(b[n]).alias(n) for n in FIELDS))
+def chosen(condition: Column, a: Column, b: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """a or b, field by field, those of the property too, so that fields which nothing reads go away. One without a
+    property has the nulls of one."""
+    of = lambda x, y: F.when(condition, x).otherwise(y)
+    prop = F.struct(*(of(a["prop"][n], b["prop"][n]).alias(n) for n in PROP_FIELDS))
+    return F.struct(*((prop if n == "prop" else of(a[n], b[n])).alias(n) for n in fields))
 
 
-def object_property(iri: Column) -> Column:
-    return F.struct(iri.alias("iri"), F.lit(False).alias("inverse"), F.lit(False).alias("chain"), C.column(C.prop, iri).alias("canon"))
+def object_property(iri: Column | str) -> Column:
+    """``iri`` as a string is that of all rows, whose canonical bytes are made once."""
+    raw = F.lit(C.prop(iri)) if isinstance(iri, str) else C.column(C.prop, iri)
+    return F.struct((F.lit(iri) if isinstance(iri, str) else iri).alias("iri"), F.lit(False).alias("inverse"), F.lit(False).alias("chain"), raw.alias("canon"))
 
 
 def restriction(tag: Column, prop: Column, filler: Column, card: Column) -> Column:

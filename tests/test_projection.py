@@ -20,6 +20,7 @@ from ontoloom.operators import rules as P
 from ontoloom.options import Options
 from ontoloom.plans import projection as plan
 from ontoloom.sources import generators
+from ontoloom.sources.bridge import star_view
 from ontoloom.sources.views import Ontology
 from ontoloom.streaming import distributed, role_stream, sinks
 from ontoloom.streaming.lifecycle import replay, stream_edges
@@ -241,6 +242,15 @@ def test_hash_render_and_json(spark):
         assert r["r"] == f'"{escaped}"^^<urn:t>'.replace("\\", "")[1:-1]
 
 
+def test_edges_of_large_tables_need_less_python(spark):
+    """Edges of assertions need no canonical bytes made in Python, those of restrictions none to be picked out."""
+    v = star_view(spark, "/root/testdata/sf0.001")
+    evaluated = lambda df: df._jdf.queryExecution().executedPlan().toString().count("EvalPython [")
+    assert evaluated(P.object_assertion_edges(v, spark.createDataFrame([], "anon binary, blank string")).select(*plan.EDGE)) == 0
+    assert evaluated(P.subclass_ignored(v, Options())) == 0
+    assert evaluated(P.unexpanded_restrictions(v).select(*plan.EDGE)) <= 1
+
+
 def test_hash_of_a_long_text_is_linear(spark):
     """A step that went through all before it took minutes here."""
     words = ["aé日😀" * 60000, None, "", "b" * 65537, "\0\0a"]
