@@ -11,7 +11,7 @@ from ..functions.text import blank_label, literal_text
 from ..options import Options
 from ..sources.generators import FIELDS, chosen
 from ..sources.views import Ontology, class_signature
-from ..storage import numbered
+from ..storage import durable, numbered
 from .roles import expand
 
 KEY = ("cat", "k0", "k1", "k2", "op", "emit")
@@ -125,17 +125,40 @@ def equivalent_ignored(view: Ontology, options: Options) -> DataFrame:
     return whole.unionByName(equivalence_operands(view).where(~is_class(operand) & ~F.coalesce(is_restriction(operand), F.lit(False))).select(F.lit("EquivalentClasses").alias("constructor")))
 
 
-def root_annotations(view: Ontology) -> DataFrame:
+#: Bytes of annotations of one subject from which they are spread over tasks and not gathered to look for its class.
+SUBJECT_BYTES = 16 << 20
+
+
+def root_annotations(view: Ontology, texts: bool = False) -> DataFrame:
     """The root document's annotations, and whether each is of a known class by a known property: ``allowed``. Classes
-    are joined once, from the outside: such a join stays above the union of what annotations come from."""
-    df = view.axioms("AnnotationAssertion", root=True)
+    are joined once, from the outside: such a join stays above the union of what annotations come from. If their
+    ``texts`` are read, those of long_subjects are joined under keys that nothing has, and not under one."""
+    df = view.axioms("AnnotationAssertion", root=True).withColumn("_key", F.col("subject"))
     known = class_signature(view).select(F.col("iri").alias("_class"))
-    fits = F.col("_class").isNotNull() & F.coalesce(F.col("prop").isin(*S.ANNOTATION_PROPERTIES), F.lit(False))
-    return df.join(known, F.col("subject") == F.col("_class"), "left").withColumn("allowed", fits).drop("_class")
+    found = F.col("_class").isNotNull()
+    if texts and not (long := long_subjects(view)).isEmpty():
+        df = df.join(F.broadcast(long), F.col("subject") == F.col("_long"), "left")
+        spread_out = F.concat(F.lit("\0"), F.hex(F.xxhash64("value")))
+        df = df.withColumn("_key", F.when(F.col("_long").isNull(), F.col("subject")).otherwise(spread_out))
+        found = F.coalesce("_known", found)
+    fits = found & F.coalesce(F.col("prop").isin(*S.ANNOTATION_PROPERTIES), F.lit(False))
+    return df.join(known, F.col("_key") == F.col("_class"), "left").withColumn("allowed", fits).drop("_class", "_key", "_long", "_known")
+
+
+def long_subjects(view: Ontology) -> DataFrame:
+    """``_long``, subjects of the root's annotations that have SUBJECT_BYTES of them, and ``_known``, whether each is a
+    class: one for each SUBJECT_BYTES there are at most. Found once for a view and kept durably."""
+    if "long" not in view.memo:
+        v, known = F.col("value"), class_signature(view).select(F.col("iri").alias("_class"))
+        size = sum(F.coalesce(F.octet_length(v[c]), F.lit(0)) for c in ("lexical", "iri"))
+        sums = view.axioms("AnnotationAssertion", root=True).groupBy(F.col("subject").alias("_long")).agg(F.sum(size).alias("n"))
+        joined = sums.where(F.col("n") >= SUBJECT_BYTES).join(known, F.col("_long") == F.col("_class"), "left")
+        view.memo["long"] = durable(joined.select("_long", F.col("_class").isNotNull().alias("_known")))
+    return view.memo["long"]
 
 
 def allowed_annotations(view: Ontology) -> DataFrame:
-    return root_annotations(view).where("allowed").drop("allowed")
+    return root_annotations(view, texts=True).where("allowed").drop("allowed")
 
 
 def annotation_relation(prop: Column) -> Column:

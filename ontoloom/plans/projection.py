@@ -14,7 +14,7 @@ from ..operators import roles as R
 from ..operators import rules as P
 from ..options import Options
 from ..sources.views import Ontology
-from ..storage import PLACE, durable
+from ..storage import PLACE, durable, in_order
 
 EDGE = ("source", "relation", "destination")
 
@@ -52,16 +52,21 @@ def encountered(view: Ontology, options: Options, roles: DataFrame | None = None
     there before what later ones need is read."""
     P.refuse_kinds(view)
     for part in categories(view, options, roles):
-        yield part.orderBy(*P.KEY).select(*EDGE)
+        yield arranged(part, P.KEY, options.include_literals).select(*EDGE)
 
 
-def with_policy(edges: DataFrame, duplicates: str = "preserve", order: str = "canonical") -> DataFrame:
+def arranged(edges: DataFrame, keys: tuple[str, ...], texts: bool) -> DataFrame:
+    """In the order of ``keys``; by bytes where there may be ``texts``, as those of one subject stand together."""
+    return in_order(edges, keys) if texts else edges.orderBy(*keys)
+
+
+def with_policy(edges: DataFrame, duplicates: str = "preserve", order: str = "canonical", texts: bool = False) -> DataFrame:
     """(source, relation, destination) in order. The first of equal edges stands for all under ``unique``, found by
     an aggregation that combines before the shuffle."""
     if order == "canonical":
         out = edges.select(*EDGE)
-        return (out.distinct() if duplicates == "unique" else out).orderBy(*EDGE)
-    return (firsts(edges) if duplicates == "unique" else edges).orderBy(*P.KEY).select(*EDGE)
+        return arranged(out.distinct() if duplicates == "unique" else out, EDGE, texts)
+    return arranged(firsts(edges) if duplicates == "unique" else edges, P.KEY, texts).select(*EDGE)
 
 
 def firsts(edges: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def projected(view: Ontology, options: Options | None = None, roles: DataFrame |
     found = raw_edges(view, options, roles)
     if max_edges is not None:
         found = limited(found, max_edges)
-    return with_policy(found, options.duplicates, options.order)
+    return with_policy(found, options.duplicates, options.order, options.include_literals)
 
 
 TOO_MANY = "more edges than max_edges"

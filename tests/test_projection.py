@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontoloom import schema as S
+from ontoloom import storage
 from ontoloom.api import BackendStatus, CancellationToken, Limits, Projector, iter_taxonomy_edges, project_taxonomy, select_backend
 from ontoloom.errors import BackendUnavailable, Cancelled, IncompatibleSource, InvalidOptions, ResourceLimit, UnsupportedAxiomShape, UnsupportedProfile
 from ontoloom.functions import canon as C
@@ -183,6 +184,68 @@ def test_annotations(spark):
     assert plan.warning_count(plan.diagnostics(v, Options(include_literals=True))).first()[0] == 1
 
 
+def sized(df):
+    """Rows and bytes of each partition that has any."""
+    size = F.octet_length(F.concat_ws("", *plan.EDGE))
+    return [tuple(r) for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*"), F.sum(size)).orderBy("p").drop("p").collect()]
+
+
+def long_texts(spark):
+    """Few long comments, most of them alike for their first thousand characters, beside many short edges."""
+    rng = random.Random(3)
+    texts = ["same start " * 100 + f"{i} " + rng.randbytes(500).hex() for i in range(150)] + [f"{i} " + rng.randbytes(900).hex() for i in range(50)]
+    notes = [annotation(s, S.RDFS + "comment", (t, S.XSD_STRING)) for t in texts for s in ("A", "no-class")]
+    notes += [annotation("B", S.RDFS + "label", ("b", S.XSD_STRING)), annotation("A", "urn:other", (texts[0], S.XSD_STRING)), annotation("A", S.RDFS + "label", ("", S.XSD_STRING))]
+    names = [f"{'0' if i % 2 else 'C'}{i}" for i in range(2000)]
+    named = [subclass(cls(n), cls("A")) for n in names]
+    want = [("A", "rdfs:comment", t) for t in texts] + [("B", "rdfs:label", "b"), ("A", "rdfs:label", "")] + [(n, S.SUBCLASS_OF, "A") for n in names]
+    return view(spark, classes=["A", "B"], AnnotationAssertion=notes, SubClassOf=named), want
+
+
+@pytest.mark.parametrize("order", ["canonical", "encounter"])
+def test_long_texts_share_no_range(spark, monkeypatch, order):
+    v, want = long_texts(spark)
+    roles = spark.createDataFrame([], R.EXPANSIONS)
+    plain = edges(plan.projected(v, Options(include_literals=True, order=order), roles))  # too little for an order by bytes
+    monkeypatch.setattr(storage, "DRAW_BYTES", 1 << 10, raising=False)
+    monkeypatch.setattr(storage, "RANGE_BYTES", 1 << 14, raising=False)
+    for duplicates in ("preserve", "unique"):
+        found = plan.projected(v, Options(include_literals=True, order=order, duplicates=duplicates), roles)
+        assert edges(found) == plain
+        assert max(n for _, n in sized(found)) < 5 << 14  # of 400 KB, which one range had
+    assert sorted(plain) == sorted(want)
+    if order == "canonical":
+        assert plain == sorted(want)
+
+
+def test_order_by_bytes_of_ties_nulls_and_rows_longer_than_a_range(spark, monkeypatch):
+    monkeypatch.setattr(storage, "DRAW_BYTES", 1 << 8)
+    monkeypatch.setattr(storage, "RANGE_BYTES", 1 << 12)
+    rows = [(None, None), (None, 1), ("", 2), ("a", None)] * 50 + [("b" * 30000, 1), ("b" * 30000 + "c", 0)] * 3 + [(f"c{i}", i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "text string, n int").repartition(3)
+    found = storage.in_order(df, ("text", "n"))
+    assert edges(found) == edges(df.orderBy("text", "n"))
+    assert found.rdd.getNumPartitions() > 5
+    assert edges(storage.in_order(df.limit(0), ("text", "n"))) == []
+
+
+def test_texts_of_one_subject_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(P, "SUBJECT_BYTES", 1 << 14, raising=False)
+    v, want = long_texts(spark)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, x in settings.items():
+            spark.conf.set(k, x)
+        found = P.annotation_edges(v, None)
+        assert sorted(edges(found.select(*plan.EDGE))) == sorted(e for e in want if e[1] != S.SUBCLASS_OF)
+        rows = [n for n, _ in sized(found.where("source = 'A'"))]
+        assert sum(rows) == 201 and max(rows) < 120
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
 def test_assertions_and_blank_ids(spark):
     def ind(x):
         if x.startswith("_:"):
