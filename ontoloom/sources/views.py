@@ -56,7 +56,8 @@ class Ontology:
             self._axioms[kind] = self._check(kind, self._axioms[kind]())
         df = self._axioms[kind].select(*(f.name for f in S.schema_of(kind)))
         # Inner joins with what is there once: a semi-join would be pushed below every part of a union, with its right side.
-        return df.join(self.documents.where("is_root").select("doc_id").distinct(), "doc_id").select(*df.columns) if root else df
+        # Roots are few; a join by shuffle would bring all that a root has to one task.
+        return df.join(F.broadcast(self.documents.where("is_root").select("doc_id").distinct()), "doc_id").select(*df.columns) if root else df
 
     def kinds(self) -> list[str]:
         return [k for k in S.KINDS if k in self._axioms]
