@@ -62,7 +62,10 @@ def unexpanded_restrictions(view: Ontology, side: str | None = None) -> DataFram
     df = restriction_sides(view)
     if side:
         df = df.where(F.col("side") == side)
-    return df.where(is_restriction(F.col("expr"))).select("k1", "source", F.col("expr.prop.iri").alias("relation"), F.col("expr.filler_iri").alias("destination"))
+    # An array of one edge: for a join, Spark may repeat a plan in a subquery, as a Bloom filter of its keys, and there it
+    # leaves Python functions, as canonical bytes are, where they cannot run. It does not do so above an explode.
+    edge = F.struct(F.col("expr.prop.iri").alias("relation"), F.col("expr.filler_iri").alias("destination"))
+    return df.where(is_restriction(F.col("expr"))).select("k1", "source", F.explode(F.array(edge)).alias("e")).select("k1", "source", "e.*")
 
 
 def subclass_edges(view: Ontology, options: Options, roles: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from ontoloom.operators import roles
 from ontoloom.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +27,17 @@ def test_same_rows(spark, name):
     names = [d[0] for d in got.description]
     assert sorted(names) == columns
     assert found == sorted((tuple(r[names.index(c)] for c in columns) for r in got.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["role_subroles_join", "restriction_super"])
+def test_filters_of_join_keys_hold_no_python(spark, monkeypatch, name):
+    """As with tables that seem large, where Spark looks keys up in a Bloom filter, in a subquery, before it joins."""
+    monkeypatch.setattr(roles, "BROADCAST_BYTES", -1)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        test_same_rows(spark, name)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
