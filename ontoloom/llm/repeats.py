@@ -12,10 +12,12 @@ passes over partitions, and after each pass only groups with more than one membe
 4. Last digit, only for windows over a half that is seen again: the window itself.
 
 The groups that are left equal are exactly the repeated windows (digits are compared by at least 96 bits of hash
-of the whole content they stand for). Documents are dealt to chunks of ``CHUNK_BYTES`` once (of up to
-``MOST_CHUNK_BYTES`` in a corpus of over a TiB); every later step reads that exchange again. A chunk sends each
-distinct digit once with the least document that has it, so a passage in a third of all documents costs each bucket
-one entry a chunk, which is 14 bytes.
+of the whole content they stand for). Documents are dealt to some thousand chunks once, of ``CHUNK_BYTES`` to
+``MOST_CHUNK_BYTES``; every later step reads that exchange again. A chunk is worked on in pieces of ``PIECE_BYTES`` (of
+up to ``MOST_CHUNK_BYTES`` in a corpus of over a TiB), which bound memory, and sends a row to each bucket for all its
+pieces, so rows do not grow with the square of the corpus as chunks times buckets do. A piece sends each distinct digit
+once with the least document that has it, so a passage in a third of all documents costs each bucket one entry a piece,
+which is 14 bytes. A bucket's work grows with its entries, however many chunks they are from.
 
 Defined results. A null text is empty. A null id orders after every id. Rows with the same id count as one
 document among themselves. Texts under ``length`` bytes stay as they are. An empty table gives an empty table.
@@ -25,16 +27,18 @@ Other columns pass through, whatever they are called.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import buffers, chunk_bytes, longs, pack, tidy, unpack
 
-CHUNK_BYTES, MOST_CHUNK_BYTES = 1 << 20, 16 << 20
+PIECE_BYTES, CHUNK_BYTES, MOST_CHUNK_BYTES = 1 << 20, 1 << 20, 16 << 20
 BUCKET_BYTES = 4 << 20
 GRAM = 16
 TILE = 1 << 17
@@ -69,7 +73,7 @@ def slide(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 class Chunk:
-    """The documents of one chunk, end to end in the order of their ids, and their anchors."""
+    """The documents of a piece of a chunk, end to end in the order of their ids, and their anchors."""
 
     def __init__(self, ids: np.ndarray, column, length: int):
         data, at = buffers(column)
@@ -126,7 +130,7 @@ class Chunk:
     def _hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[b] - self.sums[a]) * powers(INVERSE, self.n + 1)[a]
 
-    def entries(self) -> None:
+    def entries(self) -> Chunk:
         """Distinct (gram, around) in order, each with its least document; of: the entry of each anchor."""
         order = np.lexsort((self.doc, self.around, self.gram))
         g, c = self.gram[order], self.around[order]
@@ -136,6 +140,7 @@ class Chunk:
         self.of[order] = np.cumsum(new) - 1
         first = order[new]
         self.e_at, self.e_gram, self.e_around, self.e_doc = first, self.gram[first], self.around[first], self.doc[first]
+        return self
 
     def sides(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys of the halves of these anchors' surroundings, whose anchor each is, whether it is the later."""
@@ -185,11 +190,20 @@ class Chunk:
         return p[lo][run] + by, p[hi][run] + self.length + by
 
 
-def dealt(chunk: int, key: np.ndarray, bits: int, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted keys of so many bits, in even ranges of their values."""
-    b = ((key >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(b)) + 1
-    return [(int(b[i]), int(i), int(j)) for i, j in zip(np.r_[0, cuts], np.r_[cuts, len(b)], strict=True)] if len(b) else []
+def bucket_of(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Even ranges of the values of keys of so many bits."""
+    return ((key >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def pieces(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Bounds of runs of rows, which end with the row that brings them to ``most`` bytes."""
+    out, at, held = [], 0, 0
+    for i, n in enumerate(sizes.tolist(), 1):
+        held += n
+        if held >= most or i == len(sizes):
+            out.append((at, i))
+            at, held = i, 0
+    return out
 
 
 ENTRY = "bucket int, chunk int, x binary, y binary, d binary, ids binary"
@@ -212,15 +226,23 @@ def unpacked_ids(blob: bytes) -> np.ndarray:
     return np.concatenate([np.frombuffer(blob, np.uint64, 1), np.frombuffer(blob, np.uint64, 1) + np.cumsum(steps)]).astype(np.int64)
 
 
-def sent(chunk: int, x: np.ndarray, y: np.ndarray | None, doc: np.ndarray, ids: np.ndarray, bits: int, buckets: int, wide: int) -> pa.Table:
-    """Entries by bucket. Without ``y`` the first keys go alone."""
+def sent(chunk: int, parts: list[tuple[np.ndarray, ...]], bits: int, buckets: int, wide: int) -> pa.Table:
+    """What a chunk's pieces send, each first keys in order, second keys and documents' ids, or first keys alone: a row
+    for each bucket, in which one piece's entries follow another's."""
     rows: list = []
-    for bucket, i, j in dealt(chunk, x, bits, buckets):
-        if y is None:
-            rows.append((bucket, chunk, pack(x[i:j], wide), b"", b"", b""))
+    x, *more = (np.concatenate(column) for column in zip(*parts, strict=True)) if parts else [np.zeros(0, np.uint64)]
+    bucket = bucket_of(x, bits, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, first = bucket[order], pack(x[order], wide)
+    second, ids = (pack(more[0][order], 12 - wide), more[1][order]) if more else (b"", None)
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)], strict=True) if len(x) else []:
+        own = int(bucket[i]), chunk, first[i * wide : j * wide]
+        if ids is None:
+            rows.append((*own, b"", b"", b""))
             continue
-        used, d = np.unique(doc[i:j], return_inverse=True)
-        rows.append((bucket, chunk, pack(x[i:j], wide), pack(y[i:j], 12 - wide), pack(d.astype(np.uint64), 2 if len(used) <= 1 << 16 else 4), packed_ids(ids[used])))
+        used, d = np.unique(ids[i:j], return_inverse=True)
+        rows.append((*own, second[i * (12 - wide) : j * (12 - wide)], pack(d.astype(np.uint64), 2 if len(used) <= 1 << 16 else 4), packed_ids(used)))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "chunk", "x", "y", "d", "ids"])
 
@@ -241,10 +263,23 @@ def judge(kind: int, wide: int):
         tidy()
         bucket = group.column("bucket")[0].as_py()
         rows = sorted(zip(group.column("chunk").to_pylist(), *(group.column(c).to_pylist() for c in ("x", "y", "d", "ids")), strict=True), key=lambda r: r[0])
-        x = np.concatenate([unpack(r[1], wide) for r in rows])
+        x = unpack(b"".join(r[1] for r in rows), wide)
         sizes = [len(r[1]) // wide for r in rows]
-        who = np.repeat(np.arange(len(rows)), sizes)
         bounds = np.cumsum([0, *sizes])
+
+        def told(low: np.ndarray, mix: np.ndarray) -> pa.Table:
+            """Places among all entries as places in the rows of their senders."""
+            out, ends = [], []
+            for at in (low, mix):
+                at.sort()
+                ends.append(np.searchsorted(at, bounds).tolist())
+            own = [(at - np.repeat(bounds[:-1], np.diff(e))).astype(np.uint32) for at, e in zip((low, mix), ends, strict=True)]
+            for i, r in enumerate(rows):
+                (a, b), (c, d) = ((e[i], e[i + 1]) for e in ends)
+                if b > a or d > c:
+                    out.append((r[0], kind, bucket, own[0][a:b].tobytes(), own[1][c:d].tobytes()))
+            return reply(out)
+
         order = np.argsort(x, kind="stable")
         k = x[order]
         same = np.zeros(len(k), bool)
@@ -253,14 +288,13 @@ def judge(kind: int, wide: int):
         order = order[same]  # what stands alone under the first digit is done
         del k, same
         if kind == SIDES:
-            own = [(r, np.sort(order[who[order] == i] - bounds[i])) for i, r in enumerate(rows)]
-            return reply([(r[0], kind, bucket, b"", at.astype(np.uint32).tobytes()) for r, at in own if len(at)])
-        y = np.concatenate([unpack(r[2], 12 - wide) for r in rows])[order]
+            return told(order[:0], order)
+        y = unpack(b"".join(r[2] for r in rows), 12 - wide)[order]
         ids = np.concatenate([unpacked_ids(r[4])[unpack(r[3], len(r[3]) // max(1, n)).astype(np.int64)] for r, n in zip(rows, sizes, strict=True)])[order]
-        x, who = x[order], who[order]
+        x = x[order]
         rows = [(r[0], None) for r in rows]
         again = np.lexsort((ids, y, x))
-        x, y, ids, who, at = x[again], y[again], ids[again], who[again], order[again]
+        x, y, ids, at = x[again], y[again], ids[again], order[again]
         new_x, new = np.ones(len(x), bool), np.ones(len(x), bool)
         new_x[1:] = x[1:] != x[:-1]
         new[1:] = new_x[1:] | (y[1:] != y[:-1])
@@ -268,25 +302,37 @@ def judge(kind: int, wide: int):
         lower = ids > ids[new][group_of] if len(ids) else new
         x_of = np.cumsum(new_x) - 1
         beside = np.bincount(x_of[new])[x_of] > 1 if len(x) else new
-        out = []
-        for i, r in enumerate(rows):
-            own = who == i
-            low, mix = at[own & lower] - bounds[i], at[own & ~lower & beside] - bounds[i] if kind == SURROUNDINGS else at[:0]
-            if len(low) or len(mix):
-                out.append((r[0], kind, bucket, np.sort(low).astype(np.uint32).tobytes(), np.sort(mix).astype(np.uint32).tobytes()))
-        return reply(out)
+        return told(at[lower], at[~lower & beside] if kind == SURROUNDINGS else at[:0])
 
     return run
 
 
-def replies(table: pa.Table, kind: int, chunk: int, key: np.ndarray, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    start = {b: i for b, i, _ in dealt(chunk, key, bits, buckets)}
-    low, mix = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    for k, b, x, y in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "lower", "mixed")), strict=True):
-        if k == kind:
-            low[start[b] + np.frombuffer(x, np.uint32)] = True
-            mix[start[b] + np.frombuffer(y, np.uint32)] = True
-    return low, mix
+class Replies:
+    """What a chunk was told of the entries of one kind, looked up piece by piece as they were sent."""
+
+    def __init__(self, table: pa.Table, kind: int, bits: int, buckets: int):
+        self.bits, self.buckets = bits, buckets
+        self.before = np.zeros(buckets, np.int64)  # entries of earlier pieces
+        rows = [r for r in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "lower", "mixed")), strict=True) if r[0] == kind]
+        self.told = [self._places([r[1] for r in rows], [r[i] for r in rows]) for i in (2, 3)]
+
+    @staticmethod
+    def _places(buckets: list[int], blobs: list[bytes]) -> np.ndarray:
+        """Bucket and place there as one number, in order."""
+        at = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
+        return np.sort(at + (np.repeat(np.array(buckets, np.int64), [len(x) // 4 for x in blobs]) << 32))
+
+    def of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the next piece's keys, in order: which have an earlier document, and which stand beside others."""
+        bucket = bucket_of(key, self.bits, self.buckets)
+        n = np.bincount(bucket, minlength=self.buckets)
+        at = (bucket << 32) + np.arange(len(key)) + (self.before - np.cumsum(n) + n)[bucket]
+        self.before += n
+        low, mix = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        for found, told in ((low, self.told[0]), (mix, self.told[1])):
+            if len(told):
+                found[:] = told[np.minimum(np.searchsorted(told, at), len(told) - 1)] == at
+        return low, mix
 
 
 def mark_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
@@ -300,41 +346,40 @@ def marked(docs: DataFrame, id: str, text: str, row: Column, length: int) -> Dat
         raise ValueError(f"length is {length}; at least {2 * GRAM} is needed")
     total = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     size = (total[0] or 0) + 64 * total[1]
-    chunks = max(1, -(-size // chunk_bytes(size, CHUNK_BYTES, MOST_CHUNK_BYTES)))
+    piece = chunk_bytes(size, PIECE_BYTES, MOST_CHUNK_BYTES)
+    chunks = max(1, -(-size // min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, size >> 10))))
     # A bucket takes about 14 bytes for each anchor, one in (width + 1) / 2 bytes of text.
     buckets = max(1, -(-28 * (total[0] or 0) // (length - GRAM + 2) // BUCKET_BYTES))
     parts = docs.select(F.pmod(F.xxhash64(F.col(id).cast("long")), F.lit(chunks)).cast("int").alias("chunk"), F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("body"), row.alias("row"))
     schema = parts.select("row").schema
     own = parts.groupBy("chunk")
 
-    def opened(group: pa.Table) -> tuple[int, Chunk]:
+    def opened(group: pa.Table) -> Iterator[Chunk]:
+        """The pieces of a chunk."""
         tidy()
-        c = Chunk(longs(group.column("id")), group.column("body"), length)
-        c.entries()
-        return group.column("chunk")[0].as_py(), c
+        ids, body = longs(group.column("id")), group.column("body").combine_chunks()
+        for i, j in pieces(pc.binary_length(body).fill_null(0).to_numpy(zero_copy_only=False) + 64, piece):
+            yield Chunk(ids[i:j], body.slice(i, j - i), length).entries()
+
+    def number(group: pa.Table) -> int:
+        return group.column("chunk")[0].as_py()
 
     def first_digits(group: pa.Table) -> pa.Table:
-        k, c = opened(group)
-        return sent(k, c.e_gram, c.e_around, c.e_doc, c.ids, 48, buckets, 6)
+        return sent(number(group), [(c.e_gram, c.e_around, c.ids[c.e_doc]) for c in opened(group)], 48, buckets, 6)
 
     def nothing() -> pa.Table:
-        return sent(0, *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.int64), np.zeros(0, np.int64), 64, buckets, 8)
-
-    def halves(c: Chunk, k: int, told: pa.Table) -> tuple[np.ndarray, ...]:
-        """Anchors that stand for distinct surroundings beside others, and the halves' keys, owners and kinds."""
-        _, mix = replies(told, SURROUNDINGS, k, c.e_gram, 48, buckets)
-        return c.e_at[mix], *c.sides(c.e_at[mix])
+        return sent(0, [], 64, buckets, 8)
 
     def third_digits(group: pa.Table, told: pa.Table) -> pa.Table:
+        """Of anchors that stand for distinct surroundings beside others, the halves' keys."""
         if not told.num_rows:
             return nothing()
-        k, c = opened(group)
-        _, key, _, _ = halves(c, k, told)
-        return sent(k, key, None, c.doc, c.ids, 64, buckets, 8)
+        around = Replies(told, SURROUNDINGS, 48, buckets)
+        return sent(number(group), [c.sides(c.e_at[around.of(c.e_gram)[1]])[:1] for c in opened(group)], 64, buckets, 8)
 
-    def windows(c: Chunk, k: int, told: pa.Table) -> tuple[np.ndarray, ...]:
-        anchors, key, owner, later = halves(c, k, told)
-        _, again = replies(told, SIDES, k, key, 64, buckets)
+    def windows(c: Chunk, anchors: np.ndarray, halves: Replies) -> tuple[np.ndarray, ...]:
+        key, owner, later = c.sides(anchors)
+        _, again = halves.of(key)
         sides = np.zeros((2, len(anchors)), bool)
         sides[0, owner[again & ~later]] = True
         sides[1, owner[again & later]] = True
@@ -344,20 +389,29 @@ def marked(docs: DataFrame, id: str, text: str, row: Column, length: int) -> Dat
     def last_digits(group: pa.Table, told: pa.Table) -> pa.Table:
         if not told.num_rows:
             return nothing()
-        k, c = opened(group)
-        key, other, doc, *_ = windows(c, k, told)
-        return sent(k, key, other, doc, c.ids, 64, buckets, 8)
+        around, halves, parts = Replies(told, SURROUNDINGS, 48, buckets), Replies(told, SIDES, 64, buckets), []
+        for c in opened(group):
+            key, other, doc, *_ = windows(c, c.e_at[around.of(c.e_gram)[1]], halves)
+            parts.append((key, other, c.ids[doc]))
+        return sent(number(group), parts, 64, buckets, 8)
 
     def removed(group: pa.Table, told: pa.Table) -> pa.Table:
-        k, c = opened(group)
-        low, mix = replies(told, SURROUNDINGS, k, c.e_gram, 48, buckets)
+        around, halves, last = Replies(told, SURROUNDINGS, 48, buckets), Replies(told, SIDES, 64, buckets), Replies(told, WINDOWS, 64, buckets)
+        parts = [cut_out(c, around, halves, last) for c in opened(group)]
+        sizes, counts, spans, kept = ([x for p in parts for x in p[i]] for i in range(4))
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.table([group.column("row").combine_chunks() if group.num_rows else group.column("row"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "spans", "kept"])
+
+    def cut_out(c: Chunk, around: Replies, halves: Replies, last: Replies) -> tuple[list, ...]:
+        """The results of a piece's documents: bytes, bytes removed, their bounds, what is kept."""
+        low, mix = around.of(c.e_gram)
         edge = np.zeros(c.n + 1, np.int32)
         hit = low[c.of] | (c.doc > c.e_doc[c.of])
         np.add.at(edge, c.start[hit], 1)
         np.add.at(edge, c.end[hit], -1)
         if mix.any():
-            key, _, first, a, p, of = windows(c, k, told)
-            below, _ = replies(told, WINDOWS, k, key, 64, buckets)
+            key, _, first, a, p, of = windows(c, c.e_at[mix], halves)
+            below, _ = last.of(key)
             on = below[of] | (c.doc[a] > first[of])
             # The document of an entry's first anchor may have the same surroundings again.
             begin, end = c.copied(a[on], p[on], np.flatnonzero(mix[c.of] & ~hit))
@@ -375,8 +429,7 @@ def marked(docs: DataFrame, id: str, text: str, row: Column, length: int) -> Dat
                 kept[row] = c.data[a:b][~cover].tobytes()
             else:
                 kept[row] = c.data[a:b].tobytes()
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table([group.column("row").combine_chunks() if group.num_rows else group.column("row"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "spans", "kept"])
+        return sizes, counts, spans, kept
 
     def asked(step, told: DataFrame, kind: int) -> DataFrame:
         return own.cogroup(told.groupBy("chunk")).applyInArrow(step, ENTRY).groupBy("bucket").applyInArrow(judge(kind, 8), REPLY)

@@ -6,8 +6,11 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +89,34 @@ def test_repeats(spark, docs, empty, monkeypatch):
     assert repeats.mark_repeats(empty).count() == 0
 
 
+def test_repeats_in_chunks_of_many_pieces(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 700)
+    test_repeats(spark, docs, empty, monkeypatch)
+
+
+@pytest.mark.parametrize("kind", [repeats.SURROUNDINGS, repeats.SIDES, repeats.WINDOWS])
+def test_judging_a_bucket_takes_no_longer_for_many_senders(kind):
+    """Each sender's answers were looked for among all entries, so work grew with the square of the input."""
+
+    def seconds(senders, n=200_000):
+        rng, rows = np.random.default_rng(1), []
+        for k in range(senders):
+            x = np.sort(rng.integers(0, 1 << 16, n // senders)).astype(np.uint64)
+            y, d = (rng.integers(0, 3, n // senders).astype(np.uint64) for _ in range(2))
+            rows.append((0, k, repeats.pack(x, 6), repeats.pack(y, 6), repeats.pack(d, 2), repeats.packed_ids(np.arange(3) + 3 * k)))
+        columns = zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)
+        table = pa.table([pa.array(c, t) for c, t in columns], names=["bucket", "chunk", "x", "y", "d", "ids"])
+        took = []
+        for _ in range(3):
+            start = time.thread_time()
+            got = repeats.judge(kind, 6)(table)
+            took.append(time.thread_time() - start)
+        assert got.num_rows > senders * 0.9
+        return min(took)
+
+    assert seconds(8000) < 12 * seconds(40)
+
+
 def test_simhash(spark, docs, empty):
     rows = corpus()
     fps = [simhash.fingerprint((t or "").encode()) for _, t, *_ in rows]
