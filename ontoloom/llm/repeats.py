@@ -102,8 +102,10 @@ class Chunk:
             h ^= (view[8 : 8 + m] ^ (h >> np.uint64(31))) * M2
             h = mixed(h) | np.uint64(1)
             least = slide(h, width, np.minimum)  # of windows that start from first on
-            starts = np.arange(first, first + len(least))
-            least[starts + length > self.bounds[np.searchsorted(self.bounds, starts, side="right")]] = 0
+            # Of those that run over the end of a document nothing is asked.
+            ends = self.bounds[slice(*np.searchsorted(self.bounds, (first + 1, first + len(least) + length - 1)))]
+            over = (ends[:, None] - first - np.arange(1, length)).ravel()
+            least[over[(over >= 0) & (over < len(least))]] = 0
             self.least[lo:hi] = least[lo - first : hi - first]
             edge = np.zeros(width - 1, np.uint64)
             most = slide(np.concatenate([edge, least, edge]), width, np.maximum)
