@@ -192,6 +192,13 @@ class Chunk:
         return p[lo][run] + by, p[hi][run] + self.length + by
 
 
+def in_order(group: pa.Table) -> pa.Table:
+    """The rows of a chunk by id and text. A shuffle hands them over in another order each time that it is read, and
+    answers count on pieces of the same rows."""
+    rows = pa.table([pa.array(longs(group.column("id"))), group.column("body").combine_chunks()], names=["id", "body"])
+    return group.take(pc.sort_indices(rows, sort_keys=[("id", "ascending"), ("body", "ascending")]))
+
+
 def bucket_of(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Even ranges of the values of keys of so many bits."""
     return ((key >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -357,7 +364,7 @@ def marked(docs: DataFrame, id: str, text: str, row: Column, length: int) -> Dat
     own = parts.groupBy("chunk")
 
     def opened(group: pa.Table) -> Iterator[Chunk]:
-        """The pieces of a chunk."""
+        """The pieces of a chunk, whose rows are in_order()."""
         tidy()
         ids, body = longs(group.column("id")), group.column("body").combine_chunks()
         for i, j in pieces(pc.binary_length(body).fill_null(0).to_numpy(zero_copy_only=False) + 64, piece):
@@ -367,7 +374,7 @@ def marked(docs: DataFrame, id: str, text: str, row: Column, length: int) -> Dat
         return group.column("chunk")[0].as_py()
 
     def first_digits(group: pa.Table) -> pa.Table:
-        return sent(number(group), [(c.e_gram, c.e_around, c.ids[c.e_doc]) for c in opened(group)], 48, buckets, 6)
+        return sent(number(group), [(c.e_gram, c.e_around, c.ids[c.e_doc]) for c in opened(in_order(group))], 48, buckets, 6)
 
     def nothing() -> pa.Table:
         return sent(0, [], 64, buckets, 8)
@@ -377,7 +384,7 @@ def marked(docs: DataFrame, id: str, text: str, row: Column, length: int) -> Dat
         if not told.num_rows:
             return nothing()
         around = Replies(told, SURROUNDINGS, 48, buckets)
-        return sent(number(group), [c.sides(c.e_at[around.of(c.e_gram)[1]])[:1] for c in opened(group)], 64, buckets, 8)
+        return sent(number(group), [c.sides(c.e_at[around.of(c.e_gram)[1]])[:1] for c in opened(in_order(group))], 64, buckets, 8)
 
     def windows(c: Chunk, anchors: np.ndarray, halves: Replies) -> tuple[np.ndarray, ...]:
         key, owner, later = c.sides(anchors)
@@ -392,12 +399,13 @@ def marked(docs: DataFrame, id: str, text: str, row: Column, length: int) -> Dat
         if not told.num_rows:
             return nothing()
         around, halves, parts = Replies(told, SURROUNDINGS, 48, buckets), Replies(told, SIDES, 64, buckets), []
-        for c in opened(group):
+        for c in opened(in_order(group)):
             key, other, doc, *_ = windows(c, c.e_at[around.of(c.e_gram)[1]], halves)
             parts.append((key, other, c.ids[doc]))
         return sent(number(group), parts, 64, buckets, 8)
 
     def removed(group: pa.Table, told: pa.Table) -> pa.Table:
+        group = in_order(group)
         around, halves, last = Replies(told, SURROUNDINGS, 48, buckets), Replies(told, SIDES, 64, buckets), Replies(told, WINDOWS, 64, buckets)
         parts = [cut_out(c, around, halves, last) for c in opened(group)]
         sizes, counts, spans, kept = ([x for p in parts for x in p[i]] for i in range(4))

@@ -94,6 +94,19 @@ def test_repeats_in_chunks_of_many_pieces(spark, docs, empty, monkeypatch):
     test_repeats(spark, docs, empty, monkeypatch)
 
 
+def test_pieces_have_the_same_rows_whatever_order_a_shuffle_gives(spark):
+    rows = [(i % 9 or None, None if i == 4 else b"%d" % (i * 7 % 5), i) for i in range(40)]
+    rng, found = random.Random(2), set()
+    for _ in range(20):
+        rng.shuffle(rows)
+        cuts = [0, 13, 13, 40]
+        parts = [pa.table([pa.array(c, t) for c, t in zip(zip(*rows[a:b], strict=True), kinds, strict=True)], names=["id", "body", "row"]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a for kinds in [(pa.int64(), pa.binary(), pa.int64())]]
+        got = repeats.in_order(pa.concat_tables(parts))
+        assert sorted(zip(*(got.column(c).to_pylist() for c in ("id", "body", "row")), strict=True), key=repr) == sorted(rows, key=repr)
+        found.add(repr([got.column(c).to_pylist() for c in ("id", "body")]))
+    assert len(found) == 1
+
+
 @pytest.mark.parametrize("kind", [repeats.SURROUNDINGS, repeats.SIDES, repeats.WINDOWS])
 def test_judging_a_bucket_takes_no_longer_for_many_senders(kind):
     """Each sender's answers were looked for among all entries, so work grew with the square of the input."""
