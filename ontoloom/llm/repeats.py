@@ -251,7 +251,7 @@ def sent(chunk: int, parts: list[tuple[np.ndarray, ...]], bits: int, buckets: in
             rows.append((*own, b"", b"", b""))
             continue
         used, d = np.unique(ids[i:j], return_inverse=True)
-        rows.append((*own, second[i * (12 - wide) : j * (12 - wide)], pack(d.astype(np.uint64), 2 if len(used) <= 1 << 16 else 4), packed_ids(used)))
+        rows.append((*own, second[i * (12 - wide) : j * (12 - wide)], pack(d.astype(np.uint64), next(n for n in (1, 2, 4) if len(used) <= 1 << 8 * n)), packed_ids(used)))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "chunk", "x", "y", "d", "ids"])
 
